@@ -106,7 +106,8 @@ def spans(text: str | None) -> list[tuple[int, int, int, float | None]]:
             end -= len(m[1]) - len(m[1].rstrip(b",;.:!?)]}#*&$%|"))
             if any(a <= start and end <= b for a, _, b in found):
                 continue
-            log = guess_cost(raw[start:end].decode("utf-8", "surrogatepass")) if end - start >= 6 else 0.0
+            value = raw[start:end].decode("utf-8", "surrogatepass")
+            log = guess_cost(value) if len(value) >= 6 and not value.isalpha() else 0.0  # letters alone are mostly prose
             if log >= MIN_GUESSES:
                 cost[start, 3, end] = log
     if not found and not cost:
