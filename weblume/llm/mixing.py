@@ -16,7 +16,7 @@ from __future__ import annotations
 import random
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, words_count
@@ -128,9 +128,23 @@ def mix(rows: DataFrame, cap: float = 3.0, seed: int = 77) -> DataFrame:
     )
 
 
+def document_key() -> Column:
+    """Tells documents apart, but for repeated rows."""
+    return F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text", "source").cast("string"))
+
+
 def narrow(docs: DataFrame) -> DataFrame:
     """doc_id, size and source of every document, with the key that ``mix`` needs."""
-    return docs.select("doc_id", words_count(F.col("text")).alias("size"), "source", F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text", "source").cast("string")).alias("__id"))
+    return docs.select("doc_id", words_count(F.col("text")).alias("size"), "source", document_key().alias("__id"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with all its columns. The one document of a source that is taken
+    in part is taken whole where the part is half of it or more, and else not."""
+    taken = F.col("copies") + F.when(F.col("part") * 2 >= F.greatest("size", F.lit(1)), 1).otherwise(0)
+    decided = mix(narrow(docs)).groupBy("__id").agg(F.sum(taken).cast("int").alias("__taken")).where("__taken > 0").withColumnRenamed("__id", "__key")
+    rows = docs.withColumn("__key", document_key()).dropDuplicates(["__key"])
+    return rows.join(decided, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__taken")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10(docs: DataFrame) -> DataFrame:

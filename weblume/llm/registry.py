@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import avi, mixing, secrets, sharding
+import corpus_pipeline
+
+from . import avi, chat, decontamination, langid, lines, mixing, secrets, sharding, simhash, substrings
 from .common import table
 
 
@@ -11,9 +13,16 @@ def _over_documents(op):
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_chat_format": lambda spark, sf_dir: chat.op1(table(spark, sf_dir, "conversations")),
     "op2_sharding": _over_documents(sharding.op2),
     "op3_secret_scan": _over_documents(secrets.op3),
+    "op4_substring_dedup": _over_documents(substrings.op4),
+    "op5_decontamination": lambda spark, sf_dir: decontamination.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op6_avi_media": _over_documents(avi.op6),
+    "op7_line_dedup": _over_documents(lines.op7),
+    "op8_simhash": _over_documents(simhash.op8),
+    "op9_language_id": _over_documents(langid.op9),
     "op10_mixing": _over_documents(mixing.op10),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op5_decontamination": decontamination.ORACLE, "op7_line_dedup": lines.ORACLE}

@@ -66,7 +66,7 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
 def shard(df: DataFrame, keys: list[str], shards: int = 16, seed: int = 20_240_917) -> DataFrame:
     """Add ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard) to ``df``, uniformly at random.
 
-    keys: columns that tell rows apart; rows alike in all of them are interchangeable. Nulls are ordinary values.
+    keys: columns that tell rows apart; rows alike in all of them are numbered and placed independently. Nulls are ordinary values.
     Columns named ``shard`` or ``slot`` are replaced; all others are kept as they are. An empty table stays empty.
     """
     spark = df.sparkSession
@@ -81,19 +81,23 @@ def shard(df: DataFrame, keys: list[str], shards: int = 16, seed: int = 20_240_9
     drawn = np.cumsum(matrix(counts, shard_sizes(total, shards), seed), axis=1).tolist()
     bounds = inline(spark, [{"__p": p, "__ends": ends} for p, ends in enumerate(drawn)], "__p:bigint,__ends:array<bigint>")
 
-    local = Window.partitionBy("__p").orderBy("__r1", *by)
+    alike = Window.partitionBy("__p").orderBy("__r1", *by)
+    local = Window.partitionBy("__p").orderBy("__o", "__r1", "__same")
     sent = (
         rows.withColumn("__p", F.pmod("__r1", F.lit(parts)))
+        .withColumn("__same", F.row_number().over(alike) - F.rank().over(alike))  # number among rows alike
+        .withColumn("__o", F.xxhash64("__r1", "__same"))
         .withColumn("__k", F.row_number().over(local).cast("long"))
+        .withColumn("__r2", F.xxhash64("__r2", "__same"))
         .join(F.broadcast(bounds), "__p")  # parts rows, 4096 at most
         .withColumn("shard", F.size(F.filter("__ends", lambda end: end < F.col("__k"))))
         .withColumn("__piece", F.shiftrightunsigned("__r2", 64 - (parts.bit_length() - 1)))
-        .drop("__p", "__k", "__ends")
+        .drop("__p", "__k", "__ends", "__o")
     )
     pieces = sent.groupBy("shard", "__piece").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select("shard", "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
-    inside = Window.partitionBy("shard", "__piece").orderBy("__r2", *by)
+    inside = Window.partitionBy("shard", "__piece").orderBy("__r2", "__r1", "__same")
     return (
         sent.withColumn("__i", F.row_number().over(inside))
         .join(F.broadcast(offsets), ["shard", "__piece"])  # shards x parts rows, 65,536 at most for 16 shards
