@@ -80,19 +80,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, carry: list[str], width: int
     n = index.count()
     end = index.sparkSession.range(0, 1, 1, 1).select(F.lit(_END).alias("term"), F.lit(0).alias("offset"), F.array().cast("array<string>").alias("terms"), F.array().cast(index.schema["items"].dataType).alias("items"), F.lit(0).alias("__size"))
     table = index.unionByName(end)
-    posted = tokenised(docs, text_col).select(*carry, F.col("__n").alias("n_words"), "__t", "__lead", F.posexplode(F.array_append("__t", F.lit(_END))).alias("__at", "term"))
-    found = posted.join(F.broadcast(table) if n <= BROADCAST_WINDOWS else table, "term")
-    at = F.col("__at") - F.col("offset")  # index of the window's first term, in an array that may lead with an empty one
-    whole = (at >= F.col("__lead")) & (F.slice("__t", at + 1, F.col("__size")) == F.col("terms"))
     last = F.col("term") == _END
-    return found.where(last | whole).select(*carry, "n_words", F.when(last, F.lit(-1)).otherwise(at - F.col("__lead")).alias("start"), F.col("__size").alias("size"), "items")
+    body = tokenised(docs, text_col).select(*carry, F.col("__n").alias("n_words"), "__t", "__lead")
+    postings = F.posexplode(F.array_append("__t", F.lit(_END))).alias("__at", "term")
+    at = F.col("__at") - F.col("offset")  # index of the window's first term, in an array that may lead with an empty one
+    if n <= BROADCAST_WINDOWS:  # the terms stay beside their postings, which never leave their task
+        found = body.select("*", postings).join(F.broadcast(table), "term")
+        whole = (at >= F.col("__lead")) & (F.slice("__t", at + 1, F.col("__size")) == F.col("terms"))
+        return found.where(last | whole).select(*carry, "n_words", F.when(last, F.lit(-1)).otherwise(at - F.col("__lead")).alias("start"), F.col("__size").alias("size"), "items")
+    # postings alone are shuffled; candidate starts go back to their documents
+    posted = body.select(*carry, "n_words", "__lead", postings).join(table, "term").where(last | (at >= F.col("__lead")))
+    held = posted.groupBy(*carry, "n_words").agg(F.collect_set(F.when(~last, F.struct(at.alias("at"), "terms", "items"))).alias("__held"))
+    met = body.join(held.select(*[F.col(c).alias(f"__{c}_") for c in carry], "__held"), [body[c].eqNullSafe(F.col(f"__{c}_")) for c in carry])
+    right = F.filter("__held", lambda h: F.slice(F.col("__t"), h["at"] + 1, F.size(h["terms"])) == h["terms"])
+    ends = F.array(F.struct(F.lit(-1).alias("start"), F.lit(1).alias("size"), F.array().cast(index.schema["items"].dataType).alias("items")))
+    each = F.transform(right, lambda h: F.struct((h["at"] - F.col("__lead")).alias("start"), F.size(h["terms"]).alias("size"), h["items"].alias("items")))
+    return met.select(*carry, "n_words", F.inline(F.concat(ends, each)))
 
 
 def near(docs: DataFrame, benchmark: DataFrame, slack: int = 5, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Proximity matches: (id, position of the anchor, items) where every term of a window lies within ``slack`` terms of its place."""
     index = cut(anchored(docs, benchmark, width, text_col).withColumn("__size", F.size("terms")))
     posted = tokenised(docs, text_col).select(id_col, "__t", "__lead", F.posexplode("__t").alias("__at", "term"))
-    found = posted.join(F.broadcast(index) if index.count() <= BROADCAST_WINDOWS else index, "term")
+    found = posted.join(F.broadcast(index) if index.count() <= BROADCAST_WINDOWS else index, "term")  # beyond that, terms travel with their postings
     first = F.greatest(F.col("__at") - F.col("offset") - slack, F.lit(0))
     around = F.slice("__t", first + 1, F.col("__at") - F.col("offset") + F.col("__size") + slack - first)
     return found.where(F.size(F.array_except("terms", around)) == 0).select(id_col, (F.col("__at") - F.col("__lead")).alias("position"), "items").distinct()
