@@ -1,6 +1,448 @@
-"""The query catalogue: name -> function of (spark, sf_dir), and name -> DuckDB SQL."""
+"""The query catalogue: name -> function of (spark, sf_dir), and name -> the same in SQL for DuckDB."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import dims
+from .functions import language as lang_f
+from .functions import text as text_f
+from .functions import urls as url_f
+from .operators import features as features_o
+from .operators import language as language_o
+from .operators import links as links_o
+from .operators import media as media_o
+from .operators import profile as profile_o
+from .operators import results as results_o
+from .plans import scan
+from .sources import binary, config, css, csv, html, jsonschema, sinks
+from .streaming import events as events_s
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(c: Column | str, digits: int = 2) -> Column:
+    return F.round(c, digits)
+
+
+# --- links -----------------------------------------------------------------------------------------------------------------
+_HREFS = "SELECT page_id, url, html, generate_subscripts(h, 1) - 1 AS pos, trim(unnest(h)) AS href FROM (SELECT page_id, url, html, regexp_extract_all(html, '<a\\s+href=\"([^\"]*)\"', 1) AS h FROM pages)"
+
+
+@query(f"SELECT page_id, 'a' AS link_type, count(*) AS n_links, count(DISTINCT href) AS n_distinct FROM ({_HREFS}) GROUP BY page_id")
+def link_type_counts(spark, sf_dir):
+    return links_o.type_counts(links_o.page_links(table(spark, sf_dir, "pages")))
+
+
+@query(f"SELECT page_id, CAST(pos AS INTEGER) AS pos, 'a' AS link_type, href, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS abs_url FROM ({_HREFS})")
+def links(spark, sf_dir):
+    return links_o.page_links(table(spark, sf_dir, "pages")).select("page_id", "pos", "link_type", "href", "abs_url")
+
+
+@query(
+    """SELECT page_id, landmark, count(*) AS n FROM (SELECT page_id, CASE WHEN i = 1 THEN 'navigation' ELSE 'body' END AS landmark, unnest(regexp_extract_all(part, '<a\\s+href="([^"]*)"', 1)) AS href
+    FROM (SELECT page_id, 1 AS i, regexp_extract(html, '(?s)<nav>(.*)</nav>', 1) AS part FROM pages UNION ALL SELECT page_id, 2, regexp_extract(html, '(?s)</nav>(.*)$', 1) FROM pages)) GROUP BY page_id, landmark"""
+)
+def link_landmarks(spark, sf_dir):
+    return links_o.page_links(table(spark, sf_dir, "pages")).groupBy("page_id", "landmark").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, 'CONTENT' AS content_section, count(*) AS n_links, list(href ORDER BY pos) AS hrefs FROM ({_HREFS}) GROUP BY page_id")
+def link_sections(spark, sf_dir):
+    return links_o.sections(links_o.page_links(table(spark, sf_dir, "pages")))
+
+
+@query(
+    """SELECT page_id, generate_subscripts(h, 1) - 1 AS pos, trim(unnest(h)) AS anchor FROM (SELECT page_id, list_transform(regexp_extract_all(html, '<a\\s+href="[^"]*">([^<]*)</a>', 1),
+    lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS h FROM pages)"""
+)
+def link_texts(spark, sf_dir):
+    return links_o.page_links(table(spark, sf_dir, "pages")).select("page_id", F.col("pos").cast("long").alias("pos"), "anchor")
+
+
+@query(f"SELECT href, count(DISTINCT page_id) AS pages FROM ({_HREFS}) GROUP BY href HAVING count(DISTINCT page_id) > 1")
+def shared_links(spark, sf_dir):
+    return links_o.shared_targets(links_o.page_links(table(spark, sf_dir, "pages")))
+
+
+@query(f"""SELECT href, CASE l WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE l END AS lang, '' AS alt, '' AS title, count(DISTINCT page_id) AS pages, min(page_id) AS first_page
+FROM (SELECT page_id, href, regexp_extract(html, '<html[^>]*\\slang="([A-Za-z]+)', 1) AS l FROM ({_HREFS})) GROUP BY ALL""")
+def link_text_groups(spark, sf_dir):
+    return links_o.text_groups(links_o.page_links(table(spark, sf_dir, "pages")))
+
+
+@query("SELECT page_id, ' ' || array_to_string(list_transform(regexp_extract_all(html, '\\s(?:id|name)=\"\\s*([^\"]*?)\\s*\"', 1), lambda x: x || ' '), '') AS anchors FROM (SELECT page_id, regexp_replace(html, '<meta[^>]*>', '', 'g') AS html FROM pages)")
+def anchors(spark, sf_dir):
+    return html.parse_pages(table(spark, sf_dir, "pages"), wanted=("anchors",)).select("page_id", "anchors")
+
+
+@query(f"SELECT page_id, CAST(pos AS INTEGER) AS pos, href FROM ({_HREFS}) WHERE href LIKE '#_%'")
+def broken_anchors(spark, sf_dir):
+    facts = html.parse_pages(table(spark, sf_dir, "pages"), wanted=("links", "anchors"))
+    return links_o.broken_anchors(facts.select("page_id", F.inline("links")), facts.select("page_id", "anchors")).select("page_id", "pos", "href")
+
+
+@query(f"SELECT page_id, href FROM ({_HREFS}) WHERE href NOT IN (SELECT '/' || r_name FROM region UNION ALL SELECT '/the')")
+def links_except_ignored(spark, sf_dir):
+    ignored = table(spark, sf_dir, "region").select(F.concat(F.lit("/"), "r_name").alias("href")).unionAll(spark.range(1).select(F.lit("/the")))
+    return links_o.without_ignored(links_o.page_links(table(spark, sf_dir, "pages")), ignored).select("page_id", "href")
+
+
+@query("""SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS protocol, lower(regexp_extract(url, '^https?://([^/\\s]+)', 1)) AS "domain", regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS dir,
+regexp_extract(url, '^[^?#]*(.*)$', 1) AS query, regexp_matches(url, '^[#?]') AS on_page, md5(url) AS cache_key, lower(regexp_extract(regexp_extract(url, '^([^?#]*)', 1), '\\.([A-Za-z0-9]+)$', 1)) AS suffix FROM pages""")
+def url_parts(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in url_f.url_parts(url).items()], url_f.is_on_page(url).alias("on_page"), sinks.cache_key(url).alias("cache_key"), url_f.suffix(url).alias("suffix"))
+
+
+@query(f"SELECT page_id, href, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS target FROM ({_HREFS}) WHERE href LIKE '/%'")
+def url_absolute(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    hrefs = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s+href="([^"]*)"'), F.lit(1))).alias("href"))
+    return hrefs.where(F.col("href").startswith("/")).select("page_id", F.trim("href").alias("href"), url_f.absolute(F.trim("href"), F.col("url")).alias("target"))
+
+
+@query("SELECT p.page_id, md5(p.url) AS key FROM pages p ANTI JOIN (SELECT min(url) AS url FROM pages GROUP BY regexp_extract(url, '^https?://([^/]+)', 1)) c ON p.url = c.url")
+def uncached_requests(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    cache = pages.groupBy(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host")).agg(F.min("url").alias("url")).select("url", sinks.cache_key(F.col("url")).alias("key"))
+    return sinks.not_cached(pages, cache).select("page_id", "key")
+
+
+@query("SELECT page_id, CAST(length(regexp_replace(html, '<!--\\[if[^>]*>|<!--if[^>]*>|<!--<!\\[endif\\]-->|<!--<!endif-->|<!\\[endif\\]-->|<!endif-->|<!-->', '', 'g')) AS INTEGER) AS chars FROM pages")
+def conditional_comments(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.length(links_o.removed_conditionals(F.col("html"))).alias("chars"))
+
+
+@query("""SELECT branch, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(url, '(?i)\\.xml$') THEN 'xml' ELSE 'html' END AS branch FROM pages) GROUP BY branch""")
+def mime_dispatch(spark, sf_dir):
+    mime = F.when(url_f.suffix(F.col("url")) == "xml", "text/xml").otherwise("text/html")
+    return table(spark, sf_dir, "pages").select(url_f.mime_branch(mime, F.col("url")).alias("branch")).groupBy("branch").agg(F.count("*").alias("n"))
+
+
+# --- pages -----------------------------------------------------------------------------------------------------------------
+_LANG3 = "CASE l WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE l END"
+
+
+@query(f"SELECT page_id, {_LANG3} AS lang FROM (SELECT page_id, lower(regexp_extract(html, '<html[^>]*\\slang=\"([A-Za-z]+)', 1)) AS l FROM pages)")
+def html_language(spark, sf_dir):
+    return html.parse_pages(table(spark, sf_dir, "pages"), wanted=("html_lang",)).select("page_id", F.col("html_lang").alias("lang"))
+
+
+_TITLE = "trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT title, count(*) AS n, min(page_id) AS first_page FROM (SELECT page_id, {_TITLE} AS title FROM pages) GROUP BY title HAVING count(*) > 1")
+def duplicate_titles(spark, sf_dir):
+    facts = html.parse_pages(table(spark, sf_dir, "pages"), wanted=("title",))
+    return facts.groupBy("title").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).where("n > 1")
+
+
+_TAGS = "SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)(<script[^>]*>).*?</script>|<!--.*?-->', '\\1', 'g'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages"
+
+
+@query(f"SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM ({_TAGS}) WHERE tag IN ('a', 'li', 'br', 'b', 'h1', 'script', 'p') GROUP BY tag")
+def tag_counts(spark, sf_dir):
+    elements = html.parse_pages(table(spark, sf_dir, "pages"), wanted=("elements",)).select("page_id", F.inline("elements"))
+    return features_o.tag_counts(elements, ["a", "li", "br", "b", "h1", "script", "p"])
+
+
+@query(f"""WITH t AS (SELECT page_id, tag AS feature FROM ({_TAGS}) UNION ALL SELECT page_id, 'href' FROM ({_HREFS}) UNION ALL SELECT page_id, 'class="ad"' FROM (SELECT page_id, unnest(regexp_extract_all(html, '<div class="ad"')) FROM pages))
+SELECT page_id, feature, 'CONTENT' AS section, count(*) AS n FROM t WHERE feature IN ('a', 'br', 'href', 'class="ad"', 'table') GROUP BY page_id, feature""")
+def feature_counts(spark, sf_dir):
+    elements = html.parse_pages(table(spark, sf_dir, "pages"), wanted=("elements",)).select("page_id", F.inline("elements"))
+    profile = dims.small(spark, [("a",), ("br",), ("href",), ('class="ad"',), ("table",)], "feature string")
+    return features_o.counts(features_o.of_elements(elements), profile).select("page_id", "feature", "section", "n")
+
+
+@query("SELECT page_id, sel AS selector, prop AS property, val AS value FROM (SELECT page_id, trim(regexp_extract(s, '^([^{]+)\\{', 1)) AS sel, trim(regexp_extract(s, '\\{\\s*([\\w-]+)\\s*:', 1)) AS prop, trim(regexp_extract(s, ':\\s*([^;}]+)', 1)) AS val FROM (SELECT page_id, regexp_extract(html, '(?s)<style>(.*?)</style>', 1) AS s FROM pages)) WHERE sel <> ''")
+def css_rules(spark, sf_dir):
+    sheets = table(spark, sf_dir, "pages").select("page_id", F.explode(css.style_text(F.col("html"))).alias("css"))
+    return css.rules(sheets, "page_id", F.col("css")).select("page_id", "selector", "property", "value")
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<!DOCTYPE\\s+html\\s*>') THEN 'HTML5' ELSE 'HTML 4.01 Transitional' END AS version, lower(regexp_extract(html, '(?i)<meta[^>]*charset=\"?([A-Za-z0-9_-]+)', 1)) AS charset FROM pages")
+def document_types(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", binary.doctype(F.col("html")).alias("version"), binary.charset(F.lit(""), F.col("html")).alias("charset"))
+
+
+@query()
+def page_texts(spark, sf_dir):
+    """Text by language and paragraphs of every page; held against a brute-force version in the tests."""
+    facts = html.parse_pages(table(spark, sf_dir, "pages"), wanted=("texts", "paragraphs"))
+    return facts.select("page_id", F.length("paragraphs").alias("paragraph_chars"), F.inline_outer("texts")).select("page_id", "paragraph_chars", "lang", F.length("text").alias("chars"))
+
+
+@query(f"""WITH p AS (SELECT page_id, url, {_TITLE} AS title, regexp_extract(html, '<html[^>]*\\slang="([A-Za-z]+)', 1) AS l FROM pages), f AS (SELECT title, min(page_id) AS first, count(*) AS n FROM p GROUP BY title)
+SELECT testcase, count(*) AS n, min(message) AS first_message FROM (
+SELECT 'TITLE_LONG' AS testcase, title AS message FROM p WHERE length(title) >= 60 UNION ALL SELECT 'NO_LANG', 'no language on html' FROM p WHERE l = ''
+UNION ALL SELECT 'DUPLICATE_TITLES', p.title FROM p JOIN f ON p.title = f.title WHERE f.n > 1 AND p.page_id <> f.first) GROUP BY testcase""")
+def results_union(spark, sf_dir):
+    rows = scan.web(table(spark, sf_dir, "pages"))
+    return rows.groupBy("testcase").agg(F.count("*").alias("n"), F.min("message").alias("first_message"))
+
+
+@query("""WITH n AS (SELECT url, CAST(len(regexp_extract_all(html, '<br>')) AS BIGINT) AS k FROM pages), f AS (SELECT url, CASE WHEN k > 5 THEN 1 ELSE 0 END AS faults FROM n)
+SELECT CAST(sum(faults) AS BIGINT) AS faults, round(sum(faults) / count(*), 4) AS faults_per_page, round(avg(100 - faults), 4) AS score FROM f""")
+def faults_per_page(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    rows = results_o.results(pages.where(F.regexp_count("html", F.lit("<br>")) > 5), "LINE_BREAKS", url=F.col("url"))
+    return results_o.scan_score(results_o.faults(rows, pages))
+
+
+@query("""SELECT doc_id, '  <qa_result_item type="fail" testcase="SHORT" line="1" column="0" >' || chr(10) || '    <description>' || replace(replace(replace(source, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</description>' || chr(10)
+|| '    <testcase_group></testcase_group>' || chr(10) || '    <source_line>' || replace(replace(replace(CASE WHEN length(line) < 200 THEN line ELSE substr(line, 1, 200) END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</source_line>' || chr(10)
+|| '    <message>a &lt; b &amp; c</message>' || chr(10) || '  </qa_result_item>' || chr(10) AS item FROM (SELECT doc_id, source, string_split(text, chr(10))[1] AS line FROM documents)""")
+def xml_results(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    line = F.split("text", "\n")[0]
+    rows = docs.select("doc_id", "source", line.alias("line"))
+    made = results_o.results(rows, "SHORT", description=F.col("source"), source_line=F.col("line"), line_no=1, column_no=0, message="a < b & c", url=F.col("doc_id").cast("string"))
+    return made.select(F.col("url").cast("long").alias("doc_id"), sinks.result_item().alias("item"))
+
+
+# --- tables ----------------------------------------------------------------------------------------------------------------
+_PART_CELLS = "SELECT p_partkey AS line, unnest(['p_name', 'p_brand', 'p_size', 'p_retailprice']) AS heading, unnest([p_name, p_brand, CAST(p_size AS VARCHAR), CAST(p_retailprice AS VARCHAR)]) AS value FROM part"
+_IS_NUMERIC = "regexp_matches({}, '^[+-]?(\\d|\\.\\d)\\d*(\\.\\d*)?([Ee]([+-]?\\d+))?$')"
+
+
+def _part_cells(spark, sf_dir):
+    return profile_o.cells(table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_size", "p_retailprice"])
+
+
+@query(f"""WITH c AS ({_PART_CELLS}), g AS (SELECT heading, count(*) FILTER (WHERE trim(value) <> '') AS non_blank, arg_min(value, line) AS first_data, bool_and({_IS_NUMERIC.format("value")}) AS num, min(value) AS lo, max(value) AS hi,
+min(TRY_CAST(value AS DOUBLE)) AS nlo, max(TRY_CAST(value AS DOUBLE)) AS nhi, sum(TRY_CAST(value AS DOUBLE)) AS s FROM c GROUP BY heading)
+SELECT heading, CASE WHEN num THEN 'numeric' ELSE 'text' END AS type, non_blank, first_data, CASE WHEN NOT num THEN lo END AS min_text, CASE WHEN NOT num THEN hi END AS max_text, CASE WHEN num THEN nlo END AS min_number, CASE WHEN num THEN nhi END AS max_number, CASE WHEN num THEN round(s, 2) ELSE 0.0 END AS sum FROM g""")
+def column_profile(spark, sf_dir):
+    return profile_o.profile(_part_cells(spark, sf_dir)).withColumn("sum", rounded("sum"))
+
+
+@query(f"""WITH c AS (SELECT event_id AS line, unnest(['event_type', 'props', 'user_id', 'ts']) AS heading, unnest([event_type, props, CAST(user_id AS VARCHAR), strftime(ts, '%Y-%m-%d')]) AS value FROM events)
+SELECT heading, CASE WHEN value IS NULL OR trim(value) = '' THEN 'blank' WHEN {_IS_NUMERIC.format("value")} THEN 'numeric' WHEN regexp_matches(value, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'date' ELSE 'text' END AS type,
+count(*) AS n, arg_min(value, line) AS first_data, min(line) AS first_line FROM c GROUP BY ALL""")
+def data_type_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd"))
+    return profile_o.type_counts(profile_o.cells(rows, "event_id", ["event_type", "props", "user_id", "ts"]))
+
+
+def _key_sql(value: str) -> str:
+    inner = f"regexp_replace(regexp_replace(strip_accents(lower(regexp_replace(regexp_replace({value}, '([a-z\\s])[[:punct:]]', '\\1', 'gi'), '[[:punct:]]([a-z\\s])', '\\1', 'gi'))) || ' ', 's\\s', ' ', 'g'), '\\s+', '', 'g')"
+    return f"CASE WHEN length({inner}) BETWEEN 10 AND 100 THEN {inner} ELSE '' END"
+
+
+@query(f"SELECT doc_id, pos, {_key_sql('line')} AS k FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
+def cleanse(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), text_f.cleanse(F.col("line")).alias("k"))
+
+
+@query(f"""WITH c AS ({_PART_CELLS}), k AS (SELECT *, {_key_sql("value")} AS ck FROM c), v AS (SELECT heading, line, value, CASE WHEN ck <> '' THEN ck WHEN length(value) < 10 THEN lower(value) END AS key FROM k),
+f AS (SELECT heading, line, value, CASE WHEN key IS NULL THEN value ELSE first_value(value) OVER (PARTITION BY heading, key ORDER BY line) END AS fv, first_value(line) OVER (PARTITION BY heading, key ORDER BY line) AS fl FROM v)
+SELECT heading, line, value, value = fv AS "match", CASE WHEN value <> fv THEN fv ELSE '' END AS other_data, CASE WHEN value <> fv THEN fl ELSE -1 END AS other_line FROM f""")
+def value_consistency(spark, sf_dir):
+    return profile_o.consistency(_part_cells(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT p_partkey AS line, p_brand AS a, p_type AS b, lower(p_brand) AS key FROM part), f AS (SELECT *, first_value(a) OVER w AS fa, first_value(b) OVER w AS fb, first_value(line) OVER w AS fl FROM c WINDOW w AS (PARTITION BY key ORDER BY line))
+SELECT line, a, b, a = fa AND b = fb AS "match", CASE WHEN a = fa AND b = fb THEN '' ELSE fa END AS first_data, CASE WHEN a = fa AND b = fb THEN '' ELSE fb END AS other_data, CASE WHEN a = fa AND b = fb THEN -1 ELSE fl END AS first_line FROM f""")
+def pair_consistency(spark, sf_dir):
+    return profile_o.pair_consistency(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "p_type")
+
+
+@query(f"SELECT heading, line, value, regexp_matches(value, CASE heading WHEN 'p_size' THEN '^[0-9]{{1,2}}$' WHEN 'p_brand' THEN '^Brand#[1-4][1-9]$' END) AS \"match\" FROM ({_PART_CELLS}) WHERE heading IN ('p_size', 'p_brand')")
+def dictionary_check(spark, sf_dir):
+    terms = dims.small(spark, [("p_size", "^[0-9]{1,2}$"), ("p_brand", "^Brand#[1-4][1-9]$"), ("p_comment", "")], "term string, regex string")
+    return profile_o.against_dictionary(_part_cells(spark, sf_dir), terms)
+
+
+@query("SELECT 'p_name' AS heading UNION ALL SELECT 'p_retailprice'")
+def unknown_headings(spark, sf_dir):
+    terms = dims.small(spark, [("p_size",), ("p_brand",)], "term string")
+    return profile_o.unknown_headings(_part_cells(spark, sf_dir), terms)
+
+
+@query("SELECT ['a', 'c'] AS headings")
+def duplicate_columns(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("a"), F.upper(F.reverse("n_name")).alias("b"), F.col("n_name").alias("c"))
+    return profile_o.duplicate_columns(profile_o.cells(rows, "n_nationkey", ["a", "b", "c"])).select("headings")
+
+
+@query("SELECT d.doc_id, p.property FROM documents d, (VALUES ('label'), ('lang')) p(property) WHERE (p.property = 'label' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) OR (p.property = 'lang' AND coalesce(trim(d.lang), '') = '')")
+def required_properties(spark, sf_dir):
+    docs, marked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", F.lit("yes").alias("label")).distinct()
+    held = docs.select("doc_id", "lang").join(marked, "doc_id", "left").select("doc_id", F.create_map(F.lit("lang"), "lang", F.lit("label"), "label").alias("properties"))
+    return features_o.missing_properties(held, dims.small(spark, [("label",), ("lang",)], "property string"), "doc_id")
+
+
+@query("SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer")
+def csv_round_trip(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    written = rows.select(csv.combined([F.col("c_custkey").cast("string"), F.concat(F.lit('a "b", '), "c_name"), F.round("c_acctbal", 2).cast("string"), F.col("c_mktsegment")]).alias("line"))
+    read = written.select(F.from_csv("line", F.lit("k bigint, n string, b double, s string"), {"escape": '"'}).alias("r")).select("r.*")
+    return read.select(F.col("k").alias("c_custkey"), F.replace("n", F.lit('a "b", '), F.lit("")).alias("c_name"), F.round("b", 2).alias("c_acctbal"), F.col("s").alias("c_mktsegment"))
+
+
+@query("SELECT error, error_text, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 2027 WHEN o_orderkey % 3 = 1 THEN 2034 ELSE 0 END AS error, CASE WHEN o_orderkey % 3 = 0 THEN 'EIQ - Quoted field not terminated' WHEN o_orderkey % 3 = 1 THEN 'EIF - Loose unescaped quote' ELSE '' END AS error_text FROM orders) GROUP BY ALL")
+def csv_errors(spark, sf_dir):
+    key = F.col("o_orderkey") % 3
+    line = F.concat("o_orderstatus", F.when(key == 0, ',"open').when(key == 1, ',lo"ose').otherwise(',"a ""b"""'), F.when(key == 0, "").otherwise(",z"))
+    parsed = csv.parse_lines(table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line")), "o_orderkey", "line")
+    return parsed.groupBy("error", "error_text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey DESC LIMIT 7")
+def csv_tail(spark, sf_dir):
+    return csv.page_of(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", -7)
+
+
+@query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 5 OFFSET 3")
+def csv_page(spark, sf_dir):
+    return csv.page_of(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", 3, 5)
+
+
+@query("SELECT event_id, 1 AS error_no, CAST(json_extract(props, '$.k') AS VARCHAR) || ' is greater than the maximum of 50' AS message, 'properties,k' AS schema_path, 'k' AS data_path FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) > 50")
+def json_schema(spark, sf_dir):
+    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 50}}}
+    return jsonschema.validate(table(spark, sf_dir, "events"), schema, "event_id", "props", 1000).select("event_id", "error_no", "message", "schema_path", "data_path")
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1")
+def json_value(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.from_json("props", "k int").k.alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS issued, strftime(o_orderdate, '%Y%m%d')::BIGINT > 19960630 AS late, strftime(o_orderdate, '%Y%m%d')::BIGINT < 19950101 AS early FROM orders")
+def metadata_expression(spark, sf_dir):
+    issued = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").select("o_orderkey", issued.alias("issued"), text_f.metadata_holds(issued, ">", "1996-06-30").alias("late"), text_f.metadata_holds(issued, "<", "1995 01-01").alias("early"))
+
+
+@query("SELECT s_suppkey, s_name AS name, 'k' || s_nationkey AS nation FROM supplier")
+def key_values(spark, sf_dir):
+    text = F.concat(F.lit("Title: "), "s_name", F.lit("\nNation: k"), "s_nationkey", F.lit("\nnothing"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text_f.key_values(text).alias("m")).select("s_suppkey", F.col("m")["Title"].alias("name"), F.col("m")["Nation"].alias("nation"))
+
+
+# --- text ------------------------------------------------------------------------------------------------------------------
+@query("SELECT doc_id, trim(regexp_replace(replace(text, '&nbsp;', ' '), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM documents")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text_f.clean_text(F.col("text")).alias("t"))
+
+
+@query("""WITH l AS (SELECT doc_id, line, col, length(line) AS n FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents), (VALUES (0), (30), (250), (100000)) c(col))
+SELECT doc_id, col, CASE WHEN n < 200 THEN line WHEN col > n OR col < 25 THEN substr(line, 1, 200) WHEN col < 200 THEN substr(line, 26, 200) ELSE substr(line, col - 49, 200) END AS snippet FROM l""")
+def source_snippet(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("line"), F.explode(F.array(*[F.lit(c) for c in (0, 30, 250, 100000)])).alias("col"))
+    return lines.select("doc_id", "col", text_f.snippet(F.col("line"), F.col("col")).alias("snippet"))
+
+
+@query("SELECT l_orderkey, l_linenumber, TRUE AS numeric, CAST(trunc(l_extendedprice) AS BIGINT) AS whole, FALSE AS text_numeric, CAST(0 AS BIGINT) AS text_whole FROM lineitem")
+def numeric_format(spark, sf_dir):
+    price, flag = F.col("l_extendedprice").cast("string"), F.col("l_returnflag")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text_f.is_numeric(price).alias("numeric"), text_f.format_integer(price).alias("whole"), text_f.is_numeric(flag).alias("text_numeric"), text_f.format_integer(flag).alias("text_whole"))
+
+
+@query("SELECT doc_id, TRUE AS whole, FALSE AS cut FROM documents WHERE text IS NOT NULL")
+def utf8_validity(spark, sf_dir):
+    raw = F.encode("text", "utf-8")
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text_f.is_utf8(raw).alias("whole"), text_f.is_utf8(F.concat(raw, F.unhex(F.lit("C3")))).alias("cut"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'ger' WHEN 'es' THEN 'spa' END AS code, TRUE AS valid, TRUE AS regional, FALSE AS odd FROM documents WHERE lang IS NOT NULL")
+def language_codes(spark, sf_dir):
+    c = F.col("lang")
+    return table(spark, sf_dir, "documents").where("lang is not null").select(
+        "doc_id", lang_f.iso_639_2(F.concat(F.upper(c), F.lit("-ca"))).alias("code"), lang_f.language_valid(c).alias("valid"), lang_f.language_valid(F.concat(c, F.lit("-ca"))).alias("regional"), lang_f.language_valid(F.concat(F.lit("q9"), c)).alias("odd")
+    )
+
+
+_REDUCED = "substr(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '[\\t-\\r ]{2,}', ' ', 'g'), 1, 25000)"
+_GRAMS = """SELECT {k}, substr(w, i, n) AS ngram FROM (SELECT {k}, w, n, unnest(generate_series(1, length(w) - n + 1)) AS i FROM (SELECT {k}, w, unnest(generate_series(1, least(length(w), 5))) AS n
+FROM (SELECT {k}, '_' || unnest(string_split_regex(regexp_replace(t, '[0-9\\t-\\r ]+$', ''), '[0-9\\t-\\r ]+')) || '_' AS w FROM ({src}) WHERE t <> '') WHERE length(w) <= 25))"""
+
+
+@query(f"SELECT lang, ngram, n, CAST(rank AS INTEGER) AS rank FROM (SELECT lang, ngram, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, ngram) - 1 AS rank FROM ({_GRAMS.format(k='lang', src=f'SELECT lang, {_REDUCED} AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL')}) GROUP BY lang, ngram) WHERE rank < 400")
+def language_models(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null and lang is not null")
+    return language_o.top_grams(docs.select("lang", language_o.reduced(F.col("text")).alias("t")), "lang", F.col("t"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_REDUCED} AS t FROM documents), ok AS (SELECT doc_id, length(regexp_replace(t, '[0-9]', '', 'g')) >= 1000 AS ok FROM d),
+m AS (SELECT lang, ngram, rank + 1 AS rank FROM (SELECT lang, ngram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, ngram) - 1 AS rank FROM ({_GRAMS.format(k='lang', src=f'SELECT lang, {_REDUCED} AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL')}) GROUP BY lang, ngram) WHERE rank < 400),
+g AS (SELECT doc_id, ngram, rank FROM (SELECT doc_id, ngram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, ngram) - 1 AS rank FROM ({_GRAMS.format(k='doc_id', src='SELECT doc_id, t FROM d')}) GROUP BY doc_id, ngram) WHERE rank < 400),
+s AS (SELECT g.doc_id, l.lang, sum(coalesce(abs(m.rank - g.rank), 400)) AS score FROM g CROSS JOIN (SELECT DISTINCT lang FROM m) l LEFT JOIN m ON m.lang = l.lang AND m.ngram = g.ngram GROUP BY g.doc_id, l.lang),
+r AS (SELECT doc_id, lang, score, lead(score) OVER (PARTITION BY doc_id ORDER BY score, lang) AS next, row_number() OVER (PARTITION BY doc_id ORDER BY score, lang) AS rn FROM s)
+SELECT ok.doc_id, CASE WHEN NOT ok.ok OR next / score < 1.02 THEN '' ELSE lang END AS lang, CAST(CASE WHEN NOT ok.ok THEN -1 WHEN next / score < 1.02 THEN -2 ELSE 0 END AS INTEGER) AS status, CAST(CASE WHEN ok.ok THEN score ELSE -1 END AS BIGINT) AS best
+FROM ok LEFT JOIN r ON r.doc_id = ok.doc_id AND rn = 1""")
+def language_guess(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_o.guess(docs, language_o.train(docs), "doc_id", "text")
+
+
+@query("""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z]+') AS w, len(regexp_extract_all(text, '[.!?]+')) AS stops FROM documents),
+s AS (SELECT doc_id, length(text) AS chars, CAST(len(w) AS BIGINT) AS words, CAST(greatest(stops, 1) AS BIGINT) AS sentences, list_transform(w, lambda x: greatest(len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN regexp_matches(x, '[^aeiouyl]e$') THEN 1 ELSE 0 END, 1)) AS s FROM w),
+c AS (SELECT *, CAST(coalesce(list_sum(s), 0) AS BIGINT) AS syllables, CAST(len(list_filter(s, lambda x: x >= 3)) AS BIGINT) AS complex_words FROM s)
+SELECT doc_id, words, sentences, syllables, complex_words, CAST(CASE WHEN chars > 100 AND words > 0 THEN trunc(0.4::DOUBLE * (words / sentences + 100 * complex_words / words)) ELSE -1 END AS INTEGER) AS fog,
+CAST(CASE WHEN chars > 100 AND words > 0 THEN trunc(0.39::DOUBLE * words / sentences + 11.8::DOUBLE * syllables / words - 15.59::DOUBLE) ELSE -1 END AS INTEGER) AS kincaid FROM c""")
+def readability(spark, sf_dir):
+    return language_o.readability(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+
+
+# --- results ---------------------------------------------------------------------------------------------------------------
+@query("SELECT e.event_type, count(*) AS n, coalesce(h.url, '') AS help_url FROM events e LEFT JOIN (VALUES ('error', 'https://help/error'), ('click', 'https://help/click')) h(t, url) ON h.t = e.event_type GROUP BY ALL")
+def help_urls(spark, sf_dir):
+    helps = dims.small(spark, [(t, u) for t, _, u in config.help_urls("# help\nerror eng https://help/error\nclick eng https://help/click\n")], "testcase string, url string")
+    counted = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return results_o.with_help(counted, helps, "event_type")
+
+
+@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_type = 'error') WHERE rn <= 3")
+def error_cap(spark, sf_dir):
+    return results_o.capped(table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id"), "user_id", "event_id", 3)
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1")
+def profile_selection(spark, sf_dir):
+    rows = config.profiles('Test_Profile_eng "web"\ntcid error\ntcid signup\nend\nTest_Profile_eng "other"\ntcid click\nend\n')
+    profile = dims.small(spark, rows, "profile string, lang string, tcid string, value string")
+    return results_o.selected(table(spark, sf_dir, "events").withColumnRenamed("event_type", "testcase"), profile, "web").groupBy(F.col("testcase").alias("event_type")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, max(c) AS most FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS c FROM events) GROUP BY user_id")
+def sliding_window(spark, sf_dir):
+    return media_o.most_in_window(table(spark, sf_dir, "events"), "user_id", "ts", 60)
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    return events_s.windowed_counts(table(spark, sf_dir, "events")).withColumn("total", rounded("total"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def event_stream(spark, sf_dir):
+    """The same as a stream over the file, run to its end."""
+    return events_s.run_counts(spark, sf_dir, "events.parquet").withColumn("total", rounded("total"))
+
+
+@query("SELECT testcase, count(*) AS n FROM (SELECT 'TP_PW_OD_DD' AS testcase FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[1-4][1-9]$')) GROUP BY 1")
+def open_data_scan(spark, sf_dir):
+    terms = dims.small(spark, [("p_brand", "^Brand#[1-4][1-9]$")], "term string, regex string")
+    return scan.open_data(table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_size"], terms).groupBy("testcase").agg(F.count("*").alias("n"))
