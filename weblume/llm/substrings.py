@@ -133,7 +133,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, k, text, shared) to (g1, g2, id, k, at): windows that hold a shared anchor."""
+    """(id, k, text, shared) to (g1, g2, id, k, at, more): windows that hold a shared anchor, where they are first, and elsewhere."""
     for batch in batches:
         texts = _bytes(batch.column(2))
         for begin, some in _chunks(texts):
@@ -152,9 +152,21 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     np.add.at(spread, np.minimum(hit, first + words.count[i] - WINDOW) + 1, -1)
             at = np.flatnonzero(np.cumsum(spread)[:-1] > 0)
             if len(at):
-                rows = pa.array(begin + words.owner[at])
-                g = [pa.array(words.runs(WINDOW, w)[at].view(np.int64)) for w in (1, 2)]
-                yield pa.RecordBatch.from_arrays([*g, batch.column(0).take(rows), batch.column(1).take(rows), pa.array(words.place[at].astype(np.int32))], names=["g1", "g2", "id", "k", "at"])
+                g1, g2 = (words.runs(WINDOW, w)[at].view(np.int64) for w in (1, 2))
+                order = np.lexsort((at, g2, g1, words.owner[at]))  # windows that a text repeats come together
+                at, g1, g2 = at[order], g1[order], g2[order]
+                own = words.owner[at]
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]) | (own[1:] != own[:-1])
+                heads = np.flatnonzero(new)
+                sizes = np.diff(np.append(heads, len(at)))
+                place = words.place[at].astype(np.int32)
+                more = [None] * len(heads)
+                for j in np.flatnonzero(sizes > 1).tolist():
+                    more[j] = place[heads[j] + 1 : heads[j] + sizes[j]]
+                rows = pa.array(begin + own[heads])
+                columns = [pa.array(g1[heads]), pa.array(g2[heads]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[heads]), pa.array(more, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["g1", "g2", "id", "k", "at", "more"])
 
 
 def removed(n: int, starts: np.ndarray) -> np.ndarray:
@@ -204,21 +216,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # windows that hold one, in the first document of each text
     status = slim.join(firsts, ["d", "e"]).join(held, "d", "left")
     copy = F.coalesce(F.col("first") < F.col("id"), F.lit(False))
-    marked = status.select(F.xxhash64("id", "d").alias("key"), F.col("id").alias("sid"), F.col("e").alias("se"), copy.alias("copy"), "shared")
-    body = keyed.withColumn("key", F.xxhash64("id", "d"))
+    marked = status.select(F.xxhash64("id", "d").alias("skey"), F.col("id").alias("sid"), F.col("e").alias("se"), F.hash("d").alias("k"), copy.alias("copy"), "shared")
+    body = keyed.select("id", "text", "e", F.xxhash64("id", "d").alias("key"))  # both joins below read one exchange of this
     same_row = (F.col("key") == F.col("skey")) & F.col("id").eqNullSafe(F.col("sid")) & (F.col("e") == F.col("se"))
-    wanted = marked.where(~F.col("copy") & F.col("shared").isNotNull()).withColumnRenamed("key", "skey").drop("copy")
-    k = F.hash("d").alias("k")
-    opened = body.join(wanted, same_row).dropDuplicates(["key", "id", "e"]).select("id", k, "text", "shared")
-    windows = opened.mapInArrow(_window_rows, f"g1 bigint, g2 bigint, id {kind}, k int, at int")
+    wanted = marked.where(~F.col("copy") & F.col("shared").isNotNull()).drop("copy")
+    opened = body.join(wanted, same_row).select("id", "k", "text", "shared")
+    windows = opened.mapInArrow(_window_rows, f"g1 bigint, g2 bigint, id {kind}, k int, at int, more array<int>")
     least = F.min("id").over(Window.partitionBy("g1", "g2"))
-    late = windows.withColumn("least", least).where("least < id").groupBy(F.col("id").alias("lid"), F.col("k").alias("lk")).agg(F.collect_set("at").alias("starts"))
+    late = windows.withColumn("least", least).where("least < id").groupBy(F.col("id").alias("lid"), F.col("k").alias("lk")).agg(F.collect_set("at").alias("first"), F.flatten(F.collect_list("more")).alias("more"))
     # what stays
-    told = (
-        status.select(F.xxhash64("id", "d").alias("skey"), F.col("id").alias("sid"), F.col("e").alias("se"), copy.alias("copy"), F.hash("d").alias("sk"))
-        .join(late, F.col("sid").eqNullSafe(F.col("lid")) & (F.col("sk") == F.col("lk")), "left")
-        .where(F.col("copy") | F.col("starts").isNotNull()).select("skey", "sid", "se", "copy", "starts")
-    )
+    starts = F.array_union("first_", "more_").alias("starts")
+    late = late.select("lid", "lk", F.col("first").alias("first_"), F.col("more").alias("more_")).select("lid", "lk", starts)
+    told = marked.join(late, F.col("sid").eqNullSafe(F.col("lid")) & (F.col("k") == F.col("lk")), "left").where(F.col("copy") | F.col("starts").isNotNull()).select("skey", "sid", "se", "copy", "starts")
     final = body.join(told, same_row, "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
     return final.mapInArrow(_result_rows, f"id {kind}, n_words bigint, n_removed bigint, kept string").withColumnRenamed("id", id_col)
 
