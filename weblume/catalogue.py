@@ -9,6 +9,7 @@ from . import dims
 from .functions import language as lang_f
 from .functions import text as text_f
 from .functions import urls as url_f
+from .operators import crawl as crawl_o
 from .operators import features as features_o
 from .operators import language as language_o
 from .operators import links as links_o
@@ -446,3 +447,85 @@ def event_stream(spark, sf_dir):
 def open_data_scan(spark, sf_dir):
     terms = dims.small(spark, [("p_brand", "^Brand#[1-4][1-9]$")], "term string, regex string")
     return scan.open_data(table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_size"], terms).groupBy("testcase").agg(F.count("*").alias("n"))
+
+
+# --- requests and strings ----------------------------------------------------------------------------------------------------
+@query("""SELECT page_id, 60.0 * (row_number() OVER (PARTITION BY lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) ORDER BY page_id) - 1) AS start_s, NOT (lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) LIKE '%1%' AND url LIKE '%/%2') AS allowed FROM pages""")
+def crawl_schedule(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = pages.select(crawl_o.host().alias("host")).distinct()
+    denied = pages.where(crawl_o.host().contains("1") & F.col("url").endswith("2")).select(crawl_o.host().alias("host"), F.regexp_extract("url", r"^https?://[^/]+(/.*)$", 1).alias("path"))
+    rules = denied.groupBy("host").agg(F.concat(F.lit("User-agent: *\n"), F.array_join(F.collect_set(F.concat(F.lit("Disallow: "), "path", F.lit("$"))), "\n")).alias("robots"))
+    robots = hosts.join(rules, "host", "left")
+    return crawl_o.schedule(crawl_o.allowed(pages, robots), "page_id").select("page_id", "start_s", "allowed")
+
+
+@query("""WITH h AS (SELECT user_id AS key, count(*) AS hits FROM events GROUP BY 1), l AS (SELECT hits, sum(n) OVER (ORDER BY hits DESC) AS rest, sum(n) OVER () AS total FROM (SELECT hits, count(*) AS n FROM h GROUP BY 1))
+SELECT key, h.hits FROM h JOIN l ON h.hits = l.hits WHERE total <= 20 OR rest <= 10""")
+def cache_trim(spark, sf_dir):
+    return crawl_o.trimmed(table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("hits")), 20, 10)
+
+
+@query("SELECT page_id, CAST(length(html) AS INTEGER) AS chars FROM pages")
+def noscript_removal(spark, sf_dir):
+    added = F.concat("html", F.lit('<NOSCRIPT class="x">no\nscript</noscript>'))
+    return table(spark, sf_dir, "pages").select("page_id", F.length(text_f.without_noscript(added)).alias("chars"))
+
+
+@query("SELECT 'CONTENT' AS section UNION ALL SELECT 'PAGE'")
+def section_names(spark, sf_dir):
+    return features_o.section_names(html.parse_pages(table(spark, sf_dir, "pages"), wanted=("elements",)).select(F.inline("elements")))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S GMT') AS sent FROM orders")
+def http_dates(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", text_f.http_date(F.col("o_orderdate")).alias("sent"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'erreur' WHEN 'click' THEN 'a click' ELSE '*** No string *** ' || event_type END AS message FROM events")
+def localised_strings(spark, sf_dir):
+    strings = {"fra": {"error": "erreur"}, "eng": {"error": "an error", "click": "a click"}}
+    return table(spark, sf_dir, "events").select("event_id", text_f.localised(F.col("event_type"), strings, "fra").alias("message"))
+
+
+@query("SELECT c_custkey, FALSE AS name_binary, TRUE AS odd_binary, FALSE AS second_missing, TRUE AS third_missing FROM customer")
+def csv_field_flags(spark, sf_dir):
+    fields = F.array("c_name", "c_mktsegment")
+    return table(spark, sf_dir, "customer").select("c_custkey", text_f.is_binary(F.col("c_name")).alias("name_binary"), text_f.is_binary(F.concat("c_name", F.lit("é"))).alias("odd_binary"), text_f.is_missing(fields, 1).alias("second_missing"), text_f.is_missing(fields, 2).alias("third_missing"))
+
+
+@query("SELECT s_suppkey, s_name AS title, '' AS missing FROM supplier")
+def row_maps(spark, sf_dir):
+    row = text_f.row_as_map(F.array(F.lit("title"), F.lit("key")), F.array("s_name", F.col("s_suppkey").cast("string")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", row.alias("m")).select("s_suppkey", F.col("m")["title"].alias("title"), F.coalesce(F.try_element_at("m", F.lit("none")), F.lit("")).alias("missing"))
+
+
+@query("""SELECT doc_id, lang, text FROM (SELECT doc_id, lang, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' ELSE 'spa' END AS lang, 'Titre ' || doc_id AS text FROM documents))""")
+def feed_texts(spark, sf_dir):
+    from .sources import xml as xml_s
+
+    feed = F.concat(F.lit('<feed><id>no</id><entry xml:lang="'), "lang", F.lit('"><title>Titre\n '), F.col("doc_id").cast("string"), F.lit("</title><updated>no</updated></entry></feed>"))
+    return xml_s.texts(table(spark, sf_dir, "documents").select("doc_id", feed.alias("x")), "doc_id", "x", "feed")
+
+
+@query("SELECT doc_id, 'link' AS link_type, 'http://feeds.org/f/' || doc_id || '.xml' AS abs_url FROM documents")
+def feed_links(spark, sf_dir):
+    from .sources import xml as xml_s
+
+    feed = F.concat(F.lit('<feed><link href="'), F.col("doc_id").cast("string"), F.lit('.xml"/></feed>'))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("http://feeds.org/f/feed.atom").alias("u"), feed.alias("x"))
+    return xml_s.links(docs, "doc_id", "u", "x").select("doc_id", "link_type", "abs_url")
+
+
+@query("SELECT page_id, 0 AS pos, 'bg' || page_id || '.png' AS href FROM pages")
+def css_urls(spark, sf_dir):
+    sheet = F.concat(F.lit("/* url(no.png) */ p { background: url('bg"), F.col("page_id").cast("string"), F.lit(".png') }"))
+    sheets = table(spark, sf_dir, "pages").select("page_id", sheet.alias("css"))
+    return css.urls(sheets, "page_id", F.col("css")).select("page_id", "pos", F.col("url").alias("href"))
+
+
+@query("SELECT c_nationkey AS id, CAST(CASE WHEN n * 0.25 <= 1 THEN n ELSE 4 END AS INTEGER) AS fps, round(n * 0.25, 2) AS shown_s FROM (SELECT c_nationkey, least(count(*), 40) AS n FROM customer GROUP BY 1)")
+def animation_frames(spark, sf_dir):
+    frames = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.least(F.count("*"), F.lit(40)).cast("int").alias("n"))
+    delays = F.array_repeat(F.lit(0.25), F.col("n"))
+    return frames.select("id", media_o.frames_per_second(delays, F.lit(1)).alias("fps"), F.round(media_o.display_time(delays), 2).alias("shown_s"))

@@ -93,3 +93,32 @@ def metadata_holds(content: Column, operator: str, value: str) -> Column:
     number = F.regexp_replace(content, r"[-\s]", "").try_cast("bigint")
     limit = int("".join(ch for ch in value if ch not in "- \t\n"))
     return F.coalesce(number > limit if operator == ">" else number < limit, F.lit(False))
+
+
+def without_noscript(html: Column) -> Column:
+    """A rendered page without its noscript elements."""
+    return F.regexp_replace(html, r"(?is)<noscript\b[^>]*>.*?</noscript>", "")
+
+
+def is_binary(field: Column) -> Column:
+    """Whether a field has characters that need the binary mode of the CSV parser."""
+    return field.rlike(r"[\x00-\x08\x0A-\x1F\x7F-\x{10FFFF}]")
+
+
+def is_missing(fields: Column, index: int) -> Column:
+    """Whether a record has no field of this index (from 0)."""
+    return F.size(fields) <= index
+
+
+def http_date(ts: Column) -> Column:
+    """A time as in the headers of answers; the session's time zone is UTC."""
+    return F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+
+
+def localised(key: Column, strings: dict[str, dict[str, str]], lang: str, fallback: str = "*** No string *** ") -> Column:
+    """A message in a language, else in English, else a fixed text and the key."""
+    def of(which: str) -> Column:
+        pairs = [F.lit(x) for pair in strings.get(which, {}).items() for x in pair]
+        return F.create_map(*pairs)[key] if pairs else F.lit(None).cast("string")
+
+    return F.coalesce(of(lang), of("eng"), F.concat(F.lit(fallback), key))

@@ -67,3 +67,8 @@ def missing_properties(properties: DataFrame, required: DataFrame, id_col: str)
     wanted = [r[0] for r in required.select("property").distinct().orderBy("property").collect()]
     missing = F.filter(F.array(*[F.lit(p) for p in wanted]) if wanted else F.array().cast("array<string>"), lambda p: F.trim(F.coalesce(F.try_element_at("properties", p), F.lit(""))) == "")
     return properties.select(id_col, F.explode(missing).alias("property"))
+
+
+def section_names(elements: DataFrame) -> DataFrame:
+    """The distinct sections that pages use."""
+    return elements.select("section").distinct()
