@@ -230,3 +230,74 @@ def test_media_query(spark):
     by = {r["doc_id"]: r for r in rows}
     assert by[1]["payload_sha256"] == hashlib.sha256(bytes(64)).hexdigest() and by[1]["n_bytes"] == 0 and by[1]["tail_crc32"] == zlib.crc32(bytes(64))
     assert by[5]["media_sha256"] == by[4]["media_sha256"]
+
+
+def baseline_jpeg(planes, sampling, quantiser=1, every=0):
+    """A baseline JPEG of planes (multiples of their MCUs) with fixed Huffman codes of 8 (DC) and 8 (AC) bits."""
+    import struct
+
+    dc_values, ac_values = bytes(range(12)), bytes(r << 4 | s for r in range(16) for s in range(1, 11)) + b"\x00\xf0"
+    dc_lengths, ac_lengths = bytes([0] * 7 + [12] + [0] * 8), bytes([0] * 7 + [162] + [0] * 8)
+    head = b"\xff\xd8" + b"".join(b"\xff\xdb" + struct.pack(">HB", 67, 0) + bytes([quantiser] * 64) for _ in (0,))
+    head += b"\xff\xc4" + struct.pack(">HB", 19 + 12, 0) + dc_lengths + dc_values + b"\xff\xc4" + struct.pack(">HB", 19 + 162, 0x10) + ac_lengths + ac_values
+    height, width = planes[0].shape
+    head += b"\xff\xc0" + struct.pack(">HBHHB", 8 + 3 * len(planes), 8, height, width, len(planes)) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(sampling))
+    if every:
+        head += b"\xff\xdd" + struct.pack(">HH", 4, every)
+    head += b"\xff\xda" + struct.pack(">HB", 6 + 2 * len(planes), len(planes)) + b"".join(bytes([i + 1, 0]) for i in range(len(planes))) + b"\x00\x3f\x00"
+
+    def code(size, value):
+        return f"{value if value > 0 else value + (1 << size) - 1:0{size}b}" if size else ""
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return int(bits or "0", 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+    wide, high = max(h for h, _ in sampling), max(v for _, v in sampling)
+    across, down = width // (8 * wide), height // (8 * high)
+    out, bits, last, marker = b"", "", [0] * len(planes), 0
+    for mcu in range(across * down):
+        if every and mcu and mcu % every == 0:
+            out += flush(bits) + bytes([0xFF, 0xD0 + marker % 8])
+            bits, last, marker = "", [0] * len(planes), marker + 1
+        for c, (h, v) in enumerate(sampling):
+            for b in range(h * v):
+                y, x = (mcu // across * v + b // h) * 8, (mcu % across * h + b % h) * 8
+                freq = avi._COS @ (planes[c][y : y + 8, x : x + 8].astype(float) - 128) @ avi._COS.T
+                q = np.rint(freq.ravel()[avi._ORDER] / quantiser).astype(int).tolist()
+                size = abs(q[0] - last[c]).bit_length()
+                bits += f"{dc_values.index(size):08b}" + code(size, q[0] - last[c])
+                last[c], run = q[0], 0
+                for value in q[1:]:
+                    if not value:
+                        run += 1
+                        continue
+                    bits += f"{ac_values.index(0xF0):08b}" * (run // 16)
+                    size = abs(value).bit_length()
+                    bits += f"{ac_values.index(run % 16 << 4 | size):08b}" + code(size, value)
+                    run = 0
+                if run:
+                    bits += f"{ac_values.index(0):08b}"
+    return head + out + flush(bits) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("sampling,every", [([(1, 1)], 0), ([(1, 1)], 3), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2)])
+def test_baseline_frames(sampling, every):
+    rng = np.random.default_rng(4)
+    (h, v), n = sampling[0], len(sampling)
+    luma = rng.integers(0, 256, (32, 48)).astype(np.uint8)
+    planes = [luma] + [rng.integers(0, 256, (32 // v, 48 // h)).astype(np.uint8) for _ in range(n - 1)]
+    assert np.abs(avi.decode_frame(baseline_jpeg(planes, sampling, 1, every)).astype(int) - luma).max() <= 2
+    smooth = np.add.outer(np.arange(32), np.arange(48)).astype(np.uint8)
+    assert np.abs(avi.decode_frame(baseline_jpeg([smooth], [(1, 1)], 8)).astype(int) - smooth).max() <= 8
+
+
+def test_zigzag():
+    assert avi._ORDER[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and avi._ORDER[-3:].tolist() == [55, 62, 63]
+
+
+def test_unsupported_frames():
+    frame = avi.encode_frames(np.zeros(64, dtype=np.uint8))[0]
+    for bad in (b"xx" + frame[2:], frame.replace(b"\xff\xc3", b"\xff\xc2"), frame.replace(b"\xff\xda\x00\x08\x01\x01\x00\x01", b"\xff\xda\x00\x08\x01\x01\x00\x04")):
+        with pytest.raises(ValueError):
+            avi.decode_frame(bad)

@@ -6,12 +6,14 @@ category c a code of 9 - c bits, so a code with its c extra bits always takes 9
 decoded by array operations. Decoding of any other table of the same process goes bit by bit.
 
 Reader: parses the RIFF index (or walks the ``movi`` list where there is none), decodes the intra frames, and detects shots
-where the histogram difference of neighbouring frames exceeds an adaptive threshold; each shot is a timed clip.
+where the histogram difference of neighbouring frames exceeds an adaptive threshold; each shot is a timed clip. Frames of other
+writers may be baseline JPEGs (SOF0, 8 bits, one or three components, restart intervals); their luma is decoded.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -92,29 +94,147 @@ def _slow_diffs(data: bytes, lengths: bytes, values: bytes, n: int) -> np.ndarra
     return out
 
 
+class _Bits:
+    """Bits of an entropy-coded segment, and the symbols of Huffman tables by a lookup of 16 bits."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.held, self.n = data, 0, 0, 0
+
+    def peek(self, k: int) -> int:
+        while self.n < k:
+            self.held = self.held << 8 | (self.data[self.at] if self.at < len(self.data) else 0xFF)
+            self.at, self.n = self.at + 1, self.n + 8
+        return self.held >> (self.n - k) & ((1 << k) - 1)
+
+    def take(self, k: int) -> int:
+        value = self.peek(k) if k else 0
+        self.n -= k
+        self.held &= (1 << self.n) - 1
+        return value
+
+    def signed(self, k: int) -> int:
+        value = self.take(k)
+        return value if k == 0 or value >> (k - 1) else value - (1 << k) + 1
+
+    def symbol(self, table: list[tuple[int, int]]) -> int:
+        size, value = table[self.peek(16)]
+        if not size:
+            raise ValueError("not a code of the table")
+        self.take(size)
+        return value
+
+
+def _lookup(lengths: bytes, values: bytes) -> list[tuple[int, int]]:
+    """(length, symbol) of the code that each 16 bits begin with; length 0 for none."""
+    out, code, k = [(0, 0)] * 65536, 0, 0
+    for size, many in enumerate(lengths, 1):
+        for _ in range(many):
+            first = code << (16 - size)
+            out[first : first + (1 << (16 - size))] = [(size, values[k])] * (1 << (16 - size))
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
+
+
+def _zigzag() -> list[int]:
+    """Places of the coefficients of a block, by diagonals of alternating direction."""
+    return [y * 8 + x for y, x in sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))]
+
+
+_ORDER = np.array(_zigzag())
+_COS = np.array([[(2**-0.5 if u == 0 else 1.0) / 2 * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+def _luma(scan: bytes, parts: list[tuple[int, int, int, int]], chosen: dict, tables: dict, quant: dict, height: int, width: int, every: int) -> np.ndarray:
+    """The first component of a baseline scan. parts: (id, horizontal, vertical sampling, quantiser); every: MCUs of a restart interval."""
+    wide, high = (max(p[i] for p in parts) for i in (1, 2))
+    if len(parts) == 1:
+        wide = high = 1
+        parts = [(parts[0][0], 1, 1, parts[0][3])]
+    across, down = -(-width // (8 * wide)), -(-height // (8 * high))
+    _, h0, v0, q0 = parts[0]
+    blocks = np.zeros((down * v0, across * h0, 64))
+    pieces = re.split(rb"\xff[\xd0-\xd7]", scan)
+    piece, bits, last = 0, _Bits(pieces[0].replace(b"\xff\x00", b"\xff")), [0] * len(parts)
+    for mcu in range(across * down):
+        if every and mcu and mcu % every == 0:
+            piece += 1
+            bits, last = _Bits(pieces[piece].replace(b"\xff\x00", b"\xff")), [0] * len(parts)
+        for c, (ident, h, v, _) in enumerate(parts):
+            dc, ac = (tables[kind, chosen[ident][kind]] for kind in (0, 1))
+            for b in range(h * v):
+                block = [0] * 64
+                last[c] += bits.signed(bits.symbol(dc))
+                block[0], k = last[c], 1
+                while k < 64:
+                    symbol = bits.symbol(ac)
+                    run, size = symbol >> 4, symbol & 15
+                    if not size:
+                        if run < 15:
+                            break
+                        k += 16
+                        continue
+                    k += run
+                    if k > 63:
+                        raise ValueError("more than 64 coefficients")
+                    block[k] = bits.signed(size)
+                    k += 1
+                if c == 0:
+                    blocks[mcu // across * v + b // h, mcu % across * h + b % h] = block
+    grid = np.zeros_like(blocks)
+    grid[..., _ORDER] = blocks * quant[q0]
+    samples = np.einsum("yx,ijyu,uv->ijxv", _COS, grid.reshape(*blocks.shape[:2], 8, 8), _COS, optimize=True) + 128
+    plane = samples.transpose(0, 2, 1, 3).reshape(blocks.shape[0] * 8, -1)
+    rows, cols = (-(-height * v0 // high), -(-width * h0 // wide))
+    return np.clip(np.rint(plane[:rows, :cols]), 0, 255).astype(np.uint8)
+
+
 def decode_frame(jpeg: bytes) -> np.ndarray:
-    """The samples (lines x width, uint8) of a one-component lossless JPEG with predictor 1."""
+    """The samples (lines x width, uint8) of a one-component lossless JPEG with predictor 1, or the luma of a baseline JPEG.
+
+    Baseline frames must bring their Huffman tables. Other processes raise a ValueError.
+    """
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("no start of image")
-    at, lengths, values, height, width = 2, b"", b"", 0, 0
+    at, height, width, process, every = 2, 0, 0, 0, 0
+    huffman: dict[tuple[int, int], tuple[bytes, bytes]] = {}
+    quant: dict[int, np.ndarray] = {}
+    parts: list[tuple[int, int, int, int]] = []
     while True:
         mark, size = struct.unpack_from(">HH", jpeg, at)
         body = jpeg[at + 4 : at + 2 + size]
         at += 2 + size
         if mark == 0xFFC4:
-            lengths, values = body[1:17], body[17 : 17 + sum(body[1:17])]
-        elif mark == 0xFFC3:
-            _, height, width, parts = struct.unpack_from(">BHHB", body)
-            if parts != 1:
-                raise ValueError("one component is supported")
+            while body:
+                n = sum(body[1:17])
+                huffman[body[0] >> 4, body[0] & 15] = (body[1:17], body[17 : 17 + n])
+                body = body[17 + n :]
+        elif mark == 0xFFDB:
+            while body:
+                n = 128 if body[0] >> 4 else 64
+                quant[body[0] & 15] = np.frombuffer(body[1 : 1 + n], dtype=">u2" if n == 128 else np.uint8).astype(np.float64)
+                body = body[1 + n :]
+        elif mark == 0xFFDD:
+            (every,) = struct.unpack(">H", body[:2])
+        elif mark in (0xFFC0, 0xFFC3):
+            process, (depth, height, width, n) = mark, struct.unpack_from(">BHHB", body)
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+            if depth != 8 or (mark == 0xFFC3 and n != 1):
+                raise ValueError("8 bits, and one component of a lossless frame, are supported")
         elif 0xFFC0 <= mark <= 0xFFCF and mark != 0xFFC8:
             raise ValueError(f"unsupported process {mark:#x}")
         elif mark == 0xFFDA:
-            if body[3] != 1:
-                raise ValueError("predictor 1 is supported")
             break
-    end = jpeg.rindex(b"\xff\xd9")
-    data, n = jpeg[at:end].replace(b"\xff\x00", b"\xff"), height * width
+    scan = jpeg[at : jpeg.rindex(b"\xff\xd9")]
+    chosen = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
+    if process == 0xFFC0:
+        if body[0] != len(parts):
+            raise ValueError("one scan is supported")
+        return _luma(scan, parts, chosen, {k: _lookup(*v) for k, v in huffman.items()}, quant, height, width, every)
+    if process != 0xFFC3 or body[-3] != 1:
+        raise ValueError("predictor 1 is supported")
+    (lengths, values), n = huffman[0, chosen[parts[0][0]][0]], height * width
+    data = scan.replace(b"\xff\x00", b"\xff")
     if lengths == LENGTHS and values == VALUES:
         bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8))[: 9 * n].reshape(-1, 9)
         wide = np.zeros((n, 16), dtype=np.uint8)
