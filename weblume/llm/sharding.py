@@ -3,7 +3,7 @@
 1. Rows fall into P logical partitions by a hash of their keys; the number of rows of each is counted.
 2. The matrix M[p][s], the number of rows that partition p sends to shard s, is drawn from the multivariate hypergeometric
    law whose margins are the partition counts and the exact shard sizes. A uniform permutation of all rows has this law.
-   The matrix has at most 4096 x shards numbers and is drawn on the driver from counts alone.
+   The matrix has at most FINE x shards numbers and is drawn on the driver from counts alone.
 3. Each partition is permuted locally: rank by a random hash; ranks are cut by the matrix row into runs for shards 0, 1, ...
 4. After the exchange each shard is permuted again. A shard is not sorted in one task: it is split by the leading bits of
    a second random hash, the offsets of the pieces are summed, and each piece is ranked by itself.
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .common import inline
 
 #: Finest number of logical partitions that counts are taken for.
-FINE = 4096
-#: Rows that a logical partition should hold.
-ROWS_PER_PARTITION = 65_536
+FINE = 32_768
+#: Rows that a logical partition should hold, and fewest partitions.
+ROWS_PER_PARTITION, FEWEST = 8192, 16
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -74,7 +74,7 @@ def shard(df: DataFrame, keys: list[str], shards: int = 16, seed: int = 20_240_9
     rows = df.drop("shard", "slot").withColumns({"__r1": F.xxhash64(F.lit(seed), *by), "__r2": F.xxhash64(F.lit(seed + 1), *by)})
     fine = {r["p"]: r["n"] for r in rows.groupBy(F.pmod("__r1", F.lit(FINE)).alias("p")).agg(F.count("*").alias("n")).collect()}
     total = sum(fine.values())
-    parts = 16
+    parts = FEWEST
     while parts < FINE and parts * ROWS_PER_PARTITION < total:
         parts *= 2
     counts = [sum(fine.get(f, 0) for f in range(p, FINE, parts)) for p in range(parts)]
@@ -89,7 +89,7 @@ def shard(df: DataFrame, keys: list[str], shards: int = 16, seed: int = 20_240_9
         .withColumn("__o", F.xxhash64("__r1", "__same"))
         .withColumn("__k", F.row_number().over(local).cast("long"))
         .withColumn("__r2", F.xxhash64("__r2", "__same"))
-        .join(F.broadcast(bounds), "__p")  # parts rows, 4096 at most
+        .join(F.broadcast(bounds), "__p")  # parts rows, FINE at most
         .withColumn("shard", F.size(F.filter("__ends", lambda end: end < F.col("__k"))))
         .withColumn("__piece", F.shiftrightunsigned("__r2", 64 - (parts.bit_length() - 1)))
         .drop("__p", "__k", "__ends", "__o")
@@ -100,7 +100,7 @@ def shard(df: DataFrame, keys: list[str], shards: int = 16, seed: int = 20_240_9
     inside = Window.partitionBy("shard", "__piece").orderBy("__r2", "__r1", "__same")
     return (
         sent.withColumn("__i", F.row_number().over(inside))
-        .join(F.broadcast(offsets), ["shard", "__piece"])  # shards x parts rows, 65,536 at most for 16 shards
+        .join(F.broadcast(offsets), ["shard", "__piece"])  # shards x FINE rows at most, 13 MB for 16 shards
         .withColumn("slot", F.col("__from") + F.col("__i") - 1)
         .select(*[c for c in df.columns if c not in ("shard", "slot")], "shard", "slot")
     )
