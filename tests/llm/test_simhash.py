@@ -66,10 +66,10 @@ def clustered(n, seed):
     return [*out, 0, 2**64 - 1, 2**63]
 
 
-@pytest.mark.parametrize("tile", [4096, 5])
-def test_links_span_every_component(spark, tile):
+@pytest.mark.parametrize("tile,blocks", [(4096, 6), (5, 6), (4096, 5), (64, 8)])
+def test_links_span_every_component(spark, tile, blocks):
     rows = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(clustered(300, 4))]
-    pairs = simhash.links(spark.createDataFrame(rows, "id long, fp long"), tile=tile)
+    pairs = simhash.links(spark.createDataFrame(rows, "id long, fp long"), blocks=blocks, tile=tile)
     found = {r["id"]: r["component"] for r in simhash.components(pairs).collect()}
     want = plain_components([(i, f % (1 << 64)) for i, f in rows])
     assert sorted((i, found.get(i, i)) for i, _ in rows) == sorted((i, c) for i, _, c in want)
@@ -104,3 +104,7 @@ def test_components_of_a_long_path(spark):
 def test_fingerprints_of_long_and_short_texts():
     for t in [None, "", " ", "One", "a b c", "a b c d", "A B c D e", "x " * 70000, "é\x0bb\x1cc d\x85e f"]:
         assert simhash.majority(simhash.shingle_hashes(t)) == plain_fp(t)
+
+
+def test_block_counts():
+    assert [simhash.block_count(n) for n in (0, 10**6, 5 * 10**8, 10**10, 10**12)] == [6, 6, 6, 7, 8]

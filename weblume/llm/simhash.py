@@ -18,6 +18,7 @@ Components: large-star and small-star rounds over the links, cut by checkpoints.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,10 @@ from .common import cut
 
 SEED = 42
 RADIUS = 4
-#: Runs that the 64 bits are cut into; with radius 4 and 6 runs, 15 buckets of about 21 bits for each fingerprint.
+#: Least number of runs that the 64 bits are cut into; with radius 4 and 6 runs, 15 buckets of about 21 bits for each fingerprint.
 BLOCKS = 6
+#: Fingerprints that a bucket should hold by chance; there are more runs, and so longer keys, where it would be more.
+BUCKET = 256
 #: Most fingerprints of a tile.
 TILE = 4096
 #: Columns that are compared, and abandoned, together, and fingerprints that pass over them at a time.
@@ -169,6 +172,14 @@ def _small(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tupl
     return [(int(p), int(q) + (0 if right is None else len(left))) for p, q in zip(i, j)]
 
 
+def block_count(n: int, radius: int = RADIUS) -> int:
+    """Number of runs for n fingerprints: the fewest whose keys are long enough. Links don't depend on it."""
+    need, blocks = math.log2(max(n, 1) / BUCKET), max(BLOCKS, radius + 1)
+    while 64 * (blocks - radius) / blocks < need and blocks < 2 * radius + 4:
+        blocks += 1
+    return blocks
+
+
 def links(vertices: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """(a, b): links of ``vertices`` (id long, fp long, distinct fingerprints) that span every component."""
     if not 0 <= radius < blocks or radius > 6:
@@ -249,7 +260,7 @@ def classes(marked: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) ->
     """(fp, component_id) for each distinct fingerprint of ``marked`` (id, fp): the smallest id that it can reach."""
     vertices = cut(marked.groupBy("fp").agg(F.min(id_col).alias("id")))
     numbered = vertices.where(F.col("id").isNotNull())
-    found = components(links(numbered, radius)).withColumnRenamed("id", "__id")
+    found = components(links(numbered, radius, block_count(numbered.count(), radius))).withColumnRenamed("id", "__id")
     return vertices.join(found, F.col("id") == F.col("__id"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
 
 
