@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weblume import dims
-from weblume.sources import binary, config, css, csv, html, jsonschema, sinks
+from weblume.sources import binary, config, css, csv, html, jsonschema, pdf, sinks
 from weblume.sources import xml as xml_s
 
 
@@ -38,7 +38,7 @@ def test_link_texts_and_context():
 
 def test_languages_sections_and_landmarks():
     f = facts('<html lang="fr-CA"><body><a href=1>x</a><div lang=en><a href=2>x</a></div><a href=3 hreflang=de>x</a></body>')
-    assert [r["lang"] for r in f["links"]] == ["fra", "eng", "deu"] and f["html_lang"] == "fra"
+    assert [r["lang"] for r in f["links"]] == ["fra", "eng", "ger"] and f["html_lang"] == "fra"
     assert facts("<a href=1>x</a>")["links"][0]["lang"] == "eng"
     marks = [("NAV", "SITE", "menu"), ("CONTENT", "MAIN", "main")]
     f = facts("<head><link href=0></head><body><div class='x menu'><div><a href=1>x</a></div><a href=2>x</a></div><a href=3>x</a><main><a href=4>x</a></main></body>", markers=marks)
@@ -181,3 +181,15 @@ def test_xml_results(spark):
     assert 'page="3"' in rows.select(sinks.result_item()).first()[0] and "a&lt;b" in rows.select(sinks.result_item()).first()[0]
     assert spark.range(1).select(sinks.url_score(F.lit(9), F.lit(1)), sinks.feature_item(F.lit("a"), F.lit(2)), sinks.scan_faults(F.lit(1), F.lit(0.5))).first()[0] == '<qa_url_compliance_score score="9" faults="1">\n</qa_url_compliance_score>\n'
     assert sinks.envelopes(rows, sinks.result_item()).first()["xml"].startswith('<url value="u">')
+
+
+def test_pdf(spark):
+    import zlib
+
+    packed = zlib.compress(b"BT /F1 12 Tf (Hello \\(you\\)) Tj [(wor) -20 (ld)] TJ ET")
+    blob = b"%PDF-1.5\n1 0 obj <</Title <FEFF00C9> /Author (A \\351 (b)) /Keywords ()>> endobj 2 0 obj <</Type /Page>> endobj 3 0 obj << /Type /Annot /A <</S /URI /URI (http://x/y)>> >> endobj\n4 0 obj <</Filter /FlateDecode /Length 9>>\nstream\n" + packed + b"\nendstream endobj 5 0 obj <</Filter /DCTDecode>>\nstream\nxx\nendstream"
+    got = pdf.read(blob)
+    assert dict(got["properties"]) == {"Title": "É", "Author": "A é (b)", "Keywords": "", "Pages": "1"} and got["links"] == ["http://x/y"] and got["text"] == "Hello (you)world"
+    assert pdf.read(b"x") is None and pdf.read(None) is None
+    files = pdf.files(spark.createDataFrame([("f.pdf", blob), ("no", b"no")], "path string, content binary"))
+    assert files.count() == 1 and [tuple(r) for r in pdf.links(files).collect()] == [("f.pdf", "http://x/y", -1, -1)]

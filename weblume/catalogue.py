@@ -16,6 +16,7 @@ from .operators import links as links_o
 from .operators import media as media_o
 from .operators import profile as profile_o
 from .operators import results as results_o
+from .operators import roles as roles_o
 from .plans import scan
 from .sources import binary, config, css, csv, html, jsonschema, sinks
 from .streaming import events as events_s
@@ -84,7 +85,7 @@ def shared_links(spark, sf_dir):
     return links_o.shared_targets(links_o.page_links(table(spark, sf_dir, "pages")))
 
 
-@query(f"""SELECT href, CASE l WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE l END AS lang, '' AS alt, '' AS title, count(DISTINCT page_id) AS pages, min(page_id) AS first_page
+@query(f"""SELECT href, CASE l WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'ger' WHEN 'es' THEN 'spa' ELSE l END AS lang, '' AS alt, '' AS title, count(DISTINCT page_id) AS pages, min(page_id) AS first_page
 FROM (SELECT page_id, href, regexp_extract(html, '<html[^>]*\\slang="([A-Za-z]+)', 1) AS l FROM ({_HREFS})) GROUP BY ALL""")
 def link_text_groups(spark, sf_dir):
     return links_o.text_groups(links_o.page_links(table(spark, sf_dir, "pages")))
@@ -140,7 +141,7 @@ def mime_dispatch(spark, sf_dir):
 
 
 # --- pages -----------------------------------------------------------------------------------------------------------------
-_LANG3 = "CASE l WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE l END"
+_LANG3 = "CASE l WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'ger' WHEN 'es' THEN 'spa' ELSE l END"
 
 
 @query(f"SELECT page_id, {_LANG3} AS lang FROM (SELECT page_id, lower(regexp_extract(html, '<html[^>]*\\slang=\"([A-Za-z]+)', 1)) AS l FROM pages)")
@@ -220,6 +221,29 @@ def xml_results(spark, sf_dir):
     return made.select(F.col("url").cast("long").alias("doc_id"), sinks.result_item().alias("item"))
 
 
+@query("SELECT landmark, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, CASE WHEN tag IN ('head', 'title', 'meta', 'style') THEN 'head' WHEN tag = 'html' THEN '' ELSE 'x' END AS landmark FROM (SELECT page_id, unnest(['html', 'head', 'meta', 'title', 'style']) AS tag FROM pages)) WHERE landmark <> 'x' GROUP BY landmark")
+def element_landmarks(spark, sf_dir):
+    elements = html.parse_pages(table(spark, sf_dir, "pages"), wanted=("elements",)).select("page_id", F.inline("elements"))
+    return roles_o.by_landmark(elements.where(F.col("tag").isin("html", "head", "meta", "title", "style")))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN '' WHEN 'click' THEN 'widget' WHEN 'view' THEN 'landmark' WHEN 'signup' THEN 'epub' ELSE 'abstract' END AS role_class FROM events")
+def role_classes(spark, sf_dir):
+    kind = F.col("event_type")
+    role = F.when(kind == "click", "button").when(kind == "view", "main").when(kind == "signup", "definition").when(kind == "error", "nothing").otherwise("widget")
+    return table(spark, sf_dir, "events").select("event_id", roles_o.role_class(role).alias("role_class"))
+
+
+@query("SELECT 'doc' || doc_id || '.pdf' AS url, 'Title ' || doc_id AS title, 'http://l.org/' || doc_id AS href, 'shown ' || lang AS text FROM documents")
+def pdf_files(spark, sf_dir):
+    from .sources import pdf
+
+    doc = F.col("doc_id").cast("string")
+    body = F.concat(F.lit("%PDF-1.4\n1 0 obj <</Title (Title "), doc, F.lit(")>> endobj 2 0 obj <</A <</URI (http://l.org/"), doc, F.lit(")>> >> endobj 3 0 obj <</Length 1>>\nstream\nBT (shown ) Tj ("), "lang", F.lit(") Tj ET\nendstream endobj"))
+    made = pdf.files(table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), doc, F.lit(".pdf")).alias("path"), F.encode(body, "utf-8").alias("content")))
+    return made.select("url", F.col("properties")["Title"].alias("title"), F.col("links")[0].alias("href"), "text")
+
+
 # --- tables ----------------------------------------------------------------------------------------------------------------
 _PART_CELLS = "SELECT p_partkey AS line, unnest(['p_name', 'p_brand', 'p_size', 'p_retailprice']) AS heading, unnest([p_name, p_brand, CAST(p_size AS VARCHAR), CAST(p_retailprice AS VARCHAR)]) AS value FROM part"
 _IS_NUMERIC = "regexp_matches({}, '^[+-]?(\\d|\\.\\d)\\d*(\\.\\d*)?([Ee]([+-]?\\d+))?$')"
@@ -500,7 +524,7 @@ def row_maps(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", row.alias("m")).select("s_suppkey", F.col("m")["title"].alias("title"), F.coalesce(F.try_element_at("m", F.lit("none")), F.lit("")).alias("missing"))
 
 
-@query("""SELECT doc_id, lang, text FROM (SELECT doc_id, lang, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' ELSE 'spa' END AS lang, 'Titre ' || doc_id AS text FROM documents))""")
+@query("""SELECT doc_id, lang, text FROM (SELECT doc_id, lang, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'ger' ELSE 'spa' END AS lang, 'Titre ' || doc_id AS text FROM documents))""")
 def feed_texts(spark, sf_dir):
     from .sources import xml as xml_s
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import dims
+
 SCHEMA = "id string, must_contain array<string>, required array<string>, scope array<string>, supported array<string>, subclass_of array<string>, landmark boolean"
 
 
@@ -25,3 +27,14 @@ def missing_properties(described_: DataFrame, id_col: str = "page_id") -> DataFr
     """Required properties that an element with the role hasn't."""
     lacking = F.array_except(F.coalesce("required", F.array().cast("array<string>")), F.map_keys("attr"))
     return described_.select(id_col, "pos", "tag", "role", F.explode(lacking).alias("property"))
+
+
+def role_class(role: Column) -> Column:
+    """abstract, widget, composite, document, landmark or epub; empty for a value that is no role."""
+    known = F.create_map(*[F.lit(x) for pair in dims.ROLE_CLASS.items() for x in pair])
+    return F.coalesce(known[role], F.lit(""))
+
+
+def by_landmark(elements: DataFrame) -> DataFrame:
+    """Elements of each landmark over all pages."""
+    return elements.groupBy("landmark").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
