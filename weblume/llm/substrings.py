@@ -118,8 +118,23 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where the rows of sorted columns differ from the row before."""
+    new = np.ones(len(sorted_keys[0]), dtype=bool)
+    new[1:] = False
+    for key in sorted_keys:
+        new[1:] |= key[1:] != key[:-1]
+    return new
+
+
+def _salt(keys: np.ndarray) -> np.ndarray:
+    """An odd 32-bit number of each key."""
+    return ((keys ^ (keys >> 32)) & 0x7FFFFFFF).astype(np.int32) | 1
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, text) to distinct (h, d)."""
+    """(d, text) to distinct (h, d, salt). One text of a chunk with an anchor is sent with salt 0; where the chunk has more, all of
+    them are sent with another salt, as theirs is known to be shared, so a frequent anchor has few rows of salt 0."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
         _, new = np.unique(ids, return_index=True)  # copies in one batch count once
@@ -127,13 +142,24 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, some in _chunks(texts):
             words = Words(some)
             where, hashes = words.anchors()
-            if len(where):
-                own = ids[new[at + words.owner[where]]]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(own)], names=["h", "d"])
+            if not len(where):
+                continue
+            own, hashes = ids[new[at + words.owner[where]]], hashes.view(np.int64)
+            order = np.lexsort((own, hashes))
+            own, hashes = own[order], hashes[order]
+            once = _starts(hashes, own)
+            own, hashes = own[once], hashes[once]
+            first = _starts(hashes)
+            sizes = np.diff(np.append(np.flatnonzero(first), len(first)))
+            many = np.repeat(sizes, sizes) > 1
+            h, d = np.concatenate([hashes[first], hashes[many]]), np.concatenate([own[first], own[many]])
+            salt = np.concatenate([np.zeros(int(first.sum()), dtype=np.int32), _salt(own[many])])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), pa.array(salt)], names=["h", "d", "salt"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, k, text, shared) to (g1, g2, id, k, at, more): windows that hold a shared anchor, where they are first, and elsewhere."""
+    """(id, k, text, shared) to (g1, g2, id, k, at, more, salt): windows that hold a shared anchor, where they are first, and
+    elsewhere. The salt isn't 0 where the chunk has the window with a smaller id, which settles it."""
     for batch in batches:
         texts = _bytes(batch.column(2))
         for begin, some in _chunks(texts):
@@ -165,8 +191,16 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j in np.flatnonzero(sizes > 1).tolist():
                     more[j] = place[heads[j] + 1 : heads[j] + sizes[j]]
                 rows = pa.array(begin + own[heads])
-                columns = [pa.array(g1[heads]), pa.array(g2[heads]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[heads]), pa.array(more, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["g1", "g2", "id", "k", "at", "more"])
+                ids, salt = batch.column(0).take(rows), np.zeros(len(heads), dtype=np.int32)
+                if pa.types.is_integer(ids.type) and not ids.null_count:
+                    value = ids.to_numpy()
+                    by = np.lexsort((value, g2[heads], g1[heads]))
+                    first = _starts(g1[heads][by], g2[heads][by])
+                    least = np.repeat(value[by][first], np.diff(np.append(np.flatnonzero(first), len(first))))
+                    late = value[by] > least
+                    salt[by[late]] = _salt(value[by][late])
+                columns = [pa.array(g1[heads]), pa.array(g2[heads]), ids, batch.column(1).take(rows), pa.array(place[heads]), pa.array(more, pa.list_(pa.int32())), pa.array(salt)]
+                yield pa.RecordBatch.from_arrays(columns, names=["g1", "g2", "id", "k", "at", "more", "salt"])
 
 
 def removed(n: int, starts: np.ndarray) -> np.ndarray:
@@ -209,9 +243,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     slim = keyed.where(words_count(F.col("text")) >= WINDOW).select("id", "d", "e").distinct()
     firsts = slim.groupBy("d", "e").agg(F.min("id").alias("first"))
     # anchors of more than one text
-    anchors = keyed.select("d", "text").mapInArrow(_anchor_rows, "h bigint, d bigint")
-    same = Window.partitionBy("h")
-    shared = anchors.withColumn("__a", F.min("d").over(same)).withColumn("__b", F.max("d").over(same)).where("__a <> __b")
+    anchors = keyed.select("d", "text").mapInArrow(_anchor_rows, "h bigint, d bigint, salt int")
+    same = Window.partitionBy("h", "salt")
+    shared = anchors.withColumn("__a", F.min("d").over(same)).withColumn("__b", F.max("d").over(same)).where("__a <> __b or salt <> 0")
     held = shared.groupBy("d").agg(F.collect_set("h").alias("shared"))
     # windows that hold one, in the first document of each text
     status = slim.join(firsts, ["d", "e"]).join(held, "d", "left")
@@ -221,9 +255,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     same_row = (F.col("key") == F.col("skey")) & F.col("id").eqNullSafe(F.col("sid")) & (F.col("e") == F.col("se"))
     wanted = marked.where(~F.col("copy") & F.col("shared").isNotNull()).drop("copy")
     opened = body.join(wanted, same_row).select("id", "k", "text", "shared")
-    windows = opened.mapInArrow(_window_rows, f"g1 bigint, g2 bigint, id {kind}, k int, at int, more array<int>")
-    least = F.min("id").over(Window.partitionBy("g1", "g2"))
-    late = windows.withColumn("least", least).where("least < id").groupBy(F.col("id").alias("lid"), F.col("k").alias("lk")).agg(F.collect_set("at").alias("first"), F.flatten(F.collect_list("more")).alias("more"))
+    windows = opened.mapInArrow(_window_rows, f"g1 bigint, g2 bigint, id {kind}, k int, at int, more array<int>, salt int")
+    least = F.min("id").over(Window.partitionBy("g1", "g2", "salt"))
+    late = windows.withColumn("least", least).where("least < id or salt <> 0").groupBy(F.col("id").alias("lid"), F.col("k").alias("lk")).agg(F.collect_set("at").alias("first"), F.flatten(F.collect_list("more")).alias("more"))
     # what stays
     starts = F.array_union("first_", "more_").alias("starts")
     late = late.select("lid", "lk", F.col("first").alias("first_"), F.col("more").alias("more_")).select("lid", "lk", starts)
