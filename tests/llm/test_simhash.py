@@ -108,3 +108,13 @@ def test_fingerprints_of_long_and_short_texts():
 
 def test_block_counts():
     assert [simhash.block_count(n) for n in (0, 10**6, 5 * 10**8, 10**10, 10**12)] == [6, 6, 6, 7, 8]
+
+
+@pytest.mark.parametrize("radius", [0, 4])
+def test_neighbours_in_small_groups(radius):
+    fps = np.array(clustered(300, 8), dtype=np.uint64)
+    rng = np.random.default_rng(1)
+    group = np.repeat(np.arange(300), rng.integers(1, 17, 300))[: len(fps)]
+    i, j = simhash.neighbours(fps, group, 16, radius)
+    want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if group[a] == group[b] and int(fps[a] ^ fps[b]).bit_count() <= radius}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)

@@ -5,9 +5,10 @@ Fingerprints: 64 majority bits over the XXH64 of all word shingles of a text. Te
 Candidates: the 64 bits are cut into BLOCKS runs. Fingerprints that differ in at most RADIUS bits agree in at least
 BLOCKS - RADIUS whole runs, so they meet in a bucket for one of the C(BLOCKS, RADIUS) choices of runs: no link is lost.
 
-Comparison: a bucket's fingerprints are stored vertically, one bit set (bit plane) for each of the 64 bits, with a column for
-each fingerprint. One fingerprint is compared with 64 columns per machine word at a time: the planes, complemented where
-its own bit is 1, are added to bitwise counters (ones, twos, fours; what carries out of fours is over the radius) by carry-save
+Comparison: fingerprints are stored vertically, one bit set (bit plane) for each of the 64 bits, with a column for each
+fingerprint. Small buckets lie side by side in one row of planes, which is compared with itself shifted by 1, 2, ... columns;
+in a large bucket one fingerprint is compared with 64 columns per machine word at a time. The planes, complemented where the
+other bit is 1, are added to bitwise counters (ones, twos, fours; what carries out of fours is over the radius) by carry-save
 adders, and a block of columns is abandoned as soon as all of its distances exceed the radius. Large buckets are cut into
 tiles by hash, and each pair of tiles is compared in a task of its own, so no task holds an unbounded bucket. From a
 comparison comes a spanning forest of its links, not the pairs.
@@ -37,6 +38,8 @@ BLOCKS = 6
 BUCKET = 256
 #: Most fingerprints of a tile.
 TILE = 4096
+#: Buckets up to so many fingerprints are compared many at a time.
+SMALL = 16
 #: Columns that are compared, and abandoned, together, and fingerprints that pass over them at a time.
 COLUMNS, QUERIES = 4096, 128
 
@@ -163,13 +166,40 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) ->
     return out
 
 
-def _small(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """As forest(), for a handful of fingerprints, whose bits are counted in one array operation."""
-    a, b = left, left if right is None else right
-    x = a[:, None] ^ b[None, :]
-    near_ = np.bitwise_count(x) <= radius
-    i, j = np.nonzero(np.triu(near_, 1) if right is None else near_)
-    return [(int(p), int(q) + (0 if right is None else len(left))) for p, q in zip(i, j)]
+def neighbours(fps: np.ndarray, group: np.ndarray, widest: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links within many small groups at once: pairs of indices. group: a number for each fingerprint, equal ones together.
+
+    All fingerprints are one row of bit planes; the planes are compared with themselves shifted by 1, 2, ... columns, up to
+    the size of the widest group. A shift is abandoned as soon as all pairs of one group in it exceed the radius.
+    """
+    vertical, n = planes(fps), len(fps)
+    left, right = [], []
+    for shift in range(1, widest):
+        same = np.zeros(vertical.shape[1] * 64, dtype=np.uint8)
+        same[: n - shift] = group[shift:] == group[:-shift]
+        open_ = np.packbits(same, bitorder="little").view(np.uint64)
+        if not open_.any():
+            break
+        after = np.zeros_like(vertical[0])
+        ones, twos, fours, over = (np.zeros_like(after) for _ in range(4))
+        for i, plane in enumerate(vertical):
+            after = plane >> np.uint64(shift)  # groups are under 64 wide
+            after[:-1] |= plane[1:] << np.uint64(64 - shift)
+            x = plane ^ after
+            carry = ones & x
+            ones ^= x
+            carry2 = twos & carry
+            twos ^= carry
+            over |= fours & carry2
+            fours ^= carry2
+            if i % 8 == 7 and not (open_ & ~_exceeds(ones, twos, fours, over, radius)).any():
+                break
+        else:
+            hits = np.flatnonzero(np.unpackbits((open_ & ~_exceeds(ones, twos, fours, over, radius)).view(np.uint8), bitorder="little"))
+            left.append(hits)
+            right.append(hits + shift)
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def block_count(n: int, radius: int = RADIUS) -> int:
@@ -211,7 +241,16 @@ def links(vertices: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile:
             last = len(starts) - 1 if batch is None else len(starts) - 2  # the last group may go on
             ids, fps, piece = whole["id"].to_numpy(), whole["fp"].to_numpy().view(np.uint64), whole["piece"].to_numpy()
             a_out, b_out = [], []
-            for s, e in zip(starts[:last].tolist(), starts[1 : last + 1].tolist()):
+            sizes = np.diff(starts[: last + 1])
+            small = (sizes <= SMALL) & (key[2][starts[:last]] == key[3][starts[:last]])  # one tile
+            if small.any():
+                number = np.repeat(np.arange(last), sizes)
+                rows = np.flatnonzero(small[number])
+                i, j = neighbours(fps[rows], number[rows], int(sizes[small].max()), radius)
+                a_out += ids[rows[i]].tolist()
+                b_out += ids[rows[j]].tolist()
+            for g in np.flatnonzero(~small).tolist():
+                s, e = int(starts[g]), int(starts[g + 1])
                 x, y = key[2][s], key[3][s]
                 side = piece[s:e] == x
                 order = np.concatenate([np.flatnonzero(side), np.flatnonzero(~side)]) + s
@@ -219,7 +258,7 @@ def links(vertices: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tile:
                 left, right = fps[order[:m]], (None if x == y else fps[order[m:]])
                 if len(left) == 0 or (right is not None and len(right) == 0):
                     continue
-                for i, j in (_small if e - s <= 8 else forest)(left, right, radius):
+                for i, j in forest(left, right, radius):
                     a_out.append(int(ids[order[i]]))
                     b_out.append(int(ids[order[j]]))
             rest = whole.slice(int(starts[last]))
