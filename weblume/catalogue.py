@@ -474,7 +474,7 @@ def open_data_scan(spark, sf_dir):
 
 
 # --- requests and strings ----------------------------------------------------------------------------------------------------
-@query("""SELECT page_id, 60.0 * (row_number() OVER (PARTITION BY lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) ORDER BY page_id) - 1) AS start_s, NOT (lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) LIKE '%1%' AND url LIKE '%/%2') AS allowed FROM pages""")
+@query("""SELECT page_id, CAST(60 * (row_number() OVER (PARTITION BY lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) ORDER BY page_id) - 1) AS DOUBLE) AS start_s, NOT (lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) LIKE '%1%' AND url LIKE '%/%2') AS allowed FROM pages""")
 def crawl_schedule(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     hosts = pages.select(crawl_o.host().alias("host")).distinct()
@@ -548,7 +548,7 @@ def css_urls(spark, sf_dir):
     return css.urls(sheets, "page_id", F.col("css")).select("page_id", "pos", F.col("url").alias("href"))
 
 
-@query("SELECT c_nationkey AS id, CAST(CASE WHEN n * 0.25 <= 1 THEN n ELSE 4 END AS INTEGER) AS fps, round(n * 0.25, 2) AS shown_s FROM (SELECT c_nationkey, least(count(*), 40) AS n FROM customer GROUP BY 1)")
+@query("SELECT c_nationkey AS id, CAST(CASE WHEN n * 0.25 <= 1 THEN n ELSE 4 END AS INTEGER) AS fps, CAST(round(n * 0.25, 2) AS DOUBLE) AS shown_s FROM (SELECT c_nationkey, least(count(*), 40) AS n FROM customer GROUP BY 1)")
 def animation_frames(spark, sf_dir):
     frames = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.least(F.count("*"), F.lit(40)).cast("int").alias("n"))
     delays = F.array_repeat(F.lit(0.25), F.col("n"))
