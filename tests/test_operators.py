@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from weblume.functions import language as lang_f
 from weblume.functions import text, urls
 from weblume.operators import features, language, links, media, profile, results, roles
+from weblume.plans import checks, scan
 from weblume.sources import config, html
 
 
@@ -173,3 +174,36 @@ def test_roles(spark):
     told = roles.described(facts.select("page_id", F.inline("elements")), roles.taxonomy(spark, rows)).cache()
     assert {(r["role"], r["known"], r["landmark_role"]) for r in told.collect()} == {("slider", True, False), ("main", True, True), ("odd", False, False)}
     assert [r["property"] for r in roles.missing_properties(told).collect()] == ["aria-valuenow"]
+
+
+def test_family_checks(spark):
+    df = spark.createDataFrame([
+        (1, "http://h/a-eng.html", '<html lang=fr><title>A  b</title><meta name="DC.title" content="a B"><a href="http://10.0.0.1/x">x</a><script>G-ABCDEF1 UA-12345-1 G-ABCDEF1</script>'),
+        (2, "http://h/b_f.html", '<html lang=fr><title>T</title><meta name=dcterms.title content=U><a href="mailto:a@b">m</a>')], "page_id long, url string, html string")
+    facts = html.parse_pages(df).cache()
+    every = facts.select("page_id", "url", F.inline("links"))
+    said = lambda rows: sorted((r["testcase"], r["url"][-10:], r["message"]) for r in rows.collect())
+    assert said(checks.ipv4_links(every)) == [("IPV4_LINK", "a-eng.html", "http://10.0.0.1/x")]
+    assert said(checks.title_matches(facts)) == [("TITLE_DCTERMS_TITLE_MATCH", "h/b_f.html", "U / T")]
+    assert said(checks.url_languages(facts)) == [("CONTENT_URL_LANGUAGE", "a-eng.html", "eng / fra")]
+    assert said(checks.analytics(df)) == [("WA_ID", "a-eng.html", "G-ABCDEF1"), ("WA_ID", "a-eng.html", "UA-12345-1"), ("WA_MULTIPLE", "a-eng.html", "G-ABCDEF1, UA-12345-1")]
+    assert said(checks.pattern_hits(every, [("TP_PW_MAILTO", "^mailto:")], "href")) == [("TP_PW_MAILTO", "h/b_f.html", "mailto:")]
+
+
+def test_scans(spark):
+    df = pages(spark, "<title>T</title><a href='#no'>x</a><h1>a</h1><h1>a</h1>", "<html lang=en><title>T</title>")
+    assert sorted((r["testcase"], r["url"]) for r in scan.web(df).collect()) == [("BROKEN_ANCHOR", "http://h/0"), ("DUPLICATE_HEADINGS", "http://h/0"), ("DUPLICATE_TITLES", "http://h/1"), ("NO_LANG", "http://h/0")]
+    rows = spark.createDataFrame([(1, "Yes", None), (2, "yes", None)], "line int, a string, b string")
+    terms = spark.createDataFrame([("a", "^Y")], "term string, regex string")
+    assert sorted((r["testcase"], r["description"], r["line_no"]) for r in scan.open_data(rows, "line", ["a", "b"], terms).collect()) == [("OD_DATA", "b", -1), ("TP_PW_OD_CONT_CONSISTENCY", "a", 2), ("TP_PW_OD_DD", "a", 2)]
+
+
+def test_crawl_planning(spark):
+    from weblume.operators import crawl
+
+    requests = spark.createDataFrame([(1, "http://A.org/x"), (2, "http://a.org/private/y"), (3, "http://b.org/"), (4, "http://a.org/z")], "n int, url string")
+    robots = spark.createDataFrame([("a.org", "User-agent: *\nDisallow: /private")], "host string, robots string")
+    got = {r["n"]: (r["allowed"], r["start_s"]) for r in crawl.schedule(crawl.allowed(requests, robots), "n", 0.5).collect()}
+    assert got == {1: (True, 0.0), 2: (False, 30.0), 3: (True, 0.0), 4: (True, 60.0)}
+    hits = spark.createDataFrame([(f"k{i}", h) for i, h in enumerate([1, 1, 2, 3, 3, 9])], "key string, hits int")
+    assert crawl.trimmed(hits, 6, 2).count() == 6 and sorted(r["hits"] for r in crawl.trimmed(hits, 5, 3).collect()) == [3, 3, 9] and sorted(r["hits"] for r in crawl.trimmed(hits, 5, 2).collect()) == [9]

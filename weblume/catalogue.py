@@ -17,7 +17,7 @@ from .operators import media as media_o
 from .operators import profile as profile_o
 from .operators import results as results_o
 from .operators import roles as roles_o
-from .plans import scan
+from .plans import checks, scan
 from .sources import binary, config, css, csv, html, jsonschema, sinks
 from .streaming import events as events_s
 
@@ -244,6 +244,14 @@ def pdf_files(spark, sf_dir):
     return made.select("url", F.col("properties")["Title"].alias("title"), F.col("links")[0].alias("href"), "text")
 
 
+@query("""SELECT testcase, message, count(*) AS n FROM (SELECT 'TP_PW_TECH' AS testcase, '<script>' AS message FROM pages WHERE html LIKE '%<script>%' UNION ALL SELECT 'TP_PW_MAILTO', regexp_extract(html, '(mailto:[^"]*)', 1) FROM pages WHERE html LIKE '%mailto:%'
+UNION ALL SELECT 'WA_ID', m FROM (SELECT unnest(list_distinct(regexp_extract_all(html, '\\b(UA-\\d{4,}-\\d+|G-[A-Z0-9]{6,})\\b', 1))) AS m FROM pages)) GROUP BY ALL""")
+def pattern_checks(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    rows = checks.pattern_hits(pages, [("TP_PW_TECH", "<script>"), ("TP_PW_MAILTO", 'mailto:[^"]*')], "html").unionByName(checks.analytics(pages).where("testcase = 'WA_ID'"))
+    return rows.groupBy("testcase", "message").agg(F.count("*").alias("n"))
+
+
 # --- tables ----------------------------------------------------------------------------------------------------------------
 _PART_CELLS = "SELECT p_partkey AS line, unnest(['p_name', 'p_brand', 'p_size', 'p_retailprice']) AS heading, unnest([p_name, p_brand, CAST(p_size AS VARCHAR), CAST(p_retailprice AS VARCHAR)]) AS value FROM part"
 _IS_NUMERIC = "regexp_matches({}, '^[+-]?(\\d|\\.\\d)\\d*(\\.\\d*)?([Ee]([+-]?\\d+))?$')"

@@ -11,12 +11,12 @@ from ..schemas import RESULT
 _DEFAULTS = {"status": 1, "line_no": -1, "column_no": -1, "page_no": -1}
 
 
-def results(df: DataFrame, testcase: str, **columns: Column | str | int) -> DataFrame:
+def results(df: DataFrame, testcase: Column | str, **columns: Column | str | int) -> DataFrame:
     """Result rows; columns that aren't given take their defaults. A source line is cut around its column."""
     given = {k: v if isinstance(v, Column) else F.lit(v) for k, v in columns.items()}
     if "source_line" in given:
         given["source_line"] = snippet(given["source_line"], given.get("column_no", F.lit(-1)))
-    given["testcase"] = F.lit(testcase)
+    given["testcase"] = testcase if isinstance(testcase, Column) else F.lit(testcase)
     return df.select(*[given.get(n, F.lit(_DEFAULTS.get(n, ""))).cast(kind).alias(n) for n, kind in (f.split() for f in RESULT.split(","))])
 
 
