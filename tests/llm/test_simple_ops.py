@@ -178,6 +178,11 @@ def test_guess_cost_is_the_cheapest_segmentation():
         assert secrets.guess_cost(v) == pytest.approx(brute(v))
 
 
+def test_assigned_values_have_costs():
+    weak, strong = secrets.spans("token=password123 secret: Zk3/9+qXw8_1Lp0v")
+    assert weak[3] < 5 < 14 < strong[3] and weak[1] == strong[1] == 0
+
+
 def test_secret_query(spark):
     rows = secrets.op3(extra(spark)).collect()
     by = {r["doc_id"]: r for r in rows}

@@ -8,13 +8,15 @@ brute-force spans is found by dynamic programming over the end positions; costs
 
 from __future__ import annotations
 
-import hashlib
+import bisect
+import itertools
 import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Kinds in their order, base kinds first.
 KINDS = ("assign", "access", "hex", "guess")
@@ -88,6 +90,7 @@ def guess_cost(value: str) -> float:
 
 def spans(text: str | None) -> list[tuple[int, int, int, float | None]]:
     """All spans of a text: (start, kind as an index of KINDS, end, log10 of guesses or None), in code points, in order.
+    Assigned values and those of kind ``guess`` have a cost.
 
     A span of kind ``guess`` is left out where a base span covers all of it. None and an empty text have no spans.
     """
@@ -95,24 +98,32 @@ def spans(text: str | None) -> list[tuple[int, int, int, float | None]]:
         return []
     raw = text.encode("utf-8", "surrogatepass")
     low, found = raw.lower(), []  # bytes: only A-Z change
+    cost = {}
     if any(x in low for x in _HINTS):
-        found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(low) if m.end(2) - m.start(2) >= 8]
+        for m in _ASSIGN.finditer(low):
+            if m.end(2) - m.start(2) >= 8:
+                found.append((m.start(), 0, m.end()))
+                cost[found[-1]] = guess_cost(raw[m.start(2) : m.end(2)].decode())
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(raw) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(raw)]
-    cost = {}
+    every = set(found)
     if any(x in low for x in _HINTS):
+        found.sort()
+        starts, reach = [a for a, _, _ in found], list(itertools.accumulate((b for _, _, b in found), max))
         for m in _CONTEXT.finditer(low):
             start, end = m.span(1)
             end -= len(m[1]) - len(m[1].rstrip(b",;.:!?)]}#*&$%|"))
-            if any(a <= start and end <= b for a, _, b in found):
+            before = bisect.bisect_right(starts, start)
+            if before and reach[before - 1] >= end:
                 continue
             value = raw[start:end].decode("utf-8", "surrogatepass")
             log = guess_cost(value) if len(value) >= 6 and not value.isalpha() else 0.0  # letters alone are mostly prose
             if log >= MIN_GUESSES:
                 cost[start, 3, end] = log
-    if not found and not cost:
+                every.add((start, 3, end))
+    if not every:
         return []
-    every = sorted([*found, *cost])
+    every = sorted(every)
     if len(raw) == len(text):
         return [(a, k, b, cost.get((a, k, b))) for a, k, b in every]
     at = {0: 0}
@@ -140,8 +151,6 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op3(docs: DataFrame) -> DataFrame:
     """Contract columns of the secret scan."""
-    from pyspark.sql import functions as F
-
     def count(kind: str):
         return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
@@ -149,4 +158,4 @@ def op3(docs: DataFrame) -> DataFrame:
         return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     base = F.filter("secrets", lambda s: s["kind"] != "guess")
-    return find_secrets(docs).select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), count("guess"))
+    return find_secrets(docs).select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), count("guess"), F.round(F.array_max("secrets.log10_guesses"), 6).alias("max_log10_guesses"))
