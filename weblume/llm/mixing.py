@@ -32,8 +32,7 @@ BROADCAST_ROWS = 10_000
 
 
 def targets(sizes: DataFrame, cap: float = 3.0, weights: tuple = WEIGHTS) -> DataFrame:
-    """From (source, source_size) to (source, source_size, target); one row for each source, null a source like any other."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_first())
+    """Adds ``target`` to (source, source_size, ...); one row for each source, null a source like any other."""
     whole = Window.orderBy("__full", "__rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = Window.orderBy("__full", "__rank").rowsBetween(Window.unboundedPreceding, -1)
     listed = F.array(*[F.lit(float(w)) for w in weights])
@@ -48,7 +47,7 @@ def targets(sizes: DataFrame, cap: float = 3.0, weights: tuple = WEIGHTS) -> Dat
     leveled = ranked.withColumn("__level", level)
     first = F.min(F.when(F.col("__full") > F.col("__level"), F.struct("__full", "__rank", "__level"))).over(whole)
     share = F.coalesce(F.least("__top", first["__level"] * F.col("__w")), F.col("__top"))
-    return leveled.select("source", "source_size", share.alias("target"))
+    return leveled.select(*sizes.columns, share.alias("target"))
 
 
 def pivot(fractions: list[float], sizes: list[int], rng: random.Random) -> int:
@@ -90,10 +89,10 @@ def mix(rows: DataFrame, cap: float = 3.0, seed: int = 77) -> DataFrame:
     in one document of a source at most). Documents without words get no copies. Repeated rows are documents of their own.
     An empty table stays empty.
     """
-    totals = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__docs")).select("source", "source_size"), cap))
-    counts = cut(rows.groupBy(F.col("source").alias("__source")).agg(F.count("*").alias("__docs")))
-    n_sources, most = counts.agg(F.count("*"), F.coalesce(F.max("__docs"), F.lit(0))).first()
-    known = totals.join(counts, totals["source"].eqNullSafe(counts["__source"])).drop("source")
+    rows = cut(rows)  # texts are read once; these rows are narrow
+    sums = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__docs")))
+    known = cut(targets(sums, cap)).withColumnRenamed("source", "__source")
+    n_sources, most = known.agg(F.count("*"), F.coalesce(F.max("__docs"), F.lit(0))).first()
     hinted = F.broadcast(known) if n_sources <= BROADCAST_ROWS else known
     expected = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(F.col("__x") + F.lit(TINY))
@@ -109,9 +108,8 @@ def mix(rows: DataFrame, cap: float = 3.0, seed: int = 77) -> DataFrame:
     shape, settled, level = todo.schema, [], 0
     groups = max(1, -(-most // GROUP))
     while True:
-        todo = cut(todo.where(F.col("__f") > 0).groupBy("source", "__b").applyInArrow(_settle(seed, level), shape)) if level else cut(
-            todo.where(F.col("__f") > TINY).groupBy("source", "__b").applyInArrow(_settle(seed, level), shape).unionByName(todo.where(F.col("__f") <= TINY).withColumn("__f", F.lit(0.0)))
-        )
+        open_ = todo.where(F.col("__f") > TINY).groupBy("source", "__b").applyInArrow(_settle(seed, level), shape)
+        todo = cut(open_ if level else open_.unionByName(todo.where(F.col("__f") <= TINY).withColumn("__f", F.lit(0.0))))
         done = (F.col("__f") == 0) | (F.col("__f") == 1)
         if groups == 1:
             settled.append(todo)
