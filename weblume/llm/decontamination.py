@@ -59,14 +59,15 @@ def anchored(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col
     """
     made = cut(windows(benchmark, width).groupBy("terms").agg(F.collect_set("item_id").alias("items")))
     vocabulary = made.select(F.explode("terms").alias("term")).distinct()
-    if made.count() <= BROADCAST_WINDOWS:
+    few = made.count() <= BROADCAST_WINDOWS  # then there are at most that times width terms
+    if few:
         vocabulary = F.broadcast(vocabulary)
     told = docs.select(F.explode(terms(F.col(text_col))).alias("term"))
     frequency = told.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
     placed = made.select("terms", "items", F.posexplode("terms").alias("offset", "term"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term")).alias("least")
     return (
-        placed.join(frequency, "term", "left").groupBy("terms").agg(rarest, F.first("items").alias("items"))
+        placed.join(F.broadcast(frequency) if few else frequency, "term", "left").groupBy("terms").agg(rarest, F.first("items").alias("items"))
         .where("least.n > 0").select(F.col("least.term").alias("term"), F.col("least.offset").alias("offset"), "terms", "items")
     )
 
