@@ -409,7 +409,7 @@ def language_codes(spark, sf_dir):
 
 _REDUCED = "substr(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '[\\t-\\r ]{2,}', ' ', 'g'), 1, 25000)"
 _GRAMS = """SELECT {k}, substr(w, i, n) AS ngram FROM (SELECT {k}, w, n, unnest(generate_series(1, length(w) - n + 1)) AS i FROM (SELECT {k}, w, unnest(generate_series(1, least(length(w), 5))) AS n
-FROM (SELECT {k}, '_' || unnest(string_split_regex(regexp_replace(t, '[0-9\\t-\\r ]+$', ''), '[0-9\\t-\\r ]+')) || '_' AS w FROM ({src}) WHERE t <> '') WHERE length(w) <= 25))"""
+FROM (SELECT {k}, '_' || unnest(string_split_regex(regexp_replace(t, '[0-9\\t-\\r ]+$', ''), '[0-9\\t-\\r ]+')) || '_' AS w FROM ({src}) WHERE regexp_replace(t, '[0-9\\t-\\r ]+$', '') <> '') WHERE length(w) <= 25))"""
 
 
 @query(f"SELECT lang, ngram, n, CAST(rank AS INTEGER) AS rank FROM (SELECT lang, ngram, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, ngram) - 1 AS rank FROM ({_GRAMS.format(k='lang', src=f'SELECT lang, {_REDUCED} AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL')}) GROUP BY lang, ngram) WHERE rank < 400")

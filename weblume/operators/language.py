@@ -7,6 +7,8 @@ differences, 400 for n-grams that its model lacks.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,17 +31,26 @@ def long_enough(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[0-9]", "")) >= MIN_CHARS
 
 
-def grams(text: Column) -> Column:
-    """All n-grams of a reduced text, repeats included: trailing empty words are dropped, a leading one is kept."""
-    cut = F.split(F.regexp_replace(text, r"[0-9\t-\r ]+$", ""), r"[0-9\t-\r ]+")
-    framed = F.filter(F.transform(cut, lambda w: F.concat(F.lit("_"), w, F.lit("_"))), lambda w: F.length(w) <= LONGEST_WORD)
-    each = F.transform(framed, lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.length(w), F.lit(LONGEST_GRAM))), lambda n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n)))))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.flatten(each))
+def words(text: Column) -> Column:
+    """Words of a reduced text: trailing empty ones are dropped, a leading one is kept."""
+    cut = F.regexp_replace(text, r"[0-9\t-\r ]+$", "")
+    return F.when(cut == "", F.array().cast("array<string>")).otherwise(F.split(cut, r"[0-9\t-\r ]+"))
+
+
+def word_grams(word: Column) -> Column:
+    """All n-grams of a framed word, repeats included."""
+    sizes = F.sequence(F.lit(1), F.least(F.length(word), F.lit(LONGEST_GRAM)))
+    return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n))))
 
 
 def top_grams(df: DataFrame, key: str, text: Column, keep: int = GRAMS) -> DataFrame:
-    """key, ngram, n and rank (from 0) of the most frequent n-grams of each key's texts."""
-    counted = df.select(key, F.explode(grams(text)).alias("ngram")).groupBy(key, "ngram").agg(F.count("*").alias("n"))
+    """key, ngram, n and rank (from 0) of the most frequent n-grams of each key's texts.
+
+    Words are counted first, so a word is taken apart once for each key and not for each of its uses.
+    """
+    each = df.select(key, F.explode(words(text)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("times"))
+    framed = each.select(key, "times", F.concat(F.lit("_"), "word", F.lit("_")).alias("framed")).where(F.length("framed") <= LONGEST_WORD)
+    counted = framed.select(key, "times", F.explode(word_grams(F.col("framed"))).alias("ngram")).groupBy(key, "ngram").agg(F.sum("times").alias("n"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), "ngram")
     return counted.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < keep)
 
@@ -53,19 +64,24 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, di
     return models
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _grams_of(word: str) -> tuple[str, ...]:
+    w = f"_{word}_"
+    return tuple(w[i : i + n] for n in range(1, LONGEST_GRAM + 1) for i in range(len(w) - n + 1)) if len(w) <= LONGEST_WORD else ()
+
+
 def ranked(text: str) -> list[str]:
     """The 400 most frequent n-grams of a reduced text."""
-    words = re.split(r"[0-9\t-\r ]+", text)
-    while words and not words[-1]:
-        words.pop()
-    counts: Counter = Counter()
-    for word, times in Counter(words).items():
-        w = f"_{word}_"
-        if len(w) <= LONGEST_WORD:
-            for n in range(1, LONGEST_GRAM + 1):
-                for i in range(len(w) - n + 1):
-                    counts[w[i : i + n]] += times
-    return sorted(counts, key=lambda g: (-counts[g], g))[:GRAMS]
+    found = re.split(r"[0-9\t-\r ]+", text)
+    while found and not found[-1]:
+        found.pop()
+    counts = Counter(itertools.chain.from_iterable(map(_grams_of, found)))
+    if len(counts) > GRAMS:
+        least = sorted(counts.values(), reverse=True)[GRAMS - 1]
+        names = sorted(g for g, n in counts.items() if n >= least)
+    else:
+        names = sorted(counts)
+    return sorted(names, key=counts.__getitem__, reverse=True)[:GRAMS]  # stable: ties stay in the order of their names
 
 
 def distances(text: str, models: dict[str, dict[str, int]]) -> dict[str, int]:
