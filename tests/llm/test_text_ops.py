@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -216,3 +217,31 @@ def test_lines(spark, sf):
 def test_lines_of_awkward_tables(spark):
     assert lines.op7(empty(spark)).count() == 0
     assert sorted(map(tuple, lines.op7(extra(spark)).collect()), key=str) == plain_lines([(r[0], r[1]) for r in AWKWARD])
+
+
+def plain_every_line(rows):
+    first = {}
+    for i, t in sorted({(i, t) for i, t in rows if i is not None and t is not None}):
+        for a, v in enumerate(t.split("\n")):
+            first[v] = min((i, a), first.get(v, (i, a)))
+    out = []
+    for i, t in rows:
+        x = [] if t is None else t.split("\n")
+        kept = [v for a, v in enumerate(x) if i is None or first[v] >= (i, a)]
+        out.append((i, len(x), len(x) - len(kept), sha("\n".join(kept))))
+    return sorted(out, key=str)
+
+
+def test_every_repeated_line_goes(spark, sf):
+    from weblume.llm import registry
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(r[0], r[1]) for r in AWKWARD]
+    rows += [(5000, "only one"), (5001, "only one"), (5002, "x y\nonly one"), (5003, "p\nq"), (5004, "r\np\nq\np\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, lines.op7_every_line(docs).collect()), key=str)
+    assert got == plain_every_line(rows) and {(r[0], r[2]) for r in got} >= {(5001, 1), (5002, 1), (5004, 5)}
+    assert lines.op7_every_line(empty(spark)).count() == 0
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM read_parquet('{sf}/documents.parquet')")
+    of_sql = sorted(con.sql(registry.ORACLES["op7_every_line"]).fetchall(), key=str)
+    assert sorted(map(tuple, registry.QUERIES["op7_every_line"](spark, sf).collect()), key=str) == of_sql and sum(r[2] for r in of_sql) > 0

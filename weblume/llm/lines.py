@@ -5,7 +5,8 @@ GRAM lines (the last of equal ones) is selected as a fingerprint, so two equal r
 the same place. Fingerprint positions are joined; those of more than one position are extended both ways to all runs
 that hold them, runs are compared by 128 bits, and every later occurrence of a run (by doc_id, then line) is deleted.
 
-Longer repeats are unions of runs. All on DataFrame functions.
+Longer repeats are unions of runs. All on DataFrame functions. Shorter ones stay: the query with every repeated line has single
+lines for runs, of which repeats of any length are unions.
 """
 
 from __future__ import annotations
@@ -57,6 +58,13 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, guard: int = GUARD) -> Data
     return runs.join(first, ["r1", "r2"]).where(F.struct("id", "start") > F.col("first")).select("id", "d", "start")
 
 
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """(id, d, start): the lines that occur before, as repeated_runs has them for runs of one line; compared by 128 bits."""
+    lines = docs.select("id", "d", F.posexplode(_lines("text")).alias("start", "line")).select("id", "d", "start", F.md5("line").alias("r")).distinct()
+    first = lines.groupBy("r").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("r", "first")
+    return lines.join(first, "r").where(F.struct("id", "start") > F.col("first")).select("id", "d", "start")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, guard: int = GUARD) -> DataFrame:
     """id, n_lines, n_removed and kept (the text of the lines that stay; null for a null text, which has no lines).
 
@@ -67,7 +75,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram:
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("d"))
     able = keyed.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "d", "text")
     gone = (
-        repeated_runs(able, gram, guard)
+        (repeated_lines(able) if run == 1 else repeated_runs(able, gram, guard))
         .select("id", "d", F.explode(F.sequence("start", F.col("start") + run - 1)).alias("line"))
         .groupBy(F.col("id").alias("gid"), F.col("d").alias("gd")).agg(F.array_sort(F.collect_set("line")).alias("gone"))
     )
@@ -90,6 +98,11 @@ def op7(docs: DataFrame) -> DataFrame:
     return dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_every_line(docs: DataFrame) -> DataFrame:
+    """The columns of op7 where every later occurrence of a line is deleted, whatever the length of the repeat and the text."""
+    return dedup(docs, gram=1, guard=1).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 #: The same by brute force: every run of four lines against every other.
 ORACLE = r"""
 WITH l AS (SELECT doc_id, coalesce(text, '') AS text, text IS NULL AS none, string_split(text, chr(10)) AS x FROM documents),
@@ -100,3 +113,14 @@ SELECT l.doc_id, CAST(CASE WHEN none THEN 0 ELSE len(x) END AS BIGINT) AS n_line
  sha256(CASE WHEN gone IS NULL THEN l.text ELSE coalesce(array_to_string(list_filter(x, lambda v, i: NOT list_contains(gone, i)), chr(10)), '') END) AS kept_sha256
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.text = g.text
 """
+
+#: Every line against every other.
+ORACLE_EVERY_LINE = r"""
+WITH l AS (SELECT doc_id, coalesce(text, '') AS text, text IS NULL AS none, string_split(text, chr(10)) AS x FROM documents),
+r AS (SELECT DISTINCT doc_id, text, i, x[i] AS t FROM (SELECT doc_id, text, x, unnest(generate_series(1, len(x))) AS i FROM l WHERE NOT none)),
+f AS (SELECT doc_id, text, i, (doc_id, i) > min((doc_id, i)) OVER (PARTITION BY t) AS late FROM r WHERE doc_id IS NOT NULL),
+g AS (SELECT doc_id, text, list(DISTINCT i) AS gone FROM f WHERE late GROUP BY ALL)
+SELECT l.doc_id, CAST(CASE WHEN none THEN 0 ELSE len(x) END AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+ sha256(CASE WHEN gone IS NULL THEN l.text ELSE coalesce(array_to_string(list_filter(x, lambda v, i: NOT list_contains(gone, i)), chr(10)), '') END) AS kept_sha256
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.text = g.text
+"""

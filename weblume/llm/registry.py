@@ -21,8 +21,9 @@ QUERIES = {
     "op5_decontamination": lambda spark, sf_dir: decontamination.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op6_avi_media": _over_documents(avi.op6),
     "op7_line_dedup": _over_documents(lines.op7),
+    "op7_every_line": _over_documents(lines.op7_every_line),
     "op8_simhash": _over_documents(simhash.op8),
     "op9_language_id": _over_documents(langid.op9),
     "op10_mixing": _over_documents(mixing.op10),
 }
-ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op5_decontamination": decontamination.ORACLE, "op7_line_dedup": lines.ORACLE}
+ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op5_decontamination": decontamination.ORACLE, "op7_line_dedup": lines.ORACLE, "op7_every_line": lines.ORACLE_EVERY_LINE}
