@@ -67,3 +67,33 @@ def test_awkward_tables(spark):
     assert [r["lang_pred"] for r in rows][:3] == ["und"] * 3 and [r["score"] for r in rows][:3] == [0.0] * 3
     assert {r["lang_pred"] for r in rows[3:]} <= {"en", "fr", "de"}
     assert not [r for r in rows if r["doc_id"] is None][0]["held_out"]
+
+
+def test_every_letter_of_the_samples_counts(spark):
+    rng = random.Random(7)
+    scripts = {"zh": [chr(0x4E00 + i) for i in range(900)], "ja": [chr(0x3041 + i) for i in range(80)] + [chr(0x4E00 + i) for i in range(300, 800)], "ko": [chr(0xAC00 + 7 * i) for i in range(700)], "en": list("abcdefghijklmnop"), "xx": [chr(0x20000 + i) for i in range(40)]}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(1, 4))) for _ in range(400)] for k, v in scripts.items()}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    samples = {k: text(k, 1500) for k in scripts}
+    model = langid.Model(samples)
+    assert len(model.letters) > 1200 and model.wide and model.narrow and langid._OTHER not in model.encode("".join(samples.values()))
+    texts = [text(k, 60) for k in model.langs] + [text("zh", 9) + "q\u00e9" + text("en", 400) + text("ko", 30)]
+    encoded = [model.encode(t) for t in texts]
+    for row, codes in zip(model.phrases(encoded), encoded):
+        for lang, n in zip(model.langs, row):
+            known, plain = "".join(map(chr, model.encode(samples[lang]))), "".join(map(chr, codes))
+            assert n == sum(plain_phrases(known, plain[a : a + langid.BLOCK]) for a in range(0, len(plain), langid.BLOCK))
+    assert model.predict(texts)[0][:-1] == model.langs
+    docs = spark.createDataFrame([(1000 * j + i, text(k, 40), k) for j, k in enumerate(scripts) for i in range(60)], "doc_id long, text string, lang string")
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert all(r["lang_pred"] == lang[r["doc_id"]] for r in langid.op9(docs).collect())
+
+
+def test_columns_of_own_letters():
+    """More than DENSE letters in all, in languages of few letters each, and a letter whose lower case is two characters."""
+    samples = {f"l{k}": "".join(chr(0xAC00 + 100 * k + i) for i in range(100)) * 2 for k in range(3)} | {"tr": "\u0130a\u0130b"}
+    model = langid.Model(samples)
+    assert not model.wide and model.columns is not None and len(model.letters) == 303
+    codes = model.encode(samples["l1"][5:60] + samples["l2"][:7] + "\u0130a")
+    want = [plain_phrases("".join(map(chr, model.encode(samples[k]))), "".join(map(chr, codes))) for k in model.langs]
+    assert model.phrases([codes])[0].tolist() == want

@@ -7,12 +7,15 @@ The language with the lowest estimate wins.
 
 Symbols: letters that occur in the samples, in lower case; every run of other characters is one space; other letters are one
 symbol without transitions. A text is parsed in blocks of BLOCK symbols, and no phrase crosses a block, so that all blocks of
-many texts advance together, one symbol at a time, through one dense transition table.
+many texts advance together, one symbol at a time, through one dense transition table. Up to DENSE letters all languages share
+its columns; beyond that each language with up to DENSE letters has columns of its own letters, and the transitions of the
+others (Han, Hangul) are kept as sorted keys of state and symbol.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +27,24 @@ from pyspark.sql import functions as F
 #: Bounds of the labelled sample of each language: characters, and documents (in the order of a hash of their ids).
 SAMPLE_CHARS, SAMPLE_ROWS = 40_000, 64
 BLOCK = 512
+#: Letters of the dense table.
+DENSE = 250
 #: Blocks that advance together.
 LANES = 4096
 UNKNOWN = "und"
-_LETTER = regex.compile(r"\p{L}")
+_LETTER, _LETTERS = regex.compile(r"\p{L}"), regex.compile(r"\p{L}+")
 _SPACE, _PAD = 0, 1  # symbols; then the unknown letter, then the alphabet
 _OTHER, _FIRST = 2, 3
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions (states x width; -1: none) of the suffix automaton of ``codes``; state 0 is the start."""
+def fold(c: str) -> str:
+    """A letter in lower case; as it is where that is more than one character."""
+    low = c.lower()
+    return low if len(low) == 1 else c
+
+
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions (of each state, by symbol) of the suffix automaton of ``codes``; state 0 is the start."""
     nexts, link, length, last = [{}], [-1], [0], 0
     for c in codes:
         here = len(nexts)
@@ -58,52 +69,76 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[here] = copy
         last = here
-    out = np.full((len(nexts), width), -1, dtype=np.int32)
-    for s, row in enumerate(nexts):
-        if row:
-            out[s, list(row)] = list(row.values())
-    return out
+    return nexts
 
 
 class Model:
-    """Languages with their automata in one table. Entry [state, symbol] is twice the offset of the next state's row, plus 1
-    where a phrase begins."""
+    """Languages with their automata.
+
+    Those with few letters are in one dense table: entry [state, symbol] is twice the offset of the next state's row, plus 1 where
+    a phrase begins. Those with many have the key state * width + symbol and the next state of every transition but the starts',
+    and the starts' own rows; a step without a key begins a phrase.
+    """
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        letters = sorted({x for t in samples.values() for c in set(t) if _LETTER.match(c) for x in [c.lower()] if len(x) == 1 and ord(x) < 0x3000})
-        self.letters = {c: _FIRST + i for i, c in enumerate(letters[:250])}
+        own = {lang: {fold(c) for c in set(samples[lang]) if _LETTER.match(c)} for lang in self.langs}
+        self.letters = {c: _FIRST + i for i, c in enumerate(sorted(set().union(*own.values())))}
         self.width = _FIRST + len(self.letters)
-        self.codes = np.full(0x3000, _SPACE, dtype=np.uint8)
-        for i in range(0x3000):
-            c = chr(i)
-            if _LETTER.match(c):
-                self.codes[i] = self.letters.get(c.lower(), _OTHER)
+        self.codes = np.full(sys.maxunicode + 1, _SPACE, dtype=np.min_scalar_type(self.width))
+        for run in _LETTERS.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+            for i in range(*run.span()):
+                self.codes[i] = self.letters.get(fold(chr(i)), _OTHER)
+        shared = len(self.letters) <= DENSE
+        self.narrow = [k for k, lang in enumerate(self.langs) if shared or len(own[lang]) <= DENSE]
+        self.wide = [k for k in range(len(self.langs)) if k not in self.narrow]
+        # columns of the dense table: the symbols, or for each of its languages the places of its own letters among them
+        self.columns = None if shared else np.full((len(self.narrow), self.width), _OTHER, dtype=np.uint8)
         parts, self.starts, self.bits, at = [], [], [], 0
-        for lang in self.langs:
+        keys, values, self.roots, states = [], [], [], 0
+        self.root_rows = np.zeros((len(self.wide), self.width), dtype=np.int64)
+        for k, lang in enumerate(self.langs):
             codes = self.encode(samples[lang])
-            table = automaton([int(c) for c in codes if c != _OTHER], self.width)
-            begin = table < 0
-            begin[0] = True
-            root = np.where(table[0] < 0, 0, table[0])
-            table = np.where(table < 0, root[None, :], table)
-            full = (table * self.width + at) * 2 + begin
-            full[:, _PAD] = at * 2
-            parts.append(full.astype(np.int32).ravel())
-            self.starts.append(at)
             self.bits.append(math.log2(len(codes) + 2))
-            at += table.size
+            nexts = automaton(codes.tolist())
+            if k in self.narrow:
+                places, width = np.arange(self.width), self.width
+                if self.columns is not None:
+                    places = self.columns[self.narrow.index(k)]
+                    places[[_SPACE, _PAD]] = _SPACE, _PAD
+                    mine = sorted(self.letters[c] for c in own[lang])
+                    places[mine] = np.arange(_FIRST, _FIRST + len(mine))
+                    width = _FIRST + len(mine)
+                table = np.full((len(nexts), width), -1, dtype=np.int32)
+                for s, row in enumerate(nexts):
+                    if row:
+                        table[s, places[list(row)]] = list(row.values())
+                begin = table < 0
+                begin[0] = True
+                root = np.where(table[0] < 0, 0, table[0])
+                table = np.where(table < 0, root[None, :], table)
+                full = (table * width + at) * 2 + begin
+                full[:, _PAD] = at * 2
+                parts.append(full.astype(np.int32).ravel())
+                self.starts.append(at)
+                at += table.size
+            else:
+                starts = self.root_rows[len(self.roots)]
+                starts[:] = states
+                starts[list(nexts[0])] = np.array(list(nexts[0].values()), dtype=np.int64) + states
+                for s, row in enumerate(nexts[1:], states + 1):
+                    keys += [s * self.width + c for c in row]
+                    values += [v + states for v in row.values()]
+                self.roots.append(states)
+                states += len(nexts)
         self.table = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+        keys, values = np.array([*keys, np.iinfo(np.int64).max], dtype=np.int64), np.array([*values, 0], dtype=np.int64)
+        order = keys.argsort()
+        self.keys, self.values = keys[order], values[order]
 
     def encode(self, text: str) -> np.ndarray:
         """Symbols of a text, without repeated spaces."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        if len(points) and points.max() >= 0x3000:
-            codes = self.codes[np.minimum(points, 0x2FFF)]
-            high = np.flatnonzero(points >= 0x3000)
-            codes[high] = [_OTHER if _LETTER.match(chr(p)) else _SPACE for p in points[high].tolist()]
-        else:
-            codes = self.codes[points]
+        codes = self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
         keep = np.ones(len(codes), dtype=bool)
         keep[1:] = (codes[1:] != _SPACE) | (codes[:-1] != _SPACE)
         return codes[keep]
@@ -117,23 +152,43 @@ class Model:
                 blocks.append(codes[at : at + BLOCK])
                 owner.append(i)
         order = sorted(range(len(blocks)), key=lambda b: len(blocks[b]))  # blocks of about one length together
-        starts = np.array(self.starts, dtype=np.int32)[:, None]
         for at in range(0, len(order), LANES):
             chosen = order[at : at + LANES]
             grid = np.full((len(chosen), len(blocks[chosen[-1]])), _PAD, dtype=np.int32)
             for lane, b in enumerate(chosen):
                 grid[lane, : len(blocks[b])] = blocks[b]
             columns = np.ascontiguousarray(grid.T)
-            state = np.repeat(starts, len(chosen), axis=1)
-            found = np.zeros_like(state)
-            for column in columns:
-                state += column
-                entry = self.table.take(state)
-                found += entry & 1
-                state = entry >> 1
+            found = np.zeros((len(self.langs), len(chosen)), dtype=np.int64)
+            if self.narrow:
+                found[self.narrow] = self._dense(columns)
+            if self.wide:
+                found[self.wide] = self._sparse(columns)
             np.add.at(counts, [owner[b] for b in chosen], found.T)
         return counts
 
+    def _dense(self, columns: np.ndarray) -> np.ndarray:
+        """Phrases of each lane in each language of the dense table."""
+        state = np.repeat(np.array(self.starts, dtype=np.int32)[:, None], columns.shape[1], axis=1)
+        found = np.zeros_like(state)
+        for column in columns:
+            state += column if self.columns is None else self.columns.take(column, axis=1)
+            entry = self.table.take(state)
+            found += entry & 1
+            state = entry >> 1
+        return found
+
+    def _sparse(self, columns: np.ndarray) -> np.ndarray:
+        """Phrases of each lane in each of the other languages."""
+        state = np.repeat(np.array(self.roots, dtype=np.int64)[:, None], columns.shape[1], axis=1)
+        found = np.zeros_like(state)
+        for column in columns:
+            key = state * self.width + column
+            place = self.keys.searchsorted(key)
+            missed = self.keys.take(place) != key
+            found += missed & (column != _PAD)
+            state = np.where(missed, self.root_rows.take(column, axis=1), self.values.take(place))
+        return found
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, score (the winner's share if each bit of difference halves the odds) and bits a symbol of each text."""
         has = [bool(t) and bool(self.langs) and _LETTER.search(t) is not None for t in texts]
