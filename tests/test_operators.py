@@ -142,6 +142,17 @@ def plain_fps(delays, loops):
     return best
 
 
+def test_frames_of_whole_animations(spark):
+    from weblume.catalogue import QUERIES
+
+    rng = random.Random(5)
+    rows = [([rng.choice((0.1, 0.2, 0.7, 0.3, 0.0, 1.5, 1 / 60)) for _ in range(rng.randrange(1, 60))], rng.randrange(1, 4)) for _ in range(60)] + [([0.1] * 4000, 1), ([1 / 60] * 300, 2)]
+    df = spark.createDataFrame([(i, d, n) for i, (d, n) in enumerate(rows)], "id int, d array<double>, n int")
+    assert [r[0] for r in df.orderBy("id").select(media.frames_per_second(F.col("d"), F.col("n"))).collect()] == [plain_fps(d, n) for d, n in rows]
+    got = QUERIES["whole_animations"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r["shown_s"] for r in got) == 1500 * 0.25 and {r["fps"] for r in got} == {4}
+
+
 def test_frames(spark):
     rows = [([0.25] * 4, 3), ([0.5, 0.75, 0.125, 0.125, 0.25], 1), ([0.5, 0.75, 0.125, 0.125, 0.25], 4), ([2.0, 3.0], 2), ([0.125] * 20, 9999)]
     df = spark.createDataFrame([(i, d, n) for i, (d, n) in enumerate(rows)], "id int, d array<double>, n int")

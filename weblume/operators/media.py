@@ -10,6 +10,39 @@ def display_time(delays: Column) -> Column:
     return F.aggregate(delays, F.lit(0.0), lambda a, x: a + x)
 
 
+def _longest_window(laid: Column) -> Column:
+    """No fewer frames than any window of a second has: its ends move 2n times at most. Sums here differ by rounding from those
+    of each window by itself, so a little more than a second is let in."""
+    zero = F.struct(F.lit(0).alias("l"), F.lit(0).alias("r"), F.lit(0.0).alias("s"), F.lit(0).alias("k"))
+
+    def move(w: Column, _: Column) -> Column:
+        x = F.get(laid, w["r"])
+        grow = F.coalesce((w["r"] < F.size(laid)) & (w["s"] + x <= 1.000001), F.lit(False))
+        held = w["l"] < w["r"]
+        r = w["r"] + F.when(grow | ~held, 1).otherwise(0)
+        left = w["l"] + F.when(grow, 0).otherwise(1)
+        s = F.when(grow, w["s"] + x).when(held, w["s"] - F.get(laid, w["l"])).otherwise(0.0)
+        return F.struct(left.alias("l"), r.alias("r"), s.alias("s"), F.greatest(w["k"], r - left).alias("k"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(2 * F.size(laid), F.lit(1))), zero, move)["k"]
+
+
+def _most_in_a_second(laid: Column) -> Column:
+    """Most frames from any on whose delays stay within a second: each window is summed by itself, but no further than the
+    longest goes."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c"), F.lit(True).alias("open"))
+
+    def step(a: Column, x: Column) -> Column:
+        fits = a["open"] & (a["s"] + x <= 1.0)
+        return F.struct((a["s"] + F.when(fits, x).otherwise(0.0)).alias("s"), (a["c"] + F.when(fits, 1).otherwise(0)).alias("c"), fits.alias("open"))
+
+    def most(reach: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(laid), F.lit(1)))
+        return F.array_max(F.transform(starts, lambda i: F.aggregate(F.slice(laid, i, reach), zero, step)["c"]))
+
+    return F.transform(F.array(_longest_window(laid)), most)[0]
+
+
 def frames_per_second(delays: Column, loops: Column) -> Column:
     """Most frames within any second of play.
 
@@ -19,18 +52,7 @@ def frames_per_second(delays: Column, loops: Column) -> Column:
     total, n = display_time(delays), F.size(delays)
     times = F.when(loops == 1, 1).when(total >= 1, 2).otherwise(F.least(F.greatest(F.floor(F.lit(2.0) / total), F.lit(2)), loops)).cast("int")
     laid = F.flatten(F.array_repeat(delays, times))
-
-    def first_over(i: Column) -> Column:
-        """Frames from i on whose delays stay within a second: (sum, count, open)."""
-        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c"), F.lit(True).alias("open"))
-
-        def step(a: Column, x: Column) -> Column:
-            fits = a["open"] & (a["s"] + x <= 1.0)
-            return F.struct((a["s"] + F.when(fits, x).otherwise(0.0)).alias("s"), (a["c"] + F.when(fits, 1).otherwise(0)).alias("c"), fits.alias("open"))
-
-        return F.aggregate(F.slice(laid, i, F.size(laid)), zero, step)["c"]
-
-    most = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size(laid), F.lit(1))), first_over))
+    most = F.transform(F.array(laid), _most_in_a_second)[0]  # laid out once, not for each frame
     return F.when(n == 0, 0).when(total <= 1.0, (n * loops).cast("int")).otherwise(F.greatest(most, F.lit(1)))
 
 
