@@ -91,6 +91,15 @@ def test_language_guess(spark):
     assert language.choose({"a": 100, "b": 101}) == ("", -2) and language.choose({"a": 100, "b": 103}) == ("a", 0) and language.choose({"b": 5}) == ("b", 0)
 
 
+def test_models_count_whole_texts(spark, tmp_path):
+    from weblume.catalogue import QUERIES
+
+    docs = spark.createDataFrame([(1, "xx", "ab " * 9000 + "zq " * 9001)], "doc_id long, lang string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert language.train(docs)["xx"]["_zq"] < language.train(docs)["xx"]["_ab"]
+    assert {r["ngram"]: r["n"] for r in QUERIES["whole_language_models"](spark, str(tmp_path)).collect()}["_zq_"] == 9001
+
+
 def test_readability(spark):
     words = "The beautiful animals are running. " * 5
     (r,) = language.readability(spark.createDataFrame([(1, words)], "id int, t string"), "id", F.col("t")).collect()

@@ -418,6 +418,16 @@ def language_models(spark, sf_dir):
     return language_o.top_grams(docs.select("lang", language_o.reduced(F.col("text")).alias("t")), "lang", F.col("t"))
 
 
+_PLAIN = _REDUCED.removeprefix("substr(").removesuffix(", 1, 25000)")
+
+
+@query(f"SELECT lang, ngram, n, CAST(rank AS INTEGER) AS rank FROM (SELECT lang, ngram, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, ngram) - 1 AS rank FROM ({_GRAMS.format(k='lang', src=f'SELECT lang, {_PLAIN} AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL')}) GROUP BY lang, ngram) WHERE rank < 400")
+def whole_language_models(spark, sf_dir):
+    """As language_models, but the labelled texts aren't cut."""
+    docs = table(spark, sf_dir, "documents").where("text is not null and lang is not null")
+    return language_o.top_grams(docs.select("lang", language_o.plain(F.col("text")).alias("t")), "lang", F.col("t"))
+
+
 @query(f"""WITH d AS (SELECT doc_id, {_REDUCED} AS t FROM documents), ok AS (SELECT doc_id, length(regexp_replace(t, '[0-9]', '', 'g')) >= 1000 AS ok FROM d),
 m AS (SELECT lang, ngram, rank + 1 AS rank FROM (SELECT lang, ngram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, ngram) - 1 AS rank FROM ({_GRAMS.format(k='lang', src=f'SELECT lang, {_REDUCED} AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL')}) GROUP BY lang, ngram) WHERE rank < 400),
 g AS (SELECT doc_id, ngram, rank FROM (SELECT doc_id, ngram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, ngram) - 1 AS rank FROM ({_GRAMS.format(k='doc_id', src='SELECT doc_id, t FROM d')}) GROUP BY doc_id, ngram) WHERE rank < 400),
@@ -427,7 +437,8 @@ SELECT ok.doc_id, CASE WHEN NOT ok.ok OR next / score < 1.02 THEN '' ELSE lang E
 FROM ok LEFT JOIN r ON r.doc_id = ok.doc_id AND rn = 1""")
 def language_guess(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return language_o.guess(docs, language_o.train(docs), "doc_id", "text")
+    cut = docs.withColumn("text", language_o.reduced(F.col("text")))  # as the SQL has it
+    return language_o.guess(docs, language_o.train(cut), "doc_id", "text")
 
 
 @query("""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z]+') AS w, len(regexp_extract_all(text, '[.!?]+')) AS stops FROM documents),
