@@ -227,3 +227,11 @@ def test_crawl_planning(spark):
     assert got == {1: (True, 0.0), 2: (False, 30.0), 3: (True, 0.0), 4: (True, 60.0)}
     hits = spark.createDataFrame([(f"k{i}", h) for i, h in enumerate([1, 1, 2, 3, 3, 9])], "key string, hits int")
     assert crawl.trimmed(hits, 6, 2).count() == 6 and sorted(r["hits"] for r in crawl.trimmed(hits, 5, 3).collect()) == [3, 3, 9] and sorted(r["hits"] for r in crawl.trimmed(hits, 5, 2).collect()) == [9]
+
+
+def test_snippets_of_all_lines(spark):
+    from weblume.catalogue import QUERIES
+
+    lines = {(r["doc_id"], i): v for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() for i, v in enumerate(r["text"].split("\n"))}
+    got = QUERIES["source_snippets"](spark, "/root/testdata/sf0.001").where("col = 0").collect()
+    assert {(r["doc_id"], r["line_no"]): r["snippet"] for r in got} == {k: v[:200] for k, v in lines.items()} and len(got) == len(lines) > 1000

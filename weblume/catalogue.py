@@ -387,6 +387,15 @@ def source_snippet(spark, sf_dir):
     return lines.select("doc_id", "col", text_f.snippet(F.col("line"), F.col("col")).alias("snippet"))
 
 
+@query("""WITH l AS (SELECT doc_id, line_no, line, col, length(line) AS n FROM (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), (VALUES (0), (30), (250), (100000)) c(col))
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, col, CASE WHEN n < 200 THEN line WHEN col > n OR col < 25 THEN substr(line, 1, 200) WHEN col < 200 THEN substr(line, 26, 200) ELSE substr(line, col - 49, 200) END AS snippet FROM l""")
+def source_snippets(spark, sf_dir):
+    """As source_snippet, of every line (from 0)."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    places = lines.select("*", F.explode(F.array(*[F.lit(c) for c in (0, 30, 250, 100000)])).alias("col"))
+    return places.select("doc_id", "line_no", "col", text_f.snippet(F.col("line"), F.col("col")).alias("snippet"))
+
+
 @query("SELECT l_orderkey, l_linenumber, TRUE AS numeric, CAST(trunc(l_extendedprice) AS BIGINT) AS whole, FALSE AS text_numeric, CAST(0 AS BIGINT) AS text_whole FROM lineitem")
 def numeric_format(spark, sf_dir):
     price, flag = F.col("l_extendedprice").cast("string"), F.col("l_returnflag")
