@@ -193,3 +193,44 @@ def test_pdf(spark):
     assert pdf.read(b"x") is None and pdf.read(None) is None
     files = pdf.files(spark.createDataFrame([("f.pdf", blob), ("no", b"no")], "path string, content binary"))
     assert files.count() == 1 and [tuple(r) for r in pdf.links(files).collect()] == [("f.pdf", "http://x/y", -1, -1)]
+
+
+def test_all_landmarks_equal_a_plain_parse(spark, sf):
+    from collections import Counter, defaultdict
+    from html.parser import HTMLParser
+
+    from weblume import dims
+    from weblume.catalogue import QUERIES
+
+    void = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+    own = {"aside": "complementary", "body": "body", "footer": "contentinfo", "head": "head", "header": "banner", "main": "main", "nav": "navigation"}
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.found = [("", "")], []
+
+        def handle_starttag(self, tag, attrs):
+            assert "role" not in dict(attrs) and dict(attrs).get("id") not in dims.ID_LANDMARK and tag != "section"  # all that this parse doesn't know
+            mark = own.get(tag, self.stack[-1][1])
+            self.found.append(mark)
+            if tag not in void:
+                self.stack.append((tag, mark))
+
+        def handle_startendtag(self, tag, attrs):
+            self.found.append(self.stack[-1][1])
+
+        def handle_endtag(self, tag):
+            if tag in [t for t, _ in self.stack]:
+                while self.stack.pop()[0] != tag:
+                    pass
+
+    n, pages = Counter(), defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        parser = Plain()
+        parser.feed(r["html"])
+        n.update(parser.found)
+        for mark in parser.found:
+            pages[mark].add(r["page_id"])
+    got = {r["landmark"]: (r["n"], r["pages"]) for r in QUERIES["all_landmarks"](spark, sf).collect()}
+    assert got == {k: (n[k], len(v)) for k, v in pages.items()} and len(got) > 2

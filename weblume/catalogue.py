@@ -227,6 +227,13 @@ def element_landmarks(spark, sf_dir):
     return roles_o.by_landmark(elements.where(F.col("tag").isin("html", "head", "meta", "title", "style")))
 
 
+@query()
+def all_landmarks(spark, sf_dir):
+    """As element_landmarks, of every element; SQL can't give the landmarks, tests hold it against a plain parse."""
+    elements = html.parse_pages(table(spark, sf_dir, "pages"), wanted=("elements",)).select("page_id", F.inline("elements"))
+    return roles_o.by_landmark(elements)
+
+
 @query("SELECT event_id, CASE event_type WHEN 'error' THEN '' WHEN 'click' THEN 'widget' WHEN 'view' THEN 'landmark' WHEN 'signup' THEN 'epub' ELSE 'abstract' END AS role_class FROM events")
 def role_classes(spark, sf_dir):
     kind = F.col("event_type")
