@@ -192,6 +192,18 @@ def test_secret_query(spark):
     assert by[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_quoted_values_are_judged_by_their_cost():
+    def found(text):
+        return [text[a:b] for a, k, b, _ in secrets.spans(text) if k == 3]
+
+    for word in ("pwd", "pass", "passphrase", "passcode", "auth", "login", "pin", "credential", "credentials", "api-key"):
+        assert found(f"{word} = 'zqxjvkwmbphd'") == ["zqxjvkwmbphd"]
+        assert found(f"{word}: 'password'") == found(f"{word} is something") == []
+    assert found('passphrase = "correct horse battery staple"; x') == ["correct horse battery staple"]
+    assert found("x 'pwd': 'tr0ub <4> dor\\'s zebra', 'b'") == ["tr0ub <4> dor\\'s zebra"]
+    assert found('pwd="hT7#kq!92vLx and\nno quote') == ["hT7#kq!92vLx"] and found("pwd='' zqxjvkwmbphd") == []
+
+
 # -- media
 
 

@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and guess costs of the values that stand in a credential context.
 
 Base patterns find assigned secrets, access keys and hexadecimal strings. The method adds spans of kind ``guess``: a value
-after a credential word (a wider context, and any characters but white space) whose cheapest segmentation would still take
-an attacker 10 ** ``MIN_GUESSES`` guesses. The segmentation into words, dates, repeats, keyboard walks, sequences and
+after a credential word (a wider context; any characters but white space, or what quotes on one line hold) whose cheapest
+segmentation would still take an attacker 10 ** ``MIN_GUESSES`` guesses. The segmentation into words, dates, repeats, keyboard walks, sequences and
 brute-force spans is found by dynamic programming over the end positions; costs are decimal logarithms and add up.
 """
 
@@ -23,7 +23,7 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{32,}")
-_CONTEXT = re.compile(rb"""(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth|credentials?|login|pin)["']?[\x20\t]*(?:[:=]|[\x20\t]is[\x20\t])[\x20\t]*["']?([^\x20\x09-\x0D"'`<>]+)""")
+_CONTEXT = re.compile(rb"""(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth|credentials?|login|pin)["']?[\x20\t]*(?:[:=]|(?P<prose>[\x20\t]is[\x20\t]))[\x20\t]*(?:"(?P<double>(?:[^"\\\n\r]|\\[^\n\r])+)"|'(?P<single>(?:[^'\\\n\r]|\\[^\n\r])+)'|["']?(?P<bare>[^\x20\x09-\x0D"'`<>]+))""")
 #: Every match of a pattern over credential words has one of these; a text without them isn't searched.
 _HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"credential", b"login", b"pin")
 
@@ -111,13 +111,15 @@ def spans(text: str | None) -> list[tuple[int, int, int, float | None]]:
         found.sort()
         starts, reach = [a for a, _, _ in found], list(itertools.accumulate((b for _, _, b in found), max))
         for m in _CONTEXT.finditer(low):
-            start, end = m.span(1)
-            end -= len(m[1]) - len(m[1].rstrip(b",;.:!?)]}#*&$%|"))
+            start, end = m.span(m.lastgroup)
+            if m.lastgroup == "bare":
+                end -= len(m["bare"]) - len(m["bare"].rstrip(b",;.:!?)]}#*&$%|"))
             before = bisect.bisect_right(starts, start)
             if before and reach[before - 1] >= end:
                 continue
             value = raw[start:end].decode("utf-8", "surrogatepass")
-            log = guess_cost(value) if len(value) >= 6 and not value.isalpha() else 0.0  # letters alone are mostly prose
+            prose = value.isalpha() and (m["prose"] is not None or m.lastgroup == "bare")  # letters alone, unless quoted after : or =
+            log = guess_cost(value) if len(value) >= 6 and not prose else 0.0
             if log >= MIN_GUESSES:
                 cost[start, 3, end] = log
                 every.add((start, 3, end))
