@@ -66,7 +66,8 @@ def test_stages(spark, sf, tmp_path):
 def test_stages_take_awkward_tables(spark, sf, tmp_path):
     docs = awkward(spark)
     kept = rows_of(cp.language_id(spark, docs, sf))
-    assert Counter(kept) == Counter(tuple(r) for r in docs.collect() if regex.search(r"\p{L}", r["text"] or ""))
+    # the only row here that is learned from is the English one with the id 7, so a null language becomes English
+    assert Counter(kept) == Counter((r[0], r[1], r[2] or "en", *tuple(r)[3:]) for r in docs.collect() if regex.search(r"\p{L}", r["text"] or ""))
     single = rows_of(cp.simhash_dedup(spark, docs, sf))
     assert sorted((r[0] for r in single), key=str) == sorted({c for _, _, c in plain_components([(r["doc_id"], plain_fp(r["text"])) for r in docs.collect()] ) if c is not None} | {None}, key=str)
     assert Counter(rows_of(cp.decontaminate(spark, docs, sf))) == Counter(tuple(r) for r in docs.collect())

@@ -3,13 +3,16 @@
 For each language a suffix automaton of labelled text is built. A text is parsed against it from left to right into longest
 phrases that occur in the labelled text (a symbol that never occurs is a phrase of its own). A text needs few phrases in its
 own language; phrases times log2 of the sample's length, over the text's symbols, estimates the cross entropy in bits a symbol.
-The language with the lowest estimate wins.
+The language with the lowest estimate wins; of equal ones the first by name.
 
 Symbols: letters that occur in the samples, in lower case; every run of other characters is one space; other letters are one
-symbol without transitions. A text is parsed in blocks of BLOCK symbols, and no phrase crosses a block, so that all blocks of
-many texts advance together, one symbol at a time, through one dense transition table. Up to DENSE letters all languages share
-its columns; beyond that each language with up to DENSE letters has columns of its own letters, and the transitions of the
-others (Han, Hangul) are kept as sorted keys of state and symbol.
+symbol without transitions. Texts are parsed in blocks of BLOCK symbols, so that all blocks of many texts advance together, one
+symbol at a time, but phrases cross blocks: a block is parsed from the start state first, then from the state in which the block
+before it ended, until both parses are in one state; from there on they are the same. Blocks that end before that pass their
+corrected state on.
+
+The transitions of languages with up to DENSE letters are one dense table of at most CELLS entries; those of the others (Han,
+Hangul, or too many languages) are kept as sorted keys of state and symbol, some 16 bytes for each.
 """
 
 from __future__ import annotations
@@ -23,14 +26,23 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import cut
 
 #: Bounds of the labelled sample of each language: characters, and documents (in the order of a hash of their ids).
 SAMPLE_CHARS, SAMPLE_ROWS = 40_000, 64
+#: Bounds of all samples together; where there are more languages, each has an equal share of them (one document at least).
+ALL_CHARS, ALL_ROWS = 8_000_000, 32_768
+#: Symbols that a language's sample has at least where texts are called foreign to it; a shorter one has too few phrases to tell.
+EVIDENCE = 2000
+#: Mean length of the phrases of a text under which it is foreign.
+FOREIGN = 2
 BLOCK = 512
-#: Letters of the dense table.
-DENSE = 250
-#: Blocks that advance together.
-LANES = 4096
+#: Letters that a language of the dense table has at most, and entries of that table (4 bytes each).
+DENSE, CELLS = 250, 1 << 25
+#: Blocks that advance together, and states of them that are kept (4 bytes each, 8 in the sparse form).
+LANES, TRACE = 4096, 1 << 23
 UNKNOWN = "und"
 _LETTER, _LETTERS = regex.compile(r"\p{L}"), regex.compile(r"\p{L}+")
 _SPACE, _PAD = 0, 1  # symbols; then the unknown letter, then the alphabet
@@ -89,16 +101,21 @@ class Model:
         for run in _LETTERS.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
             for i in range(*run.span()):
                 self.codes[i] = self.letters.get(fold(chr(i)), _OTHER)
-        shared = len(self.letters) <= DENSE
-        self.narrow = [k for k, lang in enumerate(self.langs) if shared or len(own[lang]) <= DENSE]
-        self.wide = [k for k in range(len(self.langs)) if k not in self.narrow]
+        shared, room, self.narrow = len(self.letters) <= DENSE, CELLS, []
+        for k, lang in enumerate(self.langs):  # a suffix automaton has under twice as many states as its text has symbols
+            cells = (2 * len(samples[lang]) + 2) * (self.width if shared else _FIRST + len(own[lang]))
+            if (shared or len(own[lang]) <= DENSE) and cells <= room:
+                self.narrow.append(k)
+                room -= cells
+        self.wide = [k for k in range(len(self.langs)) if k not in set(self.narrow)]
         # columns of the dense table: the symbols, or for each of its languages the places of its own letters among them
         self.columns = None if shared else np.full((len(self.narrow), self.width), _OTHER, dtype=np.uint8)
-        parts, self.starts, self.bits, at = [], [], [], 0
+        parts, self.starts, self.bits, self.sizes, at = [], [], [], [], 0
         keys, values, self.roots, states = [], [], [], 0
         self.root_rows = np.zeros((len(self.wide), self.width), dtype=np.int64)
         for k, lang in enumerate(self.langs):
             codes = self.encode(samples[lang])
+            self.sizes.append(len(codes))
             self.bits.append(math.log2(len(codes) + 2))
             nexts = automaton(codes.tolist())
             if k in self.narrow:
@@ -146,68 +163,98 @@ class Model:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each encoded text in each language (texts x languages)."""
         counts = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
-        blocks, owner = [], []
+        if not self.langs:
+            return counts
+        blocks, owner, before = [], [], []
         for i, codes in enumerate(texts):
             for at in range(0, len(codes), BLOCK):
+                before.append(len(blocks) - 1 if at else -1)
                 blocks.append(codes[at : at + BLOCK])
                 owner.append(i)
-        order = sorted(range(len(blocks)), key=lambda b: len(blocks[b]))  # blocks of about one length together
-        for at in range(0, len(order), LANES):
-            chosen = order[at : at + LANES]
-            grid = np.full((len(chosen), len(blocks[chosen[-1]])), _PAD, dtype=np.int32)
+        ends = np.zeros((len(self.langs), len(blocks)), dtype=np.int64)  # the state that each block ends in
+        order = sorted(range(len(blocks)), key=lambda b: -len(blocks[b]))  # of about one length together, a block before its next
+        lanes = max(1, min(LANES, TRACE // (BLOCK * len(self.langs))))
+        for at in range(0, len(order), lanes):
+            chosen = order[at : at + lanes]
+            grid = np.full((len(chosen), len(blocks[chosen[0]])), _PAD, dtype=np.int32)
             for lane, b in enumerate(chosen):
                 grid[lane, : len(blocks[b])] = blocks[b]
-            columns = np.ascontiguousarray(grid.T)
             found = np.zeros((len(self.langs), len(chosen)), dtype=np.int64)
-            if self.narrow:
-                found[self.narrow] = self._dense(columns)
-            if self.wide:
-                found[self.wide] = self._sparse(columns)
+            for langs, step, starts in ((self.narrow, self._dense, self.starts), (self.wide, self._sparse, self.roots)):
+                if langs:
+                    found[langs] = self._parse(np.ascontiguousarray(grid.T), step, starts, ends, langs, chosen, before)
             np.add.at(counts, [owner[b] for b in chosen], found.T)
         return counts
 
-    def _dense(self, columns: np.ndarray) -> np.ndarray:
-        """Phrases of each lane in each language of the dense table."""
-        state = np.repeat(np.array(self.starts, dtype=np.int32)[:, None], columns.shape[1], axis=1)
-        found = np.zeros_like(state)
-        for column in columns:
-            state += column if self.columns is None else self.columns.take(column, axis=1)
-            entry = self.table.take(state)
-            found += entry & 1
-            state = entry >> 1
-        return found
-
-    def _sparse(self, columns: np.ndarray) -> np.ndarray:
-        """Phrases of each lane in each of the other languages."""
-        state = np.repeat(np.array(self.roots, dtype=np.int64)[:, None], columns.shape[1], axis=1)
-        found = np.zeros_like(state)
-        for column in columns:
-            key = state * self.width + column
-            place = self.keys.searchsorted(key)
-            missed = self.keys.take(place) != key
-            found += missed & (column != _PAD)
-            state = np.where(missed, self.root_rows.take(column, axis=1), self.values.take(place))
-        return found
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score (the winner's share if each bit of difference halves the odds) and bits a symbol of each text."""
+    def _parse(self, columns: np.ndarray, step, starts: list[int], ends: np.ndarray, langs: list[int], chosen: list[int], before: list[int]) -> np.ndarray:
+        """Phrases of each lane in some languages, and in ``ends`` the last state of each."""
+        every, width = np.arange(len(langs)), columns.shape[1]
+        state = np.repeat(np.array(starts, dtype=np.int64 if step == self._sparse else np.int32)[:, None], width, axis=1)
+        trace = np.empty((len(columns), *state.shape), dtype=state.dtype)
+        begun = np.zeros(trace.shape, dtype=bool)
+        for k, column in enumerate(columns):
+            state, begun[k] = step(state, column[None, :], every[:, None])
+            trace[k] = state
+        found, place = begun.sum(axis=0), {b: lane for lane, b in enumerate(chosen)}
+        ends[np.ix_(langs, chosen)] = state
+        extra = np.zeros_like(found)
+        lane = np.array([x for x, b in enumerate(chosen) if before[b] >= 0], dtype=np.int64)
+        after = {place[before[chosen[x]]]: int(x) for x in lane if before[chosen[x]] in place}  # lanes of one text that follow each other
+        which, lane = np.repeat(every, len(lane)), np.tile(lane, len(langs))
+        rows = np.array(langs)
+        while len(lane):
+            previous = np.array([before[chosen[x]] for x in lane])
+            now, open_ = ends[rows[which], previous], np.arange(len(lane))
+            more = np.zeros(len(lane), dtype=np.int64)
+            for k, column in enumerate(columns):
+                g, x = which[open_], lane[open_]
+                now, begins = step(now, column[x], g)
+                more[open_] += begins.astype(np.int64) - begun[k, g, x]
+                apart = now != trace[k, g, x]
+                open_, now = open_[apart], now[apart]
+                if not len(open_):
+                    break
+            extra[which, lane] = more
+            # lanes that never met their first parse end in another state, and the next block of the text starts from it
+            last = trace[-1, which, lane].astype(np.int64)
+            last[open_] = now
+            numbers = np.array([chosen[x] for x in lane])
+            changed = np.flatnonzero(ends[rows[which], numbers] != last)
+            ends[rows[which[changed]], numbers[changed]] = last[changed]
+            again = [(int(which[c]), after[int(lane[c])]) for c in changed if int(lane[c]) in after]
+            which, lane = (np.array(v, dtype=np.int64) for v in (zip(*again) if again else ((), ())))
+        return found + extra
+
+    def _dense(self, state: np.ndarray, symbol: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states in languages of the dense table, and where phrases begin."""
+        entry = self.table.take(state + (symbol if self.columns is None else self.columns[which, symbol]))
+        return entry >> 1, (entry & 1).astype(bool)
+
+    def _sparse(self, state: np.ndarray, symbol: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same in the other languages."""
+        key = state * self.width + symbol
+        place = self.keys.searchsorted(key)
+        missed = self.keys.take(place) != key
+        state = np.where(missed, self.root_rows[which, symbol], self.values.take(place))
+        return state, missed & (symbol != _PAD)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
+        """Of each text its language, score (the winner's share if each bit of difference halves the odds), bits a symbol, and
+        whether it is foreign: its phrases, but for one, are under FOREIGN symbols long."""
         has = [bool(t) and bool(self.langs) and _LETTER.search(t) is not None for t in texts]
         encoded = [self.encode(t) for t, h in zip(texts, has) if h]
-        bits = self.phrases(encoded) * np.array(self.bits) if encoded else np.zeros((0, 1))
-        langs, scores, rates, k = [], [], [], 0
+        counts = self.phrases(encoded) if encoded else np.zeros((0, 1), dtype=np.int64)
+        out, k = [], 0
         for h in has:
             if not h:
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-                rates.append(0.0)
+                out.append((UNKNOWN, 0.0, 0.0, False))
                 continue
-            row = bits[k]
+            row, n = counts[k] * np.array(self.bits), len(encoded[k])
             best = int(row.argmin())  # the first by name where two are equal
-            langs.append(self.langs[best])
-            scores.append(float(1 / np.exp2(np.minimum(0, row[best] - row)).sum()))
-            rates.append(float(row[best] / len(encoded[k])))
+            score = float(1 / np.exp2(np.minimum(0, row[best] - row)).sum())
+            out.append((self.langs[best], score, float(row[best] / n), self.sizes[best] >= EVIDENCE and bool((counts[k, best] - 1) * FOREIGN > n)))
             k += 1
-        return langs, scores, rates
+        return out
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -217,12 +264,22 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, chars: int = SAMPLE_CHARS, rows: int = SAMPLE_ROWS, seed: int = 5) -> Model:
     """Learn from labelled documents that aren't held out: of each language, whole texts in the order of a hash of their ids,
-    ``rows`` at most, until ``chars`` characters are there (a longer text counts so far)."""
+    ``rows`` at most, until ``chars`` characters are there (a longer text counts so far).
+
+    Where the languages are more than ALL_ROWS / rows or ALL_CHARS / chars, those bounds are lowered for all alike. A table
+    without labels gives a model without languages. Labels are told apart as they are written.
+    """
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
     order = F.xxhash64(F.lit(seed), "doc_id")
     ranked = labelled.select("lang", "doc_id", order.alias("h")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    ids = sorted({r["doc_id"] for r in ranked.where(F.col("rank") <= rows).select("doc_id").collect()})
-    chosen = labelled.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", order.alias("h"), F.substring("text", 1, chars).alias("text")).distinct().collect() if ids else []
+    first = cut(ranked.where(F.col("rank") <= rows).select(F.col("lang").alias("l"), F.col("doc_id").alias("i"), "rank"))
+    langs = max(1, first.where("rank = 1").count())
+    rows, chars = max(1, min(rows, ALL_ROWS // langs)), max(1, min(chars, ALL_CHARS // langs))
+    some = first.where(F.col("rank") <= rows).select("l", "i").distinct()
+    if langs <= ALL_ROWS:
+        some = F.broadcast(some)  # ALL_ROWS rows at most
+    met = labelled.join(some, (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l")), "left_semi")
+    chosen = met.select("lang", "doc_id", order.alias("h"), F.substring("text", 1, chars).alias("text")).distinct().collect()
     samples: dict[str, str] = {}
     for r in sorted(chosen, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"])):
         have = samples.setdefault(r["lang"], "")
@@ -232,27 +289,42 @@ def fit(docs: DataFrame, chars: int = SAMPLE_CHARS, rows: int = SAMPLE_ROWS, see
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """id, carried columns, lang_pred, score and bits (a symbol) of every row; ``und`` where a text is null or has no letter."""
+    """id, carried columns, ``__lang``, ``__score``, ``__bits`` (a symbol) and ``__foreign`` of every row.
+
+    ``und`` where a text is null or has no letter, or nothing was learned. Texts are parsed whole, whatever their length. Rows
+    are independent: repeated ones have equal results, ids may be null.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
     names = [id_col, *(c for c in carry or [] if c != id_col)]
     read = text_col if text_col in names else "__text"
+    made = {"__lang": pa.string(), "__score": pa.float64(), "__bits": pa.float64(), "__foreign": pa.bool_()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                langs, scores, bits = shared.value.predict(part.column(read).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=[*names, "__lang", "__score", "__bits"])
-
-    from pyspark.sql import types as T
+                rows = shared.value.predict(part.column(read).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(made.values()))], names=[*names, *made])
 
-    schema = T.StructType([docs.schema[n] for n in names] + [T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__bits", T.DoubleType())])
+    added = zip(made, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()))
+    schema = T.StructType([docs.schema[n] for n in names] + [T.StructField(n, k) for n, k in added])
     return docs.select(*[F.col(f"`{n}`") for n in names], *([] if read == text_col else [F.col(text_col).alias("__text")])).mapInArrow(scan, schema)
 
 
 def known(docs: DataFrame) -> DataFrame:
-    """The documents in a learned language, with all their columns: those without a letter go."""
-    return identify(docs, fit(docs), carry=docs.columns).where(F.col("__lang") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents in a learned language, with all their columns; a null ``lang`` becomes the predicted one.
+
+    Texts without a letter go, and those foreign to all samples: even in the language with the fewest, their phrases, but for
+    one that the text's end may cut, are under FOREIGN symbols long, so the samples hold little more of them than letters. (Text
+    in a language of the samples has phrases of 3 and more.) Samples of under EVIDENCE symbols reject nothing. Where no row is labelled no language is learned, and only texts without a
+    letter go. Where ``lang`` isn't a string it is left as it is.
+    """
+    model = fit(docs)
+    if not model.langs:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    told = identify(docs, model, carry=docs.columns).where((F.col("__lang") != UNKNOWN) & ~F.col("__foreign"))
+    filled = isinstance(docs.schema["lang"].dataType, T.StringType)
+    return told.select(*[F.coalesce(F.col("lang"), F.col("__lang")).alias(c) if c == "lang" and filled else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9(docs: DataFrame) -> DataFrame:
