@@ -107,9 +107,10 @@ def plain_contamination(docs, bench):
 BENCH = [(1, "One TWO three"), (10, "a b c d e f g h i j k l m n o"), (9, "b c d e f g h i j k l m n"), (2, None), (3, "!!"), (4, ""), (None, "one"), (5, "É x é"), (6, "x x x")]
 
 
-@pytest.mark.parametrize("broadcast", [100_000, 0])
-def test_contamination(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", broadcast)
+@pytest.mark.parametrize("size,rows,rarest", [(64 << 20, 1 << 20, 3), (0, 0, 3), (64 << 20, 0, 1), (0, 1 << 20, 13)])
+def test_contamination(spark, monkeypatch, size, rows, rarest):
+    for name, value in (("BROADCAST_BYTES", size), ("BROADCAST_ROWS", rows), ("RAREST", rarest), ("FREQUENT", 2)):
+        monkeypatch.setattr(decontamination, name, value)
     docs = [(r[0], r[1]) for r in AWKWARD] + [(20, "z " * 300 + "a b c d e f g h i j k l m n o p"), (21, "--A b,c d e f g h i j k l m n o. one two three"), (22, "É x é É x É é x É"), (23, "x x x x x"), (24, "one two Three " * 4000), (21, "one"), (None, None)]
     got = decontamination.op5(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(BENCH, "item_id long, text string"))
     assert sorted(map(tuple, got.collect()), key=str) == plain_contamination(docs, BENCH)
@@ -131,10 +132,72 @@ def test_contamination_without_rows(spark):
     assert len(rows) == len(AWKWARD) and not any(r["contaminated"] or r["n_hit"] for r in rows)
 
 
+def plain_near(docs, bench, slack):
+    """All (id, start, size, items): every window at every place of its rarest term, uses matched to positions one by one."""
+    seen = Counter(t for _, x in docs for t in plain_terms(x))
+    spans, out = {}, set()
+    for item, text in bench:
+        w = plain_terms(text)
+        for a in range(max(1, len(w) - 12) if w and item is not None else 0):
+            spans.setdefault(tuple(w[a : a + 13]), set()).add(item)
+    for i, text in docs:
+        w = plain_terms(text)
+        for span, items in spans.items():
+            rarest = min(span, key=lambda t: (seen[t], span.index(t)))
+            for p in (p for p, t in enumerate(w) if t == rarest):
+                start, ok = p - span.index(rarest), True
+                for term in set(span):
+                    last = -1
+                    for place in (start + o for o, t in enumerate(span) if t == term):
+                        free = [q for q in range(max(0, place - slack, last + 1), min(len(w), place + slack + 1)) if w[q] == term]
+                        ok, last = ok and bool(free), free[0] if free else len(w)
+                if ok:
+                    out.add((i, start, len(span), tuple(sorted(items))))
+    return out
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "alpha one beta two gamma"), (2, "alpha beta"), (3, "gamma beta alpha"), (4, "alpha " + "x " * 20 + "beta gamma")], "doc_id long, text string")
-    assert {r["doc_id"] for r in decontamination.near(docs, bench, slack=3).collect()} == {1, 3}
+    assert {r["doc_id"] for r in decontamination.near(docs, bench, slack=3).collect()} == {1}  # in 3, alpha is 4 from its place
+    assert {r["doc_id"] for r in decontamination.near(docs, bench, slack=4).collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("size,rarest", [(64 << 20, 3), (0, 2)])
+def test_proximity_equals_brute_force(spark, monkeypatch, size, rarest):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", size)
+    monkeypatch.setattr(decontamination, "RAREST", rarest)
+    rng = np.random.default_rng(5)
+    docs = [(i, " ".join(rng.choice(list("abcdefg"), rng.integers(0, 60)))) for i in range(40)] + [(90, None), (None, "a b a"), (91, ""), (95, "a b c d")]
+    bench = [(k, " ".join(rng.choice(list("abcdefg"), k))) for k in (1, 2, 3, 4, 5, 14)] + [(20, "a b a"), (21, None), (None, "c"), (22, "zz a")]
+    for slack in (1, 3):
+        got = decontamination.near(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), slack).collect()
+        rows = [(r["doc_id"], r["start"], r["size"], tuple(sorted(r["items"]))) for r in got]
+        assert Counter(rows) == Counter(plain_near(docs, bench, slack)) and rows
+
+
+def test_proximity_query(spark, sf):
+    from weblume.llm import registry
+
+    docs, bench = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    want = {}
+    for i, start, size, items in plain_near(docs, bench, 3):
+        starts, held = want.setdefault(i, (set(), set()))
+        starts.add((start, size))
+        held.update(items)
+    got = {r["doc_id"]: (r["n_starts"], r["n_items"]) for r in registry.QUERIES["op5_proximity"](spark, sf).collect()}
+    assert got == {i: (len(a), len(b)) for i, (a, b) in want.items()} and got
+
+
+def test_no_key_gathers_all_documents(spark, monkeypatch):
+    """Beyond the broadcast bounds, with a term in all documents: no partition of the postings has more than its share."""
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('common ', id % 50, ' rare', id % 7) AS text")
+    slim = decontamination.keyed(docs)
+    plan = decontamination.planned(slim, spark.createDataFrame([(1, "common 5 rare5"), (2, "common 6")], "item_id long, text string"))
+    rows, index = decontamination.postings(slim, plan)
+    sizes = [r["count"] for r in index.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()]
+    assert rows.count() == 3000 and max(sizes) < 2 * sum(sizes) / len(sizes)
 
 
 # -- chat

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+import importlib
 
 from . import avi, chat, decontamination, langid, lines, mixing, secrets, sharding, simhash, substrings
 from .common import table
@@ -12,13 +12,18 @@ def _over_documents(op):
     return lambda spark, sf_dir: op(table(spark, sf_dir, "documents"))
 
 
+def _pipeline(spark, sf_dir):
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)  # it stands at the repository's top and imports this package
+
+
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": _pipeline,
     "op1_chat_format": lambda spark, sf_dir: chat.op1(table(spark, sf_dir, "conversations")),
     "op2_sharding": _over_documents(sharding.op2),
     "op3_secret_scan": _over_documents(secrets.op3),
     "op4_substring_dedup": _over_documents(substrings.op4),
     "op5_decontamination": lambda spark, sf_dir: decontamination.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op5_proximity": lambda spark, sf_dir: decontamination.op5_proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op6_avi_media": _over_documents(avi.op6),
     "op7_line_dedup": _over_documents(lines.op7),
     "op7_every_line": _over_documents(lines.op7_every_line),
