@@ -1,23 +1,22 @@
 """A corpus pipeline of training-data operators: documents in, shuffled shards of a clean mix out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
-docs. All but the last return the columns of documents.
+docs. All but the last return the columns of documents; the last adds ``shard`` and ``slot``, in place of columns so named.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblume.llm import decontamination, langid, mixing, sharding, simhash
-from weblume.llm.common import table
+from weblume.llm.common import delete, delete_at_end, shared_folder, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter are of no language and go."""
+    """Texts without a letter, and those foreign to all learned languages, go; a null language becomes the predicted one."""
     return langid.known(docs)
 
 
@@ -48,10 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What passes between stages is written to the folder in spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weblume-")
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents. What passes between stages is written to the folder in spark.checkpoint.dir; a stage's input
+    is deleted as soon as its output is written, the last one when the application ends."""
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
+    delete_at_end(spark, folder)
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
