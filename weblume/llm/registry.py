@@ -31,4 +31,4 @@ QUERIES = {
     "op9_language_id": _over_documents(langid.op9),
     "op10_mixing": _over_documents(mixing.op10),
 }
-ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op5_decontamination": decontamination.ORACLE, "op7_line_dedup": lines.ORACLE, "op7_every_line": lines.ORACLE_EVERY_LINE}
+ORACLES: dict[str, str] = {"op1_chat_format": chat.ORACLE, "op4_substring_dedup": substrings.ORACLE, "op5_decontamination": decontamination.ORACLE, "op7_line_dedup": lines.ORACLE, "op7_every_line": lines.ORACLE_EVERY_LINE}

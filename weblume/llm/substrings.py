@@ -13,10 +13,15 @@ of both texts, and only a fifth of all positions are hashed and sent.
 
 Equal texts are one text until the end: copies of a document with a smaller id lose all windows at once, so groups of copies
 don't grow the exchanges. Word and window hashes are prefix sums over whole batches of texts.
+
+Long texts are read in segments of CHUNK bytes that overlap by the words of a window, so memory is bounded by CHUNK (and the
+longest word) and not by the text. A task remembers up to MOST anchors and windows that it has settled: a frequent one is sent
+to its key once or a few times a task, and else to keys that are dealt by its texts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +34,12 @@ from .common import words_count
 WINDOW = 50
 #: A perfect difference set: the differences of its members give each residue but 0 once.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
-#: Bytes of text that are hashed together; a longer text is hashed alone.
+#: Bytes of text that are hashed together; a longer text is hashed in segments.
 CHUNK = 1 << 20
+#: Settled anchors, and windows, that a task remembers.
+MOST = 1 << 20
 
+_SPACES, _WORD = re.compile(rb"[\x20\x09-\x0D]+"), re.compile(rb"[^\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -64,9 +72,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts (bytes): hash, owner, place in the owner's text; first word and number of words of each text."""
+    """The words of some pieces of text (bytes): hash, owner, place in the owner's piece; first word and number of words of each
+    piece, and ``base``, the words of its text before it."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], base: list[int] | None = None):
+        self.base = np.array(base if base is not None else [0] * len(texts), dtype=np.int64)
         raw = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
         space = _SPACE[raw]
         starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
@@ -99,19 +109,61 @@ class Words:
         cover = np.zeros(PERIOD, dtype=bool)
         cover[list(COVER)] = True
         count = self.count[self.owner[:m]]
-        at = np.flatnonzero(cover[self.place[:m] % PERIOD] & (count >= WINDOW) & (self.place[:m] + width <= count))
+        at = np.flatnonzero(cover[(self.place[:m] + self.base[self.owner[:m]]) % PERIOD] & (count >= WINDOW) & (self.place[:m] + width <= count))
         return at, hashes[at]
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    at = size = 0
+def _segments(text: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """(piece, words before it, words of its own): pieces that overlap by the words that a window may reach into the next."""
+    at = base = 0
+    while at < len(text):
+        m = _SPACES.search(text, at + CHUNK)
+        end = m.start() if m else len(text)
+        tail, more = end, _WORD.finditer(text, end)
+        for _ in range(WINDOW - 1):
+            if (w := next(more, None)) is None:
+                break
+            tail = w.end()
+        space = _SPACE[np.frombuffer(b" " + text[at:end], dtype=np.uint8)]
+        own = int(np.count_nonzero(space[:-1] & ~space[1:]))
+        yield text[at:tail], base, own
+        at, base = end, base + own
+
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes], list[int], list[int]]]:
+    """(numbers of their texts, pieces, words before each, own words of each), about CHUNK bytes together; -1 is all words."""
+    held: list[tuple[int, bytes, int, int]] = []
+    size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
-            yield at, texts[at:i]
-            at, size = i, 0
-        size += len(t)
-    if texts:
-        yield at, texts[at:]
+        for piece, base, own in [(t, 0, -1)] if len(t) <= 2 * CHUNK else _segments(t):
+            if held and size + len(piece) > CHUNK:
+                yield tuple(map(list, zip(*held)))
+                held, size = [], 0
+            held.append((i, piece, base, own))
+            size += len(piece)
+    if held:
+        yield tuple(map(list, zip(*held)))
+
+
+class _Seen:
+    """Numbers that a task has met, MOST at most; then the older ones are forgotten."""
+
+    def __init__(self):
+        self.held = [np.zeros(0, dtype=np.int64)] * 2
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), dtype=bool)
+        for held in self.held:
+            if len(held):
+                out |= held[np.minimum(held.searchsorted(keys), len(held) - 1)] == keys
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        old, new = self.held
+        new = np.union1d(new, keys)
+        if len(new) > MOST // 16:
+            old, new = (np.union1d(old, new) if len(old) + len(new) <= MOST else new), new[:0]
+        self.held = [old, new]
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -134,38 +186,43 @@ def _salt(keys: np.ndarray) -> np.ndarray:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(d, text) to distinct (h, d, salt). One text of a chunk with an anchor is sent with salt 0; where the chunk has more, all of
-    them are sent with another salt, as theirs is known to be shared, so a frequent anchor has few rows of salt 0."""
+    them are sent with another salt, as theirs is known to be shared. Later chunks of the task send theirs with such a salt only,
+    so a frequent anchor has few rows of salt 0."""
+    seen = _Seen()
     for batch in batches:
         ids = batch.column(0).to_numpy()
         _, new = np.unique(ids, return_index=True)  # copies in one batch count once
         texts = _bytes(batch.column(1).take(pa.array(new)))
-        for at, some in _chunks(texts):
-            words = Words(some)
+        for number, some, base, _ in _chunks(texts):
+            words = Words(some, base)
             where, hashes = words.anchors()
             if not len(where):
                 continue
-            own, hashes = ids[new[at + words.owner[where]]], hashes.view(np.int64)
+            own, hashes = ids[new[np.array(number)[words.owner[where]]]], hashes.view(np.int64)
             order = np.lexsort((own, hashes))
             own, hashes = own[order], hashes[order]
             once = _starts(hashes, own)
             own, hashes = own[once], hashes[once]
             first = _starts(hashes)
             sizes = np.diff(np.append(np.flatnonzero(first), len(first)))
-            many = np.repeat(sizes, sizes) > 1
-            h, d = np.concatenate([hashes[first], hashes[many]]), np.concatenate([own[first], own[many]])
-            salt = np.concatenate([np.zeros(int(first.sum()), dtype=np.int32), _salt(own[many])])
+            known = seen.has(hashes[first])
+            seen.add(hashes[first][(sizes > 1) & ~known])
+            alone, many = first & ~np.repeat(known, sizes), np.repeat((sizes > 1) | known, sizes)
+            h, d = np.concatenate([hashes[alone], hashes[many]]), np.concatenate([own[alone], own[many]])
+            salt = np.concatenate([np.zeros(int(alone.sum()), dtype=np.int32), _salt(own[many])])
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), pa.array(salt)], names=["h", "d", "salt"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, k, text, shared) to (g1, g2, id, k, at, more, salt): windows that hold a shared anchor, where they are first, and
-    elsewhere. The salt isn't 0 where the chunk has the window with a smaller id, which settles it."""
+    elsewhere. The salt isn't 0 where the task has met the window with a smaller id, which settles it."""
+    seen, least_of = _Seen(), {}
     for batch in batches:
         texts = _bytes(batch.column(2))
-        for begin, some in _chunks(texts):
-            words = Words(some)
+        for number, some, base, own_words in _chunks(texts):
+            number, words = np.array(number), Words(some, base)
             where, hashes = words.anchors()
-            known = [np.asarray(x, dtype=np.int64) for x in batch.column(3).slice(begin, len(some)).to_pylist()]
+            known = [np.asarray(batch.column(3)[int(i)].as_py(), dtype=np.int64) for i in number]
             spread = np.zeros(len(words.hash) + 1, dtype=np.int64)
             owner = words.owner[where]
             edges = np.searchsorted(owner, np.arange(len(some) + 1))
@@ -176,28 +233,39 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     first = words.first[i]
                     np.add.at(spread, np.maximum(hit - (PERIOD - 1), first), 1)
                     np.add.at(spread, np.minimum(hit, first + words.count[i] - WINDOW) + 1, -1)
+            limit = np.where(np.array(own_words) < 0, words.count, own_words)  # windows that begin in the overlap are the next piece's
             at = np.flatnonzero(np.cumsum(spread)[:-1] > 0)
+            at = at[words.place[at] < limit[words.owner[at]]]
             if len(at):
                 g1, g2 = (words.runs(WINDOW, w)[at].view(np.int64) for w in (1, 2))
-                order = np.lexsort((at, g2, g1, words.owner[at]))  # windows that a text repeats come together
+                order = np.lexsort((at, g2, g1, number[words.owner[at]]))  # windows that a text repeats come together
                 at, g1, g2 = at[order], g1[order], g2[order]
-                own = words.owner[at]
+                own = number[words.owner[at]]
                 new = np.ones(len(at), dtype=bool)
                 new[1:] = (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]) | (own[1:] != own[:-1])
                 heads = np.flatnonzero(new)
                 sizes = np.diff(np.append(heads, len(at)))
-                place = words.place[at].astype(np.int32)
+                place = (words.place[at] + words.base[words.owner[at]]).astype(np.int32)
                 more = [None] * len(heads)
                 for j in np.flatnonzero(sizes > 1).tolist():
                     more[j] = place[heads[j] + 1 : heads[j] + sizes[j]]
-                rows = pa.array(begin + own[heads])
+                rows = pa.array(own[heads])
                 ids, salt = batch.column(0).take(rows), np.zeros(len(heads), dtype=np.int32)
                 if pa.types.is_integer(ids.type) and not ids.null_count:
-                    value = ids.to_numpy()
-                    by = np.lexsort((value, g2[heads], g1[heads]))
-                    first = _starts(g1[heads][by], g2[heads][by])
-                    least = np.repeat(value[by][first], np.diff(np.append(np.flatnonzero(first), len(first))))
-                    late = value[by] > least
+                    value, h1, h2 = ids.to_numpy().astype(np.int64), g1[heads], g2[heads]
+                    by = np.lexsort((value, h2, h1))
+                    first = np.flatnonzero(_starts(h1[by], h2[by]))
+                    many = np.diff(np.append(first, len(by)))
+                    least, top = value[by][first], by[first]
+                    for j in np.flatnonzero(seen.has(h1[top])).tolist():  # met before in this task
+                        if (before := least_of.get((int(h1[top[j]]), int(h2[top[j]])))) is not None:
+                            least[j] = min(least[j], before)
+                    told = np.flatnonzero(many > 1)
+                    seen.add(h1[top[told]])
+                    if len(least_of) > MOST:
+                        least_of.clear()
+                    least_of.update(zip(zip(h1[top[told]].tolist(), h2[top[told]].tolist()), least[told].tolist()))
+                    late = value[by] > np.repeat(least, many)
                     salt[by[late]] = _salt(value[by][late])
                 columns = [pa.array(g1[heads]), pa.array(g2[heads]), ids, batch.column(1).take(rows), pa.array(place[heads]), pa.array(more, pa.list_(pa.int32())), pa.array(salt)]
                 yield pa.RecordBatch.from_arrays(columns, names=["g1", "g2", "id", "k", "at", "more", "salt"])
@@ -235,7 +303,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """id, n_words, n_removed and kept (the words that stay, joined by a space) of every document.
 
     Null texts have no words. A null id is neither smaller nor larger than another, so such a document keeps its words and
-    takes none. Repeated rows have equal results. Texts are told apart by 128 bits of hashes, windows by 128 bits.
+    takes none. Repeated rows have equal results. Texts are told apart by 128 bits of hashes, windows by 128 bits. Texts of any
+    length are read whole, in segments. An empty table stays empty, and no other column is read.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("d"), F.xxhash64(F.lit(1), text_col).alias("e"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -269,3 +338,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def op4(docs: DataFrame) -> DataFrame:
     """Contract columns of the substring query."""
     return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same by brute force: every window of fifty words against every other, by an md5 of its words.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rn, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS g FROM (SELECT rn, doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
+f AS (SELECT g, min(doc_id) AS least FROM p GROUP BY g),
+x AS (SELECT rn, list(DISTINCT j) AS gone FROM (SELECT rn, unnest(generate_series(i, i + 49)) AS j FROM p JOIN f USING (g) WHERE least < doc_id) GROUP BY rn)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+ sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN x USING (rn)
+"""
