@@ -5,6 +5,9 @@ joins each message's 2**k-th ancestor with that ancestor's own, and each path fo
 so a path of n messages takes log2(n) rounds. Branches are ranked by the sum of their messages' scores, and each chosen path is
 written as one conversation.
 
+Messages that answer each other in a circle have no root: the smallest of each circle is taken for one. Circles are found by the
+doubling itself, as ancestors that are still there after as many steps as there are messages.
+
 Template: ``<s>[ROLE]role[/ROLE]text</s>`` for each turn, with ``[INST] ... [/INST]`` around a user's text. Inside roles and
 texts a backslash is doubled, and one is put after the first character of a control string (``<s>``, ``</s>``, ``[INST]``,
 ``[/INST]``, ``[ROLE]``, ``[/ROLE]``), so no control string is left; reading removes every escaping backslash.
@@ -31,38 +34,65 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def paths(messages: DataFrame, rounds: int = 40) -> DataFrame:
+def _jumps(parents: DataFrame, n: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Each message's 2**k-th ancestors (tree, node, far), one table for each k, and what is left after ``n`` steps and more (only
+    messages in or below a circle have so many ancestors). A table has a row a message at most."""
+    jump, out, steps = parents, [], 1
+    while not jump.isEmpty():
+        if steps >= n:
+            return out, jump
+        out.append(jump)
+        near, ahead = jump.alias("near"), jump.select(F.col("tree").alias("t"), F.col("node").alias("p"), F.col("far").alias("farther"))
+        jump = cut(near.join(ahead, F.col("near.tree").eqNullSafe(F.col("t")) & (F.col("near.far") == F.col("p"))).select("near.tree", "near.node", F.col("farther").alias("far")))
+        steps *= 2
+    return out, None
+
+
+def _opened(parents: DataFrame, endless: DataFrame, n: int) -> DataFrame:
+    """The parents without that of the smallest message of each circle."""
+    circle = cut(endless.select(F.col("tree").alias("t"), F.col("far").alias("c")).distinct())  # so many steps up, all are in a circle
+    least = cut(parents.join(circle, parents["tree"].eqNullSafe(circle["t"]) & (parents["node"] == circle["c"]), "left_semi").withColumn("least", F.least("node", "far")))
+    steps = 1
+    while steps < n:  # the least of the next 2**k messages round the circle
+        ahead = least.select(F.col("tree").alias("t"), F.col("node").alias("p"), F.col("far").alias("farther"), F.col("least").alias("other"))
+        near = least.alias("near")
+        least = cut(near.join(ahead, F.col("near.tree").eqNullSafe(F.col("t")) & (F.col("near.far") == F.col("p"))).select("near.tree", "near.node", F.col("farther").alias("far"), F.least("near.least", "other").alias("least")))
+        steps *= 2
+    roots = least.where("node = least").select(F.col("tree").alias("t"), F.col("node").alias("p"))
+    return cut(parents.join(roots, parents["tree"].eqNullSafe(roots["t"]) & (parents["node"] == roots["p"]), "left_anti"))
+
+
+def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, up): every message on every root-to-leaf path; up counts from 0 at the leaf.
 
-    messages: tree, node, parent; (tree, node) tells messages apart. A parent that is null or isn't there makes a root. Trees may
-    be null. Messages whose ancestors go round in a circle raise an error after ``rounds`` doublings.
+    messages: tree, node, parent; (tree, node) tells messages apart, and messages whose node is null are left out. A parent that
+    is null or isn't there makes a root, and so does the smallest node of a circle of replies. Trees may be null.
     """
-    known = cut(messages.select("tree", "node", "parent").distinct())
+    known = cut(messages.where(F.col("node").isNotNull()).select("tree", "node", "parent").distinct())
     real = known.select(F.col("tree").alias("t"), F.col("node").alias("p"))
-    linked = known.join(real, known["tree"].eqNullSafe(real["t"]) & (known["parent"] == real["p"]), "left")
-    jump = cut(linked.select("tree", "node", F.col("p").alias("far")).where(F.col("far").isNotNull()))
-    inner = jump.select(F.col("tree").alias("t"), F.col("far").alias("p")).distinct()
+    linked = known.join(real, known["tree"].eqNullSafe(real["t"]) & (known["parent"] == real["p"]), "left_semi")
+    parents, n = cut(linked.select("tree", "node", F.col("parent").alias("far"))), known.count()
+    jumps, endless = _jumps(parents, n)
+    if endless is not None:
+        parents = _opened(parents, endless, n)
+        jumps, _ = _jumps(parents, n)
+    inner = parents.select(F.col("tree").alias("t"), F.col("far").alias("p")).distinct()
     leaves = known.join(inner, known["tree"].eqNullSafe(inner["t"]) & (known["node"] == inner["p"]), "left_anti")
-    found = cut(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    step = 1
-    for _ in range(rounds):
-        if jump.isEmpty():
-            return found
+    found = cut(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")).distinct())
+    for k, jump in enumerate(jumps):
         ahead = jump.select(F.col("tree").alias("t"), F.col("node").alias("p"), "far")
-        more = found.join(ahead, found["tree"].eqNullSafe(ahead["t"]) & (found["node"] == ahead["p"])).select("tree", "leaf", F.col("far").alias("node"), (F.col("up") + step).alias("up"))
+        more = found.join(ahead, found["tree"].eqNullSafe(ahead["t"]) & (found["node"] == ahead["p"])).select("tree", "leaf", F.col("far").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         found = cut(found.unionByName(more))
-        near = jump.alias("near")
-        jump = cut(near.join(ahead.withColumnRenamed("far", "farther"), F.col("near.tree").eqNullSafe(F.col("t")) & (F.col("near.far") == F.col("p"))).select("near.tree", "near.node", F.col("farther").alias("far")))
-        step *= 2
-    raise ValueError("the replies go round in a circle")
+    return found
 
 
 def format_trees(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """One row for each chosen path: tree, leaf, rank (1 the best), score, formatted, loss_spans (code points of ``formatted``
     that assistants wrote, end exclusive).
 
-    messages: tree, node, parent, role, text, score. Null roles and texts are empty, null scores 0. ``branches`` paths of each
-    tree are chosen, by the sum of their scores, ties by the leaf; None chooses all.
+    messages: tree, node, parent, role, text, score; they are read several times, so the caller writes what is costly to make.
+    Null roles and texts are empty, null scores 0. ``branches`` paths of each tree are chosen, by the sum of their scores, ties by
+    the leaf; None chooses all. A path is written in one row, so its texts together must fit a row (2 GB).
     """
     scored = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     every = cut(paths(messages))
@@ -102,7 +132,8 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def threads(conversations: DataFrame) -> DataFrame:
-    """Conversations as trees: each turn answers the one before. Turns that tie are ordered by role and text; repeats stay."""
+    """Conversations as trees: each turn answers the one before. Null turns come first; turns that tie are ordered by role and
+    text, null first; repeats stay. Only conv_id, turn, role and text are read."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     node = F.row_number().over(order).cast("long")
     rows = conversations.select(F.col("conv_id").alias("tree"), "role", "text", node.alias("node"))
@@ -110,13 +141,14 @@ def threads(conversations: DataFrame) -> DataFrame:
 
 
 def op1(conversations: DataFrame) -> DataFrame:
-    """Contract columns of the chat query, over the given conversations and conversation -7."""
+    """Contract columns of the chat query, over the given conversations and conversation -7. Turns that the table itself has in
+    a conversation -7 are of one conversation with the added ones."""
     spark = conversations.sparkSession
     kinds = {f.name: f.dataType for f in conversations.schema.fields}
     planted = spark.range(0, 2, 1, 1).select(
         F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text")
     )
-    made = format_trees(threads(conversations.select("conv_id", "turn", "role", "text").unionByName(planted)))
+    made = format_trees(cut(threads(conversations.select("conv_id", "turn", "role", "text").unionByName(planted))))
     read = made.select(F.col("tree").alias("conv_id"), "formatted", parse(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
