@@ -112,6 +112,27 @@ def test_mix_of_awkward_tables(spark):
     assert mixing.op10(extra(spark)).count() == len(AWKWARD)
 
 
+def test_many_sources(spark):
+    """Ranks and levels over many ranges of sources; weights go by code point, null last."""
+    rows = [(i, "w " * (i % 37 + 1), f"s{i % 301}" if i % 302 else None) for i in range(3000)] + [(5000, "w " * 9000, "\U0001F600"), (5001, "", "empty"), (5002, "a b", "\uFFFD")]
+    check_mix(with_source(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+
+
+def test_a_row_that_fills_a_third_of_the_table(spark, monkeypatch):
+    """Rows alike are documents of their own and spread over the groups of the tree."""
+    monkeypatch.setattr(mixing, "GROUP", 50)
+    monkeypatch.setattr(mixing, "PIECE", 100)
+    rows = [(i, "w " * (i % 9 + 1), f"s{i % 2}") for i in range(2000)] + [(7, "same same", "s0")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = with_source(docs)
+    check_mix(got)
+    assert Counter(r["doc_id"] for r in got)[7] == 1001 and sorted(map(str, got)) == sorted(map(str, with_source(docs.repartition(7))))
+    made = mixing.times(spark.createDataFrame([(1, 950), (2, 1)], "k int, n long"), "n", 950, "number", ["k"])
+    assert sorted(tuple(r) for r in made.select("k", "number").collect()) == [(1, i) for i in range(950)] + [(2, 0)]
+    sizes = [r["count"] for r in made.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()]
+    assert max(sizes) <= 400
+
+
 def test_pivot_keeps_words_and_expectations():
     sums = Counter()
     for seed in range(4000):

@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, words_count
+from .common import cut, salts, words_count
 
 #: Documents that a group of the reduction tree settles.
 GROUP = 2048
+#: Copies of one row that a task makes.
+PIECE = 8192
 #: Weights of the sources in order of their names, repeated.
 WEIGHTS = (1, 2, 3)
 #: A fraction this near to 0 or 1 is an integer.
@@ -31,23 +33,38 @@ TINY = 1e-9
 BROADCAST_ROWS = 10_000
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """Adds ``__rank``, from 1 in the order of the sources, null last: ranks of ranges of sources, and the sources before each."""
+    ranges = cut(sizes.repartitionByRange(salts(sizes.sparkSession), F.col("source").asc_nulls_last()).withColumn("__range", F.spark_partition_id()))
+    before, offsets = 0, {}
+    for r in ranges.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():  # a row for each partition
+        offsets[r["__range"]], before = before, before + r["n"]
+    offset = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])[F.col("__range")] if offsets else F.lit(0)
+    inside = Window.partitionBy("__range").orderBy(F.col("source").asc_nulls_last())
+    return ranges.withColumn("__rank", F.row_number().over(inside) + offset).drop("__range")
+
+
 def targets(sizes: DataFrame, cap: float = 3.0, weights: tuple = WEIGHTS) -> DataFrame:
-    """Adds ``target`` to (source, source_size, ...); one row for each source, null a source like any other."""
-    whole = Window.orderBy("__full", "__rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy("__full", "__rank").rowsBetween(Window.unboundedPreceding, -1)
+    """Adds ``target`` to (source, source_size, ...); one row for each source, null a source like any other.
+
+    The sources that aren't full share one level of words by weight. It is found by rising: sources that the level fills are
+    capped and the others share the rest, until no more are filled. Each step is one aggregate; sums are of integers, so they
+    are the same in any order.
+    """
     listed = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = (
-        sizes.withColumn("__rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-        .withColumn("__w", F.element_at(listed, ((F.col("__rank") - 1) % len(weights) + 1).cast("int")))
-        .withColumn("__top", F.col("source_size") * F.lit(float(cap)))
-        .withColumn("__full", F.col("__top") / F.col("__w"))
-    )
-    zero = F.lit(0.0)
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("__top").over(before), zero)) / (F.sum("__w").over(whole) - F.coalesce(F.sum("__w").over(before), zero))
-    leveled = ranked.withColumn("__level", level)
-    first = F.min(F.when(F.col("__full") > F.col("__level"), F.struct("__full", "__rank", "__level"))).over(whole)
-    share = F.coalesce(F.least("__top", first["__level"] * F.col("__w")), F.col("__top"))
-    return leveled.select(*sizes.columns, share.alias("target"))
+    ranked = cut(
+        _ranked(sizes).withColumn("__w", F.element_at(listed, ((F.col("__rank") - 1) % len(weights) + 1).cast("int")))
+        .withColumn("__top", F.col("source_size") * F.lit(float(cap))).withColumn("__full", F.col("__top") / F.col("__w"))
+    )
+    level, filled = 0.0, -1
+    while True:
+        full = F.col("__full") <= F.lit(level)
+        total, taken, weight, n = ranked.agg(F.sum("source_size"), F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("__w"))), F.count(F.when(full, 1))).first()
+        if n == filled or not weight:
+            break
+        level, filled = max(level, (total - cap * (taken or 0)) / weight), n
+    share = F.least("__top", F.lit(level) * F.col("__w")) if weight else F.col("__top")
+    return ranked.select(*sizes.columns, share.alias("target"))
 
 
 def pivot(fractions: list[float], sizes: list[int], rng: random.Random) -> int:
@@ -73,7 +90,7 @@ def pivot(fractions: list[float], sizes: list[int], rng: random.Random) -> int:
 
 def _settle(seed: int, level: int):
     def settle(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("__h", "ascending"), ("__id", "ascending")])
+        rows = rows.sort_by([("__h", "ascending"), ("__id", "ascending"), ("__copy", "ascending")])
         fractions = rows["__f"].to_pylist()
         pivot(fractions, rows["size"].to_pylist(), random.Random(f"{seed}:{level}:{[k.as_py() for k in key]}"))
         return rows.set_column(rows.schema.get_field_index("__f"), "__f", pa.array(fractions, pa.float64()))
@@ -81,27 +98,39 @@ def _settle(seed: int, level: int):
     return settle
 
 
+def times(df: DataFrame, n: str, most: int, number: str, keys: list[str]) -> DataFrame:
+    """Each row ``n`` times (``most`` at most), numbered from 0 in ``number``. Where a row stands for many, PIECE are made in a task."""
+    pieces = df.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / PIECE).cast("int"))))
+    if most > PIECE:
+        pieces = pieces.repartition(salts(df.sparkSession), *keys, "__piece")
+    last = F.least(F.col(n), (F.col("__piece") + 1) * PIECE) - 1
+    return pieces.withColumn(number, F.explode(F.sequence((F.col("__piece") * PIECE).cast("long"), last.cast("long")))).drop("__piece")
+
+
 def mix(rows: DataFrame, cap: float = 3.0, seed: int = 77) -> DataFrame:
     """Decide how often each document is taken.
 
     rows: columns ``__id`` (string, tells documents apart), ``size`` (words, long), ``source``; others are carried along.
     Adds ``source_size``, ``target``, ``copies`` (long, whole copies) and ``part`` (long, words of one more copy; more than 0
-    in one document of a source at most). Documents without words get no copies. Repeated rows are documents of their own.
-    An empty table stays empty.
+    in one document of a source at most). Documents without words get no copies. Rows alike in all columns are counted, and
+    then numbered as documents of their own, so a row that fills a third of the table is spread over the groups. An empty table
+    stays empty. Ids may be null; texts aren't read here.
     """
-    rows = cut(rows)  # texts are read once; these rows are narrow
-    sums = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__docs")))
+    names = rows.columns
+    rows = cut(rows.groupBy(*names).agg(F.count("*").alias("__rows")))  # texts are read once; these rows are narrow
+    sums = cut(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("__rows")).alias("source_size"), F.sum("__rows").alias("__docs")))
     known = cut(targets(sums, cap)).withColumnRenamed("source", "__source")
     n_sources, most = known.agg(F.count("*"), F.coalesce(F.max("__docs"), F.lit(0))).first()
     hinted = F.broadcast(known) if n_sources <= BROADCAST_ROWS else known
     expected = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(F.col("__x") + F.lit(TINY))
+    each = times(rows, "__rows", rows.agg(F.max("__rows")).first()[0] or 0, "__copy", names).drop("__rows")
     todo = (
-        rows.join(hinted, rows["source"].eqNullSafe(known["__source"])).drop("__source")
+        each.join(hinted, each["source"].eqNullSafe(known["__source"])).drop("__source")
         .withColumn("__x", expected)
         .withColumn("copies", whole.cast("long"))
         .withColumn("__f", F.greatest(F.col("__x") - whole, F.lit(0.0)))
-        .withColumn("__h", F.xxhash64(F.lit(seed), "__id"))
+        .withColumn("__h", F.xxhash64(F.lit(seed), "__id", "__copy"))
         .withColumn("__b", F.pmod("__h", F.ceil(F.col("__docs") / F.lit(float(GROUP)))))
         .drop("__x", "__docs")
     )
@@ -122,7 +151,7 @@ def mix(rows: DataFrame, cap: float = 3.0, seed: int = 77) -> DataFrame:
     return (
         out.withColumn("copies", F.col("copies") + F.floor("__f").cast("long"))
         .withColumn("part", F.when(F.col("__f") < 1, F.round(F.col("__f") * F.col("size"))).otherwise(F.lit(0)).cast("long"))
-        .drop("__f", "__h", "__b")
+        .drop("__f", "__h", "__b", "__copy")
     )
 
 
@@ -140,9 +169,10 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns. The one document of a source that is taken
     in part is taken whole where the part is half of it or more, and else not."""
     taken = F.col("copies") + F.when(F.col("part") * 2 >= F.greatest("size", F.lit(1)), 1).otherwise(0)
-    decided = mix(narrow(docs)).groupBy("__id").agg(F.sum(taken).cast("int").alias("__taken")).where("__taken > 0").withColumnRenamed("__id", "__key")
+    chosen = cut(mix(narrow(docs)).groupBy("__id").agg(F.sum(taken).alias("__taken")).where("__taken > 0").withColumnRenamed("__id", "__key"))
+    most = chosen.agg(F.max("__taken")).first()[0] or 0
     rows = docs.withColumn("__key", document_key()).dropDuplicates(["__key"])
-    return rows.join(decided, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__taken")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return times(rows.join(chosen, "__key"), "__taken", most, "__copy", ["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10(docs: DataFrame) -> DataFrame:
