@@ -188,7 +188,7 @@ def test_guess_cost_is_the_cheapest_segmentation():
                 return 0.0
             options = [best(n - 1) + secrets._single(v[n - 1])]
             for a in range(n - 2):
-                r = secrets._RANK.get(v[a:n])
+                r = secrets._KNOWN.rank.get(v[a:n])
                 if r:
                     options.append(best(a) + math.log10(2) * (a > 0) + math.log10(r + 1))
             return min(options)
@@ -199,6 +199,31 @@ def test_guess_cost_is_the_cheapest_segmentation():
         assert secrets.guess_cost(v) == pytest.approx(brute(v))
 
 
+def test_letters_alone_are_judged_by_their_cost():
+    def found(text, *words):
+        return [text[a:b] for a, k, b, _ in secrets.spans(text, secrets.Dictionary(words)) if k == 3]
+
+    assert found("pwd: xkqzvjwpmtrblgd") == ["xkqzvjwpmtrblgd"] and found("login=zqxjvkwmbphd;") == ["zqxjvkwmbphd"]
+    assert found("passphrase: correct") == found("pin: 1234") == found("pwd is zqxjvkwmbphd") == found("auth: required") == []
+    phrase = "pass: correcthorsebatterystaple"
+    assert found(phrase) == ["correcthorsebatterystaple"]  # four words of any dictionary take 10^8 guesses and more, unless they are very common
+    vocabulary = ["horse", "battery", "staple"]
+    costs = [secrets.guess_cost("correcthorsebatterystaple", secrets.Dictionary(x)) for x in ((), [f"w{i}" for i in range(5000)] + vocabulary, vocabulary)]
+    assert costs[0] > 20 > 15 > costs[1] > costs[2] and found(phrase, *vocabulary) == ["correcthorsebatterystaple"]
+    assert found("pass: horsehorse", *vocabulary) == found("pass: StapleHorse1", *vocabulary) == []
+    assert secrets.guess_cost("\u0130x" * 3) > 5  # lower case of two characters keeps its place
+
+
+def test_words_are_learned_from_all_texts(spark):
+    rows = [(1, "Tree tree, TREE house; ab " + "q" * 30), (2, "house \u00e9t\u00e9 9tree9"), (3, None), (4, ""), (5, "password = 'treehouse' token: zzzzzz zzzz pwd is wwww"), (5, "password = 'treehouse' token: zzzzzz zzzz pwd is wwww")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = secrets.learned(docs)
+    assert words[:2] == ["tree", "house"] and set(words) == {"tree", "house", "\u00e9t\u00e9", "zzzz", "password", "token", "pwd"} - {"password", "token", "pwd"}
+    assert secrets.learned(docs, most=1) == ["tree"] and secrets.learned(docs.limit(0)) == []
+    found = secrets.find_secrets(docs.unionByName(docs.selectExpr("doc_id + 10 AS doc_id", "'pass: treehouse' AS text"))).collect()
+    assert not [r for r in found if r["doc_id"] > 10 and r["secrets"]]
+
+
 def test_assigned_values_have_costs():
     weak, strong = secrets.spans("token=password123 secret: Zk3/9+qXw8_1Lp0v")
     assert weak[3] < 5 < 14 < strong[3] and weak[1] == strong[1] == 0
@@ -270,6 +295,89 @@ def test_media_query(spark):
     assert by[5]["media_sha256"] == by[4]["media_sha256"]
 
 
+def plain_samples(media):
+    """Samples of an AVI file of lossless frames, from the file formats alone: chunk by chunk, bit by bit."""
+    out, at = [], media.index(b"movi") + 4
+    end = media.index(b"idx1")
+    while at + 8 <= end:
+        size = int.from_bytes(media[at + 4 : at + 8], "little")
+        if media[at : at + 4] == b"00dc":
+            jpeg = media[at + 8 : at + 8 + size]
+            sof, dht, sos = jpeg.index(b"\xff\xc3"), jpeg.index(b"\xff\xc4"), jpeg.index(b"\xff\xda")
+            height, width = int.from_bytes(jpeg[sof + 5 : sof + 7], "big"), int.from_bytes(jpeg[sof + 7 : sof + 9], "big")
+            lengths, values = jpeg[dht + 5 : dht + 21], jpeg[dht + 21 :]
+            table, code, k = {}, 0, 0
+            for n, many in enumerate(lengths, 1):
+                for _ in range(many):
+                    table[format(code, f"0{n}b")] = values[k]
+                    code, k = code + 1, k + 1
+                code <<= 1
+            bits = "".join(format(b, "08b") for b in jpeg[sos + 10 : -2].replace(b"\xff\x00", b"\xff"))
+            place, rows = 0, []
+            for y in range(height):
+                row = []
+                for x in range(width):
+                    n = 1
+                    while bits[place : place + n] not in table:
+                        n += 1
+                    c = table[bits[place : place + n]]
+                    extra = bits[place + n : place + n + c]
+                    place += n + c
+                    d = 0 if not c else int(extra, 2) if extra[0] == "1" else int(extra, 2) - (1 << c) + 1
+                    row.append((d + (row[-1] if x else rows[-1][0] if y else 128)) & 255)
+                rows.append(row)
+            out.append(np.array(rows, dtype=np.uint8))
+        at += 8 + size + size % 2
+    return out
+
+
+def test_every_column_of_the_media_query(spark):
+    """Payload, hashes, feature and clip times of whole texts against the plain reader."""
+    texts = [None, "", "x" * 64, "é" * 33, "a" * 4096 * 5 + "\u4e00" * 4096 * 4 + "zz Z" * 900, "\x00\x7f" * 3000, "same", "same"]
+    rows = {r["doc_id"]: r for r in avi.op6(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    stored = {r["doc_id"]: bytes(r["media"]) for r in avi.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    cut = 0
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        frames, r = plain_samples(stored[i]), rows[i]
+        assert b"".join(f.tobytes() for f in frames) == payload
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(stored[i]), hashlib.sha256(stored[i]).hexdigest())
+        shares = [[float((f >> 3 == b).sum()) / f.size for b in range(32)] for f in frames]
+        diffs = [sum(abs(p - q) for p, q in zip(a, b)) / 2 for a, b in zip(shares, shares[1:])]
+        starts = [0]
+        for k, d in enumerate(diffs):
+            past = diffs[max(0, k - 8) : k]
+            mean = sum(past) / len(past) if past else 0
+            if d > max(0.35, mean + 3 * (sum((x - mean) ** 2 for x in past) / len(past)) ** 0.5 if past else 0):
+                starts.append(k + 1)
+        ends = [*starts[1:], len(frames)]
+        assert r["feature"] == f"frames={len(frames)};shots={len(starts)};ends={','.join(str(e - 1) for e in ends)}"
+        assert r["clip_times"] == ",".join(f"{a / 25:.2f}-{b / 25:.2f}" for a, b in zip(starts, ends)) and r["error"] is None
+        cut += len(starts) > 1
+    assert cut and rows[6]["media_sha256"] == rows[7]["media_sha256"]
+
+
+def test_media_that_cannot_be_read(spark):
+    """Junk, foreign and cut files give an error and not a failed job; their neighbours are read."""
+    good = avi.write_avi(bytes(range(256)) * 64)
+    frame = avi.encode_frames(np.zeros(64, dtype=np.uint8))[0]
+    blobs = [b"", b"junk", b"RIFF\x04\x00\x00\x00WAVE", good[:40], good[:200], good[: len(good) // 2], good[: good.index(b"idx1")][:-300], good.replace(b"\xff\xc3", b"\xff\xc2"), avi._chunk(b"RIFF", b"AVI "), good.replace(frame[2:6], b"\xff\xc4\x00\x02"), None, good]
+    media = spark.createDataFrame([(i, 1, None if b is None else bytearray(b)) for i, b in enumerate(blobs)], "doc_id long, n_bytes long, media binary")
+    rows = {r["doc_id"]: r for r in avi.analyse(media).collect()}
+    assert rows[11]["error"] is None and rows[11]["payload_sha256"] == hashlib.sha256(bytes(range(256)) * 64).hexdigest()
+    assert rows[10]["error"] is None and rows[10]["media_bytes"] is None
+    for i in range(10):
+        assert rows[i]["error"] and rows[i]["payload_sha256"] is None and rows[i]["media_bytes"] == len(blobs[i]), i
+
+
+def test_media_batches_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(avi, "BATCH", 1000)
+    made = list(avi._batches(((i, b"x" * 300) for i in range(10)), lambda r: len(r[1]), {"i": avi.pa.int64(), "b": avi.pa.binary()}))
+    assert [m.num_rows for m in made] == [3, 3, 3, 1] and sum((m.column(0).to_pylist() for m in made), []) == list(range(10))
+
+
 def baseline_jpeg(planes, sampling, quantiser=1, every=0):
     """A baseline JPEG of planes (multiples of their MCUs) with fixed Huffman codes of 8 (DC) and 8 (AC) bits."""
     import struct

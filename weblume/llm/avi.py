@@ -16,7 +16,7 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -235,7 +235,11 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
         raise ValueError("predictor 1 is supported")
     (lengths, values), n = huffman[0, chosen[parts[0][0]][0]], height * width
     data = scan.replace(b"\xff\x00", b"\xff")
+    if height < 1 or width < 1:
+        raise ValueError("a frame without samples")
     if lengths == LENGTHS and values == VALUES:
+        if len(data) * 8 < 9 * n:
+            raise ValueError("the frame's data end early")
         bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8))[: 9 * n].reshape(-1, 9)
         wide = np.zeros((n, 16), dtype=np.uint8)
         wide[:, 7:] = bits
@@ -291,30 +295,43 @@ def read_avi(media: bytes) -> tuple[list[bytes], float]:
         for name, _, where, size in struct.iter_unpack("<4sIII", index):
             if name[2:] in (b"dc", b"db"):
                 start = movi[0] + where + 8  # offsets count from the list's name
+                if start + size > len(media):
+                    raise ValueError("the file ends inside a frame")
                 frames.append(media[start : start + size])
         return frames, fps
     at = movi[0] + 4
     while at + 8 <= movi[1]:
         name, size = struct.unpack_from("<4sI", media, at)
         if name[2:] in (b"dc", b"db"):
+            if at + 8 + size > len(media):
+                raise ValueError("the file ends inside a frame")
             frames.append(media[at + 8 : at + 8 + size])
         at += 8 + size + (size & 1)
     return frames, fps
 
 
-def shots(frames: list[np.ndarray], fps: float) -> list[dict]:
+def histogram(frame: np.ndarray) -> np.ndarray:
+    """Shares of a frame's samples in BINS bins."""
+    return np.bincount(frame.ravel() >> 3, minlength=BINS) / max(frame.size, 1)
+
+
+def cuts(hists: list[np.ndarray], fps: float) -> list[dict]:
     """Clips between cuts: shot, first_frame, last_frame, start_s, end_s, peak (its cut's difference, 0 for the first)."""
-    if not frames:
+    if not hists:
         return []
-    hists = np.stack([np.bincount(f.ravel() >> 3, minlength=BINS) / f.size for f in frames])
-    diffs = np.abs(np.diff(hists, axis=0)).sum(axis=1) / 2
-    cuts = [(0, 0.0)]
+    diffs = np.abs(np.diff(np.stack(hists), axis=0)).sum(axis=1) / 2
+    found = [(0, 0.0)]
     for i, d in enumerate(diffs):
         past = diffs[max(0, i - WINDOW) : i]
         if d > max(FLOOR, (past.mean() + SIGMAS * past.std()) if len(past) else 0.0):
-            cuts.append((i + 1, float(d)))
-    ends = [c for c, _ in cuts[1:]] + [len(frames)]
-    return [{"shot": k, "first_frame": a, "last_frame": b - 1, "start_s": a / fps, "end_s": b / fps, "peak": p} for k, ((a, p), b) in enumerate(zip(cuts, ends))]
+            found.append((i + 1, float(d)))
+    ends = [c for c, _ in found[1:]] + [len(hists)]
+    return [{"shot": k, "first_frame": a, "last_frame": b - 1, "start_s": a / fps, "end_s": b / fps, "peak": p} for k, ((a, p), b) in enumerate(zip(found, ends))]
+
+
+def shots(frames: list[np.ndarray], fps: float) -> list[dict]:
+    """The clips of decoded frames."""
+    return cuts([histogram(f) for f in frames], fps)
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -323,56 +340,97 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % 64 or 64 * (not raw))
 
 
+#: Bytes of media that a batch of rows holds before it is sent on.
+BATCH = 64 << 20
+
+
+def _batches(rows: Iterable[tuple], size: Callable[[tuple], int], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about BATCH bytes."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += size(row) + 64
+        if n >= BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+
+def _with_id(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What ``make`` yields for each batch, beside the first column of the same rows."""
+    for batch in batches:
+        at = 0
+        for made in make(batch):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, made.num_rows), *made.columns], names=["id", *made.schema.names])
+            at += made.num_rows
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts as media: id, n_bytes and media (binary). A null or empty text is one line of zeros."""
+    """Texts as media: id, n_bytes and media (binary). A null or empty text is one line of zeros.
+
+    Rows are independent: repeated ones have equal media, ids may be null, no other column is read. A text must leave room for
+    its media in a row: they take 1.13 to 1.2 times its bytes and up to 2 GB.
+    """
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [payload_of(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([write_avi(p) for _, p in rows], pa.binary())], names=["id", "n_bytes", "media"])
+    def write(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = ((n, write_avi(payload)) for n, payload in (payload_of(t.as_py()) for t in batch.column(1)))
+        return _batches(rows, lambda r: len(r[1]), {"n_bytes": pa.int64(), "media": pa.binary()})
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(write, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
+    return df.select(id_col, text_col).mapInArrow(lambda batches: _with_id(batches, write), f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
 
 
 CLIPS = "array<struct<shot:int,first_frame:int,last_frame:int,start_s:double,end_s:double,peak:double>>"
 _CLIP = pa.list_(pa.struct([("shot", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("peak", pa.float64())]))
 
 
-def analyse(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Read media columns: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, frames, clips.
+def features(blob: bytes | None) -> tuple:
+    """(payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, frames, clips, error) of media.
 
-    Null media give null results. ``F.inline("clips")`` yields the timed clip rows.
+    Null media have nulls throughout. What can't be read (no AVI file, a cut or unknown frame) has an error, its size and its
+    hash, and null for the rest; so has a file without frames.
     """
+    if blob is None:
+        return (None,) * 8
+    stored = (len(blob), hashlib.sha256(blob).hexdigest())
+    try:
+        chunks, fps = read_avi(blob)
+        if not chunks:
+            raise ValueError("no frames")
+        digest, tail, n, hists = hashlib.sha256(), b"", 0, []
+        for chunk in chunks:  # one decoded frame at a time
+            frame = decode_frame(chunk)
+            data = frame.tobytes()
+            digest.update(data)
+            tail, n = (tail + data)[-64:], n + len(data)
+            hists.append(histogram(frame))
+        return (n, digest.hexdigest(), zlib.crc32(tail), *stored, len(chunks), cuts(hists, fps), None)
+    except (ValueError, IndexError, KeyError, struct.error, OverflowError, ZeroDivisionError) as e:
+        return (None, None, None, *stored, None, None, f"{type(e).__name__}: {e}"[:200])
+
+
+def analyse(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Read media columns (n_bytes, media): id, n_bytes and the features of each row. ``F.inline("clips")`` yields the timed clip rows."""
+    kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "frames": pa.int64(), "clips": _CLIP, "error": pa.string()}
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for blob in batch.column(2).to_pylist():
-                if blob is None:
-                    rows.append((None,) * 7)
-                    continue
-                chunks, fps = read_avi(blob)
-                frames = [decode_frame(c) for c in chunks]
-                data = b"".join(f.tobytes() for f in frames)
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), len(frames), shots(frames, fps)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), _CLIP]
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "clips"])
+    def read(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = ((n.as_py(), *features(blob.as_py())) for n, blob in zip(batch.column(1), batch.column(2)))
+        return _batches(rows, lambda r: 48 * len(r[7] or ()), kinds)
 
     kind = media.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, frames bigint, clips {CLIPS}"
-    return media.select(id_col, "n_bytes", "media").mapInArrow(read, schema).withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, frames bigint, clips {CLIPS}, error string"
+    return media.select(id_col, "n_bytes", "media").mapInArrow(lambda batches: _with_id(batches, read), schema).withColumnRenamed("id", id_col)
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    """Contract columns of the media query."""
+    """Contract columns of the media query, and the clips' times (start-end in seconds, comma-joined)."""
     from pyspark.sql import functions as F
 
     ends = F.array_join(F.transform("clips", lambda c: c["last_frame"].cast("string")), ",")
+    times = F.array_join(F.transform("clips", lambda c: F.format_string("%.2f-%.2f", c["start_s"], c["end_s"])), ",")
     return analyse(pack(docs)).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
         F.concat(F.lit("frames="), F.col("frames").cast("string"), F.lit(";shots="), F.size("clips").cast("string"), F.lit(";ends="), ends).alias("feature"),
-    )
+        times.alias("clip_times"), "error",
+    )
