@@ -46,6 +46,49 @@ def test_shards_are_uniform(spark):
     assert all(abs(n - 2400) < 250 for n in hits.values()) and len(hits) == 16
 
 
+def test_a_row_that_is_a_third_of_the_table_is_dealt(spark, monkeypatch):
+    """Rows alike beyond the bound spread over the partitions; the shards stay exact, gapless and uniform."""
+    monkeypatch.setattr(sharding, "ALIKE", 100)
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, -1, id) AS doc_id", "'x' AS more")
+    rows = df.withColumns({"__r1": sharding.F.xxhash64("doc_id"), "__r2": sharding.F.xxhash64(sharding.F.lit(1), "doc_id")})
+    assert max(sharding._counts(rows)[0].values()) >= 2000 and max(sharding._counts(sharding._dealt(rows))[0].values()) < 10
+    got = sharding.shard(df, ["doc_id"], 8).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in df.collect())
+    assert all(sorted(v) == list(range(750)) for v in slots.values()) and len(slots) == 8
+    hits = Counter(r["shard"] for r in got if r["doc_id"] == -1)
+    assert all(190 < n < 310 for n in hits.values()) and len(hits) == 8
+
+
+def test_shards_against_a_plain_version(spark):
+    """Shard and slot of every row from the definitions: a plain permutation by the same random numbers and matrix."""
+    docs = spark.createDataFrame([(i % 150, f"t{i % 170} é") for i in range(400)] + [(None, None), (None, None), (7, "")], "doc_id long, text string")
+    got = sharding.op2(docs).collect()
+    hashed = docs.selectExpr("doc_id", "text", "xxhash64(text) AS t").selectExpr("*", "xxhash64(20240917, doc_id, t) AS r1", "xxhash64(20240918, doc_id, t) AS r2").collect()
+    alike, items = Counter(), []
+    for r in sorted(hashed, key=lambda r: r["r1"]):
+        items.append((r["r1"], r["r2"], alike[r["r1"]], r["doc_id"], r["text"]))
+        alike[r["r1"]] += 1
+    mixed = spark.createDataFrame([x[:3] for x in items], "r1 long, r2 long, same int").selectExpr("r1", "same", "xxhash64(r1, same) AS o", "xxhash64(r2, same) AS z").collect()
+    o, z = ({(r["r1"], r["same"]): r[c] for r in mixed} for c in ("o", "z"))
+    parts, placed = defaultdict(list), defaultdict(list)
+    for x in items:
+        parts[x[0] % 16].append(x)
+    rows = sharding.matrix([len(parts[p]) for p in range(16)], sharding.shard_sizes(len(items), 16), 20_240_917)
+    for p in range(16):
+        order, at = sorted(parts[p], key=lambda x: (o[x[0], x[2]], x[0], x[2])), 0
+        for shard, n in enumerate(rows[p]):
+            placed[shard] += order[at : at + n]
+            at += n
+    want = Counter()
+    for shard, some in placed.items():
+        some.sort(key=lambda x: ((z[x[0], x[2]] % 2**64) >> 60, z[x[0], x[2]], x[0], x[2]))
+        want.update((x[3], len((x[4] or "").encode()) + 1, zlib.crc32((x[4] or "").encode()), "rows", shard, slot, None) for slot, x in enumerate(some))
+    assert Counter(tuple(r) for r in got) == want
+
+
 def test_sharding_of_awkward_tables(spark):
     assert sharding.op2(empty(spark)).count() == 0
     rows = sharding.op2(extra(spark)).collect()

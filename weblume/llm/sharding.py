@@ -8,7 +8,8 @@
 4. After the exchange each shard is permuted again. A shard is not sorted in one task: it is split by the leading bits of
    a second random hash, the offsets of the pieces are summed, and each piece is ranked by itself.
 
-All randomness is a hash of (seed, keys), so retried tasks and reruns agree.
+All randomness is a hash of (seed, keys), so retried tasks and reruns agree. Rows that are alike in their keys would share a
+partition; where more than ALIKE are, the table is written once with a number for each row, and theirs are dealt by it.
 """
 
 from __future__ import annotations
@@ -17,12 +18,16 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import inline
+from .common import cut, inline
 
 #: Finest number of logical partitions that counts are taken for.
 FINE = 32_768
 #: Rows that a logical partition should hold, and fewest partitions.
 ROWS_PER_PARTITION, FEWEST = 8192, 16
+#: Rows alike in their keys that may share a partition.
+ALIKE = 8192
+#: Rows of a table of one number that is broadcast.
+BROADCAST_ROWS = 1 << 20
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -63,17 +68,36 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 
+def _counts(rows: DataFrame) -> tuple[dict[int, int], int]:
+    """Rows by the finest partitions (FINE at most), and all rows."""
+    fine = {r["p"]: r["n"] for r in rows.groupBy(F.pmod("__r1", F.lit(FINE)).alias("p")).agg(F.count("*").alias("n")).collect()}
+    return fine, sum(fine.values())
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows, where those of which more than ALIKE are alike have random numbers of their own."""
+    numbered = cut(rows.withColumn("__own", F.monotonically_increasing_id()))  # numbered once, as it is written
+    many = cut(numbered.groupBy(F.col("__r1").alias("__many")).agg(F.count("*").alias("__n")).where(F.col("__n") > ALIKE).select("__many"))
+    small = many.count() <= BROADCAST_ROWS
+    found = numbered.join(F.broadcast(many) if small else many, F.col("__r1") == F.col("__many"), "left")
+    dealt = {c: F.when(F.col("__many").isNull(), F.col(c)).otherwise(F.xxhash64(c, "__own")) for c in ("__r1", "__r2")}
+    return found.withColumns(dealt).drop("__own", "__many")
+
+
 def shard(df: DataFrame, keys: list[str], shards: int = 16, seed: int = 20_240_917) -> DataFrame:
     """Add ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard) to ``df``, uniformly at random.
 
     keys: columns that tell rows apart; rows alike in all of them are numbered and placed independently. Nulls are ordinary values.
-    Columns named ``shard`` or ``slot`` are replaced; all others are kept as they are. An empty table stays empty.
+    Columns named ``shard`` or ``slot`` are replaced; all others are kept as they are, texts of any length too. An empty table
+    stays empty.
     """
     spark = df.sparkSession
     by = [F.col(f"`{k}`") for k in keys]
     rows = df.drop("shard", "slot").withColumns({"__r1": F.xxhash64(F.lit(seed), *by), "__r2": F.xxhash64(F.lit(seed + 1), *by)})
-    fine = {r["p"]: r["n"] for r in rows.groupBy(F.pmod("__r1", F.lit(FINE)).alias("p")).agg(F.count("*").alias("n")).collect()}
-    total = sum(fine.values())
+    fine, total = _counts(rows)
+    if max(fine.values(), default=0) > ALIKE + 2 * total // FINE:  # only rows alike can fill one so
+        rows = _dealt(rows)
+        fine, total = _counts(rows)
     parts = FEWEST
     while parts < FINE and parts * ROWS_PER_PARTITION < total:
         parts *= 2
