@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import mime_branch, url_parts
 from ..sources import css
-from ..sources.html import parse_pages, without_conditionals
-
-#: Conditional comments, as ``without_conditionals`` removes them.
-CONDITIONALS = r"<!--\[if[^>]*>|<!--if[^>]*>|<!--<!\[endif\]-->|<!--<!endif-->|<!\[endif\]-->|<!endif-->|<!-->"
+from ..sources.html import CONDITIONALS, parse_pages
 
 
 def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", content_col: str = "html", generated_col: str | None = None) -> DataFrame:
@@ -51,12 +48,17 @@ def parts(links: DataFrame, col: str = "abs_url") -> DataFrame:
     return links.withColumns(url_parts(F.col(col)))
 
 
-def broken_anchors(links: DataFrame, anchors: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """On-page links whose fragment no anchor of the page has. anchors: id, anchors (each between spaces)."""
-    fragment = F.regexp_extract("href", r"^#(.+)$", 1)
-    inside = links.where("on_page_id_reference").withColumn("fragment", fragment).where("fragment <> ''")
-    known = anchors.select(F.col(id_col).alias("__id"), F.col("anchors"))
-    return inside.join(known, F.col(id_col) == F.col("__id"), "left").where(~F.coalesce(F.contains("anchors", F.concat(F.lit(" "), "fragment", F.lit(" "))), F.lit(False))).select(id_col, "pos", "href", "fragment", "line_no")
+def broken() -> Column:
+    """Of a row of facts, the on-page links whose fragment no anchor of the page has: (pos, href, fragment, line_no). Links and
+    anchors are in one row, so nothing is joined."""
+    inside = F.filter("links", lambda x: x["on_page_id_reference"] & x["href"].startswith("#") & (F.length(x["href"]) > 1))
+    named = F.transform(inside, lambda x: F.struct(x["pos"].alias("pos"), x["href"].alias("href"), F.substr(x["href"], F.lit(2)).alias("fragment"), x["line_no"].alias("line_no")))
+    return F.filter(named, lambda x: ~F.contains("anchors", F.concat(F.lit(" "), x["fragment"], F.lit(" "))))
+
+
+def broken_anchors(facts: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """One row for each broken on-page link. facts: id, links, anchors (each between spaces)."""
+    return facts.select(id_col, F.inline(broken()))
 
 
 def shared_targets(links: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -67,11 +69,18 @@ def shared_targets(links: DataFrame, id_col: str = "page_id") -> DataFrame:
 def text_groups(links: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Pages by target, language, alternative text and title: the pages are counted, and the first named.
 
-    A widely used text would gather its pages in one row; they are counted in parts before the shuffle.
+    A widely used text would gather its pages in one row; they are counted in parts before the shuffle. ``text_pages`` lists them.
     """
     return links.groupBy("href", "lang", "alt", "title").agg(F.countDistinct(id_col).alias("pages"), F.min(id_col).alias("first_page"))
 
 
+def text_pages(links: DataFrame, url_col: str = "url") -> DataFrame:
+    """href, lang, kind (alt, title or anchor), text and url: the distinct pages that give a target's link this text, a row for
+    each. Rows, and not one list, as a text of a third of all pages has as many."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("text")) for k in ("alt", "title", "anchor")])
+    return links.select("href", "lang", url_col, F.inline(kinds)).where("text <> ''").select("href", "lang", "kind", "text", url_col).distinct()
+
+
 def inconsistent_texts(links: DataFrame) -> DataFrame:
     """Targets that carry more than one link text in a language."""
     return links.where("link_type = 'a'").groupBy("href", "lang").agg(F.countDistinct("anchor").alias("texts"), F.count("*").alias("links")).where("texts > 1")
@@ -80,6 +89,3 @@ def inconsistent_texts(links: DataFrame) -> DataFrame:
 def without_ignored(links: DataFrame, ignored: DataFrame, col: str = "href") -> DataFrame:
     """Links but those to listed addresses."""
     return links.join(ignored.select(F.col(ignored.columns[0]).alias("__ignored")), F.col(col) == F.col("__ignored"), "left_anti")
-
-
-__all__ = ["page_links", "style_links", "removed_conditionals", "by_branch", "type_counts", "sections", "parts", "broken_anchors", "shared_targets", "text_groups", "inconsistent_texts", "without_ignored", "without_conditionals"]

@@ -8,27 +8,26 @@ from pyspark.sql import functions as F
 from ..operators import links as L
 from ..operators import profile as P
 from ..operators.results import results, union
+from ..shared import cut
 from ..sources.html import parse_pages
 
 
-def web(pages: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """Result rows of the web checks over pages (page_id, url, html): one parse, then a branch for each check.
-
-    The facts are written by the caller where they are used more than once; a page is otherwise parsed once for each branch
-    that needs it, with only that branch's columns.
-    """
-    facts = parse_pages(pages, wanted=("links", "anchors", "title", "html_lang", "headings")) if facts is None else facts
-    link_rows = facts.select("page_id", "url", F.inline("links"))
-    broken = L.broken_anchors(link_rows, facts.select("page_id", "anchors")).join(pages.select("page_id", "url"), "page_id")
-    titles = facts.groupBy("title").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
-    repeated = facts.join(titles.where("n > 1"), "title").where("page_id <> first")
-    heads = facts.select("page_id", "url", F.inline("headings")).groupBy("page_id", "url", "text").agg(F.count("*").alias("n"), F.min("line_no").alias("line")).where("n > 1")
+def web(pages: DataFrame) -> DataFrame:
+    """Result rows of the web checks over pages (page_id, url, html). Each page is parsed once: what the checks need of it, and
+    not the facts, is written to the shared folder, and the checks read that. A page without a title has none to share."""
+    facts = parse_pages(pages, wanted=("links", "anchors", "title", "html_lang", "headings"))
+    texts = F.transform("headings", lambda h: h["text"])
+    uses = lambda t: F.filter("headings", lambda h: h["text"] == t)
+    repeated = F.filter(F.array_distinct(texts), lambda t: F.size(uses(t)) > 1)
+    heads = F.transform(repeated, lambda t: F.struct(t.alias("text"), F.array_min(F.transform(uses(t), lambda h: h["line_no"])).alias("line")))
+    held = cut(facts.select("page_id", "url", "title", "html_lang", L.broken().alias("broken"), heads.alias("heads")))
+    titles = held.where("title <> ''").groupBy("title").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1")
     return union(
-        results(broken, "BROKEN_ANCHOR", url=F.col("url"), line_no=F.col("line_no"), message=F.concat(F.lit("no anchor "), "fragment")),
-        results(facts.where("html_lang = ''"), "NO_LANG", url=F.col("url"), message="no language on html"),
-        results(facts.where("length(title) >= 60"), "TITLE_LONG", url=F.col("url"), message=F.col("title")),
-        results(repeated, "DUPLICATE_TITLES", url=F.col("url"), message=F.col("title")),
-        results(heads, "DUPLICATE_HEADINGS", url=F.col("url"), line_no=F.col("line"), message=F.col("text")),
+        results(held.select("url", F.inline("broken")), "BROKEN_ANCHOR", url=F.col("url"), line_no=F.col("line_no"), message=F.concat(F.lit("no anchor "), "fragment")),
+        results(held.where("html_lang = ''"), "NO_LANG", url=F.col("url"), message="no language on html"),
+        results(held.where("length(title) >= 60"), "TITLE_LONG", url=F.col("url"), message=F.col("title")),
+        results(held.join(titles, "title").where("page_id <> first"), "DUPLICATE_TITLES", url=F.col("url"), message=F.col("title")),
+        results(held.select("url", F.inline("heads")), "DUPLICATE_HEADINGS", url=F.col("url"), line_no=F.col("line"), message=F.col("text")),
     )
 
 

@@ -21,7 +21,9 @@ _WS = re.compile(r"\s+")
 #: Tags whose link is in one attribute; where an address is empty there is no link.
 _SOURCES = {"frame": "src", "iframe": "src", "embed": "src", "area": "href", "audio": "src", "object": "data", "link": "href", "script": "src", "source": "src", "track": "src"}
 _CITED = ("blockquote", "q", "del", "ins")
-_CONDITIONAL = re.compile(r"<!--\[if[^>]*>|<!--if[^>]*>|<!--<!\[endif\]-->|<!--<!endif-->|<!\[endif\]-->|<!endif-->|<!-->")
+# --- fixed values: the marks of conditional comments
+CONDITIONALS = r"<!--\[if[^>]*>|<!--if[^>]*>|<!--<!\[endif\]-->|<!--<!endif-->|<!\[endif\]-->|<!endif-->|<!-->"
+_CONDITIONAL = re.compile(CONDITIONALS)
 
 
 def clean_text(text: str) -> str:
@@ -151,7 +153,8 @@ class Page(HTMLParser):
         line, column = self.getpos()
         void = tag in dims.VOID_TAGS
         if tag == "html":
-            self.html_lang = language(attrs.get("lang")) if "lang" in attrs else self.html_lang
+            # an xml:lang hides a lang, and its own value is not taken
+            self.html_lang = "" if "xml:lang" in attrs else language(attrs.get("lang")) if "lang" in attrs else self.html_lang
         if (own := attrs.get("lang") or attrs.get("xml:lang")) and not void:
             self.langs.append((tag, self.lang))
             self.lang = language(own)
@@ -352,13 +355,10 @@ def parse_page(content: str | None, base: str | None = "", markers: list | None
     """Facts of a page; of an empty one where the content is null."""
     page = Page(base or "", markers)
     page.feed(content or "")
-    page.close_parser()
+    HTMLParser.close(page)  # Page.close ends a text buffer
     return page.finish()
 
 
-Page.close_parser = HTMLParser.close
-
-
 def merge_links(original: list[dict], generated: list[dict]) -> list[dict]:
     """Links of a page and of its rendered form in one list, in order. Links that only rendering made are flagged, but for the
     tail that follows the last original one."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import delete_at_end, shared_folder
+
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """start, event_type, n and total of tumbling windows; batch and stream alike."""
@@ -22,8 +23,8 @@ def run_counts(spark: SparkSession, folder: str, pattern: str = "*.parquet", siz
 
     Updates and their checkpoint go to the shared folder of the session.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weblume-")
-    out = f"{shared}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    delete_at_end(spark, out)
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 64).parquet(folder)
 
