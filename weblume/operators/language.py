@@ -8,12 +8,11 @@ differences, 400 for n-grams that its model lacks.
 
 from __future__ import annotations
 
-import functools
-import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,10 +42,12 @@ def words(text: Column) -> Column:
     return F.when(cut == "", F.array().cast("array<string>")).otherwise(F.split(cut, r"[0-9\t-\r ]+"))
 
 
-def word_grams(word: Column) -> Column:
-    """All n-grams of a framed word, repeats included."""
-    sizes = F.sequence(F.lit(1), F.least(F.length(word), F.lit(LONGEST_GRAM)))
-    return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n))))
+def exploded_grams(df: DataFrame, word: str, carry: list[str]) -> DataFrame:
+    """The carried columns and ``ngram``: all n-grams of framed words, repeats included. No function of arrays is interpreted here."""
+    size = F.length(word)
+    placed = df.select(*carry, word, F.explode(F.sequence(F.lit(1), size)).alias("__i"))
+    each = F.array(*[F.when(F.col("__i") + n - 1 <= size, F.substring(F.col(word), F.col("__i"), F.lit(n))) for n in range(1, LONGEST_GRAM + 1)])
+    return placed.select(*carry, F.explode(each).alias("ngram")).where(F.col("ngram").isNotNull())
 
 
 def top_grams(df: DataFrame, key: str, text: Column, keep: int = GRAMS) -> DataFrame:
@@ -56,7 +57,7 @@ def top_grams(df: DataFrame, key: str, text: Column, keep: int = GRAMS) -> DataF
     """
     each = df.select(key, F.explode(words(text)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("times"))
     framed = each.select(key, "times", F.concat(F.lit("_"), "word", F.lit("_")).alias("framed")).where(F.length("framed") <= LONGEST_WORD)
-    counted = framed.select(key, "times", F.explode(word_grams(F.col("framed"))).alias("ngram")).groupBy(key, "ngram").agg(F.sum("times").alias("n"))
+    counted = exploded_grams(framed, "framed", [key, "times"]).groupBy(key, "ngram").agg(F.sum("times").alias("n"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), "ngram")
     return counted.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < keep)
 
@@ -70,29 +71,82 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, di
     return models
 
 
-@functools.lru_cache(maxsize=1 << 16)
-def _grams_of(word: str) -> tuple[str, ...]:
-    w = f"_{word}_"
-    return tuple(w[i : i + n] for n in range(1, LONGEST_GRAM + 1) for i in range(len(w) - n + 1)) if len(w) <= LONGEST_WORD else ()
+class Ranker:
+    """Ranks n-grams of texts by numbers: each word is taken apart once, and an n-gram is a number from then on.
+
+    The models' n-grams have the first numbers. Words and n-grams are forgotten, but for those, when there are too many.
+    """
+
+    WORDS, NAMES = 1 << 18, 1 << 21
+
+    def __init__(self, models: dict[str, dict[str, int]]):
+        self.langs = sorted(models)
+        self.fixed = sorted(set().union(*models.values())) if models else []
+        self.rank = np.full((len(self.langs), len(self.fixed)), -1, dtype=np.int64)
+        place = {g: i for i, g in enumerate(self.fixed)}
+        for k, lang in enumerate(self.langs):
+            self.rank[k, [place[g] for g in models[lang]]] = list(models[lang].values())
+        self.forget()
+
+    def forget(self) -> None:
+        self.names, self.number, self.words = list(self.fixed), {g: i for i, g in enumerate(self.fixed)}, {}
+
+    def grams(self, word: str) -> np.ndarray:
+        """Numbers of the n-grams of a word."""
+        w, number, names = f"_{word}_", self.number, self.names
+        out = []
+        if len(w) <= LONGEST_WORD:
+            for n in range(1, LONGEST_GRAM + 1):
+                for i in range(len(w) - n + 1):
+                    g = w[i : i + n]
+                    k = number.get(g)
+                    if k is None:
+                        k = number[g] = len(names)
+                        names.append(g)
+                    out.append(k)
+        self.words[word] = made = np.array(out, dtype=np.int64)
+        return made
+
+    def top(self, text: str) -> np.ndarray:
+        """Numbers of the 400 most frequent n-grams of a reduced text; ties go by the n-gram."""
+        found = _BREAKS.split(text)
+        while found and not found[-1]:
+            found.pop()
+        if len(self.words) > self.WORDS or len(self.names) > self.NAMES:
+            self.forget()
+        uses, known = Counter(found), self.words
+        parts = [known[w] if w in known else self.grams(w) for w in uses]
+        if not parts:
+            return np.zeros(0, dtype=np.int64)
+        ids = np.concatenate(parts)
+        counts = np.bincount(ids, weights=np.repeat(np.fromiter(uses.values(), dtype=np.float64, count=len(uses)), [len(p) for p in parts])).astype(np.int64)
+        held = np.flatnonzero(counts)
+        n = counts[held]
+        if len(held) > GRAMS:
+            least = np.partition(n, len(n) - GRAMS)[len(n) - GRAMS]
+            held, n = held[n >= least], n[n >= least]
+        order = sorted(zip((-n).tolist(), map(self.names.__getitem__, held.tolist()), held.tolist()))[:GRAMS]
+        return np.array([k for _, _, k in order], dtype=np.int64)
+
+    def distances(self, text: str) -> dict[str, int]:
+        top = self.top(text)
+        at = np.flatnonzero(top < len(self.fixed))
+        rank = self.rank[:, top[at]]
+        away = np.where(rank >= 0, np.abs(rank - at), GRAMS).sum(axis=1) + GRAMS * (len(top) - len(at))
+        return dict(zip(self.langs, away.tolist()))
+
+
+_BREAKS = re.compile(r"[0-9\t-\r ]+")
 
 
 def ranked(text: str) -> list[str]:
     """The 400 most frequent n-grams of a reduced text."""
-    found = re.split(r"[0-9\t-\r ]+", text)
-    while found and not found[-1]:
-        found.pop()
-    counts = Counter(itertools.chain.from_iterable(map(_grams_of, found)))
-    if len(counts) > GRAMS:
-        least = sorted(counts.values(), reverse=True)[GRAMS - 1]
-        names = sorted(g for g, n in counts.items() if n >= least)
-    else:
-        names = sorted(counts)
-    return sorted(names, key=counts.__getitem__, reverse=True)[:GRAMS]  # stable: ties stay in the order of their names
+    ranker = Ranker({})
+    return [ranker.names[k] for k in ranker.top(text).tolist()]
 
 
 def distances(text: str, models: dict[str, dict[str, int]]) -> dict[str, int]:
-    top = ranked(text)
-    return {lang: sum(abs(model[g] - i) if g in model else GRAMS for i, g in enumerate(top)) for lang, model in models.items()}
+    return Ranker(models).distances(text)
 
 
 def choose(scores: dict[str, int]) -> tuple[str, int]:
@@ -108,13 +162,14 @@ def guess(df: DataFrame, models: dict[str, dict[str, int]], id_col: str, text_co
     """id, lang, status (0 found, -1 too short, -2 too close) and best (the distance). Each text is scored in its own task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranker = Ranker(models)
         for batch in batches:
             rows = []
             for text, enough in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if not enough or not models:
                     rows.append(("", -1, -1))
                     continue
-                scores = distances(text, models)
+                scores = ranker.distances(text)
                 rows.append((*choose(scores), min(scores.values())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["id", "lang", "status", "best"])
 
