@@ -97,7 +97,7 @@ def test_models_count_whole_texts(spark, tmp_path):
     docs = spark.createDataFrame([(1, "xx", "ab " * 9000 + "zq " * 9001)], "doc_id long, lang string, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert language.train(docs)["xx"]["_zq"] < language.train(docs)["xx"]["_ab"]
-    assert {r["ngram"]: r["n"] for r in QUERIES["whole_language_models"](spark, str(tmp_path)).collect()}["_zq_"] == 9001
+    assert {r["ngram"]: r["n"] for r in QUERIES["language_models"](spark, str(tmp_path)).collect()}["_zq_"] == 9001
 
 
 def test_readability(spark):
@@ -117,7 +117,7 @@ def test_page_operators(spark):
     df = pages(spark, '<html><body><a href="#x" id=y>t</a><a href="#y">u</a><a href=a.pdf target="_BLANK">p</a><p class="k">q</p></body>', None, "<style>p{background:url(i.png)}</style><a href=a.pdf>z</a>")
     facts = html.parse_pages(df).cache()
     every = facts.select("page_id", F.inline("links"))
-    assert [tuple(r) for r in links.broken_anchors(every, facts).select("page_id", "fragment").collect()] == [(0, "x")]
+    assert [tuple(r) for r in links.broken_anchors(facts).select("page_id", "fragment").collect()] == [(0, "x")]
     elements = facts.select("page_id", F.inline("elements"))
     made = features.of_elements(elements)
     got = {(r["page_id"], r["feature"]): r["n"] for r in features.counts(made, spark.createDataFrame([("a",), ("PDF href",), ("New window",), ('class="k"',)], "feature string")).collect()}
@@ -158,7 +158,7 @@ def test_frames_of_whole_animations(spark):
     rows = [([rng.choice((0.1, 0.2, 0.7, 0.3, 0.0, 1.5, 1 / 60)) for _ in range(rng.randrange(1, 60))], rng.randrange(1, 4)) for _ in range(60)] + [([0.1] * 4000, 1), ([1 / 60] * 300, 2)]
     df = spark.createDataFrame([(i, d, n) for i, (d, n) in enumerate(rows)], "id int, d array<double>, n int")
     assert [r[0] for r in df.orderBy("id").select(media.frames_per_second(F.col("d"), F.col("n"))).collect()] == [plain_fps(d, n) for d, n in rows]
-    got = QUERIES["whole_animations"](spark, "/root/testdata/sf0.01").collect()
+    got = QUERIES["animation_frames"](spark, "/root/testdata/sf0.01").collect()
     assert sum(r["shown_s"] for r in got) == 1500 * 0.25 and {r["fps"] for r in got} == {4}
 
 
@@ -233,5 +233,5 @@ def test_snippets_of_all_lines(spark):
     from weblume.catalogue import QUERIES
 
     lines = {(r["doc_id"], i): v for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() for i, v in enumerate(r["text"].split("\n"))}
-    got = QUERIES["source_snippets"](spark, "/root/testdata/sf0.001").where("col = 0").collect()
+    got = QUERIES["source_snippet"](spark, "/root/testdata/sf0.001").where("col = 0").collect()
     assert {(r["doc_id"], r["line_no"]): r["snippet"] for r in got} == {k: v[:200] for k, v in lines.items()} and len(got) == len(lines) > 1000

@@ -67,9 +67,19 @@ def link_landmarks(spark, sf_dir):
     return links_o.page_links(table(spark, sf_dir, "pages")).groupBy("page_id", "landmark").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT page_id, 'CONTENT' AS content_section, count(*) AS n_links, list(href ORDER BY pos) AS hrefs FROM ({_HREFS}) GROUP BY page_id")
+@query("""WITH l AS (SELECT page_id, unnest([{'s': 'SITE_NAV', 'h': '/n' || page_id}, {'s': CASE WHEN page_id % 2 = 0 THEN 'CONTENT' ELSE 'BODY' END, 'h': '/c'}, {'s': CASE WHEN page_id % 2 = 0 THEN 'CONTENT' ELSE 'BODY' END, 'h': '/d' || page_id % 5}, {'s': 'BODY', 'h': '/e'}]) AS x FROM pages WHERE page_id % 3 > 0
+UNION ALL SELECT page_id, unnest([{'s': 'CONTENT', 'h': '/n' || page_id}, {'s': 'CONTENT', 'h': '/c'}, {'s': 'CONTENT', 'h': '/d' || page_id % 5}, {'s': 'CONTENT', 'h': '/e'}]) FROM pages WHERE page_id % 3 = 0 AND page_id % 2 = 1
+UNION ALL SELECT page_id, unnest([{'s': 'BODY', 'h': '/n' || page_id}, {'s': 'CONTENT', 'h': '/c'}, {'s': 'CONTENT', 'h': '/d' || page_id % 5}, {'s': 'BODY', 'h': '/e'}]) FROM pages WHERE page_id % 6 = 0)
+SELECT page_id, x.s AS content_section, count(*) AS n_links, list_sort(list(x.h)) AS hrefs FROM l GROUP BY page_id, x.s""")
 def link_sections(spark, sf_dir):
-    return links_o.sections(links_o.page_links(table(spark, sf_dir, "pages")))
+    """Links of pages with a menu, a main part, both or neither; without a known part all links are content."""
+    page, odd = F.col("page_id"), F.col("page_id") % 5
+    made = F.concat(
+        F.lit("<b>"), F.when(page % 3 > 0, "<ul class='gcweb-menu'>").otherwise("<ul>"), F.lit("<li><a href='/n"), page.cast("string"), F.lit("'>n</a></ul>"),
+        F.when(page % 2 == 0, "<div role='main'><div>").otherwise("<div><div>"), F.lit("<a href='/c'>c</a></div><a href='/d"), odd.cast("string"), F.lit("'>d</a></div><a href='/e'>e</a></b>"),
+    )
+    links = links_o.page_links(table(spark, sf_dir, "pages").select("page_id", "url", made.alias("html")))
+    return links_o.sections(links).withColumn("hrefs", F.array_sort("hrefs"))
 
 
 @query(
@@ -96,10 +106,16 @@ def anchors(spark, sf_dir):
     return html.parse_pages(table(spark, sf_dir, "pages"), wanted=("anchors",)).select("page_id", "anchors")
 
 
-@query(f"SELECT page_id, CAST(pos AS INTEGER) AS pos, href FROM ({_HREFS}) WHERE href LIKE '#_%'")
+@query("""WITH h AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, '#s' || (page_id + pos) % 9 AS href FROM (SELECT page_id, generate_subscripts(h, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a\\s+href="([^"]*)"', 1) AS h FROM pages)))
+SELECT page_id, pos, href FROM h WHERE href NOT IN ('#s' || page_id % 9, '#s' || (page_id + 2) % 9, '#s4')""")
 def broken_anchors(spark, sf_dir):
-    facts = html.parse_pages(table(spark, sf_dir, "pages"), wanted=("links", "anchors"))
-    return links_o.broken_anchors(facts.select("page_id", F.inline("links")), facts.select("page_id", "anchors")).select("page_id", "pos", "href")
+    """Links of all pages point to nine fragments in turn; a page has three of them, as a name, an id and an id of the link itself."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    parts = F.split("html", '<a href="[^"]*"')
+    numbered = F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit('<a href="#s'), ((F.col("page_id") + i - 1) % 9).cast("string"), F.lit('"'), x)))
+    named = F.concat(F.lit('<a name=" s'), (F.col("page_id") % 9).cast("string"), F.lit('"></a><i id="s'), ((F.col("page_id") + 2) % 9).cast("string"), F.lit('"></i><b id="s4">x</b>'))
+    made = pages.withColumn("html", F.concat(F.array_join(numbered, ""), named))
+    return links_o.broken_anchors(html.parse_pages(made, wanted=("links", "anchors"))).select("page_id", "pos", "href")
 
 
 @query(f"SELECT page_id, href FROM ({_HREFS}) WHERE href NOT IN (SELECT '/' || r_name FROM region UNION ALL SELECT '/the')")
@@ -115,11 +131,16 @@ def url_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in url_f.url_parts(url).items()], url_f.is_on_page(url).alias("on_page"), sinks.cache_key(url).alias("cache_key"), url_f.suffix(url).alias("suffix"))
 
 
-@query(f"SELECT page_id, href, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS target FROM ({_HREFS}) WHERE href LIKE '/%'")
+@query(f"""WITH h AS (SELECT page_id, pos, trim(href) AS href, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_extract(url, '^([^?#]*)', 1) AS plain, regexp_extract(url, '^([^#]*)', 1) AS whole FROM ({_HREFS}))
+SELECT page_id, pos, kind, CASE kind WHEN 0 THEN origin || href WHEN 1 THEN 'https://other.org' || href WHEN 2 THEN scheme || '://other.org' || href WHEN 3 THEN regexp_replace(plain, '[^/]*$', '') || 'sub' || href
+WHEN 4 THEN whole || '#f' || pos WHEN 5 THEN plain || '?q=' || pos ELSE 'mailto:a@b.org' END AS target FROM h, (SELECT unnest(generate_series(0, 6)) AS kind)""")
 def url_absolute(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    hrefs = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s+href="([^"]*)"'), F.lit(1))).alias("href"))
-    return hrefs.where(F.col("href").startswith("/")).select("page_id", F.trim("href").alias("href"), url_f.absolute(F.trim("href"), F.col("url")).alias("target"))
+    """Every link of all pages in seven forms: rooted, absolute, without a scheme, relative, a fragment, a query, another scheme."""
+    hrefs = links_o.page_links(table(spark, sf_dir, "pages")).select("page_id", "url", F.col("pos").cast("long").alias("pos"), "href")
+    number = F.col("pos").cast("string")
+    forms = [F.col("href"), F.concat(F.lit("https://other.org"), "href"), F.concat(F.lit("//other.org"), "href"), F.concat(F.lit("sub"), "href"), F.concat(F.lit("#f"), number), F.concat(F.lit("?q="), number), F.lit("mailto:a@b.org")]
+    each = hrefs.select("page_id", "url", "pos", F.posexplode(F.array(*forms)).alias("kind", "form"))
+    return each.select("page_id", "pos", F.col("kind").cast("long").alias("kind"), url_f.absolute(F.col("form"), F.col("url")).alias("target"))
 
 
 @query("SELECT p.page_id, md5(p.url) AS key FROM pages p ANTI JOIN (SELECT min(url) AS url FROM pages GROUP BY regexp_extract(url, '^https?://([^/]+)', 1)) c ON p.url = c.url")
@@ -129,9 +150,11 @@ def uncached_requests(spark, sf_dir):
     return sinks.not_cached(pages, cache).select("page_id", "key")
 
 
-@query("SELECT page_id, CAST(length(regexp_replace(html, '<!--\\[if[^>]*>|<!--if[^>]*>|<!--<!\\[endif\\]-->|<!--<!endif-->|<!\\[endif\\]-->|<!endif-->|<!-->', '', 'g')) AS INTEGER) AS chars FROM pages")
+@query("""SELECT page_id, md5(html) AS plain FROM (SELECT page_id, html || 'a' || page_id || CASE WHEN page_id % 2 = 0 THEN 'b' ELSE '' END || 'c' AS html FROM pages)""")
 def conditional_comments(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.length(links_o.removed_conditionals(F.col("html"))).alias("chars"))
+    """Marks of all forms are added to the pages; what is left is the page and what the marks stood around."""
+    added = F.concat("html", F.lit("<!--[if lt IE 9]>a"), F.col("page_id").cast("string"), F.lit("<![endif]-->"), F.when(F.col("page_id") % 2 == 0, "<!--if x><!-->b<!--<![endif]-->").otherwise("<!endif-->"), F.lit("c<!--<!endif-->"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(links_o.removed_conditionals(added)).alias("plain"))
 
 
 @query("""SELECT branch, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(url, '(?i)\\.xml$') THEN 'xml' ELSE 'html' END AS branch FROM pages) GROUP BY branch""")
@@ -193,7 +216,7 @@ def page_texts(spark, sf_dir):
     return facts.select("page_id", F.length("paragraphs").alias("paragraph_chars"), F.inline_outer("texts")).select("page_id", "paragraph_chars", "lang", F.length("text").alias("chars"))
 
 
-@query(f"""WITH p AS (SELECT page_id, url, {_TITLE} AS title, regexp_extract(html, '<html[^>]*\\slang="([A-Za-z]+)', 1) AS l FROM pages), f AS (SELECT title, min(page_id) AS first, count(*) AS n FROM p GROUP BY title)
+@query(f"""WITH p AS (SELECT page_id, url, {_TITLE} AS title, regexp_extract(html, '<html[^>]*\\slang="([A-Za-z]+)', 1) AS l FROM pages), f AS (SELECT title, min(page_id) AS first, count(*) AS n FROM p WHERE title <> '' GROUP BY title)
 SELECT testcase, count(*) AS n, min(message) AS first_message FROM (
 SELECT 'TITLE_LONG' AS testcase, title AS message FROM p WHERE length(title) >= 60 UNION ALL SELECT 'NO_LANG', 'no language on html' FROM p WHERE l = ''
 UNION ALL SELECT 'DUPLICATE_TITLES', p.title FROM p JOIN f ON p.title = f.title WHERE f.n > 1 AND p.page_id <> f.first) GROUP BY testcase""")
@@ -210,26 +233,22 @@ def faults_per_page(spark, sf_dir):
     return results_o.scan_score(results_o.faults(rows, pages))
 
 
-@query("""SELECT doc_id, '  <qa_result_item type="fail" testcase="SHORT" line="1" column="0" >' || chr(10) || '    <description>' || replace(replace(replace(source, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</description>' || chr(10)
-|| '    <testcase_group></testcase_group>' || chr(10) || '    <source_line>' || replace(replace(replace(CASE WHEN length(line) < 200 THEN line ELSE substr(line, 1, 200) END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</source_line>' || chr(10)
-|| '    <message>a &lt; b &amp; c</message>' || chr(10) || '  </qa_result_item>' || chr(10) AS item FROM (SELECT doc_id, source, string_split(text, chr(10))[1] AS line FROM documents)""")
+@query("""SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, '  <qa_result_item type="fail" testcase="SHORT" line="' || line_no || '" column="' || col || '" >' || chr(10) || '    <description>' || replace(replace(replace(source || ' <&> ' || lang, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</description>' || chr(10)
+|| '    <testcase_group></testcase_group>' || chr(10) || '    <source_line>' || replace(replace(replace(CASE WHEN n < 200 THEN line WHEN col > n OR col < 25 THEN substr(line, 1, 200) WHEN col < 200 THEN substr(line, 26, 200) ELSE substr(line, col - 49, 200) END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</source_line>' || chr(10)
+|| '    <message>a &lt; b &amp; c</message>' || chr(10) || '  </qa_result_item>' || chr(10) AS item FROM (SELECT doc_id, source, lang, line_no, line, length(line) AS n, (doc_id * 37 + line_no * 11) % 300 AS col FROM
+(SELECT doc_id, source, lang, generate_subscripts(x, 1) AS line_no, unnest(x) AS line FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS x FROM documents)))""")
 def xml_results(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    line = F.split("text", "\n")[0]
-    rows = docs.select("doc_id", "source", line.alias("line"))
-    made = results_o.results(rows, "SHORT", description=F.col("source"), source_line=F.col("line"), line_no=1, column_no=0, message="a < b & c", url=F.col("doc_id").cast("string"))
-    return made.select(F.col("url").cast("long").alias("doc_id"), sinks.result_item().alias("item"))
-
-
-@query("SELECT landmark, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, CASE WHEN tag IN ('head', 'title', 'meta', 'style') THEN 'head' WHEN tag = 'html' THEN '' ELSE 'x' END AS landmark FROM (SELECT page_id, unnest(['html', 'head', 'meta', 'title', 'style']) AS tag FROM pages)) WHERE landmark <> 'x' GROUP BY landmark")
-def element_landmarks(spark, sf_dir):
-    elements = html.parse_pages(table(spark, sf_dir, "pages"), wanted=("elements",)).select("page_id", F.inline("elements"))
-    return roles_o.by_landmark(elements.where(F.col("tag").isin("html", "head", "meta", "title", "style")))
+    """A result for every line of all texts, by line and column."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    number = F.col("at") + 1
+    column = ((F.col("doc_id") * 37 + number * 11) % 300).cast("int")
+    made = results_o.results(lines, "SHORT", description=F.concat("source", F.lit(" <&> "), "lang"), source_line=F.col("line"), line_no=number, column_no=column, message="a < b & c", url=F.col("doc_id").cast("string"))
+    return made.select(F.col("url").cast("long").alias("doc_id"), "line_no", sinks.result_item().alias("item"))
 
 
 @query()
 def all_landmarks(spark, sf_dir):
-    """As element_landmarks, of every element; SQL can't give the landmarks, tests hold it against a plain parse."""
+    """Every element by its landmark; SQL can't give the landmarks, tests hold it against a plain parse."""
     elements = html.parse_pages(table(spark, sf_dir, "pages"), wanted=("elements",)).select("page_id", F.inline("elements"))
     return roles_o.by_landmark(elements)
 
@@ -313,16 +332,22 @@ def dictionary_check(spark, sf_dir):
     return profile_o.against_dictionary(_part_cells(spark, sf_dir), terms)
 
 
-@query("SELECT 'p_name' AS heading UNION ALL SELECT 'p_retailprice'")
+@query("SELECT 'c' || n_nationkey AS heading FROM nation WHERE n_nationkey % 3 <> 0")
 def unknown_headings(spark, sf_dir):
-    terms = dims.small(spark, [("p_size",), ("p_brand",)], "term string")
-    return profile_o.unknown_headings(_part_cells(spark, sf_dir), terms)
+    nations = table(spark, sf_dir, "nation")
+    name = F.concat(F.lit("c"), F.col("n_nationkey").cast("string"))
+    cells = nations.select(name.alias("heading"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("line"), F.col("n_name").alias("value"))
+    return profile_o.unknown_headings(cells, nations.where("n_nationkey % 3 = 0").select(name.alias("term")))
 
 
-@query("SELECT ['a', 'c'] AS headings")
+@query("""SELECT list_sort(list(heading)) AS headings FROM (SELECT heading, list(value ORDER BY line) AS v FROM (SELECT n_nationkey AS line, unnest(['a', 'b', 'c', 'd', 'e', 'f']) AS heading,
+unnest([n_name, upper(reverse(n_name)), n_name, CAST(n_regionkey AS VARCHAR), CASE WHEN n_nationkey = 7 THEN 'x' ELSE n_name END, CAST(n_regionkey AS VARCHAR)]) AS value FROM nation) GROUP BY heading) GROUP BY v HAVING count(*) > 1""")
 def duplicate_columns(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("a"), F.upper(F.reverse("n_name")).alias("b"), F.col("n_name").alias("c"))
-    return profile_o.duplicate_columns(profile_o.cells(rows, "n_nationkey", ["a", "b", "c"])).select("headings")
+    """Two groups of columns alike, and one that differs in one cell."""
+    rows = table(spark, sf_dir, "nation").select(
+        "n_nationkey", F.col("n_name").alias("a"), F.upper(F.reverse("n_name")).alias("b"), F.col("n_name").alias("c"), F.col("n_regionkey").alias("d"), F.when(F.col("n_nationkey") == 7, "x").otherwise(F.col("n_name")).alias("e"), F.col("n_regionkey").alias("f")
+    )
+    return profile_o.duplicate_columns(profile_o.cells(rows, "n_nationkey", ["a", "b", "c", "d", "e", "f"])).select("headings")
 
 
 @query("SELECT d.doc_id, p.property FROM documents d, (VALUES ('label'), ('lang')) p(property) WHERE (p.property = 'label' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) OR (p.property = 'lang' AND coalesce(trim(d.lang), '') = '')")
@@ -387,40 +412,49 @@ def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text_f.clean_text(F.col("text")).alias("t"))
 
 
-@query("""WITH l AS (SELECT doc_id, line, col, length(line) AS n FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents), (VALUES (0), (30), (250), (100000)) c(col))
-SELECT doc_id, col, CASE WHEN n < 200 THEN line WHEN col > n OR col < 25 THEN substr(line, 1, 200) WHEN col < 200 THEN substr(line, 26, 200) ELSE substr(line, col - 49, 200) END AS snippet FROM l""")
-def source_snippet(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("line"), F.explode(F.array(*[F.lit(c) for c in (0, 30, 250, 100000)])).alias("col"))
-    return lines.select("doc_id", "col", text_f.snippet(F.col("line"), F.col("col")).alias("snippet"))
-
-
 @query("""WITH l AS (SELECT doc_id, line_no, line, col, length(line) AS n FROM (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), (VALUES (0), (30), (250), (100000)) c(col))
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, col, CASE WHEN n < 200 THEN line WHEN col > n OR col < 25 THEN substr(line, 1, 200) WHEN col < 200 THEN substr(line, 26, 200) ELSE substr(line, col - 49, 200) END AS snippet FROM l""")
-def source_snippets(spark, sf_dir):
-    """As source_snippet, of every line (from 0)."""
+def source_snippet(spark, sf_dir):
+    """Of every line (from 0) of all texts."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     places = lines.select("*", F.explode(F.array(*[F.lit(c) for c in (0, 30, 250, 100000)])).alias("col"))
     return places.select("doc_id", "line_no", "col", text_f.snippet(F.col("line"), F.col("col")).alias("snippet"))
 
 
-@query("SELECT l_orderkey, l_linenumber, TRUE AS numeric, CAST(trunc(l_extendedprice) AS BIGINT) AS whole, FALSE AS text_numeric, CAST(0 AS BIGINT) AS text_whole FROM lineitem")
+@query(f"""WITH v AS (SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 6 WHEN 0 THEN CAST(l_extendedprice AS VARCHAR) WHEN 1 THEN '-' || CAST(l_partkey AS VARCHAR) WHEN 2 THEN l_returnflag WHEN 3 THEN '.' || CAST(l_suppkey AS VARCHAR) WHEN 4 THEN CAST(l_partkey AS VARCHAR) || 'e2' ELSE '1,' || CAST(l_partkey AS VARCHAR) END AS v FROM lineitem)
+SELECT l_orderkey, l_linenumber, {_IS_NUMERIC.format("v")} AS numeric, CASE WHEN {_IS_NUMERIC.format("v")} THEN CAST(trunc(TRY_CAST(v AS DOUBLE)) AS BIGINT) ELSE 0 END AS whole FROM v""")
 def numeric_format(spark, sf_dir):
-    price, flag = F.col("l_extendedprice").cast("string"), F.col("l_returnflag")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text_f.is_numeric(price).alias("numeric"), text_f.format_integer(price).alias("whole"), text_f.is_numeric(flag).alias("text_numeric"), text_f.format_integer(flag).alias("text_whole"))
+    """Decimals, signs, flags, leading points, exponents and separators in turn."""
+    key = (F.col("l_orderkey") + F.col("l_linenumber")) % 6
+    part, supplier = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    value = (
+        F.when(key == 0, F.col("l_extendedprice").cast("string")).when(key == 1, F.concat(F.lit("-"), part)).when(key == 2, F.col("l_returnflag")).when(key == 3, F.concat(F.lit("."), supplier))
+        .when(key == 4, F.concat(part, F.lit("e2"))).otherwise(F.concat(F.lit("1,"), part))
+    )
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text_f.is_numeric(value).alias("numeric"), text_f.format_integer(value).alias("whole"))
 
 
-@query("SELECT doc_id, TRUE AS whole, FALSE AS cut FROM documents WHERE text IS NOT NULL")
+@query("""SELECT doc_id, doc_id % 4 AS kind, doc_id % 4 = 0 OR (doc_id % 4 = 1 AND NOT regexp_matches(substr(text, 1, 1), '[^\\x00-\\x7F]')) OR doc_id % 4 = 3 AS valid FROM documents WHERE text IS NOT NULL""")
 def utf8_validity(spark, sf_dir):
-    raw = F.encode("text", "utf-8")
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text_f.is_utf8(raw).alias("whole"), text_f.is_utf8(F.concat(raw, F.unhex(F.lit("C3")))).alias("cut"))
+    """Texts as they are, without their first byte, with a byte that begins a character at the end, and with a whole one there."""
+    raw, kind = F.encode("text", "utf-8"), F.col("doc_id") % 4
+    made = F.when(kind == 0, raw).when(kind == 1, F.substring(raw, F.lit(2), F.octet_length(raw))).when(kind == 2, F.concat(raw, F.unhex(F.lit("C3")))).otherwise(F.concat(raw, F.unhex(F.lit("C3A9"))))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", kind.alias("kind"), text_f.is_utf8(made).alias("valid"))
 
 
-@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'ger' WHEN 'es' THEN 'spa' END AS code, TRUE AS valid, TRUE AS regional, FALSE AS odd FROM documents WHERE lang IS NOT NULL")
+@query("""WITH f AS (SELECT doc_id, doc_id % 8 AS kind, lang, CASE doc_id % 8 WHEN 0 THEN lang WHEN 1 THEN lang || '-ca' WHEN 2 THEN 'q9' || lang WHEN 3 THEN upper(lang) WHEN 4 THEN CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' ELSE 'zho' END
+WHEN 5 THEN 'x-' || lang WHEN 6 THEN lang || '-latn-x' ELSE 'qqq' END AS form FROM documents WHERE lang IS NOT NULL),
+c AS (SELECT *, lower(regexp_replace(form, '-.*', '')) AS short FROM f), t AS (SELECT *, CASE short WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'ger' WHEN 'es' THEN 'spa' ELSE short END AS term FROM c)
+SELECT doc_id, form, CASE term WHEN 'deu' THEN 'ger' WHEN 'zho' THEN 'chi' ELSE term END AS code, kind IN (0, 1, 6) OR (kind = 4 AND short IN ('deu', 'zho')) AS valid FROM t""")
 def language_codes(spark, sf_dir):
-    c = F.col("lang")
-    return table(spark, sf_dir, "documents").where("lang is not null").select(
-        "doc_id", lang_f.iso_639_2(F.concat(F.upper(c), F.lit("-ca"))).alias("code"), lang_f.language_valid(c).alias("valid"), lang_f.language_valid(F.concat(c, F.lit("-ca"))).alias("regional"), lang_f.language_valid(F.concat(F.lit("q9"), c)).alias("odd")
-    )
+    """Codes of two and three letters, with regions and scripts, in capitals, private and unknown ones."""
+    c, kind = F.col("lang"), F.col("doc_id") % 8
+    long = F.when(c == "en", "eng").when(c == "fr", "fra").when(c == "de", "deu").otherwise("zho")
+    form = (
+        F.when(kind == 0, c).when(kind == 1, F.concat(c, F.lit("-ca"))).when(kind == 2, F.concat(F.lit("q9"), c)).when(kind == 3, F.upper(c)).when(kind == 4, long)
+        .when(kind == 5, F.concat(F.lit("x-"), c)).when(kind == 6, F.concat(c, F.lit("-latn-x"))).otherwise("qqq")
+    )
+    return table(spark, sf_dir, "documents").where("lang is not null").select("doc_id", form.alias("form"), lang_f.iso_639_2(form).alias("code"), lang_f.language_valid(form).alias("valid"))
 
 
 _REDUCED = "substr(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '[\\t-\\r ]{2,}', ' ', 'g'), 1, 25000)"
@@ -428,24 +462,17 @@ _GRAMS = """SELECT {k}, substr(w, i, n) AS ngram FROM (SELECT {k}, w, n, unnest(
 FROM (SELECT {k}, '_' || unnest(string_split_regex(regexp_replace(t, '[0-9\\t-\\r ]+$', ''), '[0-9\\t-\\r ]+')) || '_' AS w FROM ({src}) WHERE regexp_replace(t, '[0-9\\t-\\r ]+$', '') <> '') WHERE length(w) <= 25))"""
 
 
-@query(f"SELECT lang, ngram, n, CAST(rank AS INTEGER) AS rank FROM (SELECT lang, ngram, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, ngram) - 1 AS rank FROM ({_GRAMS.format(k='lang', src=f'SELECT lang, {_REDUCED} AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL')}) GROUP BY lang, ngram) WHERE rank < 400")
-def language_models(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null and lang is not null")
-    return language_o.top_grams(docs.select("lang", language_o.reduced(F.col("text")).alias("t")), "lang", F.col("t"))
-
-
-_PLAIN = _REDUCED.removeprefix("substr(").removesuffix(", 1, 25000)")
+_PLAIN = _REDUCED.removeprefix("substr(").removesuffix(", 1, 25000)")  # labelled texts aren't cut
 
 
 @query(f"SELECT lang, ngram, n, CAST(rank AS INTEGER) AS rank FROM (SELECT lang, ngram, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, ngram) - 1 AS rank FROM ({_GRAMS.format(k='lang', src=f'SELECT lang, {_PLAIN} AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL')}) GROUP BY lang, ngram) WHERE rank < 400")
-def whole_language_models(spark, sf_dir):
-    """As language_models, but the labelled texts aren't cut."""
+def language_models(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null and lang is not null")
     return language_o.top_grams(docs.select("lang", language_o.plain(F.col("text")).alias("t")), "lang", F.col("t"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_REDUCED} AS t FROM documents), ok AS (SELECT doc_id, length(regexp_replace(t, '[0-9]', '', 'g')) >= 1000 AS ok FROM d),
-m AS (SELECT lang, ngram, rank + 1 AS rank FROM (SELECT lang, ngram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, ngram) - 1 AS rank FROM ({_GRAMS.format(k='lang', src=f'SELECT lang, {_REDUCED} AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL')}) GROUP BY lang, ngram) WHERE rank < 400),
+m AS (SELECT lang, ngram, rank + 1 AS rank FROM (SELECT lang, ngram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, ngram) - 1 AS rank FROM ({_GRAMS.format(k='lang', src=f'SELECT lang, {_PLAIN} AS t FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL')}) GROUP BY lang, ngram) WHERE rank < 400),
 g AS (SELECT doc_id, ngram, rank FROM (SELECT doc_id, ngram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, ngram) - 1 AS rank FROM ({_GRAMS.format(k='doc_id', src='SELECT doc_id, t FROM d')}) GROUP BY doc_id, ngram) WHERE rank < 400),
 s AS (SELECT g.doc_id, l.lang, sum(coalesce(abs(m.rank - g.rank), 400)) AS score FROM g CROSS JOIN (SELECT DISTINCT lang FROM m) l LEFT JOIN m ON m.lang = l.lang AND m.ngram = g.ngram GROUP BY g.doc_id, l.lang),
 r AS (SELECT doc_id, lang, score, lead(score) OVER (PARTITION BY doc_id ORDER BY score, lang) AS next, row_number() OVER (PARTITION BY doc_id ORDER BY score, lang) AS rn FROM s)
@@ -453,8 +480,7 @@ SELECT ok.doc_id, CASE WHEN NOT ok.ok OR next / score < 1.02 THEN '' ELSE lang E
 FROM ok LEFT JOIN r ON r.doc_id = ok.doc_id AND rn = 1""")
 def language_guess(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    cut = docs.withColumn("text", language_o.reduced(F.col("text")))  # as the SQL has it
-    return language_o.guess(docs, language_o.train(cut), "doc_id", "text")
+    return language_o.guess(docs, language_o.train(docs), "doc_id", "text")
 
 
 @query("""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z]+') AS w, len(regexp_extract_all(text, '[.!?]+')) AS stops FROM documents),
@@ -502,10 +528,17 @@ def event_stream(spark, sf_dir):
     return events_s.run_counts(spark, sf_dir, "events.parquet").withColumn("total", rounded("total"))
 
 
-@query("SELECT testcase, count(*) AS n FROM (SELECT 'TP_PW_OD_DD' AS testcase FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[1-4][1-9]$')) GROUP BY 1")
+@query(f"""WITH c AS (SELECT p_partkey AS line, unnest(['p_name', 'p_brand', 'p_size', 'blank']) AS heading, unnest([CASE WHEN p_partkey % 10 = 3 THEN upper(p_name) ELSE p_name END, p_brand, CAST(p_size AS VARCHAR), CASE WHEN p_partkey % 2 = 0 THEN ' ' END]) AS value FROM part),
+k AS (SELECT *, {_key_sql("value")} AS ck FROM c WHERE value IS NOT NULL), v AS (SELECT heading, line, value, CASE WHEN ck <> '' THEN ck WHEN length(value) < 10 THEN lower(value) END AS key FROM k),
+f AS (SELECT heading, value, first_value(value) OVER (PARTITION BY heading, key ORDER BY line) AS fv FROM v WHERE key IS NOT NULL),
+r AS (SELECT 'TP_PW_OD_DD' AS testcase, heading FROM c WHERE heading = 'p_brand' AND NOT regexp_matches(value, '^Brand#[1-4][1-9]$') UNION ALL SELECT 'TP_PW_OD_CONT_CONSISTENCY', heading FROM f WHERE value <> fv
+UNION ALL SELECT 'OD_DATA', heading FROM c GROUP BY heading HAVING count(*) FILTER (WHERE trim(coalesce(value, '')) <> '') = 0)
+SELECT testcase, heading AS description, count(*) AS n FROM r GROUP BY ALL""")
 def open_data_scan(spark, sf_dir):
+    """Parts with names in capitals here and there and a column without values."""
+    part = table(spark, sf_dir, "part").withColumn("p_name", F.when(F.col("p_partkey") % 10 == 3, F.upper("p_name")).otherwise(F.col("p_name"))).withColumn("blank", F.when(F.col("p_partkey") % 2 == 0, " "))
     terms = dims.small(spark, [("p_brand", "^Brand#[1-4][1-9]$")], "term string, regex string")
-    return scan.open_data(table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_size"], terms).groupBy("testcase").agg(F.count("*").alias("n"))
+    return scan.open_data(part, "p_partkey", ["p_name", "p_brand", "p_size", "blank"], terms).groupBy("testcase", "description").agg(F.count("*").alias("n"))
 
 
 # --- requests and strings ----------------------------------------------------------------------------------------------------
@@ -525,15 +558,19 @@ def cache_trim(spark, sf_dir):
     return crawl_o.trimmed(table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("hits")), 20, 10)
 
 
-@query("SELECT page_id, CAST(length(html) AS INTEGER) AS chars FROM pages")
+@query("SELECT page_id, md5(html || 'kept' || page_id || '</noscript>') AS plain FROM pages")
 def noscript_removal(spark, sf_dir):
-    added = F.concat("html", F.lit('<NOSCRIPT class="x">no\nscript</noscript>'))
-    return table(spark, sf_dir, "pages").select("page_id", F.length(text_f.without_noscript(added)).alias("chars"))
+    number = F.col("page_id").cast("string")
+    added = F.concat("html", F.lit('<NOSCRIPT class="x">no\nscript'), number, F.lit("</noscript>kept"), number, F.lit("<noscript></NoScript></noscript>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text_f.without_noscript(added)).alias("plain"))
 
 
-@query("SELECT 'CONTENT' AS section UNION ALL SELECT 'PAGE'")
+@query("""SELECT section, count(*) AS n FROM (SELECT unnest(['PAGE', 'PAGE', CASE WHEN page_id % 3 = 0 THEN 'CONTENT' ELSE 'PAGE' END, CASE WHEN page_id % 2 = 0 THEN 'NAVIGATION' ELSE 'PAGE' END]) AS section FROM pages) GROUP BY section""")
 def section_names(spark, sf_dir):
-    return features_o.section_names(html.parse_pages(table(spark, sf_dir, "pages"), wanted=("elements",)).select(F.inline("elements")))
+    """Elements by section of pages with a header of one class and a paragraph of another."""
+    made = F.concat(F.lit("<x><y>"), F.when(F.col("page_id") % 3 == 0, "<z role='main'>a</z>").otherwise("<z>a</z>"), F.when(F.col("page_id") % 2 == 0, "<z class='q wb-bar w'>b</z>").otherwise("<z class='wb'>b</z>"))
+    elements = html.parse_pages(table(spark, sf_dir, "pages").select("page_id", "url", made.alias("html")), wanted=("elements",)).select(F.inline("elements"))
+    return elements.join(features_o.section_names(elements), "section").groupBy("section").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S GMT') AS sent FROM orders")
@@ -547,16 +584,22 @@ def localised_strings(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text_f.localised(F.col("event_type"), strings, "fra").alias("message"))
 
 
-@query("SELECT c_custkey, FALSE AS name_binary, TRUE AS odd_binary, FALSE AS second_missing, TRUE AS third_missing FROM customer")
+@query("""WITH f AS (SELECT doc_id, string_split(text, chr(10)) AS f FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(n AS INTEGER) AS n, len(f) <= n AS missing, CASE WHEN len(f) > n THEN regexp_matches(f[n + 1], '[^\\x09\\x20-\\x7E]') ELSE FALSE END AS "binary" FROM f, (SELECT unnest([0, 1, 4, 20]) AS n)""")
 def csv_field_flags(spark, sf_dir):
-    fields = F.array("c_name", "c_mktsegment")
-    return table(spark, sf_dir, "customer").select("c_custkey", text_f.is_binary(F.col("c_name")).alias("name_binary"), text_f.is_binary(F.concat("c_name", F.lit("é"))).alias("odd_binary"), text_f.is_missing(fields, 1).alias("second_missing"), text_f.is_missing(fields, 2).alias("third_missing"))
+    """The lines of a text as the fields of a record: whether four of them are there, and have characters beyond plain ones."""
+    made = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("f"), F.explode(F.array(*[F.lit(n) for n in (0, 1, 4, 20)])).alias("n"))
+    return made.select("doc_id", "n", text_f.is_missing(F.col("f"), F.col("n")).alias("missing"), F.coalesce(text_f.is_binary(F.get("f", F.col("n"))), F.lit(False)).alias("binary"))
 
 
-@query("SELECT s_suppkey, s_name AS title, '' AS missing FROM supplier")
+@query("SELECT s_suppkey, s_name AS title, CAST(s_suppkey AS VARCHAR) AS key, CASE WHEN s_suppkey % 2 = 0 THEN 'n' || s_nationkey ELSE '' END AS extra FROM supplier")
 def row_maps(spark, sf_dir):
-    row = text_f.row_as_map(F.array(F.lit("title"), F.lit("key")), F.array("s_name", F.col("s_suppkey").cast("string")))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", row.alias("m")).select("s_suppkey", F.col("m")["title"].alias("title"), F.coalesce(F.try_element_at("m", F.lit("none")), F.lit("")).alias("missing"))
+    """Records as maps of their headings; every other has a third field."""
+    two, odd = [F.lit("title"), F.lit("key")], F.col("s_suppkey") % 2 == 1
+    names = F.when(odd, F.array(*two)).otherwise(F.array(*two, F.lit("extra")))
+    values = F.when(odd, F.array("s_name", F.col("s_suppkey").cast("string"))).otherwise(F.array("s_name", F.col("s_suppkey").cast("string"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))))
+    made = table(spark, sf_dir, "supplier").select("s_suppkey", text_f.row_as_map(names, values).alias("m"))
+    return made.select("s_suppkey", *[F.coalesce(F.try_element_at("m", F.lit(n)), F.lit("")).alias(n) for n in ("title", "key", "extra")])
 
 
 @query("""SELECT doc_id, lang, text FROM (SELECT doc_id, lang, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'ger' ELSE 'spa' END AS lang, 'Titre ' || doc_id AS text FROM documents))""")
@@ -583,16 +626,9 @@ def css_urls(spark, sf_dir):
     return css.urls(sheets, "page_id", F.col("css")).select("page_id", "pos", F.col("url").alias("href"))
 
 
-@query("SELECT c_nationkey AS id, CAST(CASE WHEN n * 0.25 <= 1 THEN n ELSE 4 END AS INTEGER) AS fps, CAST(round(n * 0.25, 2) AS DOUBLE) AS shown_s FROM (SELECT c_nationkey, least(count(*), 40) AS n FROM customer GROUP BY 1)")
-def animation_frames(spark, sf_dir):
-    frames = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.least(F.count("*"), F.lit(40)).cast("int").alias("n"))
-    delays = F.array_repeat(F.lit(0.25), F.col("n"))
-    return frames.select("id", media_o.frames_per_second(delays, F.lit(1)).alias("fps"), F.round(media_o.display_time(delays), 2).alias("shown_s"))
-
-
 @query("SELECT c_nationkey AS id, CAST(CASE WHEN n * 0.25 <= 1 THEN n ELSE 4 END AS INTEGER) AS fps, CAST(round(n * 0.25, 2) AS DOUBLE) AS shown_s FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)")
-def whole_animations(spark, sf_dir):
-    """As animation_frames, with every customer of a nation for a frame."""
+def animation_frames(spark, sf_dir):
+    """Every customer of a nation is a frame."""
     frames = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.count("*").cast("int").alias("n"))
     delays = F.array_repeat(F.lit(0.25), F.col("n"))
     return frames.select("id", media_o.frames_per_second(delays, F.lit(1)).alias("fps"), F.round(media_o.display_time(delays), 2).alias("shown_s"))

@@ -105,7 +105,7 @@ def is_binary(field: Column) -> Column:
     return field.rlike(r"[\x00-\x08\x0A-\x1F\x7F-\x{10FFFF}]")
 
 
-def is_missing(fields: Column, index: int) -> Column:
+def is_missing(fields: Column, index: Column | int) -> Column:
     """Whether a record has no field of this index (from 0)."""
     return F.size(fields) <= index
 
