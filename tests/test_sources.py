@@ -234,3 +234,57 @@ def test_all_landmarks_equal_a_plain_parse(spark, sf):
             pages[mark].add(r["page_id"])
     got = {r["landmark"]: (r["n"], r["pages"]) for r in QUERIES["all_landmarks"](spark, sf).collect()}
     assert got == {k: (n[k], len(v)) for k, v in pages.items()} and len(got) > 2
+
+
+@pytest.mark.parametrize(
+    "line,dialect,code",
+    [
+        ("a", {"sep": '"'}, 1001), ("a", {"allow_whitespace": True, "quote": "\t"}, 1002), ("a", {"sep": "\n"}, 1003), ('"a"\r,b', {}, 2010), ('"a"b', {}, 2011), ('"a\nb"', {"binary": False}, 2021), ('"a\rb"', {"binary": False}, 2022),
+        ("'a\\b'", {"quote": "'", "escape": "\\"}, 2025), ('"\u00e9"', {"binary": False}, 2026), ('"a', {}, 2027), ("a\nb", {}, 2030), ("a\nb", {"binary": False, "verbatim": True}, 2030), ("\ra", {}, 2031), ("a\rb", {}, 2032),
+        ('a"b', {}, 2034), ("\u00e9", {"binary": False}, 2037), ("'a\\'", {"quote": "'", "escape": "\\"}, 4002), ("a\\\r", {"quote": "'", "escape": "\\"}, 4003), ("a\\", {"quote": "'", "escape": "\\"}, 4004),
+        ('a"b', {"allow_loose_quotes": True}, 0), ("'a\\b'", {"quote": "'", "escape": "\\", "allow_loose_escapes": True}, 0), ("a\nb", {"verbatim": True}, 0), ('"a\nb\u00e9"', {}, 0),
+    ],
+)
+def test_csv_codes(line, dialect, code):
+    assert csv.parse(line, csv.Dialect(**dialect))[2] == code
+
+
+def test_csv_attributes():
+    assert csv.parse(',"",x', csv.Dialect(empty_is_null=True))[0] == [None, None, "x"] and csv.parse(',"",x', csv.Dialect(blank_is_null=True))[0] == [None, "", "x"]
+    back = {"quote": "'", "escape": "\\"}
+    assert csv.parse("a\\,b", csv.Dialect(**back, allow_unquoted_escape=True))[2] == 4004 and csv.parse("a\\tb,c", csv.Dialect(**back, allow_unquoted_escape=True))[0] == ["atb", "c"]
+    assert csv.parse("'a\\b'", csv.Dialect(**back, allow_loose_escapes=True))[0] == ["ab"] and csv.parse('"a"0b"')[0] == ["a\0b"]
+    assert csv.combine_code(["a\u00e9"], csv.Dialect(binary=False)) == 2110 and csv.combine_code(["a", None]) == 0
+
+
+def plain_records(lines):
+    out, held = [], None
+    for n, v in lines:
+        held = (n, [v]) if held is None else (held[0], [*held[1], v])
+        if "\n".join(held[1]).count('"') % 2 == 0:
+            out.append((held[0], "\n".join(held[1])))
+            held = None
+    return out + ([] if held is None else [(held[0], "\n".join(held[1]))])
+
+
+@pytest.mark.parametrize("block", [1, 3, 100_000])
+def test_csv_records_over_lines(spark, monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(csv, "BLOCK", block)
+    rng = random.Random(block)
+    files = {f: [(n, "".join(rng.choice('ab,"') for _ in range(rng.randint(0, 5)))) for n in range(rng.randint(1, 40))] for f in ("p", "q", None, "r")}
+    df = spark.createDataFrame([(f, n, v) for f, lines in files.items() for n, v in lines], "f string, n long, v string")
+    got = sorted(((r["f"], r["n"], r["record"]) for r in csv.multi_line(df, "f", "n", "v").collect()), key=str)
+    assert got == sorted(((f, n, r) for f, lines in files.items() for n, r in plain_records(lines)), key=str)
+    guarded = csv.Dialect(max_line_length=6)
+    got = sorted(((r["f"], r["n"], r["record"]) for r in csv.multi_line(df, "f", "n", "v", guarded).collect()), key=str)
+    assert got == sorted(((f, n, r) for f, lines in files.items() for n, r in csv.joined([v for _, v in lines], guarded)), key=str)
+    assert list(csv.joined(['"abc', "defgh", 'ij"', "k"], guarded)) == [(0, '"abc\ndefgh'), (2, 'ij"\nk')]
+    assert list(csv.joined(['a"', 'b"'], csv.Dialect(allow_loose_quotes=True))) == [(0, 'a"'), (1, 'b"')]
+
+
+def test_csv_pages(spark):
+    df = spark.range(50).selectExpr("id * 3 AS k").repartition(5)
+    assert sorted(r["k"] for r in csv.page_of(df, "k", 45).collect()) == [135, 138, 141, 144, 147] and csv.page_of(df, "k", 50).count() == 0 and csv.page_of(df, "k", 0).count() == 50
+    assert [r["k"] for r in csv.page_of(df, "k", 2, 2).collect()] == [6, 9] and [r["k"] for r in csv.page_of(df, "k", -3, 2).collect()] == [141, 144]
