@@ -33,21 +33,27 @@ MULTIMEDIA_SUFFIX = ("avi", "flv", "mov", "swf", "wmv")
 
 # --- fixed values: languages -----------------------------------------------------------------------------------------------
 #: Two-letter codes and the three-letter codes that checks use for them.
-ISO_639_1 = dict(
-    x.split(":")
-    for x in """
-aa:aar ab:abk ae:ave af:afr ak:aka am:amh an:arg ar:ara as:asm av:ava ay:aym az:aze ba:bak be:bel bg:bul bh:bih bi:bis bm:bam bn:ben bo:tib
-br:bre bs:bos ca:cat ce:che ch:cha co:cos cr:cre cs:cze cu:chu cv:chv cy:wel da:dan de:ger dv:div dz:dzo ee:ewe el:gre en:eng eo:epo es:spa
-et:est eu:eus fa:per ff:ful fi:fin fj:fij fo:fao fr:fra fy:fry ga:gle gd:gla gl:glg gn:grn gu:guj gv:glv ha:hau he:heb hi:hin ho:hmo hr:hrv
-ht:hat hu:hun hy:arm hz:her ia:ina id:ind ie:ile ig:ibo ii:iii ik:ipk io:ido is:ice it:ita iu:iku ja:jpn jv:jav ka:geo kg:kon ki:kik kj:kua
-kk:kaz kl:kal km:khm kn:kan ko:kor kr:kau ks:kas ku:kur kv:kom kw:cor ky:kir la:lat lb:ltz lg:lug li:lim ln:lin lo:lao lt:lit lu:lub lv:lav
-mg:mlg mh:mah mi:mao mk:mac ml:mal mn:mon mr:mar ms:may mt:mlt my:bur na:nau nb:nob nd:nde ne:nep ng:ndo nl:dut nn:nno no:nor nr:nbl nv:nav
-ny:nya oc:oci oj:oji om:orm or:ori os:oss pa:pan pi:pli pl:pol ps:pus pt:por qu:que rm:roh rn:run ro:rum ru:rus rw:kin sa:san sc:srd sd:snd
-se:sme sg:sag si:sin sk:slo sl:slv sm:smo sn:sna so:som sq:sqi sr:srp ss:ssw st:sot su:sun sv:swe sw:swa ta:tam te:tel tg:tgk th:tha ti:tir
-tk:tuk tl:tgl tn:tsn to:ton tr:tur ts:tso tt:tat tw:twi ty:tah ug:uig uk:ukr ur:urd uz:uzb ve:ven vi:vie vo:vol wa:wln wo:wol xh:xho yi:yid
-yo:yor za:zha zh:chi zu:zul
-""".split()
-)
+ISO_639_1 = {
+    "aa": "aar", "ab": "abk", "ae": "ave", "af": "afr", "ak": "aka", "am": "amh", "an": "arg", "ar": "ara", "as": "asm", "av": "ava",
+    "ay": "aym", "az": "aze", "ba": "bak", "be": "bel", "bg": "bul", "bh": "bih", "bi": "bis", "bm": "bam", "bn": "ben", "bo": "tib",
+    "br": "bre", "bs": "bos", "ca": "cat", "ce": "che", "ch": "cha", "co": "cos", "cr": "cre", "cs": "cze", "cu": "chu", "cv": "chv",
+    "cy": "wel", "da": "dan", "de": "ger", "dv": "div", "dz": "dzo", "ee": "ewe", "el": "gre", "en": "eng", "eo": "epo", "es": "spa",
+    "et": "est", "eu": "eus", "fa": "per", "ff": "ful", "fi": "fin", "fj": "fij", "fo": "fao", "fr": "fra", "fy": "fry", "ga": "gle",
+    "gd": "gla", "gl": "glg", "gn": "grn", "gu": "guj", "gv": "glv", "ha": "hau", "he": "heb", "hi": "hin", "ho": "hmo", "hr": "hrv",
+    "ht": "hat", "hu": "hun", "hy": "arm", "hz": "her", "ia": "ina", "id": "ind", "ie": "ile", "ig": "ibo", "ii": "iii", "ik": "ipk",
+    "io": "ido", "is": "ice", "it": "ita", "iu": "iku", "ja": "jpn", "jv": "jav", "ka": "geo", "kg": "kon", "ki": "kik", "kj": "kua",
+    "kk": "kaz", "kl": "kal", "km": "khm", "kn": "kan", "ko": "kor", "kr": "kau", "ks": "kas", "ku": "kur", "kv": "kom", "kw": "cor",
+    "ky": "kir", "la": "lat", "lb": "ltz", "lg": "lug", "li": "lim", "ln": "lin", "lo": "lao", "lt": "lit", "lu": "lub", "lv": "lav",
+    "mg": "mlg", "mh": "mah", "mi": "mao", "mk": "mac", "ml": "mal", "mn": "mon", "mr": "mar", "ms": "may", "mt": "mlt", "my": "bur",
+    "na": "nau", "nb": "nob", "nd": "nde", "ne": "nep", "ng": "ndo", "nl": "dut", "nn": "nno", "no": "nor", "nr": "nbl", "nv": "nav",
+    "ny": "nya", "oc": "oci", "oj": "oji", "om": "orm", "or": "ori", "os": "oss", "pa": "pan", "pi": "pli", "pl": "pol", "ps": "pus",
+    "pt": "por", "qu": "que", "rm": "roh", "rn": "run", "ro": "rum", "ru": "rus", "rw": "kin", "sa": "san", "sc": "srd", "sd": "snd",
+    "se": "sme", "sg": "sag", "si": "sin", "sk": "slo", "sl": "slv", "sm": "smo", "sn": "sna", "so": "som", "sq": "sqi", "sr": "srp",
+    "ss": "ssw", "st": "sot", "su": "sun", "sv": "swe", "sw": "swa", "ta": "tam", "te": "tel", "tg": "tgk", "th": "tha", "ti": "tir",
+    "tk": "tuk", "tl": "tgl", "tn": "tsn", "to": "ton", "tr": "tur", "ts": "tso", "tt": "tat", "tw": "twi", "ty": "tah", "ug": "uig",
+    "uk": "ukr", "ur": "urd", "uz": "uzb", "ve": "ven", "vi": "vie", "vo": "vol", "wa": "wln", "wo": "wol", "xh": "xho", "yi": "yid",
+    "yo": "yor", "za": "zha", "zh": "chi", "zu": "zul",
+}
 #: ISO 639-2/T to 639-2/B.
 ISO_639_2B = {
     "bod": "tib", "ces": "cze", "cym": "wel", "deu": "ger", "eus": "baq", "ell": "gre", "fas": "per", "hye": "arm", "isl": "ice", "kat": "geo",
@@ -56,6 +62,12 @@ ISO_639_2B = {
 ONE_LETTER = {"e": "eng", "f": "fra"}
 LANGUAGE_NAMES = {"english": "eng", "francais": "fra"}
 
+# --- fixed values: accepted forms of a language attribute -------------------------------------------------------------------
+LANGUAGE_FORMS = (
+    r"^(en-GB-oed)|(i-[a-z]{3,8})|(sgn-[A-Z]{2}-[A-Z]{2})$", r"^([a-z]{2,3}-[a-z]{3,})|([a-z]{2}-[a-z]{3}-[a-z]{3})$", r"(?i)^x-[a-z0-9]+$", r"^([a-z]{2,3})$",
+    r"^([a-z]{2,3}-[a-z]{2,3})$", r"^([a-z]{2,3}-[a-z]{3,}(-[a-z]+)*)$",
+)
+
 # --- fixed values: errors of the CSV parser --------------------------------------------------------------------------------
 CSV_ERRORS = {
     1000: "INI - constructor failed", 1001: "sep_char is equal to quote_char or escape_char", 1002: "INI - allow_whitespace with escape_char or quote_char SP or TAB", 1003: "INI - \r or \n in main attr not allowed",
@@ -71,16 +83,35 @@ CSV_ERRORS = {
 
 # --- fixed values: ARIA roles by class; a role in two lists has the later class -----------------------------------------------
 ROLE_CLASSES = {
-    "abstract": "command composite input landmark range roletype section sectionhead select structure widget window",
-    "widget": "alert alertdialog button checkbox dialog gridcell link log marquee menuitem menuitemcheckbox menuitemradio option progressbar radio scrollbar slider spinbutton status tab tabpanel textbox timer tooltip treeitem",
-    "composite": "combobox grid listbox menu menubar radiogroup tablist tree treegrid",
-    "document": "article columnheader definition directory document group heading img list listitem math none note presentation region row rowgroup rowheader separator toolbar",
-    "landmark": "application banner complementary contentinfo form main navigation search",
-    "epub": "cell definition directory doc-abstract doc-acknowledgments doc-appendix doc-backlink doc-biblioentry doc-bibliography doc-biblioref doc-chapter doc-colophon doc-conclusion doc-cover doc-credit doc-credits "
-    "doc-dedication doc-endnote doc-endnotes doc-epigraph doc-epilogue doc-errata doc-footnote doc-foreword doc-glossary doc-glossref doc-index doc-introduction doc-noteref doc-notice doc-pagebreak doc-pagelist doc-part "
-    "doc-preface doc-prologue doc-pullquote doc-qna doc-subtitle doc-tip doc-toc figure table term",
-}
-ROLE_CLASS = {role: kind for kind, names in ROLE_CLASSES.items() for role in names.split()}
+    "abstract": (
+        "command", "composite", "input", "landmark", "range", "roletype", "section", "sectionhead", "select", "structure", "widget",
+        "window",
+    ),
+    "widget": (
+        "alert", "alertdialog", "button", "checkbox", "dialog", "gridcell", "link", "log", "marquee", "menuitem", "menuitemcheckbox",
+        "menuitemradio", "option", "progressbar", "radio", "scrollbar", "slider", "spinbutton", "status", "tab", "tabpanel", "textbox",
+        "timer", "tooltip", "treeitem",
+    ),
+    "composite": (
+        "combobox", "grid", "listbox", "menu", "menubar", "radiogroup", "tablist", "tree", "treegrid",
+    ),
+    "document": (
+        "article", "columnheader", "definition", "directory", "document", "group", "heading", "img", "list", "listitem", "math", "none",
+        "note", "presentation", "region", "row", "rowgroup", "rowheader", "separator", "toolbar",
+    ),
+    "landmark": (
+        "application", "banner", "complementary", "contentinfo", "form", "main", "navigation", "search",
+    ),
+    "epub": (
+        "cell", "definition", "directory", "doc-abstract", "doc-acknowledgments", "doc-appendix", "doc-backlink", "doc-biblioentry",
+        "doc-bibliography", "doc-biblioref", "doc-chapter", "doc-colophon", "doc-conclusion", "doc-cover", "doc-credit", "doc-credits",
+        "doc-dedication", "doc-endnote", "doc-endnotes", "doc-epigraph", "doc-epilogue", "doc-errata", "doc-footnote", "doc-foreword",
+        "doc-glossary", "doc-glossref", "doc-index", "doc-introduction", "doc-noteref", "doc-notice", "doc-pagebreak", "doc-pagelist",
+        "doc-part", "doc-preface", "doc-prologue", "doc-pullquote", "doc-qna", "doc-subtitle", "doc-tip", "doc-toc", "figure", "table",
+        "term",
+    ),
+}
+ROLE_CLASS = {role: kind for kind, names in ROLE_CLASSES.items() for role in names}
 
 # --- fixed values: document types ------------------------------------------------------------------------------------------
 DOCTYPES = {

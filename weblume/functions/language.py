@@ -7,13 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import dims
 
-#: Accepted forms of a language attribute.
-FORMS = (
-    r"^(en-GB-oed)|(i-[a-z]{3,8})|(sgn-[A-Z]{2}-[A-Z]{2})$", r"^([a-z]{2,3}-[a-z]{3,})|([a-z]{2}-[a-z]{3}-[a-z]{3})$", r"(?i)^x-[a-z0-9]+$", r"^([a-z]{2,3})$",
-    r"^([a-z]{2,3}-[a-z]{2,3})$", r"^([a-z]{2,3}-[a-z]{3,}(-[a-z]+)*)$",
-)
-
-
 def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
 
@@ -24,15 +17,15 @@ def bare(c: Column) -> Column:
 
 
 def iso_639_2(c: Column) -> Column:
-    """639-2/B code: 639-1 to 639-2/T, then to B where it differs; unknown codes as they are."""
+    """639-2/B code: 639-1, a letter or a name to 639-2/T, then to B where it differs; unknown codes as they are."""
     short = bare(c)
-    term = F.coalesce(_lookup(dims.ISO_639_1, short), short)
+    term = F.coalesce(_lookup(dims.ISO_639_1, short), _lookup(dims.ONE_LETTER, short), _lookup(dims.LANGUAGE_NAMES, short), short)
     return F.coalesce(_lookup(dims.ISO_639_2B, term), term)
 
 
 def language_valid(c: Column) -> Column:
     form = F.lit(False)
-    for pattern in FORMS:
+    for pattern in dims.LANGUAGE_FORMS:
         form = form | c.rlike(pattern)
     return F.coalesce(form & (_lookup(dims.ISO_639_1, bare(c)).isNotNull() | _lookup(dims.ISO_639_2B, bare(c)).isNotNull()), F.lit(False))
 

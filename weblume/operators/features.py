@@ -47,6 +47,13 @@ def link_features(links: DataFrame, id_col: str = "page_id") -> DataFrame:
     return links.withColumn("feature", kind).where("feature is not null").groupBy(id_col, "feature").agg(F.count("*").alias("n"))
 
 
+def script_multimedia(pages: DataFrame, id_col: str = "page_id", content: str = "html") -> DataFrame:
+    """id and n: uses of a multimedia file, a suffix before a quote, in the text of a page's scripts."""
+    texts = F.regexp_extract_all(content, F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1))
+    uses = F.aggregate(texts, F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(rf"(?i)\.({'|'.join(dims.MULTIMEDIA_SUFFIX)})[\"']")))
+    return pages.select(id_col, uses.alias("n")).where("n > 0").select(id_col, F.lit("multimedia").alias("feature"), "n")
+
+
 def metadata_features(metadata: DataFrame, conditions: list[tuple[str, str, str]], id_col: str = "page_id") -> DataFrame:
     """Pages whose metadata meet (tag, operator, value); places are -1, counts 1."""
     rows = [
@@ -64,7 +71,7 @@ def missing_properties(properties: DataFrame, required: DataFrame, id_col: str)
 
     required is a profile and small; each document is met with it, not with other documents.
     """
-    wanted = [r[0] for r in required.select("property").distinct().orderBy("property").collect()]
+    wanted = [r[0] for r in required.select("property").distinct().orderBy("property").collect()]  # a profile is a configuration file
     missing = F.filter(F.array(*[F.lit(p) for p in wanted]) if wanted else F.array().cast("array<string>"), lambda p: F.trim(F.coalesce(F.try_element_at("properties", p), F.lit(""))) == "")
     return properties.select(id_col, F.explode(missing).alias("property"))
 

@@ -32,7 +32,7 @@ def epub_members(files: DataFrame) -> DataFrame:
 
 
 def image_details(blob: bytes | None) -> dict | None:
-    """media_type, width, height, image_size, frames, loops and frame_delays (seconds) of a GIF or PNG; null for other data.
+    """media_type, width, height, image_size, frames, loops and frame_delays (seconds) of a GIF, PNG or JPEG; null for other data and cut files.
 
     A GIF without a loop block plays once; a loop count of 0, for ever, is 9999.
     """
@@ -41,6 +41,15 @@ def image_details(blob: bytes | None) -> dict | None:
     if blob[:8] == b"\x89PNG\r\n\x1a\n" and len(blob) >= 24:
         width, height = struct.unpack(">II", blob[16:24])
         return {"media_type": "image/png", "width": width, "height": height, "image_size": len(blob), "frames": 1, "loops": 1, "frame_delays": []}
+    if blob[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 <= len(blob) and blob[at] == 0xFF:
+            mark, size = struct.unpack_from(">BH", blob, at + 1)
+            if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):  # a frame's header
+                height, width = struct.unpack_from(">HH", blob, at + 5)
+                return {"media_type": "image/jpeg", "width": width, "height": height, "image_size": len(blob), "frames": 1, "loops": 1, "frame_delays": []}
+            at += 2 + size
+        return None
     if blob[:4] != b"GIF8" or len(blob) < 13:
         return None
     width, height, flags = struct.unpack("<HHB", blob[6:11])
@@ -71,13 +80,20 @@ def image_details(blob: bytes | None) -> dict | None:
     return {"media_type": "image/gif", "width": width, "height": height, "image_size": len(blob), "frames": frames, "loops": loops, "frame_delays": delays}
 
 
+def _details(blob: bytes | None) -> dict | None:
+    try:
+        return image_details(blob)
+    except (IndexError, struct.error):  # the file ends early
+        return None
+
+
 def images(files: DataFrame) -> DataFrame:
     """path and the details of every image."""
     kind = pa.struct([("media_type", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("image_size", pa.int64()), ("frames", pa.int32()), ("loops", pa.int32()), ("frame_delays", pa.list_(pa.float64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([image_details(b) for b in batch.column(1).to_pylist()], kind)], names=["path", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_details(b) for b in batch.column(1).to_pylist()], kind)], names=["path", "d"])
 
     made = files.select("path", "content").mapInArrow(scan, "path string, d struct<media_type:string,width:int,height:int,image_size:bigint,frames:int,loops:int,frame_delays:array<double>>")
     return made.where("d is not null").select("path", "d.*")

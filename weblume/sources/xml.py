@@ -14,6 +14,7 @@ from ..functions.urls import xml_base
 from .html import language
 from urllib.parse import urljoin
 
+# --- fixed value: the text of a document that can't be parsed
 FAILED = "***** XML PARSE FAILED *****"
 #: Elements of a feed whose text isn't prose.
 FEED_QUIET = frozenset(("icon", "id", "logo", "published", "updated", "uri"))
@@ -109,7 +110,22 @@ def links(df: DataFrame, id_col: str, url_col: str, content_col: str) -> DataFra
 def well_formed(content: str | None) -> str:
     """The parse error of a document, or an empty string."""
     try:
-        expat.ParserCreate().Parse((content or "").encode(), True)
+        expat.ParserCreate().Parse((content or "").encode("utf-8", "surrogatepass"), True)
     except expat.ExpatError as e:
         return str(e)
     return ""
+
+
+def validity(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    """Adds ``error``, the parse error of each document, empty for a well-formed one. Validation against levels of a standard is the work
+    of outer tools, whose output ``plans.checks.validation`` takes."""
+    from pyspark.sql import types as T
+
+    names = df.columns
+    at = names.index(content_col)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([well_formed(c) for c in batch.column(at).to_pylist()], pa.string())], names=[*names, "error"])
+
+    return df.mapInArrow(scan, T.StructType([*df.schema.fields, T.StructField("error", T.StringType())]))
