@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from weblume.catalogue import ORACLES, QUERIES
+from weblume.catalogue_built import ORACLES, QUERIES
 
 from .conftest import SF
 

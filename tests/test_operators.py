@@ -235,3 +235,50 @@ def test_snippets_of_all_lines(spark):
     lines = {(r["doc_id"], i): v for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() for i, v in enumerate(r["text"].split("\n"))}
     got = QUERIES["source_snippet"](spark, "/root/testdata/sf0.001").where("col = 0").collect()
     assert {(r["doc_id"], r["line_no"]): r["snippet"] for r in got} == {k: v[:200] for k, v in lines.items()} and len(got) == len(lines) > 1000
+
+
+def plain_texts(page):
+    """{language: characters of text} and the paragraphs of a page, token by token, from patterns alone."""
+    import html as entities
+    import re
+
+    from weblume import dims
+
+    tokens = re.findall(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|</?[a-z][^>]*>|[^<]+", page)
+    said, held, paragraphs = [], None, []
+
+    def end():
+        text = re.sub(r"\s+", " ", held)
+        text = re.sub(r"[:;]\s*$", ".", text)
+        if not text.rstrip().endswith("."):
+            text = text[:-1] + ".." if text.endswith(" ") else text + "."
+        paragraphs.append(text + "\n\n")
+
+    for t in tokens:
+        name = (re.match(r"</?([a-z0-9]+)", t) or [None, ""])[1]
+        if t.startswith(("<!", "<script", "<style")):
+            continue
+        if not t.startswith("<"):
+            text = entities.unescape(t)
+            held = None if held is None else held + text
+            if text.strip():
+                said.append(text)
+        elif name == "p" and not t.startswith("</") or t.startswith("</") and (name == "p" or name in dims.PARAGRAPH_ENDERS):
+            if held is not None:
+                end()
+            held = None if t.startswith("</") else ""
+    if held is not None:
+        end()
+    return len(re.sub(r"\s+", " ", " ".join(said).replace("\xa0", " ")).strip()), len("".join(paragraphs))
+
+
+def test_page_texts_equal_a_plain_reading(spark):
+    from weblume.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    got = {r["page_id"]: r for r in QUERIES["page_texts"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == len(rows) > 200
+    for r in rows:
+        chars, paragraphs = plain_texts(r["html"])
+        assert (got[r["page_id"]]["chars"], got[r["page_id"]]["paragraph_chars"]) == (chars, paragraphs), r["page_id"]

@@ -76,15 +76,15 @@ def link_answers(links: DataFrame, answers: DataFrame, inside: list[str] | None
     CROSS_LANGUAGE: English leads to French or the other way; BAD_NETWORKSCOPE: the host is one of ``inside``, which the
     public can't reach; IPV4_LINK as in ``ipv4_links``. Each link is met with its one answer; a link may have several results.
     """
-    told = answers.select(F.col("address").alias("__a"), "status", "mime_type", F.coalesce("title", F.lit("")).alias("title"), F.col("lang").alias("__l"))
+    told = answers.select(F.col("address").alias("__a"), "status", "mime_type", F.coalesce("title", F.lit("")).alias("__t"), F.col("lang").alias("__l"))
     met = links.join(told, F.col("abs_url") == F.col("__a"), "left")
     good, status = F.coalesce(F.col("status") == 200, F.lit(False)), F.col("status")
     host = F.lower(F.regexp_extract("abs_url", r"^https?://([^/:?#]+)", 1))
     pair = F.array("lang", "__l")
     cross = good & (F.col("lang") != F.col("__l")) & F.array_contains(pair, "eng") & F.array_contains(pair, "fra")
     rules = {
-        "BROKEN": status.isNull() | status.isin(*NO_ANSWER), "ACCESS_DENIED": status.isin(*DENIED), "REDIRECT": status.isin(*MOVED), "FIREWALL_BLOCKED": F.col("title").rlike(blocked),
-        "SOFT_404": good & F.col("title").rlike(SOFT), "BAD_IMAGE_MIME_TYPE": good & (F.col("link_type") == "img") & ~F.coalesce(F.col("mime_type"), F.lit("")).startswith("image/"),
+        "BROKEN": status.isNull() | status.isin(*NO_ANSWER), "ACCESS_DENIED": status.isin(*DENIED), "REDIRECT": status.isin(*MOVED), "FIREWALL_BLOCKED": F.col("__t").rlike(blocked),
+        "SOFT_404": good & F.col("__t").rlike(SOFT), "BAD_IMAGE_MIME_TYPE": good & (F.col("link_type") == "img") & ~F.coalesce(F.col("mime_type"), F.lit("")).startswith("image/"),
         "CROSS_LANGUAGE": cross, "BAD_NETWORKSCOPE": host.isin(*inside) if inside else F.lit(False), "IPV4_LINK": F.col("abs_url").rlike(r"^https?://\d{1,3}(\.\d{1,3}){3}([:/?#]|$)"),
     }
     hits = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items()]))
@@ -134,7 +134,7 @@ def pdf_properties(files: DataFrame, required: DataFrame, filled: DataFrame) ->
 def validation(outputs: DataFrame) -> DataFrame:
     """<KIND>_VALIDATION from the output of validators (url, kind, output), run elsewhere: any output is one failing result. kind is
     css, epub, html, javascript, marc, robots or xml."""
-    said = outputs.where(F.trim(F.coalesce("output", F.lit(""))) != "")
+    said = outputs.where(F.col("output").rlike(r"\S"))
     return results(said, F.concat(F.upper("kind"), F.lit("_VALIDATION")), url=F.col("url"), message=F.col("output"))
 
 
@@ -144,7 +144,7 @@ ROBOTS = r"(?i)^(user-agent|disallow|allow|sitemap|crawl-delay|host)\s*:"
 
 def robots_faults(files: DataFrame) -> DataFrame:
     """Output for ``validation``: (url, kind, output) of robots files (url, content), the lines that are no fields."""
-    lines = F.filter(F.split("content", r"\r?\n"), lambda x: (F.trim(F.regexp_replace(x, "#.*", "")) != "") & ~F.regexp_replace(x, "#.*", "").rlike(ROBOTS))
+    lines = F.filter(F.split("content", r"\r?\n"), lambda x: F.regexp_replace(x, "#.*", "").rlike(r"\S") & ~F.regexp_replace(x, "#.*", "").rlike(ROBOTS))
     return files.select("url", F.lit("robots").alias("kind"), F.array_join(lines, "\n").alias("output"))
 
 
