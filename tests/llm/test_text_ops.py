@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from weblume.llm import chat, decontamination, lines, substrings
@@ -73,6 +74,55 @@ def test_substrings_of_planted_passages(spark, seed, monkeypatch):
     assert got == plain_dedup(rows)
 
 
+@pytest.mark.parametrize("chunk,most", [(64, 1 << 20), (700, 16)])
+def test_substrings_of_long_texts(spark, chunk, most, monkeypatch):
+    """Texts of many segments, with windows over their edges, and a task that forgets what it has settled."""
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    monkeypatch.setattr(substrings, "MOST", most)
+    rng = np.random.default_rng(9)
+    long = " ".join(f"w{k}" for k in rng.integers(0, 9000, 1500))
+    words = long.split()
+    rows = [(5, long), (9, " \t" + long[:4000] + "  x  " + long[3000:]), (3, " ".join(words[700:760])), (4, " ".join(words[1440:])), (12, " ".join(words[200:900]) + " y"), (13, "q" * 5000 + " " + " ".join(words[:60])), (14, " ".join(words[:49])), (15, " ".join(words[:60]) * 2)]
+    rows += [(100 + i, " ".join(words[300:360]) + f" tail{i}") for i in range(30)]
+    got = sorted(map(tuple, substrings.op4(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()), key=str)
+    assert got == plain_dedup(rows) and sum(r[2] > 0 for r in got) > 30
+
+
+def test_substrings_of_a_long_text_in_pieces():
+    """Anchors and windows of the pieces are those of the whole text; a megabyte and more."""
+    text = " ".join(f"word{k * k % 99991}" for k in range(150_000)).encode()
+    assert len(text) > substrings.CHUNK
+    whole = substrings.Words([text])
+    places, hashes = whole.anchors()
+    met = {}
+    for number, pieces, base, own in substrings._chunks([text, b"a b", b""]):
+        words = substrings.Words(pieces, base)
+        at, h = words.anchors()
+        met |= {int(p): int(x) for p, x, i in zip(words.place[at] + words.base[words.owner[at]], h, np.array(number)[words.owner[at]]) if i == 0}
+    assert met == dict(zip(places.tolist(), hashes.tolist()))
+
+
+def test_substrings_against_sql(spark, sf):
+    from weblume.llm import registry
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM read_parquet('{sf}/documents.parquet')")
+    want = sorted(con.sql(registry.ORACLES["op4_substring_dedup"]).fetchall(), key=str)
+    assert sorted(map(tuple, registry.QUERIES["op4_substring_dedup"](spark, sf).collect()), key=str) == want
+
+
+def test_frequent_anchors_are_dealt(spark):
+    """A passage in all documents of a task: a few rows meet in its key, the others are dealt by their texts."""
+    import pyarrow as pa
+
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [f"{passage} own{i} {i}" for i in range(9000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 3000), pa.int64()), pa.array(texts[a : a + 3000])], names=["d", "text"]) for a in (0, 3000, 6000)]
+    rows = pa.Table.from_batches(list(substrings._anchor_rows(iter(batches))))
+    hits = Counter(rows.filter(pa.compute.equal(rows["salt"], 0))["h"].to_pylist())
+    assert max(hits.values()) <= 2 and rows.num_rows > 9000 * 5
+
+
 def test_substrings_of_awkward_tables(spark):
     assert substrings.op4(empty(spark)).count() == 0
     got = sorted(map(tuple, substrings.op4(extra(spark)).collect()), key=str)
@@ -240,8 +290,76 @@ def test_reply_trees(spark):
     deep = spark.range(300).selectExpr("1 AS tree", "id AS node", "CASE WHEN id > 0 THEN id - 1 END AS parent", "'user' AS role", "cast(id AS string) AS text", "0.0 AS score")
     (only,) = chat.format_trees(deep, None).collect()
     assert [int(x) for x in re.findall(r"\[INST\](\d+)", only["formatted"])] == list(range(300))
-    with pytest.raises(ValueError):
-        chat.paths(spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 3, 1)], "tree long, node long, parent long"), rounds=6)
+
+
+def plain_paths(rows):
+    """{(tree, leaf): nodes from the root} of (tree, node, parent) rows; the smallest node of a circle is its root."""
+    parent = {(t, n): p for t, n, p in rows if p is not None and any((t, p) == r[:2] for r in rows)}
+    for key in sorted(parent, key=str):
+        seen, at = [key], key
+        while at in parent and (key[0], parent[at]) not in seen:
+            at = (key[0], parent[at])
+            seen.append(at)
+        if at in parent:  # round in a circle
+            first = (key[0], parent[at])
+            del parent[min(seen[seen.index(first) :], key=lambda k: k[1])]
+    out = {}
+    for t, n, _ in rows:
+        if not any((t, n) == (k[0], p) for k, p in parent.items()):
+            path = [n]
+            while (t, path[-1]) in parent:
+                path.append(parent[t, path[-1]])
+            out[t, n] = path[::-1]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_reply_trees(spark, seed):
+    """Paths, ranks and texts of random trees with scores, missing parents and circles, against a plain walk."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for tree in [None, *range(1, 12)]:
+        n = int(rng.integers(1, 25))
+        for node in range(n):
+            kind = rng.random()
+            parent = None if kind < 0.1 else int(rng.integers(0, n + 2)) if kind < 0.3 else int(rng.integers(0, max(node, 1)))  # some beyond, some in circles
+            rows.append((tree, node, parent, str(rng.choice(["user", "assistant"])), f"t{node}", float(rng.integers(0, 4)) if rng.random() < 0.8 else None))
+    want, score = plain_paths([r[:3] for r in rows]), {r[:2]: r[5] or 0.0 for r in rows}
+    text = {r[:2]: r[4] for r in rows}
+    got = chat.format_trees(spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double"), None).collect()
+    assert len(got) == len(want)
+    for r in got:
+        path = want[r["tree"], r["leaf"]]
+        assert re.findall(r"\[/ROLE\](?:\[INST\])?(t\d+)", r["formatted"]) == [text[r["tree"], n] for n in path]
+        assert r["score"] == sum(score[r["tree"], n] for n in path)
+        better = [k for k in want if k[0] == r["tree"] and (-sum(score[k[0], n] for n in want[k]), k[1]) < (-r["score"], r["leaf"])]
+        assert r["rank"] == len(better) + 1
+    best = chat.format_trees(spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double"), 2).collect()
+    assert {(r["tree"], r["leaf"]) for r in best} == {(r["tree"], r["leaf"]) for r in got if r["rank"] <= 2}
+
+
+def test_replies_in_a_circle(spark):
+    """A circle's smallest message is its root; rows stay as many as paths have messages."""
+    rows = [(1, 1, 2), (1, 2, 1), (1, 3, 1), (2, 5, 5), (3, 8, 7), (3, 7, 9), (3, 9, 8), (3, 10, 8), (4, 1, None), (4, None, 1)]
+    got = {}
+    for r in chat.paths(spark.createDataFrame(rows, "tree long, node long, parent long")).collect():
+        got.setdefault((r["tree"], r["leaf"]), []).append((-r["up"], r["node"]))
+    assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == {(1, 2): [1, 2], (1, 3): [1, 3], (2, 5): [5], (3, 9): [7, 8, 9], (3, 10): [7, 8, 10], (4, 1): [1]}
+
+
+def test_chat_of_awkward_tables(spark):
+    """Null turns and ids, an empty table, a very long text, ties and clashing columns."""
+    from pyspark.sql import functions as F
+
+    long = "<s>é[INST]\\" * 150_000
+    rows = [(1, None, "user", "first"), (1, 0, "assistant", long), (1, 0, "assistant", None), (1, 0, None, "n"), (None, None, None, None), (2, 1, "assistant", "x"), (2, 1, "assistant", "x")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for name in ("tree", "node", "parent", "score", "rank", "formatted"):
+        conv = conv.withColumn(name, F.lit("mine"))
+    got = {r["conv_id"]: r for r in chat.op1(conv).collect()}
+    turns = [("user", "first"), ("", "n"), ("assistant", ""), ("assistant", long)]
+    assert got[1]["turns_sha256"] == sha("".join(f"{r}\n{x}\n" for r, x in turns)) and got[1]["loss_sha256"] == sha(long) and got[1]["loss_chars"] == len(long)
+    assert got[2]["n_turns"] == 2 and got[2]["loss_chars"] == 2 and got[None]["n_turns"] == 1 and set(got) == {1, 2, None, -7}
 
 
 # -- lines
@@ -277,6 +395,25 @@ def test_lines(spark, sf):
     assert got == plain_lines(rows) and sum(r[2] > 0 for r in got) > 10
 
 
+def test_a_hot_line_is_dealt(spark):
+    """A run that a third of all texts have: the joined rows of its key are spread over the tasks."""
+    from weblume.llm.common import settled
+
+    rows = [(i, f"a{i}\nb{i}\n" + ("x\ny\nz\nw\n" if i % 3 == 0 else f"c{i}\nd{i}\n") + f"e{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "xxhash64(text) AS d", "text")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = settled(lines.fingerprints(docs), ["fp"], lines.F.col("at"), ["id"])
+        sizes = [r["count"] for r in joined.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) >= 1000 and max(sizes) < 0.5 * sum(sizes)
+    got = sorted(map(tuple, lines.op7(docs.selectExpr("id AS doc_id", "text")).collect()), key=str)
+    assert got == plain_lines(rows)
+
+
 def test_lines_of_awkward_tables(spark):
     assert lines.op7(empty(spark)).count() == 0
     assert sorted(map(tuple, lines.op7(extra(spark)).collect()), key=str) == plain_lines([(r[0], r[1]) for r in AWKWARD])

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import json
-import shutil
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, delete, delete_at_end, shared_folder  # noqa: F401
+
 #: White space in the contracts of the operators: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"\x20\x09-\x0D"
 
@@ -19,55 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Where it is unset a temporary folder is made, but on a local master only, as in tests: on a cluster it would not be shared.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None) or _made.get(spark.sparkContext.applicationId)
-    if known:
-        return known
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    _made[spark.sparkContext.applicationId] = made = tempfile.mkdtemp(prefix="weblume-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    return made
-
-
-_made: dict[str, str] = {}
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return it without its lineage. What is written goes when the application ends."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-        delete_at_end(spark, spark.sparkContext.getCheckpointDir())  # a folder of its own in the shared one
-    return df.checkpoint()
-
-
-def _path(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def delete_at_end(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate data when the application ends."""
-    where, files = _path(spark, path)
-    files.deleteOnExit(where)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate data that nothing reads any more."""
-    where, files = _path(spark, path)
-    files.delete(where, True)
-
-
 def salts(spark: SparkSession) -> int:
     """Parts that a key's rows are dealt to where one key may have many of them: as many as an exchange has, 64 at least."""
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def settled(rows: DataFrame, keys: list[str], value: Column, by: list[str]) -> DataFrame:
+    """The rows whose key occurs more than once, with ``first``, the least ``value`` of their key.
+
+    A key that a third of all rows have doesn't meet in one task: its rows are dealt to parts by a hash of ``by``, each part is
+    settled by itself, and what the parts tell (a row for each) is settled by key and joined back to the parts' rows.
+    """
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*by), F.lit(salts(rows.sparkSession))))
+    parts = dealt.groupBy(*keys, "__part").agg(F.min(value).alias("first"), F.count("*").alias("n"))
+    told = parts.groupBy(*keys).agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_list("__part").alias("parts")).where("n > 1")
+    return dealt.join(told.select(*keys, "first", F.explode("parts").alias("__part")), [*keys, "__part"]).drop("__part")
+
+
 def inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small DataFrame of driver-side rows, made by SQL functions alone."""
     made = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")

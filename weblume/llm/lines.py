@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settled
+
 GRAM, GUARD = 2, 3
 RUN = GRAM + GUARD - 1
 
@@ -45,31 +47,34 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, guard: int = GUARD) -> DataF
 def repeated_runs(docs: DataFrame, gram: int = GRAM, guard: int = GUARD) -> DataFrame:
     """(id, d, start): the runs that occur before, in a document with a smaller id or further up in the same."""
     run = gram + guard - 1
-    spots = fingerprints(docs, gram, guard)
-    common = spots.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    joined = spots.join(common, "fp", "left_semi")
+    joined = settled(fingerprints(docs, gram, guard), ["fp"], F.col("at"), ["id", "d"])
     shifts = F.sequence(F.lit(0), F.size("around") - run)
     keyed = F.transform(
         F.filter(shifts, lambda s: s >= 0),
         lambda s: F.struct((F.col("from") + s).alias("start"), F.xxhash64(F.lit(1), *[F.element_at("around", (s + 1 + k).cast("int")) for k in range(run)]).alias("r1"), F.xxhash64(F.lit(2), *[F.element_at("around", (s + 1 + k).cast("int")) for k in range(run)]).alias("r2")),
     )
     runs = joined.where(F.size("around") >= run).select("id", "d", F.inline(keyed)).distinct()
-    first = runs.groupBy("r1", "r2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("r1", "r2", "first")
-    return runs.join(first, ["r1", "r2"]).where(F.struct("id", "start") > F.col("first")).select("id", "d", "start")
+    return _late(runs, ["r1", "r2"])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(id, d, start): the lines that occur before, as repeated_runs has them for runs of one line; compared by 128 bits."""
-    lines = docs.select("id", "d", F.posexplode(_lines("text")).alias("start", "line")).select("id", "d", "start", F.md5("line").alias("r")).distinct()
-    first = lines.groupBy("r").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("r", "first")
-    return lines.join(first, "r").where(F.struct("id", "start") > F.col("first")).select("id", "d", "start")
+    lines = docs.select("id", "d", F.posexplode(_lines("text")).alias("start", "line"))
+    return _late(lines.select("id", "d", "start", F.xxhash64(F.lit(1), "line").alias("r1"), F.xxhash64(F.lit(2), "line").alias("r2")), ["r1", "r2"])
+
+
+def _late(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The (id, d, start) that aren't the least of their key."""
+    place = F.struct("id", "start")
+    return settled(rows, keys, place, ["id", "start"]).where(place > F.col("first")).select("id", "d", "start")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, guard: int = GUARD) -> DataFrame:
     """id, n_lines, n_removed and kept (the text of the lines that stay; null for a null text, which has no lines).
 
     An empty text is one empty line. Rows with a null id neither give nor lose lines. Repeated rows have equal results: rows
-    that are alike in id and text count as one document.
+    that are alike in id and text count as one document. Lines and texts of any length are read whole; the lines of a text meet
+    in one row, as they do in the input.
     """
     run = gram + guard - 1
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("d"))
