@@ -180,7 +180,7 @@ def test_xml_results(spark):
     rows = results(spark.range(1), "T", description="a<b", page_no=3, line_no=1, message="m", url="u")
     assert 'page="3"' in rows.select(sinks.result_item()).first()[0] and "a&lt;b" in rows.select(sinks.result_item()).first()[0]
     assert spark.range(1).select(sinks.url_score(F.lit(9), F.lit(1)), sinks.feature_item(F.lit("a"), F.lit(2)), sinks.scan_faults(F.lit(1), F.lit(0.5))).first()[0] == '<qa_url_compliance_score score="9" faults="1">\n</qa_url_compliance_score>\n'
-    assert sinks.envelopes(rows, sinks.result_item()).first()["xml"].startswith('<url value="u">')
+    assert sinks.envelopes(rows, sinks.result_item()).first()["xml"].startswith("<qa_url>\n  <url>u</url>\n  <url_number>1</url_number>")
 
 
 def test_pdf(spark):

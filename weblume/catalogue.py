@@ -480,7 +480,7 @@ SELECT ok.doc_id, CASE WHEN NOT ok.ok OR next / score < 1.02 THEN '' ELSE lang E
 FROM ok LEFT JOIN r ON r.doc_id = ok.doc_id AND rn = 1""")
 def language_guess(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return language_o.guess(docs, language_o.train(docs), "doc_id", "text")
+    return language_o.guess(docs, language_o.train(docs), "doc_id", "text").drop("near")
 
 
 @query("""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z]+') AS w, len(regexp_extract_all(text, '[.!?]+')) AS stops FROM documents),

@@ -19,6 +19,7 @@ from .functions import language as lang_f
 from .functions import text as text_f
 from .operators import crawl as crawl_o
 from .operators import features as features_o
+from .operators import language as language_o
 from .operators import links as links_o
 from .operators import media as media_o
 from .operators import profile as profile_o
@@ -26,7 +27,7 @@ from .operators import results as results_o
 from .operators import roles as roles_o
 from .plans import checks
 from .shared import delete_at_end, shared_folder
-from .sources import binary, config, css, csv, html, sinks
+from .sources import binary, config, css, csv, html, jsonschema, sinks
 from .sources import xml as xml_s
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -325,6 +326,33 @@ def role_properties(spark, sf_dir):
     return roles_o.missing_properties(_roles(spark, sf_dir), "doc_id").select("doc_id", "property")
 
 
+@query(rows_sql([
+    ("doc_id % 4 = 0", {"tag": "'a'", "roles": "'link'"}), ("doc_id % 4 > 0", {"tag": "'a'", "roles": "''"}), ("TRUE", {"tag": "'input'", "roles": "CASE doc_id % 3 WHEN 0 THEN 'slider' WHEN 1 THEN 'searchbox' ELSE 'button,checkbox,radio,searchbox,slider,spinbutton,textbox' END"}),
+    ("TRUE", {"tag": "'th'", "roles": "'columnheader,rowheader'"}), ("TRUE", {"tag": "'span'", "roles": "''"}), ("doc_id % 2 = 0", {"tag": "'menuitem'", "roles": "'menuitemradio'"}),
+]))
+def implicit_roles(spark, sf_dir):
+    """Roles that elements have by themselves, by their address or type."""
+    N = F.col("doc_id")
+    made = cat("<a", F.when(N % 4 == 0, " href=x"), ">a</a><input", F.when(N % 3 == 0, " type=Range").when(N % 3 == 1, " type=search"), "><th></th><span></span>", F.when(N % 2 == 0, "<menuitem type=radio></menuitem>"))
+    elements = facts(built(spark, sf_dir, made), "elements").select("doc_id", F.inline("elements"))
+    return elements.select("doc_id", "tag", F.array_join(roles_o.implicit_roles(F.col("tag"), F.col("attr")), ",").alias("roles"))
+
+
+@query(rows_sql([
+    ("doc_id % 2 = 0", {"testcase": "'ACT-ARIA_attribute_defined'", "message": "'aria-foo'"}), ("doc_id % 3 = 0", {"testcase": "'ACT-ARIA_state_property_valid_value'", "message": "'aria-checked=maybe'"}), ("doc_id % 4 = 0", {"testcase": "'ACT-ARIA_state_property_valid_value'", "message": "'aria-level=x' || doc_id"}),
+    ("doc_id % 5 = 0", {"testcase": "'ACT-Role_valid_value'", "message": "'bogus'"}), ("doc_id % 7 = 0", {"testcase": "'ACT-ARIA_state_property_permitted'", "message": "'aria-sort'"}), ("doc_id % 3 = 1", {"testcase": "'ACT-Role_has_required_properties'", "message": "'aria-checked'"}),
+]))
+def aria_checks(spark, sf_dir):
+    """Faults of roles and ARIA attributes."""
+    N = F.col("doc_id")
+    made = cat(
+        "<i", F.when(N % 2 == 0, " aria-foo=1"), F.when(N % 4 == 0, cat(" aria-level=x", N)).otherwise(" aria-level=-2 aria-valuenow=.5"), F.when(N % 5 == 0, " role=bogus"), "></i>",
+        "<b role='CheckBox'", F.when(N % 3 == 0, " aria-checked=maybe").when(N % 3 == 2, " aria-checked=Mixed"), F.when(N % 7 == 0, " aria-sort=none"), " aria-label='' aria-hidden=true></b>",
+    )
+    elements = facts(built(spark, sf_dir, made), "elements").select("doc_id", F.inline("elements"))
+    return roles_o.aria_faults(elements, roles_o.taxonomy(spark, config.aria_roles(_RDF)), "doc_id").select("doc_id", "testcase", "message")
+
+
 # --- sinks -------------------------------------------------------------------------------------------------------------------
 @query("""SELECT doc_id, '<qa_url_compliance_score score="' || (100 - n) || '" faults="' || n || '">' || chr(10) || '</qa_url_compliance_score>' || chr(10) AS url_score, '<qa_scan_compliance_score score="' || (100 - n) || '" faults_per_page="' || n || '">' || chr(10) || '</qa_scan_compliance_score>' || chr(10) AS scan_score,
 '<qa_url_fault_count faults="' || n || '">' || chr(10) || '</qa_url_fault_count>' || chr(10) AS url_faults, '<qa_scan_fault_count faults="' || n || '" faults_per_page="' || doc_id || '">' || chr(10) || '</qa_scan_fault_count>' || chr(10) AS scan_faults,
@@ -337,8 +365,9 @@ def score_items(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in made.items()])
 
 
-@query("""SELECT source AS url, '<url value="' || source || '">' || chr(10) || string_agg('  <qa_result_item type="fail" testcase="T' || doc_id % 3 || '" ' || CASE WHEN doc_id % 2 = 0 THEN 'page="' || doc_id % 7 || '"' ELSE 'line="' || doc_id || '" column="0"' END || ' >' || chr(10)
-|| '    <description></description>' || chr(10) || '    <testcase_group></testcase_group>' || chr(10) || '    <source_line></source_line>' || chr(10) || '    <message>m ' || doc_id || '</message>' || chr(10) || '  </qa_result_item>' || chr(10), '' ORDER BY doc_id) || '</url>' || chr(10) AS xml FROM documents GROUP BY source""")
+@query("""SELECT source AS url, CAST(0 AS INTEGER) AS part, count(*) AS n, '<qa_url>' || chr(10) || '  <url>' || source || '</url>' || chr(10) || '  <url_number>1</url_number>' || chr(10) || '  <supporting_file></supporting_file>' || chr(10)
+|| string_agg('  <qa_result_item type="fail" testcase="T' || doc_id % 3 || '" ' || CASE WHEN doc_id % 2 = 0 THEN 'page="' || doc_id % 7 || '"' ELSE 'line="' || doc_id || '" column="0"' END || ' >' || chr(10)
+|| '    <description></description>' || chr(10) || '    <testcase_group></testcase_group>' || chr(10) || '    <source_line></source_line>' || chr(10) || '    <message>m ' || doc_id || '</message>' || chr(10) || '  </qa_result_item>' || chr(10), '' ORDER BY doc_id) || '</qa_url>' || chr(10) AS xml FROM documents GROUP BY source""")
 def result_envelopes(spark, sf_dir):
     """Results of each address in one element, by line or by page."""
     N = F.col("doc_id")
@@ -346,6 +375,22 @@ def result_envelopes(spark, sf_dir):
     return sinks.envelopes(rows, sinks.result_item())
 
 
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, '<qa_analysis>' || chr(10) || '<analysis_start_date>' || min(strftime(ts, '%Y-%m-%d %H:%M:%S')) || '</analysis_start_date>' || chr(10) || '<qa_scan_fault_count faults="' || count(*) || '" faults_per_page="1">' || chr(10) || '</qa_scan_fault_count>' || chr(10) || chr(10) || '  <analysis_end_date>' || max(strftime(ts, '%Y-%m-%d %H:%M:%S')) || '</analysis_end_date>' || chr(10) || '</qa_analysis>' || chr(10) AS xml FROM events GROUP BY 1""")
+def analysis_envelopes(spark, sf_dir):
+    """Each day of events as an analysis, with its beginning, its end and its number of faults."""
+    time = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    days = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.min(time).alias("a"), F.max(time).alias("b"), F.count("*").alias("n"))
+    return days.select("day", F.concat(sinks.analysis_start(F.col("a")), sinks.scan_faults(F.col("n"), F.lit(1)), sinks.analysis_end(F.col("b"))).alias("xml"))
+
+
+@query("""SELECT k || CASE WHEN n > 0 THEN '-' || lpad(CAST(n AS VARCHAR), 3, '0') ELSE '' END AS name, url || chr(10) || 'body ' || source AS body FROM (SELECT *, dense_rank() OVER (PARTITION BY k ORDER BY url) - 1 AS n FROM (SELECT source, 'http://h/' || doc_id AS url, md5(source || doc_id % 2) AS k FROM documents))""")
+def cached_answers(spark, sf_dir):
+    """Files of the cache where many addresses have one key: numbered names, and the address on the first line."""
+    N = F.col("doc_id")
+    answers = documents(spark, sf_dir).select(cat("http://h/", N).alias("url"), cat("body ", F.col("source")).alias("content"), "source", "doc_id")
+    return sinks.stored(answers, key=sinks.cache_key(cat(F.col("source"), N % 2)))
+
+
 # --- texts and links -------------------------------------------------------------------------------------------------------------
 @query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) || CASE WHEN text IS NULL THEN NULL ELSE ' x&nbsp;y' END AS t FROM documents")
 def clean_xml_text(spark, sf_dir):
@@ -428,6 +473,44 @@ def text_pages(spark, sf_dir):
     return links_o.text_pages(pages).groupBy("href", "kind", "text").agg(F.countDistinct("url").alias("urls"), F.min("url").alias("first"))
 
 
+@query(rows_sql([
+    ("doc_id % 4 = 0", {"branch": "'html'", "link_type": "'a'", "href": "'/a' || doc_id"}), ("doc_id % 4 = 1", {"branch": "'css'", "link_type": "'css'", "href": "'c' || doc_id || '.png'"}), ("doc_id % 4 = 2", {"branch": "'xml'", "link_type": "'link'", "href": "'x' || doc_id"}),
+]))
+def typed_links(spark, sf_dir):
+    """Links of pages, style sheets and feeds by their extractors; others have none."""
+    N = F.col("doc_id")
+    kind = N % 4
+    content = F.when(kind == 0, cat('<a href="/a', N, '">a</a>')).when(kind == 1, cat("p{background:url('c", N, ".png')} /* url(no) */")).when(kind == 2, cat('<feed><link href="x', N, '"/><uri>http://no</uri></feed>')).otherwise("<a href=no>")
+    mime = F.when(kind == 0, "text/html").when(kind == 1, "text/css").when(kind == 2, F.when(N % 8 == 2, "application/atom+xml").otherwise("text/plain")).otherwise("application/pdf")
+    made = documents(spark, sf_dir).select("doc_id", cat("http://h/", N, F.when(N % 8 == 6, ".xml")).alias("url"), mime.alias("mime_type"), content.alias("content"))
+    return links_o.extracted(made)
+
+
+@query("SELECT doc_id, doc_id % 5 < 2 AS rendered FROM documents")
+def rendered_addresses(spark, sf_dir):
+    """Addresses whose rendered form a browser is asked for."""
+    N = F.col("doc_id")
+    kind = N % 5
+    url = cat("http://h/", N, F.when(kind == 0, "").when(kind == 1, ".html?x=.png").when(kind == 2, ".GIF").when(kind == 3, ".pdf#p").otherwise(".jpg?q"))
+    return documents(spark, sf_dir).select("doc_id", crawl_o.rendered(url).alias("rendered"))
+
+
+@query(rows_sql([("TRUE", {"selector": "'/html/body'", "property": "'color'", "value": "'c' || doc_id"}), ("doc_id % 2 = 0", {"selector": "'/html/body'", "property": "'display'", "value": "'none'"}), ("TRUE", {"selector": "'/html/p[1]'", "property": "'top'", "value": "source"})]))
+def computed_styles(spark, sf_dir):
+    """Styles as a browser computed them."""
+    N = F.col("doc_id")
+    made = cat('{"/html/body": {"color": "c', N, '"', F.when(N % 2 == 0, ', "display": "none"'), '}, "/html/p[1]": {"top": "', F.col("source"), '"}}')
+    return css.computed(documents(spark, sf_dir).select("doc_id", made.alias("j")), "doc_id", F.col("j"))
+
+
+@query("SELECT doc_id, 'é & é ' || chr(8364) || ' <' || doc_id || '> ' || chr(65533) || source AS t FROM documents")
+def decoded_pages(spark, sf_dir):
+    """Bytes to text: UTF-8, references by name and number, and a byte that isn't UTF-8."""
+    N = F.col("doc_id")
+    raw = F.concat(F.encode(cat("é &amp; &eacute; &#x20AC; &lt;", N, "&#62; "), "utf-8"), F.unhex(F.lit("FF")), F.encode(F.col("source"), "utf-8"))
+    return documents(spark, sf_dir).select("doc_id", text_f.decoded(raw).alias("t"))
+
+
 # --- records -----------------------------------------------------------------------------------------------------------------
 #: A dialect, a line with the key in it, and the code that its parser must give.
 _BACK = {"quote": "'", "escape": "\\"}
@@ -476,6 +559,31 @@ def csv_attributes(spark, sf_dir):
     return parsed.select("doc_id", F.col("fields")[0].alias("one"), F.col("fields")[1].alias("two"))
 
 
+@query(rows_sql([
+    ("doc_id % 2 = 0", {"path": "'a'", "message": "'\"x' || doc_id || '\" is not of type \"integer\"'"}), ("doc_id % 3 = 0", {"path": "''", "message": "'\"b\" is a required property'"}), ("doc_id % 5 = 0", {"path": "'c'", "message": "'\"q\" is not one of [\"r\", \"s\"]'"}),
+    ("doc_id % 7 = 0", {"path": "'d,1'", "message": "'\"Z\" does not match \"^[a-z]+$\"'"}), ("doc_id % 4 = 1", {"path": "''", "message": "'Additional properties are not allowed (\"zz\")'"}),
+]))
+def json_rules(spark, sf_dir):
+    """Documents against a schema of types, required and other properties, listed values, patterns and items."""
+    N = F.col("doc_id")
+    schema = {"type": "object", "required": ["b"], "additionalProperties": False, "properties": {"a": {"type": "integer"}, "b": {}, "c": {"enum": ["r", "s"]}, "d": {"type": "array", "items": {"$ref": "#/definitions/w"}}}, "definitions": {"w": {"type": "string", "pattern": "^[a-z]+$"}}}
+    made = cat(
+        '{"a": ', F.when(N % 2 == 0, cat('"x', N, '"')).otherwise(N.cast("string")), F.when(N % 3 > 0, ', "b": null'), ', "c": ', F.when(N % 5 == 0, '"q"').otherwise('"s"'), ', "d": ["y", ', F.when(N % 7 == 0, '"Z"').otherwise('"z"'), "]",
+        F.when(N % 4 == 1, ', "zz": 1'), "}",
+    )
+    found = jsonschema.validate(documents(spark, sf_dir).select("doc_id", made.alias("j")), schema, "doc_id", "j")
+    return found.select("doc_id", F.col("data_path").alias("path"), "message")
+
+
+@query("SELECT doc_id, CAST(n AS INTEGER) AS error_no, CAST(n - 1 AS VARCHAR) AS path FROM documents, (SELECT unnest(generate_series(1, 3)) AS n) WHERE n <= doc_id % 6")
+def json_error_cap(spark, sf_dir):
+    """The first three errors of each document; some have five."""
+    N = F.col("doc_id")
+    made = F.to_json(F.transform(F.sequence(F.lit(1), (N % 6).cast("int") + 1), lambda i: F.when(i <= N % 6, -1).otherwise(1)))
+    found = jsonschema.validate(documents(spark, sf_dir).select("doc_id", made.alias("j")), {"items": {"minimum": 0}}, "doc_id", "j", 3)
+    return found.select("doc_id", "error_no", F.col("data_path").alias("path"))
+
+
 # --- families ------------------------------------------------------------------------------------------------------------------
 @query("""WITH d AS (SELECT doc_id, doc_id % 12 AS k FROM documents), r AS (
 SELECT 'BROKEN' AS testcase, doc_id FROM d WHERE k IN (0, 1, 2) UNION ALL SELECT 'ACCESS_DENIED', doc_id FROM d WHERE k = 3 UNION ALL SELECT 'REDIRECT', doc_id FROM d WHERE k = 4 UNION ALL SELECT 'FIREWALL_BLOCKED', doc_id FROM d WHERE k = 5
@@ -624,3 +732,19 @@ def family_dispatch(spark, sf_dir):
     mime = F.when(kind == 0, "text/html").when(kind == 1, "text/html; charset=utf-8").when(kind == 2, "application/xhtml+xml").when(kind == 3, "application/rss+xml").when(kind == 4, "text/xml").when(kind == 5, "application/atom+xml").when(kind == 8, "text/html").otherwise("text/plain")
     made = documents(spark, sf_dir).select(mime.alias("mime_type"), cat("http://h/", N, F.when(kind == 6, ".XML").otherwise(".txt")).alias("url"), F.when(kind < 8, "x").otherwise("").alias("content"))
     return checks.dispatched(made).groupBy("branch").agg(F.count("*").alias("n"))
+
+
+_GUESS = ORACLES["language_guess"]
+_TEXTS = "(SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents)"
+
+
+@query(_GUESS[: _GUESS.index("SELECT ok.doc_id")].replace(" AS t FROM documents)", f" AS t FROM {_TEXTS})", 1) + """SELECT ok.doc_id, CASE WHEN NOT ok.ok OR next / score < 1.02 THEN '' ELSE lang END AS lang, CAST(CASE WHEN NOT ok.ok THEN -1 WHEN next / score < 1.02 THEN -2 ELSE 0 END AS INTEGER) AS status, CAST(CASE WHEN ok.ok THEN score ELSE -1 END AS BIGINT) AS best,
+CASE WHEN ok.ok AND next / score < 1.02 THEN coalesce((SELECT string_agg(x.lang, ',' ORDER BY x.score, x.lang) FROM s x WHERE x.doc_id = ok.doc_id AND x.score < 1.05 * r.score), '') ELSE '' END AS near FROM ok LEFT JOIN r ON r.doc_id = ok.doc_id AND rn = 1""")
+def page_language_guess(spark, sf_dir):
+    """The language of pages by the text in the language that they declare; text in another doesn't count. ``near`` names the languages
+    that were too close to tell."""
+    docs = table(spark, sf_dir, "documents")
+    made = cat('<html lang="xx"><p>', text_f.xml_escape(F.col("text")), '</p><p lang="fr">', F.repeat(F.lit("pas ces mots "), 200), "</p></html>")
+    pages = docs.select("doc_id", F.lit("http://h/").alias("url"), made.alias("html"))
+    found = language_o.guess_pages(facts(pages, "html_lang", "texts"), language_o.train(docs), "doc_id")
+    return found.withColumn("near", F.array_join("near", ","))

@@ -113,6 +113,50 @@ ROLE_CLASSES = {
 }
 ROLE_CLASS = {role: kind for kind, names in ROLE_CLASSES.items() for role in names}
 
+# --- fixed values: ARIA roles that the children of a role may have -------------------------------------------------------------
+ALLOWED_CHILDREN = {
+    "combobox": ("dialog", "grid", "listbox", "textbox", "tree"), "feed": ("article",), "grid": ("row", "rowgroup"), "list": ("group", "listitem"), "listbox": ("option",),
+    "menu": ("group", "menuitem", "menuitemcheckbox", "menuitemradio"), "menubar": ("group", "menuitem", "menuitemcheckbox", "menuitemradio"), "radiogroup": ("radio",),
+    "row": ("cell", "columnheader", "gridcell", "rowheader"), "rowgroup": ("row",), "table": ("row", "rowgroup"), "tablist": ("tab",), "tree": ("group", "treeitem"), "treegrid": ("row", "rowgroup"),
+}
+
+# --- fixed values: roles that HTML elements have by themselves ------------------------------------------------------------------
+IMPLICIT_ROLES = {
+    "a": ("link",), "area": ("link",), "article": ("article",), "aside": ("complementary",), "body": ("document",), "button": ("button",), "datalist": ("listbox",), "dd": ("definition",), "details": ("group",), "dl": ("list",),
+    "dialog": ("dialog",), "dt": ("listitem",), "fieldset": ("group",), "figure": ("figure",), "footer": ("contentinfo",), "form": ("form",), "h1": ("heading",), "h2": ("heading",), "h3": ("heading",), "h4": ("heading",),
+    "h5": ("heading",), "h6": ("heading",), "header": ("banner",), "img": ("img",), "input": ("button", "checkbox", "radio", "searchbox", "slider", "spinbutton", "textbox"), "li": ("listitem",), "link": ("link",), "main": ("main",),
+    "math": ("math",), "menu": ("menu",), "menuitem": ("menuitem", "menuitemcheckbox", "menuitemradio"), "nav": ("navigation",), "ol": ("list",), "optgroup": ("group",), "option": ("option",), "output": ("status",),
+    "progress": ("progressbar",), "section": ("region",), "select": ("combobox", "listbox"), "summary": ("button",), "table": ("table",), "textarea": ("textbox",), "tbody": ("rowgroup",), "thead": ("rowgroup",),
+    "tfoot": ("rowgroup",), "td": ("cell",), "th": ("columnheader", "rowheader"), "tr": ("row",), "ul": ("list",),
+}
+#: The role that a type attribute chooses, by element.
+TYPED_ROLES = {
+    "input": {
+        "button": "button", "checkbox": "checkbox", "email": "textbox", "image": "button", "number": "spinbutton", "radio": "radio", "range": "slider", "reset": "button", "search": "searchbox", "submit": "button", "tel": "textbox",
+        "text": "textbox", "url": "textbox",
+    },
+    "menuitem": {"command": "menuitem", "checkbox": "menuitemcheckbox", "radio": "menuitemradio"},
+}
+
+# --- fixed values: ARIA attributes: their values, or the kind of these ----------------------------------------------------------
+ARIA_VALUES = {
+    "aria-activedescendant": "ID", "aria-atomic": "false true", "aria-autocomplete": "both inline list none", "aria-busy": "false true", "aria-checked": "false mixed true undefined", "aria-colcount": "INTEGER",
+    "aria-colindex": "INTEGER", "aria-colspan": "INTEGER", "aria-controls": "ID LIST", "aria-current": "date false location page step time true", "aria-describedby": "ID LIST", "aria-details": "ID", "aria-disabled": "false true",
+    "aria-dropeffect": "copy execute link move none popup", "aria-errormessage": "ID", "aria-expanded": "false true undefined", "aria-flowto": "ID LIST", "aria-grabbed": "false true undefined",
+    "aria-haspopup": "dialog false grid listbox menu tree true", "aria-hidden": "false true undefined", "aria-invalid": "false grammar spelling true", "aria-keyshortcuts": "STRING", "aria-label": "STRING", "aria-labelledby": "ID LIST",
+    "aria-level": "INTEGER", "aria-live": "assertive off polite", "aria-modal": "false true", "aria-multiline": "false true", "aria-multiselectable": "false true", "aria-orientation": "horizontal undefined vertical", "aria-owns": "ID LIST",
+    "aria-placeholder": "STRING", "aria-posinset": "INTEGER", "aria-pressed": "false mixed true", "aria-readonly": "false true", "aria-relevant": "additions additions_text all removals text", "aria-required": "false true",
+    "aria-roledescription": "STRING", "aria-rowcount": "INTEGER", "aria-rowindex": "INTEGER", "aria-rowspan": "INTEGER", "aria-selected": "false true undefined", "aria-setsize": "INTEGER", "aria-sort": "ascending descending none other",
+    "aria-valuemax": "NUMBER", "aria-valuemin": "NUMBER", "aria-valuenow": "NUMBER", "aria-valuetext": "STRING",
+}
+#: Attributes that any role may have.
+ARIA_GLOBAL = (
+    "aria-atomic", "aria-busy", "aria-controls", "aria-current", "aria-describedby", "aria-details", "aria-disabled", "aria-dropeffect", "aria-errormessage", "aria-flowto", "aria-grabbed", "aria-haspopup", "aria-hidden", "aria-invalid",
+    "aria-keyshortcuts", "aria-label", "aria-labelledby", "aria-live", "aria-owns", "aria-relevant", "aria-roledescription",
+)
+#: Roles whose content is their accessible name.
+NAMED_BY_CONTENT = ("button", "checkbox", "gridcell", "link", "menuitem", "menuitemcheckbox", "menuitemradio", "option", "radio", "searchbox", "switch", "tab", "treeitem")
+
 # --- fixed values: document types ------------------------------------------------------------------------------------------
 DOCTYPES = {
     "-//W3C//DTD XHTML 1.1 plus MathML 2.0//EN": "XHTML 1.1 plus MathML 2.0", "-//W3C//DTD MathML 2.0//EN": "MathML 2.0", "-//W3C//DTD XHTML 1.1//EN": "XHTML 1.1", "-//W3C//DTD XHTML Basic 1.0//EN": "XHTML Basic",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -122,3 +123,9 @@ def localised(key: Column, strings: dict[str, dict[str, str]], lang: str, fallba
         return F.create_map(*pairs)[key] if pairs else F.lit(None).cast("string")
 
     return F.coalesce(of(lang), of("eng"), F.concat(F.lit(fallback), key))
+
+
+@F.pandas_udf(StringType())
+def decoded(raw: pd.Series) -> pd.Series:
+    """Bytes of a page as text: UTF-8, other bytes as the replacement character, character references replaced."""
+    return raw.map(lambda b: None if b is None else html.unescape(bytes(b).decode("utf-8", "replace")))

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from urllib.robotparser import RobotFileParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import suffix
+
 #: Minutes between two requests to a host.
 DELAY_MINUTES = 1.0
 
@@ -62,3 +64,8 @@ def trimmed(hits: DataFrame, most: int, to: int) -> DataFrame:
 def image_urls(links: DataFrame) -> DataFrame:
     """Each image address once, with the number of its uses: details are read once for all of them."""
     return links.where("link_type = 'img'").groupBy("abs_url").agg(F.count("*").alias("uses"))
+
+
+def rendered(url: Column) -> Column:
+    """Whether a browser is asked for the rendered form of an address: not of images and PDF files."""
+    return ~suffix(url).isin("gif", "jpg", "png", "pdf")

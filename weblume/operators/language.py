@@ -149,17 +149,23 @@ def distances(text: str, models: dict[str, dict[str, int]]) -> dict[str, int]:
     return Ranker(models).distances(text)
 
 
-def choose(scores: dict[str, int]) -> tuple[str, int]:
-    """(language, 0), or ("", -2) where the runner-up is too near; languages that tie go by name."""
+def candidates(scores: dict[str, int]) -> list[str]:
+    """The best language and those within NEAR of it, in the order of their distances; languages that tie go by name."""
     order = sorted(scores, key=lambda k: (scores[k], k))
-    near = [k for k in order if scores[k] < NEAR * scores[order[0]] or k == order[0]]
+    return [k for k in order if scores[k] < NEAR * scores[order[0]] or k == order[0]]
+
+
+def choose(scores: dict[str, int]) -> tuple[str, int]:
+    """(language, 0), or ("", -2) where the runner-up is too near."""
+    near = candidates(scores)
     if len(near) > 1 and scores[near[1]] / max(scores[near[0]], 1e-9) < TOO_NEAR:
         return "", -2
-    return order[0], 0
+    return near[0], 0
 
 
 def guess(df: DataFrame, models: dict[str, dict[str, int]], id_col: str, text_col: str) -> DataFrame:
-    """id, lang, status (0 found, -1 too short, -2 too close) and best (the distance). Each text is scored in its own task."""
+    """id, lang, status (0 found, -1 too short, -2 too close), best (the distance) and near (the languages that were too close to tell).
+    Each text is scored in its own task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(models)
@@ -167,15 +173,23 @@ def guess(df: DataFrame, models: dict[str, dict[str, int]], id_col: str, text_co
             rows = []
             for text, enough in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if not enough or not models:
-                    rows.append(("", -1, -1))
+                    rows.append(("", -1, -1, []))
                     continue
                 scores = ranker.distances(text)
-                rows.append((*choose(scores), min(scores.values())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["id", "lang", "status", "best"])
+                lang, status = choose(scores)
+                rows.append((lang, status, min(scores.values()), candidates(scores) if status else []))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.string()))], names=["id", "lang", "status", "best", "near"])
 
     kind = df.schema[id_col].dataType.simpleString()
     slim = df.select(id_col, F.coalesce(reduced(F.col(text_col)), F.lit("")).alias("t")).select(id_col, "t", long_enough(F.col("t")).alias("enough"))
-    return slim.mapInArrow(scan, f"id {kind}, lang string, status int, best bigint").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(scan, f"id {kind}, lang string, status int, best bigint, near array<string>").withColumnRenamed("id", id_col)
+
+
+def guess_pages(facts: DataFrame, models: dict[str, dict[str, int]], id_col: str = "page_id") -> DataFrame:
+    """``guess`` of pages (id, html_lang, texts by language): only text in the language that a page declares is looked at, all of it
+    where none is declared."""
+    own = F.filter("texts", lambda t: (t["lang"] == F.col("html_lang")) | (F.col("html_lang") == ""))
+    return guess(facts.select(id_col, F.array_join(F.transform(own, lambda t: t["text"]), " ").alias("__text")), models, id_col, "__text")
 
 
 def readability(df: DataFrame, id_col: str, text: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import mime_branch, url_parts
-from ..sources import css
+from ..sources import css, xml
 from ..sources.html import CONDITIONALS, parse_pages
 
 
@@ -33,6 +33,16 @@ def by_branch(documents: DataFrame) -> dict[str, DataFrame]:
     return {b: marked.where(F.col("__branch") == b).drop("__branch") for b in ("html", "css", "pdf", "xml")}
 
 
+def extracted(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, branch, link_type and href of the links of documents of all kinds (id, url, mime_type, content), each by its extractor;
+    PDF files and others have none."""
+    kinds = by_branch(documents)
+    pages = page_links(kinds["html"], id_col, "url", "content").select(id_col, F.lit("html").alias("branch"), "link_type", "href")
+    sheets = css.urls(kinds["css"], id_col, F.col("content")).select(id_col, F.lit("css").alias("branch"), F.lit("css").alias("link_type"), F.col("url").alias("href"))
+    feeds = xml.links(kinds["xml"], id_col, "url", "content").select(id_col, F.lit("xml").alias("branch"), "link_type", "href")
+    return pages.unionByName(sheets).unionByName(feeds)
+
+
 def type_counts(links: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Links of each page by their type: n_links and n_distinct."""
     return links.groupBy(id_col, "link_type").agg(F.count("*").alias("n_links"), F.countDistinct("href").alias("n_distinct"))

@@ -46,3 +46,9 @@ def serialise(styles: DataFrame, key: str) -> DataFrame:
     one = styles.groupBy(key, "pos", "selector").agg(F.array_sort(F.collect_list(F.concat("property", F.lit(": "), "value"))).alias("p"))
     text = one.select(key, "pos", F.concat("selector", F.lit(" {\n\t"), F.array_join("p", ";\n\t"), F.lit(";\n}\n")).alias("t"))
     return text.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "").alias("css"))
+
+
+def computed(df: DataFrame, key: str, styles: Column) -> DataFrame:
+    """key, selector, property and value of computed styles, as a browser reports them: JSON objects of properties by element path."""
+    read = F.from_json(styles, "map<string,map<string,string>>")
+    return df.select(key, F.explode(read).alias("selector", "p")).select(key, "selector", F.explode("p").alias("property", "value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import xml_escape
@@ -12,6 +12,11 @@ def _cat(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+#: Items of an address that stand in one element.
+BATCH = 10_000
+
+
+# --- fixed values: the names and the layout of the elements below
 def result_item(kind: str = "fail") -> Column:
     """One result as an XML item, by line and column, or by page where there is one."""
     body = _cat(
@@ -47,10 +52,27 @@ def write_items(rows: DataFrame, path: str, item: Column) -> None:
     rows.select(item.alias("value")).write.text(path)
 
 
+def url_envelope(url: Column, number: Column, supporting: Column, items: Column) -> Column:
+    """The items of one address in its element."""
+    return _cat("<qa_url>\n  <url>", xml_escape(url), "</url>\n  <url_number>", number, "</url_number>\n  <supporting_file>", supporting, "</supporting_file>", items, "</qa_url>\n")
+
+
 def envelopes(rows: DataFrame, item: Column, url: str = "url") -> DataFrame:
-    """The items of each address in one element, in the order of their lines."""
-    held = F.array_sort(F.collect_list(F.struct("line_no", "column_no", item.alias("item"))))
-    return rows.groupBy(url).agg(held.alias("__i")).select(url, F.concat(F.lit('<url value="'), xml_escape(F.col(url)), F.lit('">\n'), F.array_join(F.transform("__i", lambda x: x["item"]), ""), F.lit("</url>\n")).alias("xml"))
+    """url, n and xml: the items of each address, in the order of their lines, in elements of BATCH items at most, so that the
+    address with the most results is not one row. They are numbered by ``part`` from 0."""
+    place = Window.partitionBy(url).orderBy("line_no", "column_no", "page_no", "testcase", "message")
+    placed = rows.select("*", item.alias("__item"), (F.row_number().over(place) - 1).alias("__at")).withColumn("part", F.floor(F.col("__at") / F.lit(float(BATCH))).cast("int"))
+    held = placed.groupBy(url, "part").agg(F.array_sort(F.collect_list(F.struct("__at", "__item"))).alias("__i"), F.count("*").alias("n"))
+    body = F.array_join(F.transform("__i", lambda x: x["__item"]), "")
+    return held.select(url, "part", "n", url_envelope(F.col(url), F.col("part") + 1, F.lit(""), F.concat(F.lit("\n"), body)).alias("xml"))
+
+
+def analysis_start(date: Column) -> Column:
+    return _cat("<qa_analysis>\n<analysis_start_date>", date, "</analysis_start_date>\n")
+
+
+def analysis_end(date: Column) -> Column:
+    return _cat("\n  <analysis_end_date>", date, "</analysis_end_date>\n</qa_analysis>\n")
 
 
 def cache_key(request: Column) -> Column:
@@ -61,3 +83,11 @@ def not_cached(requests: DataFrame, cache: DataFrame, url: str = "url") -> DataF
     """Requests whose answer isn't in the cache (column ``key``); the address is compared too, so keys may collide."""
     keyed = requests.withColumn("key", cache_key(F.col(url)))
     return keyed.join(cache.select(F.col("key").alias("__k"), F.col("url").alias("__u")), (F.col("key") == F.col("__k")) & (F.col(url) == F.col("__u")), "left_anti")
+
+
+def stored(answers: DataFrame, url: str = "url", content: str = "content", key: Column | None = None) -> DataFrame:
+    """name and body of the cache's files: an answer is kept under the md5 of its request, and its first line is its address. Other
+    addresses with that key have the names ``key-001``, ``key-002``, ... in the order of the addresses."""
+    named = answers.select(F.col(url).alias("u"), F.col(content).alias("c"), (cache_key(F.col(url)) if key is None else key).alias("k"))
+    number = F.dense_rank().over(Window.partitionBy("k").orderBy("u")) - 1
+    return named.withColumn("__n", number).select(F.concat("k", F.when(F.col("__n") > 0, F.format_string("-%03d", "__n")).otherwise("")).alias("name"), F.concat("u", F.lit("\n"), "c").alias("body"))
