@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Kinds in their order, base kinds first.
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
@@ -164,8 +166,16 @@ def learned(df: DataFrame, text_col: str = "text", most: int = LEARNED) -> list[
         hinted = hinted | F.contains(text, F.lit(hint.decode()))
     text = F.when(hinted, F.regexp_replace(text, _VALUES, " ")).otherwise(text)
     words = df.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(SHORTEST, LONGEST))
-    counted = words.groupBy("word").agg(F.count("*").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = cut(words.groupBy("word").agg(F.count("*").alias("n")))
+    # the least number of uses that matters, from a histogram of some 250 steps; so tasks send few words to the driver
+    steps = counted.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.min("n").alias("least"), F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+    have, least = 0, 1
+    for r in steps:
+        have, least = have + r["words"], r["least"]
+        if have >= most:
+            break
+    kept = counted.where(F.col("n") >= least).repartition(8)
+    return [r["word"] for r in kept.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Iterable[str] | None = None) -> DataFrame:
