@@ -282,3 +282,31 @@ def test_page_texts_equal_a_plain_reading(spark):
     for r in rows:
         chars, paragraphs = plain_texts(r["html"])
         assert (got[r["page_id"]]["chars"], got[r["page_id"]]["paragraph_chars"]) == (chars, paragraphs), r["page_id"]
+
+
+def test_numbers_within_keys(spark):
+    """Numbers of a hot key run over many ranges; ties and null keys."""
+    from weblume.shared import numbered
+
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 7}", i * 7919 % 2000) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, o long")
+    got = numbered(df, "k", ["o"], "n").collect()
+    held = {}
+    for r in sorted(got, key=lambda r: r["n"]):
+        held.setdefault(r["k"], []).append((r["n"], r["o"]))
+    assert len(got) == 2000 and {r["k"] for r in got} == {k for k, _ in rows}
+    for k, v in held.items():
+        assert [n for n, _ in v] == list(range(len(v))) and [o for _, o in v] == sorted(o for x, o in rows if x == k)
+
+
+def test_most_in_a_window_over_spans(spark):
+    """Windows that reach back over the edge of a span."""
+    rng = random.Random(3)
+    edge = 1_700_006_400  # a day's first second
+    rows = [(k, edge + rng.uniform(-90, 90)) for k in ("a", "b") for _ in range(200)] + [("c", edge - 86_400.0), ("c", float(edge)), ("d", edge - 0.5), ("d", edge + 0.5)]
+    df = spark.createDataFrame(rows, "k string, t double").selectExpr("k", "timestamp_micros(cast(t * 1000000 as bigint)) AS ts", "cast(t * 1000000 as bigint) AS u")
+    times = {}
+    for r in df.collect():
+        times.setdefault(r["k"], []).append(r["u"])
+    want = {k: max(sum(0 <= t - x <= 60_000_000 for x in v) for t in v) for k, v in times.items()}
+    assert {r["k"]: r["most"] for r in media.most_in_window(df, "k", "ts", 60).collect()} == want

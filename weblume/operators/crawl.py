@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import suffix
+from ..shared import numbered
 
 #: Minutes between two requests to a host.
 DELAY_MINUTES = 1.0
@@ -46,9 +47,10 @@ def allowed(requests: DataFrame, robots: DataFrame, agent: str = "weblume", url:
 
 
 def schedule(requests: DataFrame, order: str, delay_minutes: float = DELAY_MINUTES, url: str = "url") -> DataFrame:
-    """``start_s``: seconds after the start at which each request may go, one for each host and delay."""
-    turn = F.row_number().over(Window.partitionBy("__host").orderBy(order)) - 1
-    return requests.withColumn("__host", host(url)).withColumn("start_s", (turn * (delay_minutes * 60)).cast("double")).drop("__host")
+    """``start_s``: seconds after the start at which each request may go, one for each host and delay. A host with a third of all
+    requests isn't one task."""
+    turns = numbered(requests.withColumn("__host", host(url)), "__host", [order], "__turn")
+    return turns.withColumn("start_s", (F.col("__turn") * (delay_minutes * 60)).cast("double")).drop("__host", "__turn")
 
 
 def trimmed(hits: DataFrame, most: int, to: int) -> DataFrame:

@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _made: dict[str, str] = {}
 
@@ -50,3 +51,20 @@ def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate data that nothing reads any more."""
     where, files = _path(spark, path)
     files.delete(where, True)
+
+
+def numbered(df: DataFrame, key: str, order: list[str], number: str) -> DataFrame:
+    """Adds ``number``, from 0 for each key in the order of some columns.
+
+    No key is one task: rows are dealt to ranges of (key, order), written once, numbered in each range, and what a key has in the
+    ranges before (a row for each key and range) is added. A null key is a key like any other.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, key, *order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy(F.col(key).alias("__k"), F.col("__range").alias("__r")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__k").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__k", "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__range", key).orderBy(*order)
+    placed = dealt.withColumn("__place", F.row_number().over(inside) - 1)
+    met = placed.join(offsets, (F.col("__range") == F.col("__r")) & F.col(key).eqNullSafe(F.col("__k")))
+    return met.withColumn(number, (F.col("__place") + F.col("__before")).cast("long")).drop("__range", "__place", "__k", "__r", "__before")

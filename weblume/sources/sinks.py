@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import xml_escape
+from ..shared import numbered
 
 
 def _cat(*parts: Column | str) -> Column:
@@ -60,8 +61,8 @@ def url_envelope(url: Column, number: Column, supporting: Column, items: Column)
 def envelopes(rows: DataFrame, item: Column, url: str = "url") -> DataFrame:
     """url, n and xml: the items of each address, in the order of their lines, in elements of BATCH items at most, so that the
     address with the most results is not one row. They are numbered by ``part`` from 0."""
-    place = Window.partitionBy(url).orderBy("line_no", "column_no", "page_no", "testcase", "message")
-    placed = rows.select("*", item.alias("__item"), (F.row_number().over(place) - 1).alias("__at")).withColumn("part", F.floor(F.col("__at") / F.lit(float(BATCH))).cast("int"))
+    slim = rows.select(url, "line_no", "column_no", "page_no", "testcase", "message", item.alias("__item"))
+    placed = numbered(slim, url, ["line_no", "column_no", "page_no", "testcase", "message"], "__at").withColumn("part", F.floor(F.col("__at") / F.lit(float(BATCH))).cast("int"))
     held = placed.groupBy(url, "part").agg(F.array_sort(F.collect_list(F.struct("__at", "__item"))).alias("__i"), F.count("*").alias("n"))
     body = F.array_join(F.transform("__i", lambda x: x["__item"]), "")
     return held.select(url, "part", "n", url_envelope(F.col(url), F.col("part") + 1, F.lit(""), F.concat(F.lit("\n"), body)).alias("xml"))
