@@ -18,6 +18,8 @@ from .. import dims
 from ..schemas import FACTS
 
 _WS = re.compile(r"\s+")
+#: Origins and rooted addresses that make an absolute one by being joined.
+_ORIGIN, _ROOTED = re.compile(r"https?://[^\s/?#;\\]+(?=[/?#]|$)"), re.compile(r"/[A-Za-z0-9_~%.,+-][A-Za-z0-9_~%.,+/-]*|/")
 #: Tags whose link is in one attribute; where an address is empty there is no link.
 _SOURCES = {"frame": "src", "iframe": "src", "embed": "src", "area": "href", "audio": "src", "object": "data", "link": "href", "script": "src", "source": "src", "track": "src"}
 _CITED = ("blockquote", "q", "del", "ins")
@@ -92,10 +94,14 @@ class Sections:
 
 
 class Page(HTMLParser):
-    """Facts of one page."""
+    """Facts of one page; those that aren't wanted are left empty, and what only they need isn't computed."""
 
-    def __init__(self, base: str = "", markers: list | None = None):
+    def __init__(self, base: str = "", markers: list | None = None, wanted: frozenset | None = None):
         super().__init__(convert_charrefs=True)
+        self.keeps_links, self.keeps_elements, self.keeps_texts, self.keeps_paragraphs = (wanted is None or n in wanted for n in ("links", "elements", "texts", "paragraphs"))
+        self.placed = self.keeps_links or self.keeps_elements  # their rows have sections and landmarks
+        origin = _ORIGIN.match(base)
+        self.origin = origin[0] if origin else ""
         self.base, self.sections = base, Sections(dims.MARKERS if markers is None else markers)
         self.links: list[dict] = []
         self.elements: list[dict] = []
@@ -125,6 +131,8 @@ class Page(HTMLParser):
         href = (href or "").strip()
         if not href:
             return None
+        if not self.keeps_links:
+            return {"has_alt": "alt" in attrs}
         click = attrs.get("onclick") or ""
         line, column = self.getpos()
         row = {
@@ -137,6 +145,8 @@ class Page(HTMLParser):
         return row
 
     def absolute(self, href: str) -> str:
+        if self.origin and _ROOTED.fullmatch(href) and "/." not in href:
+            return self.origin + href
         try:
             return urljoin(self.base, href)
         except ValueError:
@@ -158,14 +168,16 @@ class Page(HTMLParser):
         if (own := attrs.get("lang") or attrs.get("xml:lang")) and not void:
             self.langs.append((tag, self.lang))
             self.lang = language(own)
-        elif not void and any(t == tag for t, _ in self.langs):
+        elif not void and self.langs and any(t == tag for t, _ in self.langs):
             self.langs.append((tag, self.lang))
-        self.sections.start(tag, attrs)
-        if not void:
-            self.path.append(tag)
-            self.marks.append(self.mark)
-        self.mark = landmark(tag, attrs, self.path, self.mark)
-        self.elements.append({"pos": len(self.elements), "tag": tag, "line_no": line, "column_no": column, "landmark": self.mark[0], "section": self.sections.current[0] or "PAGE", "attr": attrs})
+        if self.placed:
+            self.sections.start(tag, attrs)
+            if not void:
+                self.path.append(tag)
+                self.marks.append(self.mark)
+            self.mark = landmark(tag, attrs, self.path, self.mark)
+        if self.keeps_elements:
+            self.elements.append({"pos": len(self.elements), "tag": tag, "line_no": line, "column_no": column, "landmark": self.mark[0], "section": self.sections.current[0] or "PAGE", "attr": attrs})
         for name in ([attrs.get("name")] if tag == "a" else []) + [attrs.get("id")]:
             if name and name.strip():
                 self.names.append(name.strip())
@@ -173,7 +185,8 @@ class Page(HTMLParser):
             self.link("longdesc", attrs.get("href"), attrs)
         if tag in _CITED and "cite" in attrs:
             self.link("cite", attrs.get("href"), attrs)
-        getattr(self, f"start_{tag}", lambda _: None)(attrs)
+        if special := _SPECIAL.get(tag):
+            special(self, attrs)
         if tag in _SOURCES:
             row = self.link(tag, attrs.get(_SOURCES[tag]), attrs)
             if tag == "object":
@@ -253,11 +266,12 @@ class Page(HTMLParser):
             self.metadata.append({"name": attrs["name"], "content": attrs.get("content") or "", "line_no": line, "column_no": column})
 
     def handle_endtag(self, tag: str) -> None:
-        self.sections.end(tag)
+        if self.placed:
+            self.sections.end(tag)
         if self.marks:
             self.mark = self.marks.pop()
             self.path.pop()
-        if any(t == tag for t, _ in self.langs):
+        if self.langs and any(t == tag for t, _ in self.langs):
             while self.langs:
                 t, before = self.langs.pop()
                 self.lang = before
@@ -278,7 +292,7 @@ class Page(HTMLParser):
             _, self.items = self.lists.pop()
         elif tag == "figure":
             self.figure = None
-        if any(t == tag for t, _ in self.buffers):
+        if self.buffers and any(t == tag for t, _ in self.buffers):
             self.close(tag)
 
     def close(self, tag: str) -> None:
@@ -318,13 +332,13 @@ class Page(HTMLParser):
                 self.script_line = line + data.count("\n")
             return
         self.add(data)
-        if self.paragraph is not None:
+        if self.paragraph is not None and self.keeps_paragraphs:
             self.paragraph.append(data)
-        if not self.quiet and data.strip():
+        if self.keeps_texts and not self.quiet and data.strip():
             self.spans.setdefault(self.lang, []).append(data)
 
     def end_paragraph(self) -> None:
-        if self.paragraph is None:
+        if self.paragraph is None or not self.keeps_paragraphs:
             return
         text = _WS.sub(" ", "".join(self.paragraph))
         text = re.sub(r"[:;]\s*$", ".", text)
@@ -351,9 +365,13 @@ class Page(HTMLParser):
         self.end_paragraph()
 
 
-def parse_page(content: str | None, base: str | None = "", markers: list | None = None) -> dict:
+#: What is special about a tag.
+_SPECIAL = {name.removeprefix("start_"): f for name, f in vars(Page).items() if name.startswith("start_")}
+
+
+def parse_page(content: str | None, base: str | None = "", markers: list | None = None, wanted: frozenset | None = None) -> dict:
     """Facts of a page; of an empty one where the content is null."""
-    page = Page(base or "", markers)
+    page = Page(base or "", markers, wanted)
     page.feed(content or "")
     HTMLParser.close(page)  # Page.close ends a text buffer
     return page.finish()
@@ -396,13 +414,15 @@ def merge_conditional(original: list[dict], shown: list[dict]) -> list[dict]:
     return [{**r, "pos": k} for k, r in enumerate([*out, *original[i:]])]
 
 
-def page_facts(content: str | None, generated: str | None, base: str | None, markers: list | None = None) -> dict:
+def page_facts(content: str | None, generated: str | None, base: str | None, markers: list | None = None, wanted: frozenset | None = None) -> dict:
     """Facts with the links of all forms of a page: as sent, without conditional comments, and rendered."""
-    facts = parse_page(content, base, markers)
+    facts, links = parse_page(content, base, markers, wanted), frozenset(("links",))
+    if wanted is not None and "links" not in wanted:
+        return facts
     if content and (plain := without_conditionals(content)) != content:
-        facts["links"] = merge_conditional(facts["links"], parse_page(plain, base, markers)["links"])
+        facts["links"] = merge_conditional(facts["links"], parse_page(plain, base, markers, links)["links"])
     if generated:
-        facts["links"] = merge_links(facts["links"], parse_page(generated, base, markers)["links"])
+        facts["links"] = merge_links(facts["links"], parse_page(generated, base, markers, links)["links"])
     return facts
 
 
@@ -411,7 +431,7 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    every = T.StructType.fromDDL(FACTS)
+    every, names = T.StructType.fromDDL(FACTS), None if wanted is None else frozenset(wanted)
     facts = T.StructType([f for f in every.fields if wanted is None or f.name in wanted])
     schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", T.StringType()), *facts.fields])
 
@@ -422,7 +442,7 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                rows = [page_facts(c, g, u, markers) for u, c, g in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist())]
+                rows = [page_facts(c, g, u, markers, names) for u, c, g in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist())]
                 arrays = [pa.array([[{**x, "attr": list(x["attr"].items())} if isinstance(x, dict) and "attr" in x else x for x in r[n]] if isinstance(r[n], list) else r[n] for r in rows], k) for n, k in kinds]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["id", "url", *(n for n, _ in kinds)])
 
