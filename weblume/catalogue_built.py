@@ -686,6 +686,46 @@ def mobile_checks(spark, sf_dir):
     return checks.mobile(pages, facts(pages, "links", "elements")).select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("doc_id"), "testcase")
 
 
+@query(rows_sql([
+    ("doc_id % 3 = 0", {"testcase": "'NO_404'", "message": "'p' || doc_id"}), ("doc_id % 4 = 0", {"testcase": "'COOKIE_FREE'", "message": "'p' || doc_id"}), ("doc_id % 50 < doc_id % 7", {"testcase": "'OPT_IMAGES'", "message": "'p' || doc_id"}),
+]))
+def mobile_parts(spark, sf_dir):
+    """Parts of pages that are gone, set cookies, or are images of too many bytes."""
+    N = F.col("doc_id")
+    parts = documents(spark, sf_dir).select(
+        N.cast("string").alias("url"), cat("p", N).alias("part"), F.when(N % 3 == 0, 404).otherwise(200).alias("status"), F.when(N % 4 == 0, F.create_map(F.lit("set-cookie"), F.lit("a=b"))).otherwise(F.create_map(F.lit("etag"), F.lit("x"))).alias("headers"),
+        ((N % 7) * 10).alias("image_size"), F.lit(10).alias("width"), (N % 50).cast("int").alias("height"),
+    )
+    return checks.mobile_parts(parts).select(F.col("url").cast("long").alias("doc_id"), "testcase", "message")
+
+
+@query(rows_sql([
+    ("doc_id % 2 = 0", {"testcase": "'CLF2.0_TEMPLATE'", "message": "'text <!-- template -->'"}), ("doc_id % 3 = 0", {"testcase": "'SWU_E2.1'", "message": "'metadata dcterms.title'"}), ("doc_id % 5 = 0", {"testcase": "'TBS_P2_R2'", "message": "'link ^http://home/$'"}),
+    ("doc_id % 7 = 0", {"testcase": "'TP_PW_ARCHIVE'", "message": "'no link archived'"}), ("doc_id % 11 > 0", {"testcase": "'SWU_6.1.5'", "message": "'section SITE_BANNER'"}), ("doc_id % 13 > 0", {"testcase": "'TBS_P1_R2'", "message": "'landmark contentinfo'"}), ("doc_id % 17 = 0", {"testcase": "'TP_PW_TEMPLATE'", "message": "'no text (?i)<font'"}),
+]))
+def template_rules(spark, sf_dir):
+    """Rules of a template that a profile gives as data."""
+    N = F.col("doc_id")
+    made = cat(
+        F.when(N % 2 == 1, "<!-- template -->"), '<meta name="DCTERMS.title" content="', F.when(N % 3 > 0, "t"), '">', F.when(N % 5 > 0, '<a href="//home/">h</a>'), F.when(N % 7 == 0, '<a href="/archived/x">h</a>'),
+        F.when(N % 11 == 0, '<div id="wb-sttl"><a href="/b">b</a></div>'), F.when(N % 13 == 0, '<footer><a href="/f">f</a></footer>'), F.when(N % 17 == 0, "<FONT>x</FONT>"),
+    )
+    rules = [("CLF2.0_TEMPLATE", "text", "<!-- template -->"), ("SWU_E2.1", "metadata", "dcterms.title"), ("TBS_P2_R2", "link", "^http://home/$"), ("TP_PW_ARCHIVE", "no link", "archived"), ("SWU_6.1.5", "section", "SITE_BANNER"), ("TBS_P1_R2", "landmark", "contentinfo"), ("TP_PW_TEMPLATE", "no text", "(?i)<font")]
+    pages = built(spark, sf_dir, made)
+    return checks.profile_rules(pages, facts(pages, "links", "metadata"), rules).select(F.regexp_extract("url", r"(\d+)\.html$", 1).cast("long").alias("doc_id"), "testcase", "message")
+
+
+@query(rows_sql([
+    ("doc_id % 2 = 0", {"line": "0", "record": "'a,\"' || doc_id || chr(10) || 'b\"'"}), ("doc_id % 2 = 1", {"line": "0", "record": "'a,\"' || repeat('x', 30) || doc_id"}), ("doc_id % 2 = 1", {"line": "1", "record": "'b\"' || chr(10) || 'c'"}), ("doc_id % 2 = 0", {"line": "2", "record": "'c'"}),
+]))
+def csv_length_guard(spark, sf_dir):
+    """A record longer than its bound takes no further line, though its quotes are open."""
+    N = F.col("doc_id")
+    first = cat('a,"', F.when(N % 2 == 1, F.repeat(F.lit("x"), 30)), N)
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.array(first, F.lit('b"'), F.lit("c"))).alias("line", "v"))
+    return csv.multi_line(lines, "doc_id", "line", "v", csv.Dialect(max_line_length=25)).select("doc_id", F.col("line").cast("int").alias("line"), "record")
+
+
 @query(rows_sql([
     ("doc_id % 2 = 0", {"testcase": "'SWI_C'"}), ("doc_id % 3 = 0", {"testcase": "'SWI_D'"}), ("doc_id % 5 = 0", {"testcase": "'SWI_E'"}), ("doc_id % 5 = 1", {"testcase": "'SWI_E_RDFA'"}), ("doc_id % 4 = 3", {"testcase": "'SWI_B'"}),
 ]))

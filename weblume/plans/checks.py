@@ -5,7 +5,7 @@ Their names are public test-case ids; where no rule is known beyond the name, th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import language as lang_f
@@ -202,6 +202,40 @@ def mobile(pages: DataFrame, facts: DataFrame) -> DataFrame:
     return results(met.select("url", F.explode(hits).alias("testcase")), F.col("testcase"), url=F.col("url"), message=F.col("testcase"))
 
 
+def mobile_parts(parts: DataFrame) -> DataFrame:
+    """Checks of what a page is made of (url, part, status, headers, image_size, width, height): NO_404, a part that isn't there;
+    COOKIE_FREE, one whose answer sets a cookie; OPT_IMAGES, an image of more bytes than it has pixels."""
+    cookie = F.coalesce(F.try_element_at("headers", F.lit("set-cookie")), F.lit("")) != ""
+    rules = {"NO_404": F.col("status") == 404, "COOKIE_FREE": cookie, "OPT_IMAGES": F.col("image_size") > F.col("width").cast("long") * F.col("height")}
+    hits = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items()]))
+    return results(parts.select("url", "part", F.explode(hits).alias("testcase")), F.col("testcase"), url=F.col("url"), message=F.col("part"))
+
+
+def profile_rules(pages: DataFrame, facts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Test cases whose rule is data of a profile, such as those of a site's template: (testcase, kind, value). kind ``text`` or
+    ``link``: a page's mark-up, or an address that it links to, must match the pattern; ``no text``, ``no link``: mustn't;
+    ``metadata``: a page must have this metadata, not empty; ``section``, ``landmark``: it must have a link in this section or landmark.
+
+    pages: url, html; facts: url, links, metadata. A profile is a configuration file; each page is read once for all its rules.
+    """
+    met = pages.select(F.col("url").alias("__u"), "html").join(facts.select("url", "links", "metadata"), F.col("url") == F.col("__u"))
+
+    def holds(kind: str, value: str) -> Column:
+        if kind.endswith("text"):
+            found = F.coalesce(F.col("html").rlike(value), F.lit(False))
+        elif kind.endswith("link"):
+            found = F.exists("links", lambda x: x["abs_url"].rlike(value))
+        elif kind == "metadata":
+            found = F.exists("metadata", lambda m: (F.lower(m["name"]) == value.lower()) & (F.trim(m["content"]) != ""))
+        else:
+            found = F.exists("links", lambda x: x["content_section" if kind == "section" else "landmark"] == value)
+        return ~found if kind.startswith("no ") else found
+
+    failed = F.array_compact(F.array(*[F.when(~holds(k, v), F.struct(F.lit(t).alias("testcase"), F.lit(f"{k} {v}").alias("message"))) for t, k, v in rules]))
+    found = met.select("url", F.inline(failed))
+    return results(found, F.col("testcase"), url=F.col("url"), message=F.col("message"))
+
+
 def interoperability(facts: DataFrame, documents: DataFrame) -> DataFrame:
     """SWI_B: a feed that isn't well formed (documents: url, mime_type, content, error of ``sources.xml.validity``); SWI_C: a page that
     names no character set; SWI_D: one that offers no feed; SWI_E, SWI_E_RDFA: one without structured data, or without RDFa in it
