@@ -310,3 +310,17 @@ def test_most_in_a_window_over_spans(spark):
         times.setdefault(r["k"], []).append(r["u"])
     want = {k: max(sum(0 <= t - x <= 60_000_000 for x in v) for t in v) for k, v in times.items()}
     assert {r["k"]: r["most"] for r in media.most_in_window(df, "k", "ts", 60).collect()} == want
+
+
+def test_features_counted_in_the_parse(spark):
+    """Features of the parse against those of the elements: counts, sections and first places, with and without a profile."""
+    df = pages(spark, '<a href="x.pdf" target=_BLANK>a</a>\n<div role="main"><a class=k href=y>b</a><i class="k"></i></div>', "<p><p class=k>\n<br><br>", None, '<b a="1" a="2" c></b>')
+    elements = html.parse_pages(df, wanted=("elements",)).select("page_id", F.inline("elements"))
+    for profile in (["a", "br", 'class="k"', "PDF href", "New window", "p", "nothing"], None):
+        named = None if profile is None else spark.createDataFrame([(x,) for x in profile], "feature string")
+        want = {tuple(r) for r in features.counts(features.of_elements(elements), named).collect()}
+        got = {tuple(r) for r in features.of_pages(html.parse_pages(df, wanted=("features",), profile=profile)).collect()}
+        assert got == want and got
+    tags = ["a", "br", "p", "table"]
+    assert {tuple(r) for r in features.tags_of_pages(html.parse_pages(df, wanted=("tags",), profile=tags)).collect()} == {tuple(r) for r in features.tag_counts(elements, tags).collect()}
+    assert "features" not in html.parse_pages(df).columns

@@ -186,16 +186,15 @@ _TAGS = "SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)(<s
 
 @query(f"SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM ({_TAGS}) WHERE tag IN ('a', 'li', 'br', 'b', 'h1', 'script', 'p') GROUP BY tag")
 def tag_counts(spark, sf_dir):
-    elements = html.parse_pages(table(spark, sf_dir, "pages"), wanted=("elements",)).select("page_id", F.inline("elements"))
-    return features_o.tag_counts(elements, ["a", "li", "br", "b", "h1", "script", "p"])
+    tags = ["a", "li", "br", "b", "h1", "script", "p"]
+    return features_o.tags_of_pages(html.parse_pages(table(spark, sf_dir, "pages"), wanted=("tags",), profile=tags))
 
 
 @query(f"""WITH t AS (SELECT page_id, tag AS feature FROM ({_TAGS}) UNION ALL SELECT page_id, 'href' FROM ({_HREFS}) UNION ALL SELECT page_id, 'class="ad"' FROM (SELECT page_id, unnest(regexp_extract_all(html, '<div class="ad"')) FROM pages))
 SELECT page_id, feature, 'CONTENT' AS section, count(*) AS n FROM t WHERE feature IN ('a', 'br', 'href', 'class="ad"', 'table') GROUP BY page_id, feature""")
 def feature_counts(spark, sf_dir):
-    elements = html.parse_pages(table(spark, sf_dir, "pages"), wanted=("elements",)).select("page_id", F.inline("elements"))
-    profile = dims.small(spark, [("a",), ("br",), ("href",), ('class="ad"',), ("table",)], "feature string")
-    return features_o.counts(features_o.of_elements(elements), profile).select("page_id", "feature", "section", "n")
+    profile = ["a", "br", "href", 'class="ad"', "table"]
+    return features_o.of_pages(html.parse_pages(table(spark, sf_dir, "pages"), wanted=("features",), profile=profile)).select("page_id", "feature", "section", "n")
 
 
 @query("SELECT page_id, sel AS selector, prop AS property, val AS value FROM (SELECT page_id, trim(regexp_extract(s, '^([^{]+)\\{', 1)) AS sel, trim(regexp_extract(s, '\\{\\s*([\\w-]+)\\s*:', 1)) AS prop, trim(regexp_extract(s, ':\\s*([^;}]+)', 1)) AS val FROM (SELECT page_id, regexp_extract(html, '(?s)<style>(.*?)</style>', 1) AS s FROM pages)) WHERE sel <> ''")

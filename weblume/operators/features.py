@@ -32,6 +32,19 @@ def counts(features: DataFrame, profile: DataFrame | None = None, id_col: str =
     return chosen.select(id_col, "feature", "section", "n", F.col("first.line_no").alias("line_no"), F.col("first.column_no").alias("column_no"))
 
 
+def of_pages(facts: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """The same as ``counts`` from facts whose features were counted in the parse (``wanted=("features",)`` with a profile): a page's
+    counts are in one row, so nothing is shuffled."""
+    inside = F.filter("features", lambda x: x["section"] == "CONTENT")
+    chosen = F.when(F.size(inside) > 0, inside).otherwise(F.filter("features", lambda x: x["section"] == "PAGE"))
+    return facts.select(id_col, F.inline(chosen)).select(id_col, "feature", "section", "n", "line_no", "column_no")
+
+
+def tags_of_pages(facts: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """The same as ``tag_counts`` from facts whose tags were counted in the parse."""
+    return facts.select(id_col, F.inline("tags")).groupBy("tag").agg(F.sum("n").alias("n"), F.countDistinct(id_col).alias("pages"))
+
+
 def tag_counts(elements: DataFrame, tags: list[str]) -> DataFrame:
     """Uses of some tags over all pages, and the pages that have them."""
     return elements.where(F.col("tag").isin(tags)).groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))

@@ -9,9 +9,12 @@ LINK = (
 )
 ELEMENT = "struct<pos:int,tag:string,line_no:int,column_no:int,landmark:string,section:string,attr:map<string,string>>"
 SPAN = "struct<lang:string,text:string>"
-#: Everything that one parse of a page yields.
+#: Uses of a feature in a section of a page, and the place of the first.
+FEATURE = "struct<section:string,feature:string,n:bigint,line_no:int,column_no:int>"
+#: Everything that one parse of a page yields; features and tags are counted only where they are asked for.
 FACTS = (
     f"links array<{LINK}>, anchors string, elements array<{ELEMENT}>, paragraphs string, texts array<{SPAN}>, scripts string, styles array<string>, "
+    f"features array<{FEATURE}>, tags array<struct<tag:string,n:bigint>>, "
     "html_lang string, title string, metadata array<struct<name:string,content:string,line_no:int,column_no:int>>, headings array<struct<level:int,text:string,lang:string,line_no:int>>"
 )
 #: The uniform output of every check. -1 stands for a place that doesn't apply.

@@ -258,7 +258,7 @@ def page_of(df: DataFrame, order: str, offset: int, length: int | None = None) -
     if offset >= 0:
         if length is not None:
             return df.orderBy(order).offset(offset).limit(length)
-        first = df.select(F.col(order).alias("__first")).orderBy("__first").limit(offset + 1).agg(F.max("__first").alias("__first"), F.count("*").alias("__n"))
-        return df.join(F.broadcast(first), (F.col(order) >= F.col("__first")) & (F.col("__n") > offset)).drop("__first", "__n")
+        first = df.select(order).orderBy(order).offset(offset).first()
+        return df.limit(0) if first is None else df.where(F.col(order) >= F.lit(first[0]))
     tail = df.orderBy(F.desc(order)).limit(-offset).orderBy(order)
     return tail if length is None else tail.limit(length)

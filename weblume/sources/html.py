@@ -60,6 +60,18 @@ def landmark(tag: str, attrs: dict, ancestors: list[str], current: tuple[str, st
     return current
 
 
+def features_of(tag: str, attrs: dict) -> list[str]:
+    """What an element counts as: its tag, each attribute by name and with its value, a link to a PDF file, a new window."""
+    out = [tag]
+    for name, value in attrs.items():
+        out += [name, f'{name}="{value}"']
+    if tag == "a" and attrs.get("href", "").endswith(".pdf"):
+        out.append("PDF href")
+    if "_blank" in attrs.get("target", "").lower():
+        out.append("New window")
+    return out
+
+
 class Sections:
     """The section machine: class tokens, id, role, property and the tag are looked up; the first known marker decides."""
 
@@ -99,7 +111,10 @@ class Page(HTMLParser):
     def __init__(self, base: str = "", markers: list | None = None, wanted: frozenset | None = None):
         super().__init__(convert_charrefs=True)
         self.keeps_links, self.keeps_elements, self.keeps_texts, self.keeps_paragraphs = (wanted is None or n in wanted for n in ("links", "elements", "texts", "paragraphs"))
-        self.placed = self.keeps_links or self.keeps_elements  # their rows have sections and landmarks
+        self.features: dict[tuple[str, str], list[int]] | None = {} if wanted and "features" in wanted else None
+        self.tags: dict[str, int] | None = {} if wanted and "tags" in wanted else None
+        self.profile: frozenset | None = None
+        self.placed = self.keeps_links or self.keeps_elements or self.features is not None  # their rows have sections and landmarks
         origin = _ORIGIN.match(base)
         self.origin = origin[0] if origin else ""
         self.base, self.sections = base, Sections(dims.MARKERS if markers is None else markers)
@@ -176,6 +191,13 @@ class Page(HTMLParser):
                 self.path.append(tag)
                 self.marks.append(self.mark)
             self.mark = landmark(tag, attrs, self.path, self.mark)
+        if self.tags is not None and (self.profile is None or tag in self.profile):
+            self.tags[tag] = self.tags.get(tag, 0) + 1
+        if self.features is not None:
+            section = self.sections.current[0] or "PAGE"
+            for feature in features_of(tag, attrs):
+                if self.profile is None or feature in self.profile:
+                    self.features.setdefault((section, feature), [0, line, column])[0] += 1
         if self.keeps_elements:
             self.elements.append({"pos": len(self.elements), "tag": tag, "line_no": line, "column_no": column, "landmark": self.mark[0], "section": self.sections.current[0] or "PAGE", "attr": attrs})
         for name in ([attrs.get("name")] if tag == "a" else []) + [attrs.get("id")]:
@@ -355,6 +377,8 @@ class Page(HTMLParser):
         for r in self.links:
             del r["_sub"]
         return {
+            "features": [{"section": k[0], "feature": k[1], "n": v[0], "line_no": v[1], "column_no": v[2]} for k, v in (self.features or {}).items()],
+            "tags": [{"tag": k, "n": n} for k, n in (self.tags or {}).items()],
             "links": self.links, "anchors": " " + "".join(f"{n} " for n in self.names), "elements": self.elements, "paragraphs": "".join(self.paragraphs),
             "texts": [{"lang": k, "text": clean_text(" ".join(v))} for k, v in self.spans.items()], "scripts": "".join(self.scripts), "styles": self.styles, "html_lang": self.html_lang or "", "title": self.title or "", "metadata": self.metadata, "headings": self.headings,
         }
@@ -369,9 +393,10 @@ class Page(HTMLParser):
 _SPECIAL = {name.removeprefix("start_"): f for name, f in vars(Page).items() if name.startswith("start_")}
 
 
-def parse_page(content: str | None, base: str | None = "", markers: list | None = None, wanted: frozenset | None = None) -> dict:
+def parse_page(content: str | None, base: str | None = "", markers: list | None = None, wanted: frozenset | None = None, profile: frozenset | None = None) -> dict:
     """Facts of a page; of an empty one where the content is null."""
     page = Page(base or "", markers, wanted)
+    page.profile = profile
     page.feed(content or "")
     HTMLParser.close(page)  # Page.close ends a text buffer
     return page.finish()
@@ -414,9 +439,9 @@ def merge_conditional(original: list[dict], shown: list[dict]) -> list[dict]:
     return [{**r, "pos": k} for k, r in enumerate([*out, *original[i:]])]
 
 
-def page_facts(content: str | None, generated: str | None, base: str | None, markers: list | None = None, wanted: frozenset | None = None) -> dict:
+def page_facts(content: str | None, generated: str | None, base: str | None, markers: list | None = None, wanted: frozenset | None = None, profile: frozenset | None = None) -> dict:
     """Facts with the links of all forms of a page: as sent, without conditional comments, and rendered."""
-    facts, links = parse_page(content, base, markers, wanted), frozenset(("links",))
+    facts, links = parse_page(content, base, markers, wanted, profile), frozenset(("links",))
     if wanted is not None and "links" not in wanted:
         return facts
     if content and (plain := without_conditionals(content)) != content:
@@ -426,13 +451,14 @@ def page_facts(content: str | None, generated: str | None, base: str | None, mar
     return facts
 
 
-def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", content_col: str = "html", generated_col: str | None = None, markers: list | None = None, wanted: tuple[str, ...] | None = None) -> DataFrame:
-    """One row of facts for each page; ``wanted`` names the fact columns to return (all by default), so others aren't sent back."""
+def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", content_col: str = "html", generated_col: str | None = None, markers: list | None = None, wanted: tuple[str, ...] | None = None, profile: list[str] | None = None) -> DataFrame:
+    """One row of facts for each page; ``wanted`` names the fact columns to return (all but features and tags by default), so
+    others aren't sent back. ``profile`` lists the features or tags that are counted (all by default), where these are wanted."""
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    every, names = T.StructType.fromDDL(FACTS), None if wanted is None else frozenset(wanted)
-    facts = T.StructType([f for f in every.fields if wanted is None or f.name in wanted])
+    every, names, known = T.StructType.fromDDL(FACTS), None if wanted is None else frozenset(wanted), None if profile is None else frozenset(profile)
+    facts = T.StructType([f for f in every.fields if (f.name not in ("features", "tags") if wanted is None else f.name in wanted)])
     schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", T.StringType()), *facts.fields])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,7 +468,7 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                rows = [page_facts(c, g, u, markers, names) for u, c, g in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist())]
+                rows = [page_facts(c, g, u, markers, names, known) for u, c, g in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist())]
                 arrays = [pa.array([[{**x, "attr": list(x["attr"].items())} if isinstance(x, dict) and "attr" in x else x for x in r[n]] if isinstance(r[n], list) else r[n] for r in rows], k) for n, k in kinds]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["id", "url", *(n for n, _ in kinds)])
 
