@@ -95,7 +95,7 @@ def format_trees(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     the leaf; None chooses all. A path is written in one row, so its texts together must fit a row (2 GB).
     """
     scored = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    every = cut(paths(messages))
+    every = paths(messages)
     ranked = (
         every.join(scored, every["tree"].eqNullSafe(scored["t"]) & (every["node"] == scored["n"]))
         .groupBy("tree", "leaf").agg(F.sum("score").alias("score"))

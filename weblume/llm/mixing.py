@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, salts, words_count
+from .common import cut, inline, salts, words_count
 
 #: Documents that a group of the reduction tree settles.
 GROUP = 2048
@@ -36,12 +36,14 @@ BROADCAST_ROWS = 10_000
 def _ranked(sizes: DataFrame) -> DataFrame:
     """Adds ``__rank``, from 1 in the order of the sources, null last: ranks of ranges of sources, and the sources before each."""
     ranges = cut(sizes.repartitionByRange(salts(sizes.sparkSession), F.col("source").asc_nulls_last()).withColumn("__range", F.spark_partition_id()))
-    before, offsets = 0, {}
+    before, offsets = 0, []
     for r in ranges.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():  # a row for each partition
-        offsets[r["__range"]], before = before, before + r["n"]
-    offset = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])[F.col("__range")] if offsets else F.lit(0)
+        offsets.append({"__r": r["__range"], "__before": before})
+        before += r["n"]
     inside = Window.partitionBy("__range").orderBy(F.col("source").asc_nulls_last())
-    return ranges.withColumn("__rank", F.row_number().over(inside) + offset).drop("__range")
+    known = inline(sizes.sparkSession, offsets, "__r:int,__before:bigint")
+    placed = ranges.withColumn("__at", F.row_number().over(inside)).join(F.broadcast(known), F.col("__range") == F.col("__r"))
+    return placed.withColumn("__rank", F.col("__at") + F.col("__before")).drop("__range", "__r", "__at", "__before")
 
 
 def targets(sizes: DataFrame, cap: float = 3.0, weights: tuple = WEIGHTS) -> DataFrame:
