@@ -100,7 +100,7 @@ def figure_captions(spark, sf_dir):
     return facts(built(spark, sf_dir, made), "links").select("doc_id", F.inline("links")).select("doc_id", "href", "alt")
 
 
-@query(rows_sql([("TRUE", {"level": "1", "text": "'One ' || doc_id", "line_no": "1"}), ("doc_id % 2 = 0", {"level": "3", "text": "'Two x'", "line_no": "2 + doc_id % 3"}), ("TRUE", {"level": "6", "text": "source", "line_no": "2 + doc_id % 3"})]))
+@query(rows_sql([("TRUE", {"level": "1", "text": "'One ' || doc_id", "line_no": "1"}), ("doc_id % 2 = 0", {"level": "3", "text": "'Two x'", "line_no": "CAST(2 + doc_id % 3 AS INTEGER)"}), ("TRUE", {"level": "6", "text": "source", "line_no": "CAST(2 + doc_id % 3 AS INTEGER)"})]))
 def page_headings(spark, sf_dir):
     N = F.col("doc_id")
     made = cat("<h1>One\n<!-- no -->", N, "</h1>", F.repeat(F.lit("\n"), (N % 3).cast("int")), F.when(N % 2 == 0, "<h3>Two <i>x</i></h3>"), "<h6 class=a>", F.col("source"), "</h6>")
@@ -236,7 +236,7 @@ def _le(c: Column) -> Column:
 @query("""WITH d AS (SELECT doc_id, doc_id % 12 + 1 AS k, doc_id % 5 AS dd, doc_id % 3 = 0 AS looped, doc_id % 7 AS l, CASE WHEN doc_id % 6 = 5 THEN 'png' WHEN doc_id % 6 = 4 THEN 'jpeg' WHEN doc_id % 13 = 1 THEN 'cut' ELSE 'gif' END AS kind FROM documents),
 g AS (SELECT *, CASE WHEN NOT looped THEN 1 WHEN l = 0 THEN 9999 ELSE l END AS loops FROM d)
 SELECT doc_id, 'image/' || kind AS media_type, CAST(doc_id % 700 + 1 AS INTEGER) AS width, CAST(doc_id % 300 + 1 AS INTEGER) AS height, CAST(CASE kind WHEN 'gif' THEN 13 + 23 * k + CASE WHEN looped THEN 19 ELSE 0 END + 1 WHEN 'png' THEN 24 ELSE 17 END AS BIGINT) AS image_size,
- CAST(CASE WHEN kind = 'gif' THEN k ELSE 1 END AS INTEGER) AS frames, CAST(CASE WHEN kind = 'gif' THEN loops ELSE 1 END AS INTEGER) AS loops, kind = 'gif' AND k > 1 AS animated, CASE WHEN kind = 'gif' THEN round(k * dd * 0.1 * loops, 2) ELSE 0.0 END AS display_time,
+ CAST(CASE WHEN kind = 'gif' THEN k ELSE 1 END AS INTEGER) AS frames, CAST(CASE WHEN kind = 'gif' THEN loops ELSE 1 END AS INTEGER) AS loops, kind = 'gif' AND k > 1 AS animated, CAST(CASE WHEN kind = 'gif' THEN round(k * dd * 0.1 * loops, 2) ELSE 0.0 END AS DOUBLE) AS display_time,
  CAST(CASE WHEN kind <> 'gif' THEN 0 WHEN k * dd <= 10 THEN k * loops ELSE 10 // dd END AS INTEGER) AS fps FROM g WHERE kind <> 'cut'""")
 def image_details(spark, sf_dir):
     """Images written byte by byte: animations with delays and loops, other formats, and a file that ends early."""
