@@ -662,6 +662,31 @@ def accessibility_checks(spark, sf_dir):
     return checks.accessibility(facts(pages, "title", "html_lang", "links", "elements")).select(F.col("url").cast("long").alias("doc_id"), "testcase", "message")
 
 
+_ACT = [
+    ("doc_id % 2 = 0", "HTML_page_title_non_empty", "''"), ("doc_id % 3 = 0", "HTML_page_has_lang", "''"), ("doc_id % 3 = 1", "HTML_page_lang_valid", "'q9q'"), ("doc_id % 3 = 2 AND doc_id % 4 = 0", "HTML_page_lang_xml_lang_match", "'fr-ca'"),
+    ("doc_id % 5 = 0", "Lang_has_valid_language", "'zz9'"), ("doc_id % 5 = 1", "Heading_non_empty_accessible_name", "''"), ("doc_id % 6 = 0", "Image_non_empty_accessible_name", "'i' || doc_id"), ("doc_id % 6 = 1", "Image_button_non_empty_accessible_name", "'b.png'"),
+    ("doc_id % 7 = 0", "Object_non_empty_accessible_name", "'o' || doc_id"), ("doc_id % 7 = 1", "Link_non_empty_accessible_name", "'/e' || doc_id"), ("doc_id % 7 = 2", "iframe_non_empty_accessible_name", "'f' || doc_id"), ("doc_id % 8 = 0", "id_attribute_value_unique", "'k'"),
+    ("doc_id % 9 = 0", "Meta_no_refresh_delay", "'5; url=x'"), ("doc_id % 9 = 1", "Meta_viewport_allows_zoom", "'user-scalable=no'"), ("doc_id % 9 = 2", "Meta_viewport_allows_zoom", "'maximum-scale=1.5'"),
+]
+
+
+@query(rows_sql([(test, {"testcase": f"'ACT-{name}'", "message": message}) for test, name, message in _ACT]))
+def act_checks(spark, sf_dir):
+    """Pages with the faults of the ACT rules, and with what comes near them but is right."""
+    N = F.col("doc_id")
+    five, six, seven, nine = N % 5, N % 6, N % 7, N % 9
+    made = cat(
+        "<html", F.when(N % 3 == 1, " lang=q9q").when(N % 3 == 2, " lang=en-CA"), F.when(N % 3 == 2, F.when(N % 4 == 0, " xml:lang=fr-ca").otherwise(" xml:lang=en")), "><head>", F.when(N % 2 == 1, "<title>t</title>"),
+        F.when(nine == 0, '<meta http-equiv=Refresh content="5; url=x">').when(nine == 1, "<meta name=viewport content=user-scalable=no>").when(nine == 2, "<meta name=viewport content=maximum-scale=1.5>").when(nine == 3, "<meta http-equiv=refresh content=0><meta name=viewport content=maximum-scale=2>"),
+        "</head><body>", F.when(five == 0, "<p lang=zz9>a</p>").when(five == 1, "<h2> <img src=x alt=''></h2>").otherwise("<p lang=fr>a</p><h2>h</h2>"),
+        F.when(six == 0, cat("<img src=i", N, ">")).when(six == 1, "<input type=image src=b.png>").when(six == 2, "<img src=y aria-label=z><img src=w role=none><input type=image alt=a src=c>"),
+        F.when(seven == 0, cat("<object data=o", N, "> </object>")).when(seven == 1, cat('<a href="/e', N, '"> </a>')).when(seven == 2, cat("<iframe src=f", N, "></iframe>")).otherwise("<object data=p>q</object><a href=/r aria-label=s></a><iframe src=t aria-hidden=true></iframe>"),
+        "<i id=k></i>", F.when(N % 8 == 0, "<i id=k></i>").otherwise("<i id=l></i>"), "</body></html>",
+    )
+    pages = built(spark, sf_dir, made).withColumn("url", N.cast("string"))
+    return checks.act_rules(facts(pages, "title", "links", "elements", "headings")).select(F.col("url").cast("long").alias("doc_id"), "testcase", "message")
+
+
 _MOBILE = {
     "GZIP": "doc_id % 2 = 0", "EXPIRES": "doc_id % 3 = 0", "ETAGS": "doc_id % 5 = 0", "COOKIE_SIZE": "doc_id % 7 = 0", "REDIRECTS": "doc_id % 4 = 0", "MINIFY": "doc_id % 6 = 0", "EXTERNAL": "doc_id % 6 IN (0, 1, 2)", "CSS_LINK": "doc_id % 6 = 2", "CSS_TOP": "doc_id % 8 = 0",
     "JS_BOTTOM": "doc_id % 8 = 1", "JS_DUPES": "doc_id % 8 = 2", "EMPTY_SRC": "doc_id % 9 = 0", "IFRAMES": "doc_id % 9 = 1", "NO_SCALE": "doc_id % 9 = 2", "FAVICON": "doc_id % 10 > 0", "NUM_HTTP": "doc_id % 9 = 3", "DNS_LOOKUPS": "doc_id % 9 = 4",

@@ -167,6 +167,45 @@ def accessibility(facts: DataFrame) -> DataFrame:
     return results(found, F.col("testcase"), url=F.col("url"), line_no=F.col("line_no"), column_no=F.col("column_no"), message=F.col("message"))
 
 
+def act_rules(facts: DataFrame) -> DataFrame:
+    """Rules of the public ACT catalogue that the facts of a page (url, title, links, elements, headings) decide: language, its validity
+    and agreement with xml:lang, a title, names of headings, images, image buttons, objects, links and frames, ids that are
+    unique, a refresh after a delay of up to 20 hours, and a viewport that keeps readers from zooming in."""
+    elements, links, headings = F.col("elements"), F.col("links"), F.col("headings")
+    attr = lambda e, n: F.coalesce(F.try_element_at(e["attr"], F.lit(n)), F.lit(""))
+    empty = lambda *c: F.trim(F.concat(*c)) == ""
+    bare = lambda c: F.lower(F.regexp_replace(c, "-.*", ""))
+    place = lambda name, x, m: F.struct(F.lit(f"ACT-{name}").alias("testcase"), x["line_no"].alias("line_no"), m.alias("message"))
+    of = lambda name, tag, test, say: F.transform(F.filter(elements, lambda e: (e["tag"] == tag) & test(e)), lambda e: place(name, e, say(e)))
+    label = lambda e: attr(e, "aria-label")
+    shown = lambda e: (attr(e, "aria-hidden") != "true") & ~attr(e, "role").isin("presentation", "none")
+    content = lambda e: F.lower(attr(e, "content"))
+    delay = lambda e: F.regexp_extract(content(e), r"^\s*(\d+)", 1).try_cast("int")
+    scale = lambda e: F.regexp_extract(content(e), r"maximum-scale\s*=\s*([\d.]+)", 1).try_cast("double")
+    named = F.filter(elements, lambda e: attr(e, "id") != "")
+    ids = F.transform(named, lambda e: attr(e, "id"))
+    none = F.array().cast("array<struct<testcase:string,line_no:int,message:string>>")
+    title = F.when(F.coalesce(F.trim("title") == "", F.lit(True)), F.array(F.struct(F.lit("ACT-HTML_page_title_non_empty").alias("testcase"), F.lit(-1).alias("line_no"), F.lit("").alias("message")))).otherwise(none)
+    every = F.concat(
+        title,
+        of("HTML_page_has_lang", "html", lambda e: empty(attr(e, "lang")), lambda e: F.lit("")),
+        of("HTML_page_lang_valid", "html", lambda e: ~empty(attr(e, "lang")) & ~lang_f.language_valid(F.lower(attr(e, "lang"))), lambda e: attr(e, "lang")),
+        of("HTML_page_lang_xml_lang_match", "html", lambda e: ~empty(attr(e, "lang")) & ~empty(attr(e, "xml:lang")) & (bare(attr(e, "lang")) != bare(attr(e, "xml:lang"))), lambda e: attr(e, "xml:lang")),
+        F.transform(F.filter(elements, lambda e: (e["tag"] != "html") & ~empty(attr(e, "lang")) & ~lang_f.language_valid(F.lower(attr(e, "lang")))), lambda e: place("Lang_has_valid_language", e, attr(e, "lang"))),
+        F.transform(F.filter(headings, lambda h: empty(h["text"])), lambda h: place("Heading_non_empty_accessible_name", h, F.lit(""))),
+        of("Image_non_empty_accessible_name", "img", lambda e: ~F.map_contains_key(e["attr"], "alt") & empty(label(e), attr(e, "title")) & shown(e), lambda e: attr(e, "src")),
+        of("Image_button_non_empty_accessible_name", "input", lambda e: (F.lower(attr(e, "type")) == "image") & empty(attr(e, "alt"), label(e), attr(e, "title")), lambda e: attr(e, "src")),
+        F.transform(F.filter(links, lambda x: (x["link_type"] == "object") & empty(x["alt"], x["title"], attr(x, "aria-label"))), lambda x: place("Object_non_empty_accessible_name", x, x["href"])),
+        F.transform(F.filter(links, lambda x: (x["link_type"] == "a") & empty(x["anchor"], x["title"], attr(x, "aria-label"))), lambda x: place("Link_non_empty_accessible_name", x, x["href"])),
+        of("iframe_non_empty_accessible_name", "iframe", lambda e: empty(attr(e, "title"), label(e)) & shown(e), lambda e: attr(e, "src")),
+        F.transform(F.filter(named, lambda e, i: F.array_position(ids, attr(e, "id")) <= i), lambda e: place("id_attribute_value_unique", e, attr(e, "id"))),
+        of("Meta_no_refresh_delay", "meta", lambda e: (F.lower(attr(e, "http-equiv")) == "refresh") & F.coalesce(delay(e).between(1, 72_000), F.lit(False)), lambda e: attr(e, "content")),
+        of("Meta_viewport_allows_zoom", "meta", lambda e: (F.lower(attr(e, "name")) == "viewport") & (content(e).rlike(r"user-scalable\s*=\s*(no|0)\b") | F.coalesce(scale(e) < 2, F.lit(False))), lambda e: attr(e, "content")),
+    )
+    found = facts.select("url", F.inline(every))
+    return results(found, F.col("testcase"), url=F.col("url"), line_no=F.col("line_no"), message=F.col("message"))
+
+
 #: Requests, hosts and cookie bytes that a page may have.
 MOST_REQUESTS, MOST_HOSTS, MOST_COOKIES = 20, 4, 1000
 
