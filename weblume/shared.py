@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _made: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,9 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return it without its lineage. What is written goes when the application ends."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-        delete_at_end(spark, spark.sparkContext.getCheckpointDir())  # a folder of its own in the shared one
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
+    if context.applicationId not in _marked:
+        delete_at_end(spark, context.getCheckpointDir())  # the application's own folder in the shared one
+        _marked.add(context.applicationId)
     return df.checkpoint()
 
 
