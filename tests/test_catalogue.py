@@ -11,6 +11,9 @@ from weblume.catalogue_built import ORACLES, QUERIES
 from .conftest import SF
 
 
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean", "VARCHAR[]": "array<string>", "TIMESTAMP": "timestamp"}
+
+
 def norm(v):
     if isinstance(v, float):
         return "None" if v != v else repr(round(v, 6) + 0.0)
@@ -36,8 +39,10 @@ def test_query(spark, duck, name):
         return
     rel = duck.sql(ORACLES[name])
     assert sorted(rel.columns) == names
+    kinds = {r: TYPES.get(str(t), str(t)) for r, t in zip(rel.columns, rel.types)}
+    assert {f.name: f.dataType.simpleString().replace("_ntz", "") for f in df.schema} == kinds
     at = [rel.columns.index(n) for n in names]
-    assert got == sorted(tuple(norm(r[i]) for i in at) for r in rel.fetchall())
+    assert got and got == sorted(tuple(norm(r[i]) for i in at) for r in rel.fetchall())
 
 
 def test_entry(spark):
