@@ -511,6 +511,27 @@ def decoded_pages(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", text_f.decoded(raw).alias("t"))
 
 
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'XHTML 1.0 Strict' WHEN 1 THEN 'HTML 4.01 Frameset' WHEN 2 THEN 'unknown' WHEN 3 THEN 'HTML5' WHEN 4 THEN 'HTML 4.01 Frameset' ELSE 'HTML 4.01 Transitional' END AS version,
+CASE WHEN doc_id % 2 = 0 THEN 'iso-8859-' || doc_id % 9 WHEN doc_id % 3 = 0 THEN 'utf-8' ELSE '' END AS charset FROM documents""")
+def document_versions(spark, sf_dir):
+    """Document types, known and not, frames without one, and character sets from the header, else from the page."""
+    N = F.col("doc_id")
+    six = N % 6
+    public = F.when(six == 0, "-//W3C//DTD XHTML 1.0 Strict//EN").when(six == 1, "-//W3C//DTD HTML 4.01 Frameset//EN").otherwise(cat("-//X//DTD ", N, "//EN"))
+    made = cat(F.when(six < 3, cat('<!DOCTYPE HTML\n public "', public, '" "x.dtd">')).when(six == 3, "<!doctype html >").when(six == 4, "<FRAMESET></FRAMESET>"), F.when(N % 3 == 0, '<meta http-equiv=x content="text/html; charset=UTF-8">'), "<p>x</p>")
+    header = F.when(N % 2 == 0, cat("text/html; Charset=ISO-8859-", N % 9)).otherwise("text/html")
+    return built(spark, sf_dir, made, header.alias("header")).select("doc_id", binary.doctype(F.col("html")).alias("version"), binary.charset(F.col("header"), F.col("html")).alias("charset"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS first_quoted, doc_id % 2 = 0 AS second_quoted, CASE WHEN doc_id % 3 = 0 THEN 'a\"b' ELSE 'ab' END AS first FROM documents")
+def csv_quoted_flags(spark, sf_dir):
+    """Which fields of a record were quoted."""
+    N = F.col("doc_id")
+    line = cat(F.when(N % 3 == 0, '"a""b"').otherwise("ab"), ",", F.when(N % 2 == 0, '""').otherwise(N.cast("string")))
+    parsed = csv.parse_lines(documents(spark, sf_dir).select("doc_id", line.alias("line")), "doc_id", "line")
+    return parsed.select("doc_id", F.col("quoted")[0].alias("first_quoted"), F.col("quoted")[1].alias("second_quoted"), F.col("fields")[0].alias("first"))
+
+
 # --- records -----------------------------------------------------------------------------------------------------------------
 #: A dialect, a line with the key in it, and the code that its parser must give.
 _BACK = {"quote": "'", "escape": "\\"}
