@@ -324,3 +324,16 @@ def test_features_counted_in_the_parse(spark):
     tags = ["a", "br", "p", "table"]
     assert {tuple(r) for r in features.tags_of_pages(html.parse_pages(df, wanted=("tags",), profile=tags)).collect()} == {tuple(r) for r in features.tag_counts(elements, tags).collect()}
     assert "features" not in html.parse_pages(df).columns
+
+
+def test_ranker_forgets_and_orders(spark, monkeypatch):
+    """Ranks don't depend on what was met before, on batches, or on what is forgotten; odd characters keep their order."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abz~!_\x7f\x01") for _ in range(rng.randint(0, 28))) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    models = {"x": {"a": 1, "_b": 2, "\u00e9": 3, "toolong": 4}, "y": {"zz": 1, "a": 2}}
+    plain = [language.Ranker(models).distances(language.split_words(t)) for t in texts]
+    monkeypatch.setattr(language.Ranker, "WORDS", 50)
+    one = language.Ranker(models)
+    assert [one.distances(language.split_words(t)) for t in texts] == plain
+    for t in texts:
+        assert language.ranked(t) == [g for g, _ in plain_grams(t)][: language.GRAMS]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +71,15 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, di
     return models
 
 
+def codes_of(grams: Iterable[str]) -> np.ndarray:
+    """N-grams of up to 5 ASCII characters as numbers in their order: a byte for each, one more than the character, 0 after the last.
+    Others, which no reduced text has, are negative."""
+    raw = [g.encode() if g.isascii() and len(g) <= LONGEST_GRAM else b"" for g in grams]
+    return np.array([int.from_bytes(bytes(c + 1 for c in x).ljust(LONGEST_GRAM, b"\0"), "big") if x else -1 - i for i, x in enumerate(raw)], dtype=np.int64)
+
+
 class Ranker:
-    """Ranks n-grams of texts by numbers: each word is taken apart once, and an n-gram is a number from then on.
+    """Ranks n-grams of texts by numbers: each word is taken apart once, many at a time, and an n-gram is a number from then on.
 
     The models' n-grams have the first numbers. Words and n-grams are forgotten, but for those, when there are too many.
     """
@@ -89,64 +96,89 @@ class Ranker:
         self.forget()
 
     def forget(self) -> None:
-        self.names, self.number, self.words = list(self.fixed), {g: i for i, g in enumerate(self.fixed)}, {}
-
-    def grams(self, word: str) -> np.ndarray:
-        """Numbers of the n-grams of a word."""
-        w, number, names = f"_{word}_", self.number, self.names
-        out = []
-        if len(w) <= LONGEST_WORD:
-            for n in range(1, LONGEST_GRAM + 1):
-                for i in range(len(w) - n + 1):
-                    g = w[i : i + n]
-                    k = number.get(g)
-                    if k is None:
-                        k = number[g] = len(names)
-                        names.append(g)
-                    out.append(k)
-        self.words[word] = made = np.array(out, dtype=np.int64)
-        return made
-
-    def top(self, text: str) -> np.ndarray:
-        """Numbers of the 400 most frequent n-grams of a reduced text; ties go by the n-gram."""
-        found = _BREAKS.split(text)
-        while found and not found[-1]:
-            found.pop()
-        if len(self.words) > self.WORDS or len(self.names) > self.NAMES:
+        self.words: dict[str, np.ndarray] = {}
+        self.code = codes_of(self.fixed)  # by number
+        self.number = self.code.argsort()  # of the codes in their order
+        self.sorted = self.code[self.number]
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Numbers of the n-grams of new words; words that are too long have none."""
+        asked = list(dict.fromkeys(words))
+        new = [w for w in asked if w not in self.words]
+        if len(self.words) + len(new) > self.WORDS or len(self.code) > self.NAMES:
             self.forget()
-        uses, known = Counter(found), self.words
-        parts = [known[w] if w in known else self.grams(w) for w in uses]
+            new = asked
+        framed = [f"_{w}_".encode("ascii", "replace") for w in new]
+        framed = [f if len(f) <= LONGEST_WORD else b"" for f in framed]
+        lengths = np.array([len(f) for f in framed], dtype=np.int64)
+        text = np.frombuffer(b"".join(framed) + bytes(LONGEST_GRAM), dtype=np.uint8).astype(np.int64) + 1
+        size = int(lengths.sum())
+        ends = np.repeat(np.cumsum(lengths), lengths)
+        owner, at = np.repeat(np.arange(len(new)), lengths), np.arange(size)
+        code, codes, owners = np.zeros(size, dtype=np.int64), [], []
+        for n in range(1, LONGEST_GRAM + 1):
+            code = code + (text[n - 1 : n - 1 + size] << (8 * (LONGEST_GRAM - n)))
+            inside = at + n <= ends
+            codes.append(code[inside])
+            owners.append(owner[inside])
+        every, whose = (np.concatenate(x) if new else np.zeros(0, dtype=np.int64) for x in (codes, owners))
+        every = every[whose.argsort(kind="stable")]
+        fresh = np.setdiff1d(every, self.sorted)
+        if len(fresh):
+            self.code = np.concatenate([self.code, fresh])
+            self.number = self.code.argsort()
+            self.sorted = self.code[self.number]
+        numbers = self.number[self.sorted.searchsorted(every)]
+        counts = np.bincount(whose, minlength=len(new)) if new else []
+        self.words.update(zip(new, np.split(numbers, np.cumsum(counts)[:-1]) if new else []))
+
+    def top(self, found: list[str]) -> np.ndarray:
+        """Numbers of the 400 most frequent n-grams of the words of a text; ties go by the n-gram."""
+        uses = Counter(found)
+        try:
+            parts = [self.words[w] for w in uses]
+        except KeyError:
+            self.learn(uses)
+            parts = [self.words[w] for w in uses]
         if not parts:
             return np.zeros(0, dtype=np.int64)
-        ids = np.concatenate(parts)
-        counts = np.bincount(ids, weights=np.repeat(np.fromiter(uses.values(), dtype=np.float64, count=len(uses)), [len(p) for p in parts])).astype(np.int64)
+        weights = np.repeat(np.fromiter(uses.values(), dtype=np.float64, count=len(uses)), [len(p) for p in parts])
+        counts = np.bincount(np.concatenate(parts), weights=weights)
         held = np.flatnonzero(counts)
         n = counts[held]
         if len(held) > GRAMS:
             least = np.partition(n, len(n) - GRAMS)[len(n) - GRAMS]
             held, n = held[n >= least], n[n >= least]
-        order = sorted(zip((-n).tolist(), map(self.names.__getitem__, held.tolist()), held.tolist()))[:GRAMS]
-        return np.array([k for _, _, k in order], dtype=np.int64)
+        return held[np.lexsort((self.code[held], -n))[:GRAMS]]
 
-    def distances(self, text: str) -> dict[str, int]:
-        top = self.top(text)
+    def distances(self, found: list[str]) -> dict[str, int]:
+        top = self.top(found)
         at = np.flatnonzero(top < len(self.fixed))
-        rank = self.rank[:, top[at]]
+        rank = self.rank[:, top[at]] if len(at) else np.zeros((len(self.langs), 0), dtype=np.int64)
         away = np.where(rank >= 0, np.abs(rank - at), GRAMS).sum(axis=1) + GRAMS * (len(top) - len(at))
         return dict(zip(self.langs, away.tolist()))
 
 
+def split_words(text: str) -> list[str]:
+    """Words of a reduced text, as ``words`` has them."""
+    found = _BREAKS.split(text)
+    while found and not found[-1]:
+        found.pop()
+    return found
+
+
 _BREAKS = re.compile(r"[0-9\t-\r ]+")
 
 
 def ranked(text: str) -> list[str]:
     """The 400 most frequent n-grams of a reduced text."""
     ranker = Ranker({})
-    return [ranker.names[k] for k in ranker.top(text).tolist()]
+    top = ranker.top(split_words(text))
+    return ["".join(chr(c - 1) for c in code.to_bytes(LONGEST_GRAM, "big") if c) for code in ranker.code[top].tolist()]
 
 
 def distances(text: str, models: dict[str, dict[str, int]]) -> dict[str, int]:
-    return Ranker(models).distances(text)
+    return Ranker(models).distances(split_words(text))
 
 
 def candidates(scores: dict[str, int]) -> list[str]:
@@ -171,13 +203,16 @@ def guess(df: DataFrame, models: dict[str, dict[str, int]], id_col: str, text_co
         ranker = Ranker(models)
         for batch in batches:
             rows = []
-            for text, enough in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if not enough or not models:
-                    rows.append(("", -1, -1, []))
-                    continue
-                scores = ranker.distances(text)
-                lang, status = choose(scores)
-                rows.append((lang, status, min(scores.values()), candidates(scores) if status else []))
+            for at in range(0, batch.num_rows, 500):
+                texts = [split_words(t) if enough and models else None for t, enough in zip(batch.column(1).slice(at, 500).to_pylist(), batch.column(2).slice(at, 500).to_pylist())]
+                ranker.learn(w for t in texts if t is not None for w in t)
+                for found in texts:
+                    if found is None:
+                        rows.append(("", -1, -1, []))
+                        continue
+                    scores = ranker.distances(found)
+                    lang, status = choose(scores)
+                    rows.append((lang, status, min(scores.values()), candidates(scores) if status else []))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.string()))], names=["id", "lang", "status", "best", "near"])
 
     kind = df.schema[id_col].dataType.simpleString()
