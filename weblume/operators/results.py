@@ -11,13 +11,14 @@ from ..schemas import RESULT
 _DEFAULTS = {"status": 1, "line_no": -1, "column_no": -1, "page_no": -1}
 
 
-def results(df: DataFrame, testcase: Column | str, **columns: Column | str | int) -> DataFrame:
-    """Result rows; columns that aren't given take their defaults. A source line is cut around its column."""
+def results(df: DataFrame, testcase: Column | str, keep: tuple[str, ...] = (), **columns: Column | str | int) -> DataFrame:
+    """Result rows; columns that aren't given take their defaults. A source line is cut around its column. ``keep`` names columns of
+    ``df`` that stay beside them."""
     given = {k: v if isinstance(v, Column) else F.lit(v) for k, v in columns.items()}
     if "source_line" in given:
         given["source_line"] = snippet(given["source_line"], given.get("column_no", F.lit(-1)))
     given["testcase"] = testcase if isinstance(testcase, Column) else F.lit(testcase)
-    return df.select(*[given.get(n, F.lit(_DEFAULTS.get(n, ""))).cast(kind).alias(n) for n, kind in (f.split() for f in RESULT.split(","))])
+    return df.select(*[given.get(n, F.lit(_DEFAULTS.get(n, ""))).cast(kind).alias(n) for n, kind in (f.split() for f in RESULT.split(","))], *keep)
 
 
 def union(*parts: DataFrame) -> DataFrame:
@@ -43,10 +44,11 @@ def capped(rows: DataFrame, key: str | list[str], order: str | list[str], most:
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("__rn") <= most).drop("__rn")
 
 
-def faults(rows: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """url, faults and score (100, less 1 for each fault, 0 at least) of every page."""
-    n = rows.groupBy(F.col("url").alias("__url")).agg(F.count("*").alias("n"))
-    return pages.select(url).join(n, F.col(url) == F.col("__url"), "left").select(url, F.coalesce("n", F.lit(0)).alias("faults"), F.greatest(F.lit(0), 100 - F.coalesce("n", F.lit(0))).alias("score"))
+def faults(rows: DataFrame, pages: DataFrame, url: str = "url", key: str | None = None) -> DataFrame:
+    """url, faults and score (100, less 1 for each fault, 0 at least) of every page. Where pages share addresses, ``key`` names the
+    column of both tables that tells them apart; else each has the faults of all."""
+    n = rows.groupBy(F.col(key or "url").alias("__key")).agg(F.count("*").alias("n"))
+    return pages.select(url, *([key] if key and key != url else [])).join(n, F.col(key or url) == F.col("__key"), "left").select(url, F.coalesce("n", F.lit(0)).alias("faults"), F.greatest(F.lit(0), 100 - F.coalesce("n", F.lit(0))).alias("score"))
 
 
 def scan_score(page_faults: DataFrame) -> DataFrame:
