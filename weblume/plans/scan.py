@@ -21,13 +21,21 @@ def web(pages: DataFrame) -> DataFrame:
     repeated = F.filter(F.array_distinct(texts), lambda t: F.size(uses(t)) > 1)
     heads = F.transform(repeated, lambda t: F.struct(t.alias("text"), F.array_min(F.transform(uses(t), lambda h: h["line_no"])).alias("line")))
     held = cut(facts.select("page_id", "url", "title", "html_lang", L.broken().alias("broken"), heads.alias("heads")))
-    titles = held.where("title <> ''").groupBy("title").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1")
     return union(
         results(held.select("url", F.inline("broken")), "BROKEN_ANCHOR", url=F.col("url"), line_no=F.col("line_no"), message=F.concat(F.lit("no anchor "), "fragment")),
+        languages_and_titles(held),
+        results(held.select("url", F.inline("heads")), "DUPLICATE_HEADINGS", url=F.col("url"), line_no=F.col("line"), message=F.col("text")),
+    )
+
+
+def languages_and_titles(held: DataFrame) -> DataFrame:
+    """Result rows of pages (page_id, url, title, html_lang) without a language, with a long title or with that of a page of a smaller
+    page_id. ``held`` is read once for each; what is null of a page has no result."""
+    titles = held.where("title <> ''").groupBy("title").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1")
+    return union(
         results(held.where("html_lang = ''"), "NO_LANG", url=F.col("url"), message="no language on html"),
         results(held.where("length(title) >= 60"), "TITLE_LONG", url=F.col("url"), message=F.col("title")),
         results(held.join(titles, "title").where("page_id <> first"), "DUPLICATE_TITLES", url=F.col("url"), message=F.col("title")),
-        results(held.select("url", F.inline("heads")), "DUPLICATE_HEADINGS", url=F.col("url"), line_no=F.col("line"), message=F.col("text")),
     )
 
 
